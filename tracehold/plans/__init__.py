@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 # The plan modules.
-MODULES = ["ingest", "detection"]
+MODULES = ["ingest", "detection", "correlation"]
 
 
 def _load():

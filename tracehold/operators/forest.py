@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracehold.operators.anomaly import fill_with_mean, numeric_fields
@@ -101,25 +101,30 @@ class IsolationForest:
 
 
 def grow_forest(df: DataFrame, fields: list[str], row_id: str, trees: int = TREES, seed: int = SEED) -> IsolationForest:
-    """Grow the trees, one group per tree, each from its own sample."""
-    pool = df.select(F.col(row_id).alias("_id"), *[F.col(f).cast("double").alias(f) for f in fields])
-    pool = pool.withColumn("_draw", F.xxhash64(F.lit(seed), "_id")).orderBy("_draw", "_id").limit(trees * SAMPLE_ROWS)
-    drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    order = Window.partitionBy("tree").orderBy(F.xxhash64("tree", "_draw"), "_id")
-    drawn = drawn.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= SAMPLE_ROWS)
-
-    def grow(part: pd.DataFrame) -> pd.DataFrame:
-        tree = int(part["tree"].iloc[0])
-        rows = part.sort_values("_rank")[fields].to_numpy(dtype=float)
-        depth = int(np.ceil(np.log2(max(len(rows), 2))))
-        grown = grow_tree(rows, np.random.default_rng([seed, tree]), depth)
-        table = pd.DataFrame(grown, columns=["feature", "cut", "child", "path"])
-        return table.assign(tree=tree, node=range(len(table)))[["tree", "node", "feature", "cut", "child", "path"]]
-
-    grown = drawn.groupBy("tree").applyInPandas(grow, _NODE_SCHEMA)
-    sizes = drawn.groupBy("tree").agg(F.count("*").alias("n"))
-    sample = sizes.agg(F.max("n")).first()[0] or 0
-    return IsolationForest(list(fields), grown.toPandas(), int(sample))
+    """Grow the trees in parallel, each from its own sample of a bounded pool of rows.
+
+    The pool is the ``trees * 256`` rows with the smallest hash of their id, a
+    uniform sample however large the table is.
+    """
+    spark = df.sparkSession
+    drawn = F.xxhash64(F.lit(seed), F.col(row_id))
+    pool = df.select(*[F.col(f).cast("double").alias(f) for f in fields], drawn.alias("_draw"), F.col(row_id).alias("_id"))
+    pool = pool.orderBy("_draw", "_id").limit(trees * SAMPLE_ROWS).toPandas()[fields].to_numpy(dtype=float)
+    size = min(SAMPLE_ROWS, len(pool))
+    shared = spark.sparkContext.broadcast(pool)
+
+    def grow(batches):
+        depth = int(np.ceil(np.log2(max(size, 2))))
+        for batch in batches:
+            for tree in batch["id"]:
+                rng = np.random.default_rng([seed, int(tree)])
+                rows = shared.value[rng.choice(len(shared.value), size, replace=False)]
+                table = pd.DataFrame(grow_tree(rows, rng, depth), columns=["feature", "cut", "child", "path"])
+                yield table.assign(tree=int(tree), node=range(len(table)))[["tree", "node", "feature", "cut", "child", "path"]]
+
+    tasks = min(trees, spark.sparkContext.defaultParallelism)
+    grown = spark.range(0, trees, 1, tasks).mapInPandas(grow, _NODE_SCHEMA).toPandas()
+    return IsolationForest(list(fields), grown, size)
 
 
 def isolation_forest_anomalies(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 # The plan modules.
-MODULES = ["ingest", "detection", "correlation", "behaviour", "intelligence"]
+MODULES = ["ingest", "detection", "correlation", "behaviour", "intelligence", "learning", "streams"]
 
 
 def _load():

@@ -155,8 +155,11 @@ def detect_unknown_ips(spark, folder):
 
 @query(
     "detect_baseline_z",
-    f"""WITH {_KNOWN}, z AS (SELECT kind, entity, bucket, f.n, mean, std, abs(f.n - mean) / std AS z, k.n / (k.n + 10.0) AS c
-  FROM fresh f JOIN known k USING (kind, entity, bucket) JOIN ks s USING (kind, entity) WHERE std > 0),
+    f"""WITH {_KNOWN}, m AS (SELECT split_part(bucket, ' ', 1) AS d, split_part(bucket, ' ', 2) AS h, n FROM known WHERE kind = 'hour_dayofweek'),
+g AS (SELECT coalesce(n, 0) AS n FROM (SELECT DISTINCT d FROM m) d CROSS JOIN (SELECT DISTINCT h FROM m) h LEFT JOIN m ON m.d = d.d AND m.h = h.h),
+st AS (SELECT kind, entity, mean, std FROM ks UNION ALL SELECT 'hour_dayofweek', '', avg(n), stddev_pop(n) FROM g),
+z AS (SELECT kind, entity, bucket, f.n, mean, std, abs(f.n - mean) / std AS z, k.n / (k.n + 10.0) AS c
+  FROM fresh f JOIN known k USING (kind, entity, bucket) JOIN st s USING (kind, entity) WHERE std > 0),
 t AS (SELECT greatest(2.5, quantile_cont(z, 0.5)) AS cut FROM z)
 SELECT kind, entity, bucket, n AS event_count, {r6('mean')} AS mean, {r6('std')} AS std, {r6('z')} AS z_score, {r6('c')} AS confidence FROM z, t WHERE z > cut AND c >= 0.8""",
 )
@@ -214,10 +217,10 @@ def zscore_anomalies(spark, folder):
     return as_text(anomaly.zscore_anomalies(events(spark, folder), ["value"], "event_id"))
 
 
-@query("zscore_anomalies_orders", _z_sql("orders", "o_orderkey", ["o_totalprice"]))
-def zscore_anomalies_orders(spark, folder):
-    """G1 on order totals; text fields are passed over."""
-    return as_text(anomaly.zscore_anomalies(table(spark, folder, "orders"), ["o_totalprice", "o_orderstatus"], "o_orderkey"))
+@query("zscore_anomalies_documents", _z_sql("documents", "doc_id", ["n_chars"]))
+def zscore_anomalies_documents(spark, folder):
+    """G1 on text lengths; text fields are passed over."""
+    return as_text(anomaly.zscore_anomalies(table(spark, folder, "documents"), ["n_chars", "lang"], "doc_id"))
 
 
 def _mad_sql(source: str, row_id: str, field: str, limit: float) -> str:

@@ -312,15 +312,21 @@ _KEYWORDS = ", ".join(
 
 @query(
     "map_rules_to_techniques",
-    f"""WITH kw(rule_id, keyword) AS (VALUES {_KEYWORDS}), t AS (SELECT 'T' || doc_id AS technique_id, 'Document ' || doc_id AS name, source AS tactics,
-  lower('Document ' || doc_id || ' ' || text) AS body FROM documents WHERE lang = 'en'),
+    f"""WITH {LOGS_CTE}, kw(rule_id, keyword) AS (VALUES {_KEYWORDS}), t AS (SELECT 'T' || event_id AS technique_id, service AS name, source_type AS tactics,
+  lower(service || ' ' || message) AS body FROM logs),
 d AS (SELECT keyword, technique_id, name, tactics FROM (SELECT DISTINCT keyword FROM kw) k JOIN t ON contains(body, keyword)),
 s AS (SELECT rule_id, technique_id, name, tactics, count(*) AS score FROM kw JOIN d USING (keyword) GROUP BY 1, 2, 3, 4),
 r AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY score DESC, technique_id) AS rank FROM s)
 SELECT rule_id, technique_id, name, tactics, score, rank FROM r WHERE rank <= 3 AND score > 1""",
 )
 def map_rules_to_techniques(spark, folder):
-    """The rules' keywords looked for in the technique texts."""
+    """The rules' keywords looked for in technique texts, here the log messages."""
     rules = parse_rules(bundled_rule_lines(spark))
-    found = mapping.map_rules_to_techniques(rules, document_catalog(spark, folder))
+    techniques = logs(spark, folder).select(
+        F.concat(F.lit("T"), F.col("event_id")).alias("technique_id"),
+        F.col("service").alias("name"),
+        F.col("message").alias("description"),
+        F.array("source_type").alias("tactics"),
+    )
+    found = mapping.map_rules_to_techniques(rules, techniques)
     return as_text(found.withColumn("tactics", F.array_join("tactics", ",")))

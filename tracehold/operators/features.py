@@ -39,7 +39,9 @@ def vocabulary(df: DataFrame, fields: list[str], size: int = MAX_TERMS) -> DataF
     row per distinct word.
     """
     rows = df.count()
-    counted = df.select(F.monotonically_increasing_id().alias("_r"), F.explode(words(text_of(fields))).alias("term"))
+    # The row number is taken before the explode, else every word would get its own.
+    tagged = df.select(words(text_of(fields)).alias("_words")).withColumn("_r", F.monotonically_increasing_id())
+    counted = tagged.select("_r", F.explode("_words").alias("term"))
     per_row = counted.groupBy("_r", "term").agg(F.count("*").alias("n"))
     terms = per_row.groupBy("term").agg(F.sum("n").alias("total"), F.count("*").alias("df"))
     top = terms.orderBy(F.desc("total"), "term").limit(size)

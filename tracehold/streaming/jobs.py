@@ -80,11 +80,16 @@ def stream_correlate_ip(alerts: DataFrame, gap_seconds: int = 300, delay: str =
     )
 
 
-def stream_sessions(alerts: DataFrame, gap_seconds: int = 300, delay: str = DELAY, parts: int = 1) -> DataFrame:
-    """Gap sessions over all alerts: one state entry per open session."""
+def stream_sessions(alerts: DataFrame, gap_seconds: int = 300, delay: str = DELAY) -> DataFrame:
+    """Gap sessions over all alerts.
+
+    Every task merges its own sessions first (a session setting), so only
+    partial sessions, not alerts, meet in the one group.
+    """
     sessions = (
-        alerts.withWatermark("ts", delay)
-        .groupBy(F.session_window("ts", f"{gap_seconds} seconds"))
+        alerts.where(F.col("ts").isNotNull())
+        .withWatermark("ts", delay)
+        .groupBy(F.session_window("ts", f"{gap_seconds} seconds"), (F.col("RULE_ID") == "").alias("_all"))
         .agg(F.count("*").alias("event_count"), F.max("ts").alias("end_time"))
     )
     return sessions.select(F.col("session_window.start").alias("start_time"), "end_time", "event_count")
@@ -133,18 +138,19 @@ def stream_chain(alerts: DataFrame, pattern: AttackPattern, row_id: str = "event
         # One key's rows of one micro-batch, which the source's rate limit bounds.
         arrived = pd.concat(list(batches)).sort_values(["ts", "row_id"])
         for row in arrived.itertuples(index=False):
-            for i in sorted(row.steps, reverse=True):
+            ts, row_id = row.ts.to_pydatetime(), int(row.row_id)
+            for i in sorted((int(s) for s in row.steps), reverse=True):
                 before = reached.get(i - 1)
-                if i and (before is None or row.ts - pd.Timestamp(before[1]) > gap):
+                if i and (before is None or ts - before[1] > gap):
                     continue
-                first_row, first_ts = (before[3], before[4]) if i else (row.row_id, row.ts)
+                first_row, first_ts = (before[3], before[4]) if i else (row_id, ts)
                 if i == last:
-                    done.append((pattern_id, key[0], first_row, row.row_id, first_ts, row.ts, severity))
-                reached[i] = (i, row.ts, row.row_id, first_row, first_ts)
+                    done.append((pattern_id, key[0], first_row, row_id, first_ts, ts, severity))
+                reached[i] = (i, ts, row_id, first_row, first_ts)
         state.update(([reached[i] for i in sorted(reached)],))
-        newest = max(pd.Timestamp(s[1]) for s in reached.values()) if reached else None
-        if newest is not None:
-            expiry = int((newest + gap).timestamp() * 1000)
+        if reached:
+            newest = max(s[1] for s in reached.values())
+            expiry = int((pd.Timestamp(newest, tz="UTC") + gap).timestamp() * 1000)
             state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
         columns = ["pattern_id", "key", "first_row", "last_row", "start_time", "end_time", "severity"]
         yield pd.DataFrame(done, columns=columns)

@@ -107,21 +107,22 @@ def profile_stats(counts: DataFrame) -> DataFrame:
     cells = counts.where("kind = 'hour_dayofweek'").select(
         "kind", "entity", F.get(part, F.lit(0)).alias("day"), F.get(part, F.lit(1)).alias("hour"), "n"
     )
-    grid = (F.count_distinct("day") * F.count_distinct("hour")).alias("cells")
+    grid = F.count_distinct("day") * F.count_distinct("hour")
     sums = cells.groupBy("kind", "entity").agg(
-        grid,
-        F.sum("n").alias("s"),
-        F.sum(F.col("n") * F.col("n")).alias("q"),
+        grid.alias("cells"),
+        F.avg("n").alias("m"),
+        F.var_pop("n").alias("v"),
         F.count("*").alias("filled"),
         F.min("n").alias("lo"),
         F.max("n").alias("max"),
     )
-    mean = F.col("s") / F.col("cells")
+    # Empty cells pull the mean down and add their distance to the spread.
+    share = F.col("filled") / F.col("cells")
     matrix = sums.select(
         "kind",
         "entity",
-        mean.alias("mean"),
-        F.sqrt(F.greatest(F.col("q") / F.col("cells") - mean * mean, F.lit(0.0))).alias("std"),
+        (F.col("m") * share).alias("mean"),
+        F.sqrt(share * F.col("v") + share * (1 - share) * F.col("m") * F.col("m")).alias("std"),
         F.when(F.col("filled") < F.col("cells"), 0).otherwise(F.col("lo")).cast("long").alias("min"),
         "max",
     )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracehold.functions.regexes import DOTTED_QUAD, to_java
-from tracehold.operators.detect import whole_line
+from tracehold.operators.detect import rule_struct, whole_line
 from tracehold.operators.ordered import drop_helpers, trailing
 from tracehold.sources.rules import Rule
 
@@ -56,23 +56,25 @@ def _fires(rule: Rule, name, frame) -> Column:
 def detect_with_context(
     logs: DataFrame, rules: list[Rule], lines: int, keys: list[str] | None = None, row_id: str = "event_id", **chunking
 ) -> DataFrame:
-    """One alert per rule and line whose trailing frame of ``lines`` rows triggers the rule."""
+    """One alert per rule and line whose trailing frame of ``lines`` rows triggers the rule.
+
+    ``row_id`` must be unique.
+    """
     line = whole_line(logs)
     signals = {
         f"_r{i}_{s}": column for i, rule in enumerate(rules) for s, column in _signals(rule, line).items()
     }
-    copies, order = trailing(logs.withColumns(signals), keys or [], ["ts", row_id], lines - 1, **chunking)
+    # Only what the rules need is sorted; the rows come back by id for the lines that fire.
+    narrow = logs.select(*dict.fromkeys([*(keys or []), "ts", row_id]), *[c.alias(n) for n, c in signals.items()])
+    copies, order = trailing(narrow, keys or [], ["ts", row_id], lines - 1, **chunking)
     frame = order.rowsBetween(-(lines - 1), 0)
     fired = [
         F.when(_fires(rule, lambda s, i=i: F.col(f"_r{i}_{s}"), frame), F.lit(i)) for i, rule in enumerate(rules)
     ]
-    copies = copies.withColumns({f"_f{i}": c for i, c in enumerate(fired)})
-    native = drop_helpers(copies)
-    hit = native.withColumn("_rule", F.explode(F.array_compact(F.array(*[F.col(f"_f{i}") for i in range(len(rules))]))))
-    catalog = F.array(
-        *[F.struct(F.lit(r.rule_id).alias("id"), F.lit(r.severity).alias("sev"), F.lit(r.description).alias("text")) for r in rules]
-    )
-    rule = F.get(catalog, F.col("_rule"))
+    copies = copies.withColumn("_rules", F.array_compact(F.array(*fired)))
+    hits = drop_helpers(copies).where(F.size("_rules") > 0).select(row_id, "_rules")
+    hit = logs.join(hits, row_id).withColumn("_rule", F.explode("_rules"))
+    rule = rule_struct(rules, F.col("_rule"))
     return hit.select(
         rule["id"].alias("RULE_ID"), rule["sev"].alias("SEVERITY"), rule["text"].alias("DESCRIPTION"), *logs.columns
     )

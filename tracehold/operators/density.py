@@ -7,7 +7,7 @@ with the cells around them, and a sparse cell has fewer than ``min_samples``
 points.  Identical points are merged into one weighted point first.
 
 Two dense cells belong together when some pair of their points is within
-``eps``.  That is decided on bounding boxes, which are halved until they answer:
+``eps``.  That is decided on bounding boxes, which are cut finer until they answer:
 a box pair that is near enough joins the cells, one too far apart is dropped.
 """
 
@@ -25,6 +25,7 @@ from tracehold.operators.skew import join_unique
 from tracehold.session import stage
 
 MAX_DIMENSIONS = 4
+BOX_CUT = 4  # parts per axis a box is cut into
 CELL_SLICE = 100_000  # points of one cell handled by one task
 
 
@@ -168,7 +169,7 @@ class DensityModel:
         return edges.unionByName(self._dense_edges().select(*pair)).distinct()
 
     def _dense_edges(self) -> DataFrame:
-        """Pairs of dense cells with two points within eps, by halving bounding boxes."""
+        """Pairs of dense cells with two points within eps, by ever finer bounding boxes."""
         dense_cells = self.cells.where(F.col("n") >= self.min_samples)
         pairs = self._neighbour_cells(dense_cells).where(F.col("n") >= self.min_samples)
         after = F.struct("to_grid", "to_group") > F.struct("grid", "group")
@@ -182,8 +183,8 @@ class DensityModel:
             )
             keep = ["grid", "group", "to_grid", "to_group"]
             if level:
-                here = here.withColumn("a_parent", F.transform("a_box", lambda v: F.floor(v / 2)))
-                there = there.withColumn("b_parent", F.transform("b_box", lambda v: F.floor(v / 2)))
+                here = here.withColumn("a_parent", F.transform("a_box", lambda v: F.floor(v / BOX_CUT)))
+                there = there.withColumn("b_parent", F.transform("b_box", lambda v: F.floor(v / BOX_CUT)))
                 both = open_pairs.join(here, ["grid", "group", "a_parent"]).join(there, ["to_grid", "to_group", "b_parent"])
             else:
                 both = open_pairs.join(here, ["grid", "group"]).join(there, ["to_grid", "to_group"])
@@ -227,12 +228,12 @@ class DensityModel:
         return F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v)
 
     def _boxes(self, open_pairs: DataFrame, level: int) -> DataFrame:
-        """Bounding boxes of the core points of the open cells, cells cut in 2^level per axis."""
+        """Bounding boxes of the core points of the open cells, every axis cut ``level`` times."""
         cells = open_pairs.select("grid", "group").unionByName(
             open_pairs.select(F.col("to_grid").alias("grid"), F.col("to_group").alias("group"))
         ).distinct()
         rows = join_unique(self.spots.where("dense"), cells, ["grid", "group"], F.struct(*self.xs))
-        box = F.array(*[F.floor(F.col(x) / (self.side / 2**level)) for x in self.xs])
+        box = F.array(*[F.floor(F.col(x) / (self.side / BOX_CUT**level)) for x in self.xs])
         bounds = [b for x in self.xs for b in (F.min(x).alias(f"lo_{x}"), F.max(x).alias(f"hi_{x}"))]
         return rows.groupBy("grid", "group", box.alias("box")).agg(*bounds, F.min(F.struct(*self.xs)).alias("any"))
 
@@ -284,28 +285,26 @@ class DensityModel:
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, component``: the smallest node of each connected part.
 
-    Every round hooks roots onto smaller neighbours and shortcuts the parents,
-    so the rounds grow with the logarithm of the longest path.  Each round is
-    written out; grouped minima keep large components from gathering.
+    Every round offers each node, and its parent, the smallest grandparent found
+    next to it, and takes over the parent's parent, so the rounds grow with the
+    logarithm of the longest path.  Rounds are written out; grouped minima keep
+    large components from gathering.
     """
     both = stage(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    state = stage(nodes.select("node", F.col("node").alias("parent")), "parents")
+    state = nodes.select("node", F.col("node").alias("parent"))
     while True:
         parents = state.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        with_grand = stage(join_unique(state, parents, ["parent"], F.col("node")), "grand")
-        by_node = with_grand.select(F.col("node").alias("b"), F.col("grand").alias("b_grand"))
-        offers = both.join(by_node, "b").groupBy("a").agg(F.min("b_grand").alias("offer"))
-        offers = stage(
-            offers.join(with_grand.select(F.col("node").alias("a"), "parent", "grand"), "a"), "offers"
-        )
-        to_parent = offers.groupBy(F.col("parent").alias("node")).agg(F.min("offer").alias("o1"))
-        to_self = offers.select(F.col("a").alias("node"), F.col("offer").alias("o2"))
-        merged = with_grand.join(to_parent, "node", "left").join(to_self, "node", "left")
-        lowest = F.least("grand", F.coalesce("o1", "grand"), F.coalesce("o2", "grand"))
-        fresh = stage(merged.select("node", lowest.alias("parent"), F.col("parent").alias("old")), "parents")
-        changed = not fresh.where(F.col("parent") != F.col("old")).isEmpty()
+        known = stage(join_unique(state, parents, ["parent"], F.col("node")), "grand")
+        near = both.join(known.select(F.col("node").alias("b"), F.col("grand").alias("offer")), "b")
+        offers = near.groupBy("a").agg(F.min("offer").alias("offer"))
+        offers = offers.join(known.select(F.col("node").alias("a"), "parent"), "a")
+        none = F.lit(None).cast(nodes.schema["node"].dataType)
+        proposals = offers.select(
+            F.explode(F.array("a", "parent")).alias("node"), "offer", none.alias("old")
+        ).unionByName(known.select("node", F.col("grand").alias("offer"), F.col("parent").alias("old")))
+        fresh = stage(proposals.groupBy("node").agg(F.min("offer").alias("parent"), F.min("old").alias("old")), "parents")
         state = fresh.select("node", "parent")
-        if not changed:
+        if fresh.where(F.col("parent") != F.col("old")).isEmpty():
             return state.select("node", F.col("parent").alias("component"))
 
 

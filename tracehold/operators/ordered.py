@@ -76,13 +76,14 @@ def next_value(
     """
     placed = with_position(df.withColumn("_value", value), [*keys, *order])
     placed = placed.withColumn("_chunk", F.floor(F.col("_pos") / chunk_rows))
-    ahead = Window.partitionBy(*keys, "_chunk").orderBy("_pos").rowsBetween(1, Window.unboundedFollowing)
-    placed = placed.withColumn("_inside", F.first("_value", ignorenulls=True).over(ahead))
+    # Backwards, so that the frame grows by one row at a time instead of being read anew for each.
+    ahead = Window.partitionBy(*keys, "_chunk").orderBy(F.desc("_pos")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("_inside", F.last("_value", ignorenulls=True).over(ahead))
     heads = placed.groupBy(*keys, "_chunk").agg(
         F.min_by("_value", F.when(F.col("_value").isNotNull(), F.col("_pos"))).alias("_head")
     )
-    later = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
-    heads = heads.withColumn("_carried", F.first("_head", ignorenulls=True).over(later)).drop("_head")
+    later = Window.partitionBy(*keys).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.withColumn("_carried", F.last("_head", ignorenulls=True).over(later)).drop("_head")
     joined = placed.join(heads, [*keys, "_chunk"])
     return joined.withColumn(name, F.coalesce("_inside", "_carried")).drop(
         "_value", "_pos", "_chunk", "_inside", "_carried"

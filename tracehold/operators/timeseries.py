@@ -60,15 +60,21 @@ def event_frequency(events: DataFrame, size: str = "1h", ts: str = "ts") -> Data
 
 
 def _moments(counts: DataFrame) -> DataFrame:
-    """Mean and sample deviation over all bins, empty ones counted, from the non-empty ones."""
-    total, squares = F.sum("event_count"), F.sum(F.col("event_count") * F.col("event_count"))
-    bins = F.max("_bin") - F.min("_bin") + 1
-    variance = (squares - total * total / bins) / (bins - 1)
+    """Mean and sample deviation over all bins, empty ones counted, from the non-empty ones.
+
+    The deviations are summed around the mean, which needs no large squares; an
+    empty bin adds the squared mean.
+    """
+    total, bins = F.sum("event_count"), F.max("_bin") - F.min("_bin") + 1
+    first = counts.agg((total / bins).alias("mean"), bins.alias("bins"))
+    known = first.select(F.struct("mean", "bins")).scalar()
+    mean, empty = known["mean"], known["bins"] - F.count("*")
+    spread = F.sum((F.col("event_count") - mean) ** 2) + empty * mean * mean
     return counts.agg(
         total.alias("total_events"),
         bins.alias("periods"),
         (total / bins).alias("mean_events"),
-        F.when(bins > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("std_events"),
+        F.when(bins > 1, F.sqrt(spread / (bins - 1))).alias("std_events"),
         F.max("event_count").alias("max_events"),
         F.min_by("bin_start", F.struct(-F.col("event_count"), F.col("bin_start"))).alias("max_events_start"),
     )

@@ -78,11 +78,11 @@ def indicator_store(spark, folder) -> DataFrame:
         )
     )
     hosts = (
-        rows.where("message like '%curl%' and k < 50")
+        rows.where("message like '%curl%'")
         .groupBy(F.regexp_extract("message", "http://([^/]+)", 1).alias("indicator"))
-        .agg(F.count("*").alias("n"), F.max("ts").alias("last_updated"))
+        .agg(F.max("k").alias("k"), F.max("ts").alias("last_updated"))
         .select(
-            F.lit("domain").alias("type"), "indicator", F.lit(True).alias("is_malicious"), F.lit("download").alias("threat_type"),
+            F.lit("domain").alias("type"), "indicator", (F.col("k") < 50).alias("is_malicious"), F.lit("download").alias("threat_type"),
             F.lit(80.0).alias("score"), F.lit("commands").alias("source"), "last_updated",
         )
     )
@@ -95,7 +95,7 @@ def indicator_store(spark, folder) -> DataFrame:
 
 _STORE = f"""store AS (SELECT 'ip' AS type, ip_address AS indicator, count(*) > 50 AS is_malicious, 'failures' AS threat_type,
   CAST(least(count(*), 100) AS DOUBLE) AS score, 'logins' AS source, max(ts) AS last_updated FROM logs WHERE event_type = 'error' GROUP BY ip_address
-UNION ALL SELECT 'domain', regexp_extract(message, 'http://([^/]+)', 1), TRUE, 'download', 80.0, 'commands', max(ts) FROM logs WHERE message LIKE '%curl%' AND k < 50 GROUP BY 2
+UNION ALL SELECT 'domain', regexp_extract(message, 'http://([^/]+)', 1), max(k) < 50, 'download', 80.0, 'commands', max(ts) FROM logs WHERE message LIKE '%curl%' GROUP BY 2
 UNION ALL SELECT 'hash', md5(html), count(*) > 1, 'copied page', CAST(count(*) AS DOUBLE), 'pages', TIMESTAMP '2024-01-31 00:00:00' FROM pages GROUP BY 2)"""
 
 
@@ -147,7 +147,7 @@ def lookup_hashes(spark, folder):
 @query(
     "score_reports",
     f"""WITH {LOGS_CTE}, r AS (SELECT ip_address AS indicator, CASE WHEN event_type = 'error' THEN 'abuse_ipdb' ELSE 'otx' END AS source, k AS abuse_score,
-  CASE WHEN event_type = 'view' THEN k % 15 ELSE 0 END AS pulse_count FROM logs WHERE event_type IN ('error', 'view') AND user_id % 3 <> 0 OR event_type = 'view'),
+  CASE WHEN event_type = 'view' THEN k % 15 ELSE 0 END AS pulse_count FROM logs),
 b AS (SELECT indicator, max(CASE WHEN source = 'abuse_ipdb' AND abuse_score >= 80 THEN abuse_score END) AS a,
   max(CASE WHEN source = 'otx' AND pulse_count > 0 THEN least(pulse_count * 10, 100) END) AS p FROM r GROUP BY indicator)
 SELECT indicator, a IS NOT NULL OR p IS NOT NULL AS is_malicious, CASE WHEN a IS NOT NULL THEN 'Abuse Detection' WHEN p IS NOT NULL THEN 'OTX Detection' ELSE '' END AS threat_type,
@@ -155,8 +155,7 @@ SELECT indicator, a IS NOT NULL OR p IS NOT NULL AS is_malicious, CASE WHEN a IS
 )
 def score_reports(spark, folder):
     """Verdicts from abuse scores and pulse counts."""
-    rows = logs(spark, folder).where("event_type in ('error', 'view') and user_id % 3 <> 0 or event_type = 'view'")
-    reports = rows.select(
+    reports = logs(spark, folder).select(
         F.col("ip_address").alias("indicator"),
         F.when(F.col("event_type") == "error", "abuse_ipdb").otherwise("otx").alias("source"),
         F.col("k").alias("abuse_score"),

@@ -30,8 +30,9 @@ from tracehold.streaming import jobs
 
 
 def event_stream(spark, folder) -> DataFrame:
+    """The events as a stream; the one test file is spread over the cores."""
     rows = jobs.stream_table(spark, folder, table(spark, folder, "events").schema, "events.parquet")
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    return rows.repartition(spark.sparkContext.defaultParallelism).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def alert_stream(spark, folder) -> DataFrame:

@@ -94,7 +94,7 @@ def test_guard_changes_nothing(spark):
 
 @pytest.mark.parametrize(
     "pattern,guard",
-    [("Failed password", ["Failed password"]), ("abcd?e", ["abc"]), ("abc{0,3}", None), ("(x|y)foo.*barbar", ["barbar"]), ("foo|b.r", None), (r"\.php|\.jsp", [".php", ".jsp"]), ("(?i)foo", None), ("[abc]def+g", ["def"])],
+    [("Failed password", ["Failed password"]), ("abcd?e", ["abc"]), ("abc{0,3}", ["ab"]), ("(x|y)foo.*barbar", ["barbar"]), ("foo|b.r", ["foo", "b"]), ("(tar|7z)", ["tar", "7z"]), ("(a|bc)?", None), ("(a|.)", None), (r"x\(ab\)c", ["x(ab)c"]), (r"\.php|\.jsp", [".php", ".jsp"]), ("(?i)foo", None), ("[abc]def+g", ["def"])],
 )
 def test_literal_guard(pattern, guard):
     assert literal_guard(pattern) == guard

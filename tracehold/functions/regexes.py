@@ -29,22 +29,34 @@ def to_java(pattern: str) -> str:
     return pattern
 
 
-def literal_guard(pattern: str, shortest: int = 3) -> list[str] | None:
+def literal_guard(pattern: str) -> list[str] | None:
     """Substrings of which every match contains at least one, or None if unknown.
 
     A cheap ``contains`` test on them may only skip lines the pattern cannot
-    match.  Each alternative gives its longest plain run; when one gives none
-    there is no guard.
+    match.  Each alternative gives its longest plain run; one without a run worth
+    testing is spelled out by the alternatives of its first group.
     """
     if "(?" in pattern:
         return None
     found = []
     for branch in _alternatives(pattern):
-        runs = [r for r in _plain_runs(branch) if len(r) >= shortest]
-        if not runs:
-            return None
-        found.append(max(runs, key=len))
-    return found
+        best = max(_plain_runs(branch), key=len)
+        if len(best) < 3:
+            spelled = [max(_plain_runs(b), key=len) for b in _spelled_out(branch)]
+            if not all(spelled):
+                return None
+            found += spelled
+        else:
+            found.append(best)
+    return list(dict.fromkeys(found))
+
+
+def _spelled_out(branch: str) -> list[str]:
+    """A branch once for each alternative of its first group, if that is plain and must occur."""
+    group = re.search(r"(?<!\\)\(([^()\[\]]*)(?<!\\)\)(?![*?{])", branch)
+    if group is None:
+        return [branch]
+    return [branch[: group.start()] + inner + branch[group.end() :] for inner in _alternatives(group.group(1))]
 
 
 def _alternatives(pattern: str) -> list[str]:

@@ -94,7 +94,9 @@ def detect(
         f"case when {condition_sql(logs.columns, rule, field_base, ignore_case, guard)} then {i} end"
         for i, rule in enumerate(rules)
     ]
-    matched = logs.withColumn("_rule", F.expr(f"explode(array_compact(array({', '.join(hits)})))"))
+    # Short arrays keep the generated methods small enough for the JVM to compile.
+    parts = [f"array_compact(array({', '.join(hits[i : i + 10])}))" for i in range(0, len(hits), 10)]
+    matched = logs.withColumn("_rule", F.expr(f"explode(concat({', '.join(parts)}))"))
     rule = rule_struct(rules, F.col("_rule"))
     return matched.select(
         rule["id"].alias("RULE_ID"), rule["sev"].alias("SEVERITY"), rule["text"].alias("DESCRIPTION"), *logs.columns

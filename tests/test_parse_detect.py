@@ -10,7 +10,7 @@ from tracehold.functions.times import parse_timestamp
 from tracehold.operators import detect as d
 from tracehold.operators.parse import SourceConfig, json_to_kv, parse_source
 from tracehold.schema import LOG_FIELDS
-from tracehold.sources.logs import collect_all, parse_app_log, read_alerts, read_normalized, with_rotated, write_alerts
+from tracehold.sources.logs import collect_all, parse_all, parse_app_log, read_alerts, read_normalized, source_status, with_rotated, write_alerts
 from tracehold.sources.rules import Rule, bundled_rule_lines, bundled_rules, compile_rules, parse_rules, rule_file_metadata
 
 
@@ -129,7 +129,11 @@ def test_files(spark, tmp_path):
     (tmp_path / "other.log").write_text("x\n")
     config = SourceConfig("auth", paths=tuple(with_rotated(str(tmp_path / "auth.log"))), exclude_regex="(last message repeated [0-9]+ times)")
     off = SourceConfig("other", paths=(str(tmp_path / "other.log"),), enabled=False)
-    assert collect_all(spark, [config, off]).count() == 4
+    gone = SourceConfig("gone", paths=(str(tmp_path / "gone*.log"),))
+    assert collect_all(spark, [config, off, gone]).count() == 4
+    assert {r.source_type: r.status for r in source_status(spark, [config, off, gone]).collect()} == {"auth": "ok", "other": "disabled", "gone": "failed"}
+    rows = parse_all(spark, [config, off, gone], 2024).orderBy("ts").collect()
+    assert [(r.message, f"{r.ts:%m%d}") for r in rows] == [("d", "0517"), ("c", "0518"), ("b", "0519"), ("a", "0520")]
     with pytest.raises(ValueError):
         collect_all(spark, [off])
 

@@ -7,14 +7,13 @@ one busy host is not one task.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracehold.functions.regexes import DOTTED_QUAD, to_java
 from tracehold.operators.detect import rule_struct, whole_line
 from tracehold.operators.ordered import drop_helpers, trailing
+from tracehold.session import stage
 from tracehold.sources.rules import Rule
 
 # Thresholds of the built-in context kinds.
@@ -72,7 +71,8 @@ def detect_with_context(
         F.when(_fires(rule, lambda s, i=i: F.col(f"_r{i}_{s}"), frame), F.lit(i)) for i, rule in enumerate(rules)
     ]
     copies = copies.withColumn("_rules", F.array_compact(F.array(*fired)))
-    hits = drop_helpers(copies).where(F.size("_rules") > 0).select(row_id, "_rules")
+    # Written out, so that a few hits are broadcast to the rows instead of shuffling all rows.
+    hits = stage(drop_helpers(copies).where(F.size("_rules") > 0).select(row_id, "_rules"), "context")
     hit = logs.join(hits, row_id).withColumn("_rule", F.explode("_rules"))
     rule = rule_struct(rules, F.col("_rule"))
     return hit.select(

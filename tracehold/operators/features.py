@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,17 +95,16 @@ class FeatureModel:
         step = df.withColumns(plain) if plain else df
         inputs = list(plain)
         if self.terms:
-            # One aggregate of the words per term; the norm makes rows length one.
+            terms = list(self.terms)
             step = step.withColumn("_words", words(text_of(self.text_fields)))
-            weights = {
-                f"_t{i}": F.size(F.filter("_words", _equals(t))) * F.lit(idf)
-                for i, (t, idf) in enumerate(self.terms.items())
-            }
-            step = step.withColumns(weights)
-            norm = F.sqrt(sum((F.col(n) * F.col(n) for n in weights), F.lit(0.0)))
-            step = step.withColumn("_norm", F.when(norm > 0, norm).otherwise(1.0))
-            step = step.withColumns({n: F.col(n) / F.col("_norm") for n in weights})
-            inputs += list(weights)
+            stages = [
+                CountVectorizerModel.from_vocabulary(terms, inputCol="_words", outputCol="_counts"),
+                ElementwiseProduct(scalingVec=Vectors.dense(list(self.terms.values())), inputCol="_counts", outputCol="_weights"),
+                Normalizer(p=2.0, inputCol="_weights", outputCol="_text"),
+            ]
+            for stage in stages:
+                step = stage.transform(step)
+            inputs.append("_text")
         assembled = VectorAssembler(inputCols=inputs, outputCol=output).transform(step)
         return assembled.select(*base, output)
 
@@ -159,6 +159,3 @@ def standardized(df: DataFrame, fields: list[str], row_id: str) -> DataFrame:
     model = fit_features(df, numeric=fields)
     return df.select(row_id, *[c.alias(f) for f, c in zip(fields, model.columns())])
 
-
-def _equals(term: str):
-    return lambda word: word == F.lit(term)

@@ -9,6 +9,7 @@ from tracehold.functions.regexes import DOMAIN, URL
 from tracehold.operators.ordered import numbered
 from tracehold.operators.skew import join_unique
 from tracehold.schema import INDICATOR_SCHEMA
+from tracehold.session import stage
 
 # How long a verdict holds, feed score, limits of the report scores.
 VERDICT_DAYS = 7
@@ -177,7 +178,8 @@ def enrich_alerts(
         .groupBy(*keys)
         .agg(F.min_by("_dom", "_pos").alias("_dom"))
     )
-    joined = step.join(first, keys, "left")
+    # Written out: usually few alerts name a malicious domain, and then the rest is not shuffled for them.
+    joined = step.join(stage(first, "domain_verdicts"), keys, "left")
     hit = F.coalesce("_ip", "_dom")
     return joined.select(
         *alerts.columns,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracehold.operators.detect import quoted
+
 TOP = 3
 SHORTEST_KEYWORD = 4
 
@@ -32,9 +34,10 @@ def map_rules_to_techniques(rules: DataFrame, techniques: DataFrame, max_keyword
     if len(distinct) > max_keywords:
         raise ValueError(f"more than {max_keywords} distinct keywords")
     text = F.lower(F.concat("name", F.lit(" "), F.coalesce("description", F.lit(""))))
-    listed = F.array(*[F.lit(k) for k in sorted(distinct)])
+    tests = [f"case when contains(_text, {quoted(k)}) then {quoted(k)} end" for k in sorted(distinct)]
+    parts = [f"array_compact(array({', '.join(tests[i : i + 10])}))" for i in range(0, len(tests), 10)]
     found = techniques.withColumn("_text", text).select(
-        "technique_id", "name", "tactics", F.explode(F.filter(listed, lambda k: F.contains(F.col("_text"), k))).alias("keyword")
+        "technique_id", "name", "tactics", F.expr(f"explode(concat({', '.join(parts)}))").alias("keyword")
     )
     scores = (
         found.join(keywords, "keyword")

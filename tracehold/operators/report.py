@@ -12,8 +12,15 @@ from tracehold.operators.skew import join_unique
 TOP_RULES = 20
 
 
-def timeline_data(events: DataFrame, category: str, row_id: str = "event_id", ts: str = "ts") -> DataFrame:
-    """Events with the lane of their category; lanes count from 0 by first appearance."""
+def timeline_data(
+    events: DataFrame, category: str | None = None, row_id: str = "event_id", ts: str = "ts"
+) -> DataFrame:
+    """Events with the lane of their category; lanes count from 0 by first appearance.
+
+    Without a category all events share lane 0.
+    """
+    if category is None:
+        return events.where(F.col(ts).isNotNull()).select(row_id, ts, F.lit(0).cast("long").alias("lane"))
     firsts = (
         events.where(F.col(ts).isNotNull())
         .groupBy(category)

@@ -352,7 +352,7 @@ def trade_graph(spark, folder):
     return report.communication_edges(pairs)
 
 
-@query("write_results")
+@query("write_results", f"WITH {ALERTS_CTE} {_IP_GROUPS}")
 def write_results(spark, folder):
     """Results written as JSON and read back."""
     from tracehold.sources.logs import write_results as write
@@ -360,4 +360,4 @@ def write_results(spark, folder):
     found = correlate.correlate_by_ip(alerts(spark, folder))
     path = staging_path(spark, "results")
     write(found, path)
-    return spark.read.schema(found.schema).json(path)
+    return as_text(spark.read.schema(found.schema).json(path))

@@ -86,7 +86,7 @@ def detect_documents(spark, folder):
 
 @query(
     "filter_by_severity",
-    f"WITH {ALERTS_CTE} SELECT RULE_ID, SEVERITY, {level_sql()} AS level, event_id FROM alerts WHERE {level_sql()} >= 40",
+    f"WITH {ALERTS_CTE} SELECT RULE_ID, SEVERITY, CAST({level_sql()} AS BIGINT) AS level, event_id FROM alerts WHERE {level_sql()} >= 40",
 )
 def filter_by_severity(spark, folder):
     """Alerts from HIGH upwards with their level."""
@@ -214,7 +214,7 @@ _SUPPLIERS = """s AS (SELECT lower(n_name) AS rule_file, 'SP-ACCT-' || s_suppkey
 @query(
     "parse_rules",
     f"""WITH {_SUPPLIERS} SELECT rule_file, rule_id, description, description AS pattern,
-  CASE WHEN s_acctbal > 5000 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, CASE WHEN s_acctbal > 5000 THEN 40 ELSE 30 END AS severity_level,
+  CASE WHEN s_acctbal > 5000 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, CAST(CASE WHEN s_acctbal > 5000 THEN 40 ELSE 30 END AS BIGINT) AS severity_level,
   '6,9' AS fields, CASE WHEN s_acctbal < 0 THEN 'debt,supplier' ELSE 'supplier' END AS tags, '' AS negative_pattern FROM s""",
 )
 def parse_rules_query(spark, folder):

@@ -8,8 +8,20 @@ from pyspark.sql import functions as F
 from tracehold.operators import parse
 from tracehold.operators.parse import SourceConfig
 from tracehold.plans.registry import query
-from tracehold.plans.views import DEFAULT_YEAR, LOGS_CTE, SYSLOG_SQL, as_text, logs, sql_text, stamp_sql, syslog_lines, table
-from tracehold.schema import LOG_FIELDS
+from tracehold.plans.views import (
+    ALERTS_CTE,
+    DEFAULT_YEAR,
+    LOGS_CTE,
+    SYSLOG_SQL,
+    alerts,
+    as_text,
+    logs,
+    sql_text,
+    stamp_sql,
+    syslog_lines,
+    table,
+)
+from tracehold.schema import ALERT_FIELDS, LOG_FIELDS
 from tracehold.session import staging_path
 from tracehold.sources import logs as sources
 
@@ -114,7 +126,7 @@ def sanitize(spark, folder):
 
 
 # The raw line is taken apart from the front, stage by stage, as the parser does.
-_SYSLOG_PARSE = f"""WITH {LOGS_CTE}, s0 AS (SELECT event_id, {SYSLOG_SQL} AS v FROM logs),
+PARSED_SYSLOG = f"""WITH {LOGS_CTE}, s0 AS (SELECT event_id, {SYSLOG_SQL} AS v FROM logs),
 s1 AS (SELECT event_id, regexp_extract(v, '^([A-Za-z]+\\s+[0-9]+\\s+[0-9:]+)\\s+(.*)', 1) AS timestamp,
   regexp_extract(v, '^([A-Za-z]+\\s+[0-9]+\\s+[0-9:]+)\\s+(.*)', 2) AS r1 FROM s0),
 s2 AS (SELECT *, regexp_extract(r1, '^([^\\s]+)\\s+(.*)', 1) AS hostname, regexp_extract(r1, '^([^\\s]+)\\s+(.*)', 2) AS r2 FROM s1),
@@ -127,7 +139,7 @@ SELECT event_id, timestamp, 'syslog' AS source_type, '' AS source_name, '' AS lo
   strftime(strptime('{DEFAULT_YEAR} ' || timestamp, '%Y %b %-d %H:%M:%S'), '%Y-%m-%d %H:%M:%S.%f') AS ts FROM s3"""
 
 
-@query("parse_syslog", _SYSLOG_PARSE)
+@query("parse_syslog", PARSED_SYSLOG)
 def parse_syslog(spark, folder):
     """Raw syslog lines to normalized rows with a time."""
     lines = syslog_lines(logs(spark, folder))
@@ -288,12 +300,9 @@ def read_app_log(spark, folder):
     return sources.parse_app_log(logs(spark, folder).select(line.alias("value")))
 
 
-@query("alerts_roundtrip")
+@query("alerts_roundtrip", f"WITH {ALERTS_CTE} SELECT {', '.join(ALERT_FIELDS + LOG_FIELDS)} FROM alerts")
 def alerts_roundtrip(spark, folder):
     """Alerts written by suffix and read back."""
-    from tracehold.plans.views import alerts
-    from tracehold.schema import ALERT_FIELDS
-
     path = staging_path(spark, "alerts") + ".json"
     sources.write_alerts(alerts(spark, folder).select(*ALERT_FIELDS, *LOG_FIELDS), path)
     return sources.read_alerts(spark, path)

@@ -216,7 +216,7 @@ def read_json_feed(spark, folder):
 
 @query(
     "classify_feed",
-    """SELECT 'domain' AS type, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS indicator, TRUE AS is_malicious, 'urlhaus feed' AS threat_type, 80.0 AS score, 'urlhaus' AS source FROM pages""",
+    """SELECT 'domain' AS type, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS indicator, TRUE AS is_malicious, 'urlhaus feed' AS threat_type, CAST(80 AS DOUBLE) AS score, 'urlhaus' AS source FROM pages""",
 )
 def classify_feed(spark, folder):
     """Feed rows as store rows, URLs by host."""

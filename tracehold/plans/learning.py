@@ -15,7 +15,7 @@ TRAINED_AT = "2024-02-01T00:00:00"
 
 @query(
     "time_features",
-    """SELECT event_id, hour(ts) AS hour, isodow(ts) - 1 AS day_of_week, CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END AS is_weekend FROM events""",
+    """SELECT event_id, hour(ts) AS hour, isodow(ts) - 1 AS day_of_week, CAST(isodow(ts) >= 6 AS BIGINT) AS is_weekend FROM events""",
 )
 def time_features(spark, folder):
     """H1: hour, weekday, weekend."""
@@ -43,7 +43,7 @@ def numeric_features(spark, folder):
 
 @query(
     "categorical_features",
-    """SELECT o_orderkey, o_orderpriority AS level, 1 AS value FROM orders WHERE o_orderpriority <> (SELECT min(o_orderpriority) FROM orders)""",
+    """SELECT o_orderkey, o_orderpriority AS level, CAST(1 AS BIGINT) AS value FROM orders WHERE o_orderpriority <> (SELECT min(o_orderpriority) FROM orders)""",
 )
 def categorical_features(spark, folder):
     """H3: one-hot columns in long form, the first level dropped."""
@@ -143,7 +143,21 @@ def cluster_stats(spark, folder):
     return models.cluster_stats(rows, found, "event_id", ["value", "k"])
 
 
-@query("cluster_categories")
+# On a line: core points by counting neighbours, clusters by gaps between core points.
+_LINE = f"""WITH {LOGS_CTE}, s AS (SELECT avg(value) AS m, stddev_pop(value) AS d FROM logs), p AS (SELECT event_id, service, (value - m) / d AS x FROM logs, s),
+n AS (SELECT *, count(*) OVER (ORDER BY x RANGE BETWEEN 0.1 PRECEDING AND 0.1 FOLLOWING) AS near FROM p),
+o AS (SELECT *, CASE WHEN x - lag(x) OVER (ORDER BY x, event_id) <= 0.1 THEN 0 ELSE 1 END AS opens FROM n WHERE near >= 5),
+g AS (SELECT *, sum(opens) OVER (ORDER BY x, event_id ROWS UNBOUNDED PRECEDING) AS run FROM o),
+c AS (SELECT run, row_number() OVER (ORDER BY min(event_id)) - 1 AS cluster FROM g GROUP BY run),
+k AS (SELECT g.event_id, g.x, c.cluster FROM g JOIN c USING (run)),
+e AS (SELECT n.event_id, n.service, n.x, k.cluster, last_value(k.x IGNORE NULLS) OVER w AS lx, last_value(k.cluster IGNORE NULLS) OVER w AS lc,
+  first_value(k.x IGNORE NULLS) OVER v AS rx, first_value(k.cluster IGNORE NULLS) OVER v AS rc FROM n LEFT JOIN k USING (event_id)
+  WINDOW w AS (ORDER BY n.x, n.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), v AS (ORDER BY n.x, n.event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+f AS (SELECT service, coalesce(cluster, least(CASE WHEN x - lx <= 0.1 THEN lc END, CASE WHEN rx - x <= 0.1 THEN rc END), -1) AS cluster FROM e)
+SELECT cluster, service AS value, count(*) AS n FROM f GROUP BY 1, 2"""
+
+
+@query("cluster_categories", _LINE)
 def cluster_categories(spark, folder):
     """Services per cluster."""
     rows = feature_rows(spark, folder)

@@ -9,14 +9,14 @@ from tracehold.operators.chains import AttackPattern, Step
 from tracehold.operators.detect import detect
 from tracehold.operators.parse import SourceConfig
 from tracehold.plans.detection import RULES
-from tracehold.plans.ingest import EXCLUDE, FILTER, staged_lines
+from tracehold.plans.ingest import EXCLUDE, FILTER, PARSED_SYSLOG, staged_lines
 from tracehold.plans.registry import query
 from tracehold.plans.views import (
     ALERTS_CTE,
     DEFAULT_YEAR,
     LOGS_CTE,
     SYSLOG_SQL,
-    alerts,
+    alerts_cte,
     as_text,
     level_name_sql,
     level_sql,
@@ -63,7 +63,10 @@ def stream_detect(spark, folder):
     return run_stream(alert_stream(spark, folder).select("RULE_ID", "SEVERITY", "event_id"))
 
 
-@query("stream_detect_lines")
+@query(
+    "stream_detect_lines",
+    f"WITH l AS ({PARSED_SYSLOG}), {alerts_cte(RULES, 'l')} SELECT RULE_ID, SEVERITY, hostname, message FROM alerts",
+)
 def stream_detect_lines(spark, folder):
     """L1 from raw lines: tail, parse, detect."""
     lines = jobs.stream_log_lines(spark, staged_lines(spark, folder))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,9 @@ from tracehold.functions.regexes import to_java
 from tracehold.operators.parse import SourceConfig, parse_source
 from tracehold.schema import ALERT_SCHEMA, LOG_FIELDS, LOG_SCHEMA
 
+# Spark's default keeps milliseconds only.
+TEXT_STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
 
 def keep_lines(lines: DataFrame, filter_regex: str = "", exclude_regex: str = "") -> DataFrame:
     """Lines matching the filter and not the exclusion; either may be empty."""
@@ -34,15 +38,42 @@ def with_rotated(path: str) -> list[str]:
     return [f"{path}{{,.[0-9]*,.old,.gz,.bz2}}"]
 
 
+def existing_paths(spark: SparkSession, paths) -> list[str]:
+    """The paths (or globs) that have files; a source may name logs that do not exist yet."""
+    found = []
+    for path in paths:
+        try:
+            spark.read.text(path)
+            found.append(path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return found
+
+
+def source_status(spark: SparkSession, sources: list[SourceConfig]) -> DataFrame:
+    """Each source with its state: disabled, ok or failed (no file there)."""
+    rows = [
+        (s.source_type, "disabled" if not s.enabled else "ok" if existing_paths(spark, s.paths) else "failed")
+        for s in sources
+    ]
+    return spark.createDataFrame(rows, "source_type string, status string")
+
+
 def collect_all(spark: SparkSession, sources: list[SourceConfig], only: str | None = None) -> DataFrame:
-    """Lines of every enabled source, or of the one named, tagged with the source type."""
+    """Lines of every enabled source, or of the one named, tagged with the source type.
+
+    Missing files are passed over; :func:`source_status` tells which.
+    """
     chosen = sorted((s for s in sources if s.enabled and only in (None, s.source_type)), key=lambda s: s.priority)
-    if not chosen:
-        raise ValueError("no enabled source")
-    parts = [
-        read_log_lines(spark, s.paths, s.filter_regex, s.exclude_regex).withColumn("source_type", F.lit(s.source_type))
-        for s in chosen
-    ]
+    parts = []
+    for s in chosen:
+        paths = existing_paths(spark, s.paths)
+        if paths:
+            lines = read_log_lines(spark, paths, s.filter_regex, s.exclude_regex)
+            parts.append(lines.withColumn("source_type", F.lit(s.source_type)))
+    if not parts:
+        raise ValueError("no enabled source has files")
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -60,9 +91,12 @@ def parse_all(spark: SparkSession, sources: list[SourceConfig], default_year: in
     """Normalized rows of every enabled source."""
     parts = []
     for s in sources:
-        if s.enabled:
-            lines = read_log_lines(spark, s.paths, s.filter_regex, s.exclude_regex)
+        paths = existing_paths(spark, s.paths) if s.enabled else []
+        if paths:
+            lines = read_log_lines(spark, paths, s.filter_regex, s.exclude_regex)
             parts.append(parse_source(lines, s, default_year).select(*LOG_FIELDS, "ts"))
+    if not parts:
+        raise ValueError("no enabled source has files")
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -94,11 +128,11 @@ def read_alerts(spark: SparkSession, path: str, kind: str | None = None) -> Data
 def write_alerts(alerts: DataFrame, path: str) -> None:
     """By suffix: .csv, .json, otherwise tab-separated."""
     if path.endswith(".csv"):
-        alerts.write.mode("overwrite").csv(path, header=True)
+        alerts.write.mode("overwrite").csv(path, header=True, timestampFormat=TEXT_STAMP)
     elif path.endswith(".json"):
-        alerts.write.mode("overwrite").json(path)
+        alerts.write.mode("overwrite").json(path, timestampFormat=TEXT_STAMP)
     else:
-        alerts.write.mode("overwrite").csv(path, sep="\t", header=True, quote="")
+        alerts.write.mode("overwrite").csv(path, sep="\t", header=True, quote="", timestampFormat=TEXT_STAMP)
 
 
 def load_table(spark: SparkSession, path: str, kind: str = "csv", time_field: str = "timestamp", schema=None) -> DataFrame:
@@ -123,7 +157,7 @@ def load_table(spark: SparkSession, path: str, kind: str = "csv", time_field: st
 
 def write_results(results: DataFrame, path: str) -> None:
     """Results as JSON lines, nested columns kept."""
-    results.write.mode("overwrite").json(path, ignoreNullFields=False)
+    results.write.mode("overwrite").json(path, ignoreNullFields=False, timestampFormat=TEXT_STAMP)
 
 
 APP_LINE = r"^\[([^\]]+)\] \[([A-Z]+)\] \[([^\]]+)\] \[([0-9]+)\] (.*)$"

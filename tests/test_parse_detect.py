@@ -155,3 +155,10 @@ def test_app_log(spark):
         lines(spark, "[2025-03-25 17:06:17] [ERROR] [core] [3017] Failed to load", "[2025-03-25 17:06:17.123] [AUDIT] [user=root] [action=start] [details=x [y]]", "junk")
     ).collect()
     assert [(r.level, r.component, r.user, r.message) for r in rows] == [("ERROR", "core", "", "Failed to load"), ("AUDIT", "", "root", "x [y]")]
+
+
+def test_tabs_in_values(spark):
+    from tracehold.operators.parse import assemble
+
+    (row,) = assemble(lines(spark, "x"), "s", message=F.lit("a\tb")).collect()
+    assert row.message == "a\\tb"

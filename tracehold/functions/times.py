@@ -13,11 +13,14 @@ def parse_timestamp(text: Column, default_year: int) -> Column:
     """Null where no known format fits; stamps without a year get ``default_year``."""
     squeezed = F.regexp_replace(F.trim(text), r"\s+", " ")
     with_year = F.concat(F.lit(f"{default_year} "), squeezed)
-    return F.coalesce(
-        F.try_to_timestamp(squeezed, F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]")),
-        F.try_to_timestamp(squeezed, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]X")),
-        F.try_to_timestamp(squeezed, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]")),
-        F.try_to_timestamp(with_year, F.lit("yyyy MMM d HH:mm:ss")),
+    # The shape picks the one format to try: a failed attempt costs an exception.
+    return (
+        F.when(squeezed.rlike("^[A-Za-z]"), F.try_to_timestamp(with_year, F.lit("yyyy MMM d HH:mm:ss")))
+        .when(
+            F.substring(squeezed, 11, 1) == "T",
+            F.try_to_timestamp(squeezed, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][X]")),
+        )
+        .when(squeezed.rlike("^[0-9]"), F.try_to_timestamp(squeezed, F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]")))
     )
 
 

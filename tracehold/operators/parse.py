@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracehold.functions.regexes import DOTTED_QUAD, to_java
 from tracehold.functions.times import parse_timestamp
@@ -77,7 +78,7 @@ def assemble(df: DataFrame, source_type: str, **found: Column) -> DataFrame:
     """Add the ten log columns; missing ones are empty, tabs become ``\\t``."""
     found.setdefault("source_type", F.lit(source_type))
     columns = {
-        name: F.regexp_replace(F.coalesce(found.get(name, F.lit("")), F.lit("")), "\t", r"\\\\t") for name in LOG_FIELDS
+        name: F.replace(F.coalesce(found.get(name, F.lit("")), F.lit("")), F.lit("\t"), F.lit("\\t")) for name in LOG_FIELDS
     }
     return df.withColumns(columns)
 
@@ -145,25 +146,28 @@ def parse_json(df: DataFrame, source_type: str = "json", json_fields: dict | Non
     the log columns are searched instead.
     """
     paths = json_fields or SourceConfig("json").json_fields
-    line = sanitize(F.col("value"))
-    valid = F.get_json_object(line, "$").isNotNull() & line.rlike(r"^\s*\{")
+    tops = dict.fromkeys(path.split(".")[0] for path in paths.values())
+    fields = [T.StructField(top, T.StringType()) for top in tops]
+    schema = T.StructType([*fields, T.StructField("_broken", T.StringType())])
+    # One parse per line; a nested object arrives as its JSON text.
+    step = df.withColumn("_line", sanitize(F.col("value")))
+    step = step.withColumn("_json", F.from_json("_line", schema, {"columnNameOfCorruptRecord": "_broken"}))
+    line = F.col("_line")
+    valid = F.col("_json").isNotNull() & F.col("_json._broken").isNull() & line.rlike(r"^\s*\{")
     found = {}
     for name in LOG_FIELDS:
         if name == "source_type":
             continue
-        fallback = F.regexp_extract(line, rf'"{name}":"([^"]+)"', 1)
         if name == "ip_address":
             inside = F.regexp_extract(line, f"({DOTTED_QUAD})", 1)
         elif name in paths:
-            inside = F.coalesce(F.get_json_object(line, f"$.{paths[name]}"), F.lit(""))
+            top, _, rest = paths[name].partition(".")
+            value = F.col("_json")[top]
+            inside = F.coalesce(F.get_json_object(value, f"$.{rest}") if rest else value, F.lit(""))
         else:
             inside = F.lit("")
-        found[name] = F.when(valid, inside).otherwise(fallback)
-    return assemble(df, source_type, **found)
-
-
-def _starting_with(prefix: str):
-    return lambda pair: pair.rlike(prefix)
+        found[name] = F.when(valid, inside).otherwise(F.regexp_extract(line, rf'"{name}":"([^"]+)"', 1))
+    return assemble(step, source_type, **found).drop("_line", "_json")
 
 
 def parse_structlog(df: DataFrame, source_type: str = "structlog") -> DataFrame:
@@ -171,17 +175,20 @@ def parse_structlog(df: DataFrame, source_type: str = "structlog") -> DataFrame:
 
     The message falls back to the line.
     """
-    line = sanitize(F.col("value"))
-    pairs = F.regexp_extract_all(line, F.lit(f"({KEY_VALUE})"), F.lit(1))
-    step = df.withColumns({"_line": line, "_pairs": pairs})
+    step = df.withColumn("_line", sanitize(F.col("value")))
+    # Last pair first, so that the first position found is the one that counts.
+    step = step.withColumn("_pairs", F.reverse(F.regexp_extract_all("_line", F.lit(f"({KEY_VALUE})"), F.lit(1))))
+    step = step.withColumn("_keys", F.transform("_pairs", lambda pair: F.substring_index(pair, "=", 1)))
     found = {"timestamp": F.regexp_extract("_line", STRUCT_STAMP, 1)}
     for name, keys in KEY_ALIASES.items():
-        prefix = "^(" + "|".join(keys) + ")="
-        mine = F.filter("_pairs", _starting_with(prefix))
-        raw = F.regexp_extract(F.try_element_at(mine, F.lit(-1)), r"^[a-zA-Z0-9_]+=(.*)$", 1)
-        found[name] = F.coalesce(F.regexp_replace(raw, r'^"(.*)"$', "$1"), F.lit(""))
+        places = [F.nullif(F.array_position("_keys", key), F.lit(0)) for key in keys]
+        pair = F.get("_pairs", (F.least(*places) if len(places) > 1 else places[0]) - 1)
+        raw = pair.substr(F.instr(pair, "=") + 1, F.length(pair))
+        quoted = raw.startswith('"') & raw.endswith('"') & (F.length(raw) > 1)
+        value = F.when(quoted, raw.substr(F.lit(2), F.length(raw) - 2)).otherwise(raw)
+        found[name] = F.coalesce(value, F.lit(""))
     found["message"] = F.when(found["message"] == "", F.col("_line")).otherwise(found["message"])
-    return assemble(step, source_type, **found).drop("_line", "_pairs")
+    return assemble(step, source_type, **found).drop("_line", "_pairs", "_keys")
 
 
 def parse_custom(df: DataFrame, source_type: str, patterns: dict[str, str]) -> DataFrame:

@@ -209,7 +209,7 @@ def read_json_feed(spark, folder):
     body = rows.select(F.struct(F.array(F.struct(F.col("ip_address").alias("ioc"))).alias("iocs")).alias("data"))
     body.write.json(path)
     # JSON lines here; a real feed is one document per file.
-    schema, values = feeds._JSON_FEEDS["threatfox"]
+    schema, values = feeds.JSON_FEEDS["threatfox"]
     lines = spark.read.schema(schema).json(path)
     return lines.select(F.lit("threatfox").alias("source"), F.explode(F.expr(values)).alias("indicator"))
 
@@ -287,7 +287,7 @@ def document_catalog(spark, folder) -> DataFrame:
     )
     path = staging_path(spark, "bundle")
     objects.select(F.array("o").alias("objects")).write.json(path)
-    techniques = spark.read.schema(feeds._BUNDLE).json(path).select(F.explode("objects").alias("o")).select("o.*")
+    techniques = spark.read.schema(feeds.BUNDLE_SCHEMA).json(path).select(F.explode("objects").alias("o")).select("o.*")
     return feeds.catalog_techniques(techniques)
 
 

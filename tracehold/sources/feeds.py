@@ -34,7 +34,7 @@ FEEDS = {
 }
 
 # Schemas of the JSON feeds and the expression that lists their values.
-_JSON_FEEDS = {
+JSON_FEEDS = {
     "misp_warning_list": ("list array<string>", "list"),
     "phishtank": ("url string", "array(url)"),
     "alienvault_otx": (
@@ -64,21 +64,21 @@ def read_feed(spark: SparkSession, source: str, path: str) -> DataFrame:
     feed = FEEDS[source]
     if feed.file_format != "json":
         return feed_lines(spark.read.text(path), feed, source)
-    schema, values = _JSON_FEEDS[source]
+    schema, values = JSON_FEEDS[source]
     rows = spark.read.schema(schema).json(path, multiLine=True)
     return rows.select(F.lit(source).alias("source"), F.explode(F.expr(values)).alias("indicator")).where(
         "indicator is not null"
     )
 
 
-_BUNDLE = """objects array<struct<type: string, name: string, description: string,
+BUNDLE_SCHEMA = """objects array<struct<type: string, name: string, description: string,
     external_references: array<struct<external_id: string>>,
     kill_chain_phases: array<struct<kill_chain_name: string, phase_name: string>>>>"""
 
 
 def read_attack_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Techniques and tactics of a STIX bundle."""
-    objects = spark.read.schema(_BUNDLE).json(path, multiLine=True).select(F.explode("objects").alias("o")).select("o.*")
+    objects = spark.read.schema(BUNDLE_SCHEMA).json(path, multiLine=True).select(F.explode("objects").alias("o")).select("o.*")
     return catalog_techniques(objects), catalog_tactics(objects)
 
 

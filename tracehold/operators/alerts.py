@@ -7,10 +7,8 @@ import fnmatch
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracehold.functions.severity import max_severity
-from tracehold.operators.correlate import correlate_by_ip
-from tracehold.operators.ordered import numbered
-from tracehold.operators.sessions import first_of_bursts, sessionize
+from tracehold.operators.correlate import correlate_by_time_window
+from tracehold.operators.sessions import first_of_bursts
 
 DUPLICATE_KEYS = ["RULE_ID", "ip_address", "username"]
 
@@ -93,8 +91,6 @@ def format_alerts(
 
 def incidents(alerts: DataFrame, window_seconds: float = 300) -> DataFrame:
     """Runs of alerts numbered per day as ``INC-yyyymmdd-nnn`` in order of their start."""
-    from tracehold.operators.correlate import correlate_by_time_window
-
     runs = correlate_by_time_window(alerts, window_seconds).withColumn("day", F.date_format("start_time", "yyyyMMdd"))
     # A day has at most 86400 / window runs, since runs are further apart than the window.
     number = F.row_number().over(Window.partitionBy("day").orderBy("start_time"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracehold.functions.times import DAY_NAMES, day_name
+from tracehold.functions.times import DAY_NAMES
 from tracehold.operators.ordered import numbered
 from tracehold.operators.skew import join_unique
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracehold.operators import anomaly, baseline, density, forest
 from tracehold.plans.registry import query
 from tracehold.plans.views import LOGS_CTE, as_text, events, logs, r6, table
-from tracehold.session import spread, stage, staging_path
+from tracehold.session import stage, staging_path
 
 # The profile is learnt on the first ten days and compared with the whole table.
 LEARN_UNTIL = "2024-01-11"

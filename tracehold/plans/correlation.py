@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracehold.operators import chains, correlate, ordered, report, timeseries
+from tracehold.operators import chains, correlate, correlation_set, report, timeseries
 from tracehold.operators.detect import detect
 from tracehold.operators.parse import SourceConfig, parse_source
 from tracehold.plans.detection import RUNS_CTE
@@ -224,13 +222,7 @@ UNION ALL SELECT 'multi_stage_attack', attack_pattern, event_count, start_time,
 )
 def correlate_all(spark, folder):
     """All correlation results in one shape."""
-    return as_text(correlate_everything(alerts(spark, folder)))
-
-
-def correlate_everything(rows: DataFrame, window_seconds: float = 300) -> DataFrame:
-    from tracehold.operators.correlation_set import correlate_all as build
-
-    return build(rows, window_seconds)
+    return as_text(correlation_set.correlate_all(alerts(spark, folder)))
 
 
 # ------------------------------------------------------------ time series

@@ -141,9 +141,6 @@ def detect_with_context_by_host(spark, folder):
 
 
 _FILES = sorted({r.rule_file for r in RULES})
-_COVERAGE = ", ".join(
-    f"({sql_text(f)}, sum(" + " + ".join(f"CASE WHEN {rule_sql(r)} THEN 1 ELSE 0 END" for r in RULES if r.rule_file == f) + "))" for f in _FILES
-)
 
 
 @query(
@@ -370,12 +367,11 @@ def format_alerts(spark, folder):
     return manage.format_alerts(alerts(spark, folder), max_message_length=40)
 
 
-_RUNS = f"""
-runs1 AS (SELECT *, sum(opens) OVER (ORDER BY ts, event_id, RULE_ID ROWS UNBOUNDED PRECEDING) AS run FROM
+_RUNS = f"""runs1 AS (SELECT *, sum(opens) OVER (ORDER BY ts, event_id, RULE_ID ROWS UNBOUNDED PRECEDING) AS run FROM
   (SELECT ts, event_id, RULE_ID, SEVERITY, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY ts, event_id, RULE_ID)) <= 300000000 THEN 0 ELSE 1 END AS opens FROM alerts) q),
 runs AS (SELECT min(ts) AS s, max(ts) AS e, count(*) AS n, max({level_sql()}) AS lv, list_sort(list_distinct(list(substring(RULE_ID, 1, 3)))) AS kinds
   FROM runs1 GROUP BY run)"""
-RUNS_CTE = ALERTS_CTE + ", " + _RUNS[_RUNS.index("runs1 AS"):]
+RUNS_CTE = ALERTS_CTE + ", " + _RUNS
 
 
 @query(

@@ -115,10 +115,8 @@ def stream_frequency_sliding(spark, folder):
     return as_text(run_stream(jobs.stream_frequency(event_stream(spark, folder), slide="30 minutes")))
 
 
-_SESSIONS = f"""x AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY %(key)s ORDER BY ts, event_id)) <= 300000000 THEN 0 ELSE 1 END AS o FROM alerts),
-y AS (SELECT *, sum(o) OVER (PARTITION BY %(key)s ORDER BY ts, event_id, RULE_ID ROWS UNBOUNDED PRECEDING) AS run FROM
+_SESSIONS = """y AS (SELECT *, sum(o) OVER (PARTITION BY %(key)s ORDER BY ts, event_id, RULE_ID ROWS UNBOUNDED PRECEDING) AS run FROM
   (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY %(key)s ORDER BY ts, event_id, RULE_ID)) <= 300000000 THEN 0 ELSE 1 END AS o FROM alerts) q)"""
-_SESSIONS = _SESSIONS[_SESSIONS.index("y AS (") :]
 
 
 @query(

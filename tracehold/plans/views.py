@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tracehold.functions.regexes import to_java
 from tracehold.operators.detect import detect
 from tracehold.schema import LOG_FIELDS
-from tracehold.session import spread, stage, staging_path
+from tracehold.session import spread, stage
 from tracehold.sources.rules import Rule, bundled_rules
 
 DEFAULT_YEAR = 2024

@@ -96,7 +96,9 @@ def detect(
     ]
     # Short arrays keep the generated methods small enough for the JVM to compile.
     parts = [f"array_compact(array({', '.join(hits[i : i + 10])}))" for i in range(0, len(hits), 10)]
-    matched = logs.withColumn("_rule", F.expr(f"explode(concat({', '.join(parts)}))"))
+    # The outer form: for a plain explode Spark infers a filter that runs every test a second time.
+    numbers = logs.withColumn("_rule", F.expr(f"explode_outer(concat({', '.join(parts)}))"))
+    matched = numbers.where(F.col("_rule").isNotNull())
     rule = rule_struct(rules, F.col("_rule"))
     return matched.select(
         rule["id"].alias("RULE_ID"), rule["sev"].alias("SEVERITY"), rule["text"].alias("DESCRIPTION"), *logs.columns

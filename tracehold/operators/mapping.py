@@ -37,8 +37,8 @@ def map_rules_to_techniques(rules: DataFrame, techniques: DataFrame, max_keyword
     tests = [f"case when contains(_text, {quoted(k)}) then {quoted(k)} end" for k in sorted(distinct)]
     parts = [f"array_compact(array({', '.join(tests[i : i + 10])}))" for i in range(0, len(tests), 10)]
     found = techniques.withColumn("_text", text).select(
-        "technique_id", "name", "tactics", F.expr(f"explode(concat({', '.join(parts)}))").alias("keyword")
-    )
+        "technique_id", "name", "tactics", F.expr(f"explode_outer(concat({', '.join(parts)}))").alias("keyword")
+    ).where("keyword is not null")
     scores = (
         found.join(keywords, "keyword")
         .groupBy("rule_id", "technique_id")

@@ -28,7 +28,7 @@ from tracehold.plans.views import (
     table,
 )
 from tracehold.schema import LOG_FIELDS
-from tracehold.session import staging_path
+from tracehold.session import stage, staging_path
 from tracehold.sources.rules import bundled_rules
 
 PIPELINE_RULES = [r for r in bundled_rules() if r.rule_id in ("BF-SSH-001", "BF-SSH-003", "PE-SUDO-003", "UA-FILE-001", "DE-NET-001")]
@@ -49,6 +49,8 @@ def pipeline(spark, folder):
     """Raw lines to alert groups: parse, detect, correlate by address."""
     lines = syslog_lines(logs(spark, folder))
     rows = parse_source(lines, SourceConfig("syslog"), DEFAULT_YEAR)
+    # Written out: later filters would otherwise be pushed below the parser and parse every line again.
+    rows = stage(rows, "normalized")
     return correlate.correlate_by_ip(detect(rows, PIPELINE_RULES)).select("ip_address", "event_count", "severity")
 
 

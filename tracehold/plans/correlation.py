@@ -35,7 +35,7 @@ PIPELINE_RULES = [r for r in bundled_rules() if r.rule_id in ("BF-SSH-001", "BF-
 
 
 @query(
-    "pipeline",
+    "alert_pipeline",
     f"""WITH {LOGS_CTE}, raw AS (SELECT event_id, {SYSLOG_SQL} AS v FROM logs),
 parsed AS (SELECT event_id, regexp_extract(v, '^[A-Za-z]+ [0-9]+ [0-9:]+ [^ ]+ [^:]+: (.*)', 1) AS message,
   {', '.join(f"'' AS {c}" for c in LOG_FIELDS if c not in ('message', 'service'))},

@@ -52,6 +52,27 @@ query(
 )
 
 
+def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    from tracehold.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"), words_per_shingle=2)
+
+
+query(
+    op2_near_duplicates,
+    f"""
+    with recursive d as (select doc_id, regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+') w from documents),
+    s as (select distinct doc_id, unnest(case when len(w) >= 2 then [w[i] || ' ' || w[i + 1] for i in range(1, len(w))]
+                                              when len(w) = 1 then w else [] end) g from d),
+    n as (select doc_id, count(*) n from s group by 1),
+    p as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+    e as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 80 * (nx.n + ny.n - c)),
+    r as (select doc_id a, doc_id b from d union select a, y from r join e on r.b = e.x)
+    select d.doc_id, coalesce(n, 0) n_shingles, component_id, d.doc_id = component_id kept
+    from d left join n using (doc_id) join (select a doc_id, min(b) component_id from r group by 1) using (doc_id)""",
+)
+
+
 def op3_token_file(spark: SparkSession, folder: str) -> DataFrame:
     from tracehold.llm.token_file import read_tokens, write_tokens
 

@@ -26,6 +26,26 @@ LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuv
 ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from tracehold.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+query(
+    op6_substring_dedup,
+    r"""
+    with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) w from documents),
+    s as (select doc_id, i, array_to_string(w[i:i + 49], ' ') g from (select *, unnest(range(1, len(w) - 48)) i from d where len(w) >= 50)),
+    m as (select g, min(doc_id) low from s group by 1),
+    gone as (select distinct doc_id, unnest(range(i, i + 50)) p from s join m using (g) where low < doc_id),
+    p as (select doc_id, w, unnest(range(1, len(w) + 1)) p from d),
+    k as (select doc_id, string_agg(w[p], ' ' order by p) kept, count(*) n from p anti join gone using (doc_id, p) group by 1)
+    select doc_id, len(w) n_words, len(w) - coalesce(n, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256
+    from d left join k using (doc_id)""",
+)
+
+
 def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     from tracehold.llm.decontaminate import decontaminate
 

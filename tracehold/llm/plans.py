@@ -46,6 +46,28 @@ query(
 )
 
 
+def op9_metric_join(spark: SparkSession, folder: str) -> DataFrame:
+    from tracehold.llm.metric_join import similar_vectors
+
+    return similar_vectors(table(spark, folder, "embeddings"))
+
+
+query(
+    op9_metric_join,
+    """
+    with recursive v as (
+        select vec_id, label, cast(embedding as double[]) e from embeddings
+        where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+          and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    p as (select a.vec_id x, b.vec_id y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+          where list_cosine_similarity(a.e, b.e) >= 0.93),
+    r as (select vec_id a, vec_id b from embeddings union select a, y from r join p on r.b = p.x)
+    select vec_id, coalesce(n, 0) n_links, component_id, vec_id = component_id kept
+    from embeddings left join (select x vec_id, count(*) n from p group by 1) using (vec_id)
+    join (select a vec_id, min(b) component_id from r group by 1) using (vec_id)""",
+)
+
+
 def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     from tracehold.llm.decontaminate import decontaminate
 

@@ -46,6 +46,25 @@ query(
 )
 
 
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from tracehold.llm.quality import score_quality
+
+    return score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+query(op7_quality)
+
+
+def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    from tracehold.llm.personal_data import find_personal_data
+
+    found = find_personal_data(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+query(op8_personal_data)
+
+
 def op9_metric_join(spark: SparkSession, folder: str) -> DataFrame:
     from tracehold.llm.metric_join import similar_vectors
 

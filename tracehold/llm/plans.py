@@ -26,6 +26,20 @@ LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuv
 ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 
+#: The rules of the contract, as host/path and verdict.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op5_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from tracehold.llm.url_rules import judge_urls
+
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    return judge_urls(table(spark, folder, "pages"), table(spark, folder, "labels"), URL_RULES, bad)
+
+
+query(op5_url_rules)
+
+
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from tracehold.llm.substrings import remove_repeats
 
@@ -113,6 +127,45 @@ query(
 )
 
 
+def op1_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    from tracehold.llm.revisits import captures_of, resolve_revisits
+
+    found = resolve_revisits(captures_of(table(spark, folder, "pages")))
+    merged = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
+    return found.select("record_id", "canonical_url", "response_id", "outcome", merged.alias("headers"))
+
+
+query(
+    op1_warc_revisits,
+    r"""
+    with p as (select page_id, url, html, cast('0x' || substr(md5(coalesce(url, '')), 1, 4) as int) n from pages),
+    a as (select page_id, url, n, md5(coalesce(html, '')) digest, length(coalesce(html, '')) size, 'day ' || (page_id % 365) changed from p),
+    r as (select 2 * page_id id, url, page_id * 60 t, 0 later, digest, size, changed, '"' || digest || '"' tag, page_id from a),
+    v as (select 2 * page_id + 1 id, case when n % 2 = 0 then url || '#again' else url end url,
+                 page_id * 60 + case when n % 7 = 0 then -30 else 86400 end t,
+                 case n % 5 when 0 then '"' || digest || '"' when 1 then '"' || digest || '"' when 2 then '"stale"' end tag,
+                 case n % 5 when 1 then 'W/' else '' end weak, case when n % 5 = 3 then changed end changed, page_id from a),
+    x as (select id, true resp, url from r union all select id, false, url from v),
+    y as (select id, resp, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.\-]*://', '') rest from x),
+    z as (select id, resp, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*', 0)), '^www[0-9]*\.', ''), ':(80|443)$', '')
+                 || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') hp,
+                 array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'),
+                   lambda q: q <> '' and not regexp_matches(lower(q), '^(utm_[a-z]+|fbclid|gclid|sessionid|phpsessid)(=|$)'))), '&') q from y),
+    u as (select id, hp || case when q = '' then '' else '?' || q end u from z),
+    j as (select v.id, vu.u, v.tag, v.weak, v.changed, v.page_id, max_by(r.id, (r.t, r.id)) filter (where r.id is not null) rid
+          from v join u vu on vu.id = v.id left join (r join u ru on ru.id = r.id) on ru.u = vu.u and vu.u <> '' and r.t <= v.t
+          group by all),
+    k as (select j.id, j.u, j.rid, j.tag, j.weak, j.page_id, r.tag rtag, r.size, r.changed rchanged,
+                 case when rid is null then 'missing' when j.tag is not null then (case when j.tag = r.tag then 'resolved' else 'changed' end)
+                      when j.changed is not null then (case when j.changed = r.changed then 'resolved' else 'changed' end) else 'unverified' end outcome
+          from j left join r on r.id = j.rid)
+    select id record_id, u canonical_url, case when outcome = 'resolved' then rid end response_id, outcome,
+           case when outcome = 'resolved' then 'content-length=' || size || ';content-type=text/html;date=' || page_id || ';etag='
+                || coalesce(weak || tag, rtag) || ';last-modified=' || rchanged || ';server=archive' end headers
+    from k""",
+)
+
+
 def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     from tracehold.llm.near_duplicates import near_duplicates
 

@@ -34,7 +34,7 @@ from tracehold.llm.words import U64, Words, slices
 BUCKETS, DIMENSIONS, REACH = 1 << 14, 64, 2
 #: Labelled documents that the network is trained on.
 SAMPLE = 20_000
-HIDDEN, EPOCHS, RATE, DECAY, SEED = 32, 40, 3e-3, 1e-4, 7
+HIDDEN, STEPS, BATCH, RATE, DECAY, SEED = 32, 5000, 128, 3e-3, 1e-3, 7
 
 _CLASS = np.ones(256, np.uint8)  # letters, digits, bytes of other characters
 _CLASS[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 2
@@ -158,19 +158,18 @@ class Network:
         z = (x - self.mean) / self.scale
         shapes = [(x.shape[1], HIDDEN), (HIDDEN,), (HIDDEN, 1), (1,)]
         self.weights = [draw.normal(0, np.sqrt(2 / s[0]), s) if len(s) == 2 else np.zeros(s) for s in shapes]
-        first, second, t = [np.zeros(s) for s in shapes], [np.zeros(s) for s in shapes], 0
-        for _ in range(EPOCHS):
-            for at in np.array_split(draw.permutation(learn), max(1, len(learn) // 128)):
-                a, b, c, d = self.weights
-                hidden = np.maximum(z[at] @ a + b, 0)
-                error = (1 / (1 + np.exp(-np.clip(hidden @ c + d, -500, 500))) - y[at, None]) / len(at)
-                back = error @ c.T * (hidden > 0)
-                slopes = [z[at].T @ back + DECAY * a, back.sum(0), hidden.T @ error + DECAY * c, error.sum(0)]
-                t += 1
-                for k, g in enumerate(slopes):
-                    first[k] = 0.9 * first[k] + 0.1 * g
-                    second[k] = 0.999 * second[k] + 0.001 * g * g
-                    self.weights[k] = self.weights[k] - RATE * first[k] / (1 - 0.9**t) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
+        first, second = [np.zeros(s) for s in shapes], [np.zeros(s) for s in shapes]
+        for t in range(1, STEPS + 1):
+            at = draw.choice(learn, BATCH)
+            a, b, c, d = self.weights
+            hidden = np.maximum(z[at] @ a + b, 0)
+            error = (1 / (1 + np.exp(-np.clip(hidden @ c + d, -500, 500))) - y[at, None]) / BATCH
+            back = error @ c.T * (hidden > 0)
+            slopes = [z[at].T @ back + DECAY * a, back.sum(0), hidden.T @ error + DECAY * c, error.sum(0)]
+            for k, g in enumerate(slopes):
+                first[k] = 0.9 * first[k] + 0.1 * g
+                second[k] = 0.999 * second[k] + 0.001 * g * g
+                self.weights[k] = self.weights[k] - RATE * first[k] / (1 - 0.9**t) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
         logit, truth = self.logits(x[hold]), y[hold]
         loss = lambda s: np.mean(np.logaddexp(0, logit / s) - truth * logit / s) if len(hold) else 0.0
         self.temperature = min(np.geomspace(0.25, 8, 41).tolist(), key=loss)

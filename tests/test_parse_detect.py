@@ -100,6 +100,100 @@ def test_literal_guard(pattern, guard):
     assert literal_guard(pattern) == guard
 
 
+GUARD_CASES = [
+    (r"\x90\x90", ["\x90\x90"]), (r"\x2fetc\u002fpasswd", ["/etc/passwd"]), (r"[^\]]abc", ["abc"]), (r"[[a]b]cde", None),
+    (r"[]a]bc", None), (r"\Qa.b\E", None), (r"\p{L}abc", None), (r"ab+c", ["ab"]), (r"a(b|c)d", ["abd", "acd"]), (r"(ab){2}cd", ["ab"]),
+    (r"x{0}abc", ["abc"]), (r"abc|", None), (r"a{2", None), (r"(abc", None), (r"abc)", None), (r"a\101", None), ("a[[:blank:]]bcd", ["bcd"]),
+]
+
+
+@pytest.mark.parametrize("pattern,guard", GUARD_CASES)
+def test_literal_guard_reads_escapes(pattern, guard):
+    assert literal_guard(to_java(pattern)) == guard
+
+
+def test_guard_changes_nothing(spark):
+    """Generated patterns over generated lines: the same alerts with the guard on and off."""
+    import random
+
+    from tracehold.operators.detect import detect
+
+    draw = random.Random(11)
+    atoms = ["a", "b", "ab", "/", r"\.", ".", r"\x61", r"\u0062", "[ab]", r"[^\]a]", r"\d", r"\s", "[[:blank:]]", "[[:punct:]]", "^", "$", "9", r"\/", r"\b"]
+
+    def pattern(depth=0):
+        parts = []
+        for _ in range(draw.randint(1, 4)):
+            atom = f"({pattern(depth + 1)})" if depth < 2 and draw.random() < 0.25 else draw.choice(atoms)
+            parts.append(atom + (draw.choice(["", "", "", "?", "+", "{1,2}", "{0}", "*?"]) if atom[-1] not in "^$b" or atom in ("ab", "b") else ""))
+        return "".join(parts) + ("|" + pattern(depth + 1) if draw.random() < 0.2 else "")
+
+    rules = [Rule(f"G-{i}", "", pattern()) for i in range(150)]
+    lines = spark.createDataFrame([(i, "".join(draw.choices("ab/. ]9\t", k=draw.randint(0, 9)))) for i in range(400)], "event_id long, message string")
+    found = [{(r.RULE_ID, r.event_id) for r in detect(lines, rules, guard=g).collect()} for g in (True, False)]
+    assert found[0] == found[1] and len(found[0]) > 1000
+
+
+def test_all_posix_classes(spark):
+    text = "".join(chr(c) for c in range(1, 127))
+    want = {"alnum": 62, "alpha": 52, "blank": 2, "cntrl": 31, "digit": 10, "graph": 94, "lower": 26, "print": 95, "punct": 32, "space": 6, "upper": 26, "xdigit": 22}
+    row = spark.range(1).select(*[F.length(F.regexp_replace(F.lit(text), to_java(f"[^[:{n}:]]"), "")).alias(n) for n in want]).first()
+    assert row.asDict() == want
+
+
+def test_stamps_of_many_forms(spark):
+    cases = {
+        "2024-01-01T00:00:00+02:00": "2023-12-31 22:00:00.000000", "2024-01-01T00:00:00.123456789Z": "2024-01-01 00:00:00.123456",
+        "20/May/2023:10:15:30 +0000": "2023-05-20 10:15:30.000000", "20/May/2023:10:15:30 -0130": "2023-05-20 11:45:30.000000",
+        "2024/02/03 04:05:06,7": "2024-02-03 04:05:06.700000", "2024-02-03 04:05:06 +0100": "2024-02-03 03:05:06.000000",
+        "May  2 03:04:05": "2024-05-02 03:04:05.000000", "2024-02-03T04:05:06.1-03": "2024-02-03 07:05:06.100000",
+        "2024-13-01 00:00:00": None, "yesterday": None, "": None, "2024-02-03": None,
+    }
+    rows = spark.createDataFrame([(c,) for c in cases], "t string")
+    got = {r.t: r.ts for r in rows.select("t", F.date_format(parse_timestamp(F.col("t"), 2024), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts")).collect()}
+    assert got == cases
+
+
+def test_alerts_without_a_time_or_day(spark):
+    from tracehold.operators.alerts import daily_report, response_candidates, suppress_duplicates, throttle_alerts
+
+    rows = [("BF-SSH-1", "HIGH", "2024-01-01 00:00:00", "u", "1.1.1.1")] * 3 + [("BF-SSH-1", "HIGH", None, "u", "1.1.1.1"), ("XX-BF-SSH-9", None, None, "u", "2.2.2.2")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "event_id long, RULE_ID string, SEVERITY string, ts string, username string, ip_address string")
+    df = df.withColumn("ts", F.col("ts").cast("timestamp"))
+    assert {r.event_id for r in suppress_duplicates(df).collect()} == {0, 3, 4}
+    assert {r.event_id for r in throttle_alerts(df, 2).collect()} == {0, 1, 3, 4}
+    assert [r.target for r in response_candidates(df, "BF-SSH-*", "block", threshold=1).collect()] == ["1.1.1.1"]
+    report = {(r.day, r.severity, r.category): r.event_count for r in daily_report(df).collect()}
+    assert report[("all", "all", "all")] == 5 and report[("none", "all", "all")] == 2 and report[("none", "none", "all")] == 1 and len(report) == 9
+
+
+def test_missing_numbers_are_skipped(spark):
+    from tracehold.operators.anomaly import fill_with_mean, mad_anomalies, zscore_anomalies
+
+    values = [float(i % 3) for i in range(40)] + [100.0, float("nan"), None]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, x double")
+    assert [r.id for r in zscore_anomalies(df, ["x"], "id").collect()] == [40]
+    assert [r.id for r in mad_anomalies(df, ["x"], "id").collect()] == [40]
+    filled = [r.x for r in fill_with_mean(df, ["x"]).orderBy("id").collect()]
+    assert filled[41] == filled[42] == sum(values[:41]) / 41
+
+
+@pytest.mark.parametrize("final", [1, 3, 50])
+def test_quantiles_by_rounds(spark, final):
+    import random
+
+    import numpy as np
+
+    from tracehold.operators.quantiles import exact_quantile
+
+    draw = random.Random(3)
+    for values in ([draw.gauss(0, 1) for _ in range(500)], [1.0] * 300 + [2.0] * 300, [draw.choice([0.0, 1e300, -1e300, 5.0]) for _ in range(200)], [float(i) for i in range(101)]):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        for q in (0.0, 0.25, 0.5, 1.0):
+            assert exact_quantile(df, "x", q, final) == pytest.approx(float(np.quantile(values, q)))
+
+
+
 def test_posix_classes(spark):
     assert to_java("/tmp/[^[:space:]]+") == r"/tmp/[^\s]+"
     assert d.detect(logs(spark, "run /tmp/space"), [Rule("R", "", "/tmp/[^[:space:]]+", "LOW", (9,))]).count() == 1

@@ -11,6 +11,7 @@ from tracehold.operators.correlate import correlate_by_time_window
 from tracehold.operators.sessions import first_of_bursts
 
 DUPLICATE_KEYS = ["RULE_ID", "ip_address", "username"]
+THROTTLE_SLICES = 64
 
 
 def suppress_duplicates(
@@ -18,30 +19,34 @@ def suppress_duplicates(
 ) -> DataFrame:
     """Keep an alert when the same rule, address and user was last seen more than the window ago.
 
-    A steady repeat stays suppressed.  Alerts without a time are left out.
+    A steady repeat stays suppressed.  Alerts without a time cannot repeat and are kept.
     """
-    return first_of_bursts(alerts, keys or DUPLICATE_KEYS, window_seconds, row_id)
+    kept = first_of_bursts(alerts, keys or DUPLICATE_KEYS, window_seconds, row_id)
+    return kept.unionByName(alerts.where(F.col("ts").isNull()))
 
 
 def throttle_alerts(
     alerts: DataFrame, count: int = 5, window_seconds: int = 300, row_id: str = "event_id"
 ) -> DataFrame:
-    """The first ``count`` alerts of each rule in each window.
+    """The first ``count`` alerts of each rule in each window; alerts without a time are all kept.
 
-    The rank limit runs before the shuffle as well, so a noisy rule sends at
-    most ``count`` rows per window and task.
+    Ranked twice: within slices of a rule's window first, so that a noisy rule is
+    spread over tasks and each slice hands on at most ``count`` alerts.
     """
     window = F.window("ts", f"{window_seconds} seconds")["start"]
-    rank = F.row_number().over(Window.partitionBy("RULE_ID", "_window").orderBy("ts", row_id))
-    placed = alerts.withColumn("_window", window).withColumn("_rank", rank)
-    return placed.where(F.col("_rank") <= count).drop("_window", "_rank")
+    slices = F.pmod(F.xxhash64(row_id), F.lit(THROTTLE_SLICES))
+    placed = alerts.where(F.col("ts").isNotNull()).withColumns({"_window": window, "_slice": slices})
+    for keys in (["RULE_ID", "_window", "_slice"], ["RULE_ID", "_window"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("ts", row_id))
+        placed = placed.withColumn("_rank", rank).where(F.col("_rank") <= count).drop("_rank")
+    return placed.drop("_window", "_slice").unionByName(alerts.where(F.col("ts").isNull()))
 
 
 def response_candidates(
     alerts: DataFrame, rule_glob: str, action: str, field: str = "ip_address", threshold: int = 5, whitelist=()
 ) -> DataFrame:
     """Values of a field whose matching alerts reach the threshold, without the whitelisted ones."""
-    pattern = fnmatch.translate(rule_glob).replace(r"\Z", "$").replace(r"\z", "$")
+    pattern = "^" + fnmatch.translate(rule_glob).replace(r"\Z", r"\z")
     groups = (
         alerts.where(F.col("RULE_ID").rlike(pattern) & F.col(field).isNotNull() & (F.col(field) != ""))
         .groupBy(F.col(field).alias("target"))
@@ -57,19 +62,13 @@ def response_candidates(
 
 
 def daily_report(alerts: DataFrame) -> DataFrame:
-    """Counts by day, severity and rule category, with subtotals marked ``all``."""
+    """Counts by day, severity and rule category; subtotals are marked ``all``, missing values ``none``."""
     category = F.regexp_extract("RULE_ID", r"^([A-Z0-9]+)-", 1)
-    rolled = (
-        alerts.withColumns({"day": F.to_date("ts"), "category": category})
-        .rollup("day", "SEVERITY", "category")
-        .agg(F.count("*").alias("event_count"))
-    )
-    return rolled.select(
-        F.coalesce(F.col("day").cast("string"), F.lit("all")).alias("day"),
-        F.coalesce("SEVERITY", F.lit("all")).alias("severity"),
-        F.coalesce("category", F.lit("all")).alias("category"),
-        "event_count",
-    )
+    levels = ["day", "severity", "category"]
+    named = alerts.select(F.to_date("ts").cast("string").alias("day"), F.col("SEVERITY").alias("severity"), category.alias("category"))
+    rolled = named.rollup(*levels).agg(F.count("*").alias("event_count"), *[F.grouping(c).alias(f"_all_{c}") for c in levels])
+    cells = [F.when(F.col(f"_all_{c}") == 1, "all").otherwise(F.coalesce(c, F.lit("none"))).alias(c) for c in levels]
+    return rolled.select(*cells, "event_count")
 
 
 def format_alerts(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,13 +21,19 @@ def numeric_fields(df: DataFrame, fields: list[str]) -> list[str]:
     return [f.name for f in df.schema.fields if f.name in fields and isinstance(f.dataType, T.NumericType)]
 
 
+def known(name: str) -> Column:
+    """A numeric column as a double in which NaN is missing like null."""
+    value = F.col(name).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def _flagged(df: DataFrame, method: str, scores: dict, row_id: str, limit: float, extra=()) -> DataFrame:
     """One row per (row, field) whose score exceeds the limit; a single scan."""
     cells = F.array(
         *[
             F.struct(
                 F.lit(name).alias("field"),
-                F.col(name).cast("double").alias("value"),
+                known(name).alias("value"),
                 score.alias("score"),
                 *[c.alias(n) for n, c in (extra[name].items() if extra else ())],
             )
@@ -39,7 +45,7 @@ def _flagged(df: DataFrame, method: str, scores: dict, row_id: str, limit: float
 
 
 def zscore_anomalies(df: DataFrame, fields: list[str], row_id: str, limit: float = Z_LIMIT) -> DataFrame:
-    """Values more than ``limit`` population deviations from the mean; nulls are skipped.
+    """Values more than ``limit`` population deviations from the mean; nulls and NaN are skipped.
 
     All fields share one aggregation, which enters the scan as a scalar subquery.
     """
@@ -47,11 +53,11 @@ def zscore_anomalies(df: DataFrame, fields: list[str], row_id: str, limit: float
     if not names:
         raise ValueError("no numeric fields")
     stats = df.agg(
-        *[F.avg(n).alias(f"m_{n}") for n in names], *[F.stddev_pop(n).alias(f"s_{n}") for n in names]
+        *[F.avg(known(n)).alias(f"m_{n}") for n in names], *[F.stddev_pop(known(n)).alias(f"s_{n}") for n in names]
     )
     row = stats.select(F.struct(*stats.columns)).scalar()
     scores = {
-        n: F.abs(F.col(n) - row[f"m_{n}"]) / F.when(row[f"s_{n}"] > 0, row[f"s_{n}"]) for n in names
+        n: F.abs(known(n) - row[f"m_{n}"]) / F.when(row[f"s_{n}"] > 0, row[f"s_{n}"]) for n in names
     }
     return _flagged(df, "z_score", scores, row_id, limit)
 
@@ -61,14 +67,14 @@ def mad_anomalies(
 ) -> DataFrame:
     """Values far from the median in units of the median absolute deviation.
 
-    Medians are exact; nulls are skipped, and so is a field whose MAD is zero.
+    Medians are exact; nulls and NaN are skipped, and so is a field whose MAD is zero.
     """
     scores, extra = {}, {}
     for name in numeric_fields(df, fields):
         median = exact_median(df, name, final_values)
         if median is None:
             continue
-        distance = F.abs(F.col(name).cast("double") - F.lit(median))
+        distance = F.abs(known(name) - F.lit(median))
         mad = exact_median(df.select(distance.alias("d")), "d", final_values)
         if mad:
             scores[name] = F.lit(MAD_FACTOR) * distance / F.lit(mad)
@@ -80,10 +86,10 @@ def mad_anomalies(
 
 
 def fill_with_mean(df: DataFrame, fields: list[str]) -> DataFrame:
-    """Replace nulls of numeric fields by the field's mean."""
-    stats = df.agg(*[F.avg(f).alias(f) for f in fields])
+    """Replace nulls and NaN of numeric fields by the field's mean."""
+    stats = df.agg(*[F.avg(known(f)).alias(f) for f in fields])
     row = stats.select(F.struct(*fields)).scalar()
-    return df.withColumns({f: F.coalesce(F.col(f).cast("double"), row[f]) for f in fields})
+    return df.withColumns({f: F.coalesce(known(f), row[f]) for f in fields})
 
 
 def anomaly_all(results: list[DataFrame], row_id: str) -> DataFrame:

@@ -13,6 +13,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Distinct values that one task may sort in the last step.
 FINAL_VALUES = 200_000
 _ACCURACY = 10_000
 
@@ -36,27 +37,40 @@ def exact_median(df: DataFrame, column: str, final_values: int = FINAL_VALUES) -
 
 
 def _at_ranks(values: DataFrame, low: int, high: int, total: int, final_values: int) -> tuple[float, float]:
-    """Values at two neighbouring 0-based ranks."""
+    """Values at two neighbouring 0-based ranks.
+
+    Each round cuts the open interval around the ranks at approximate quantiles and at
+    its middle and counts the parts, so that it always becomes smaller, until few
+    distinct values are left or both ranks lie on one value.
+    """
     below, size = 0, total
-    while size > final_values:
-        margin = 2.0 / _ACCURACY
-        share_low = max((low - below) / size - margin, 0.0)
-        share_high = min((high - below + 1) / size + margin, 1.0)
-        floor, ceiling = values.agg(
-            F.percentile_approx("x", [share_low, share_high], _ACCURACY).alias("p")
-        ).first()["p"]
-        inside = values.where(F.col("x").between(floor, ceiling))
-        counted = values.agg(
-            F.count_if(F.col("x") < floor).alias("less"),
-            F.count_if(F.col("x").between(floor, ceiling)).alias("inside"),
-        ).first()
-        if not (below + counted["less"] <= low and high < below + counted["less"] + counted["inside"]):
-            break  # the bracket missed the rank; the exact step below still has every value
-        if floor == ceiling:
-            return floor, ceiling
-        if counted["inside"] >= size:
-            break
-        below, size, values = below + counted["less"], counted["inside"], inside
+    while size > final_values and values.select("x").distinct().limit(final_values + 1).count() > final_values:
+        share_low, share_high = (max(low - below, 0)) / size, min(high - below + 1, size) / size
+        shares = [max(share_low - 2 / _ACCURACY, 0.0), min(share_high + 2 / _ACCURACY, 1.0)]
+        bounds = values.agg(F.percentile_approx("x", shares, _ACCURACY).alias("p"), F.min("x").alias("a"), F.max("x").alias("b")).first()
+        middle = bounds["a"] / 2 + bounds["b"] / 2
+        cuts = sorted({*bounds["p"], 0.0 if math.isnan(middle) else middle})
+        less = values.agg(*[F.count_if(F.col("x") < c).alias(f"l{i}") for i, c in enumerate(cuts)], *[F.count_if(F.col("x") <= c).alias(f"u{i}") for i, c in enumerate(cuts)]).first()
+        for i, c in enumerate(cuts):
+            for part, x in ((f"l{i}", F.col("x") < c), (f"u{i}", F.col("x") <= c)):
+                if low < high and below + less[part] == high:  # exactly between the two ranks
+                    row = values.agg(F.max(F.when(x, F.col("x"))).alias("low"), F.min(F.when(~x, F.col("x"))).alias("high")).first()
+                    return row["low"], row["high"]
+        # Of the values and gaps between cuts, the range that holds both ranks.
+        floor = max(((c, below + less[f"l{i}"], True) for i, c in enumerate(cuts) if below + less[f"l{i}"] <= low), default=None)
+        above = max(((c, below + less[f"u{i}"], False) for i, c in enumerate(cuts) if below + less[f"u{i}"] <= low), default=None)
+        start = max((x for x in (floor, above) if x), key=lambda x: (x[1], x[0]), default=None)
+        stops = [(c, below + less[f"u{i}"], True) for i, c in enumerate(cuts) if below + less[f"u{i}"] > high]
+        stops += [(c, below + less[f"l{i}"], False) for i, c in enumerate(cuts) if below + less[f"l{i}"] > high]
+        stop = min(stops, key=lambda x: (x[1], x[0]), default=None)
+        x = F.col("x")
+        if start:
+            values = values.where(x >= start[0] if start[2] else x > start[0])
+        if stop:
+            values = values.where(x <= stop[0] if stop[2] else x < stop[0])
+        below, size = start[1] if start else below, (stop[1] if stop else below + size) - (start[1] if start else below)
+        if start and stop and start[2] and stop[2] and start[0] == stop[0]:
+            return start[0], start[0]
     counts = values.groupBy("x").agg(F.count("*").alias("n"))
     upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("x")) + below)
     row = upto.agg(

@@ -256,3 +256,19 @@ def test_tabs_in_values(spark):
 
     (row,) = assemble(lines(spark, "x"), "s", message=F.lit("a\tb")).collect()
     assert row.message == "a\\tb"
+
+
+def test_rule_tables_equal_compiled_rules(spark):
+    """Thousands of rules of all kinds by the join give what the compiled plan gives."""
+    from tracehold.operators.detect import detect
+    from tracehold.operators.rule_tables import detect_table
+
+    lines = [f"T-{i};d;203\\.0\\.{i % 256}\\.{i // 256};HIGH;6,9;" for i in range(6000)]
+    lines += ["R-1;any digit;[0-9]$;LOW;9;", "R-2;short;ab;LOW;9;", "R-3;either;foo(bar|baz)+qux|x.z;LOW;;;", "R-4;not root;Failed password;LOW;9;;for root", "R-5;none;;LOW;9", "R-2;short;ab;LOW;9;"]
+    rules = parse_rules(spark.createDataFrame([("f", x) for x in lines], "rule_file string, value string"))
+    texts = ["203.0.7.3 seen", "1203.0.255.22", "Failed password for root", "Failed password for joe 7", "xx foobazqux", "ab", "", "x-z", None]
+    logs = spark.createDataFrame([(i, t, "203.0.9.1" if i % 2 else "") for i, t in enumerate(texts)], "event_id long, message string, ip_address string")
+    got = sorted((r.RULE_ID, r.event_id) for r in detect_table(logs, rules).collect())
+    few = [r for r in compile_rules(rules, limit=None) if not r.rule_id.startswith("T-") or r.pattern.endswith((".7\\.3", ".255\\.2", ".255\\.22", ".9\\.1", ".0\\.1"))]
+    assert got == sorted((r.RULE_ID, r.event_id) for r in detect(logs, few).collect()) and len(got) >= 10
+    assert detect_table(logs, rules).columns == detect(logs, few).columns

@@ -6,10 +6,13 @@ import json
 from dataclasses import asdict, dataclass, field
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracehold.operators.anomaly import known
+
 # Size of the text vocabulary and what counts as a word.
 MAX_TERMS = 100
 WORD = r"[\p{L}\p{N}_]{2,}"
@@ -36,15 +39,14 @@ def words(text: Column) -> Column:
 def vocabulary(df: DataFrame, fields: list[str], size: int = MAX_TERMS) -> DataFrame:
     """The most frequent terms with their smoothed inverse document frequency.
 
-    Words are counted per row before they are shuffled, so a long text sends one
-    row per distinct word.
+    Occurrences and texts are counted from two explodes of the same words, merged by term
+    before the shuffle.
     """
     rows = df.count()
-    # The row number is taken before the explode, else every word would get its own.
-    tagged = df.select(words(text_of(fields)).alias("_words")).withColumn("_r", F.monotonically_increasing_id())
-    counted = tagged.select("_r", F.explode("_words").alias("term"))
-    per_row = counted.groupBy("_r", "term").agg(F.count("*").alias("n"))
-    terms = per_row.groupBy("term").agg(F.sum("n").alias("total"), F.count("*").alias("df"))
+    found = df.select(words(text_of(fields)).alias("w"))
+    one = found.select(F.explode("w").alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d"))
+    once = found.select(F.explode(F.array_distinct("w")).alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d"))
+    terms = one.union(once).groupBy("term").agg(F.sum("n").alias("total"), F.sum("d").alias("df"))
     top = terms.orderBy(F.desc("total"), "term").limit(size)
     return top.select("term", "total", "df", (F.log((F.lit(1.0) + rows) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
 
@@ -52,14 +54,16 @@ def vocabulary(df: DataFrame, fields: list[str], size: int = MAX_TERMS) -> DataF
 def tfidf(df: DataFrame, fields: list[str], row_id: str, size: int = MAX_TERMS) -> DataFrame:
     """Long form of the text features: (row id, term, weight), rows of length one.
 
-    The vocabulary has at most ``size`` rows and is broadcast, which drops all
-    other words before anything is shuffled.
+    The vocabulary has at most ``size`` terms; the weights are row-local, nothing of the
+    texts is shuffled.
     """
-    terms = vocabulary(df, fields, size).select("term", "idf")
-    found = df.select(row_id, F.explode(words(text_of(fields))).alias("term"))
-    counts = found.join(F.broadcast(terms), "term").groupBy(row_id, "term").agg((F.count("*") * F.first("idf")).alias("w"))
-    norms = counts.groupBy(row_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return counts.join(norms, row_id).select(row_id, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    terms = {r["term"]: r["idf"] for r in vocabulary(df, fields, size).orderBy("term").collect()}
+    if not terms:
+        return df.select(row_id, F.lit("").alias("term"), F.lit(0.0).alias("weight")).limit(0)
+    weighted = FeatureModel(text_fields=list(fields), terms=terms).transform(df, "_features")
+    names = F.array(*[F.lit(t) for t in terms])
+    cells = F.filter(F.arrays_zip(names.alias("term"), vector_to_array("_features").alias("weight")), lambda c: c["weight"] > 0)
+    return weighted.select(row_id, F.inline(cells))
 
 
 @dataclass
@@ -82,7 +86,7 @@ class FeatureModel:
         """Numeric and one-hot columns; text terms come from :meth:`transform`."""
         found = []
         for name, (mean, deviation) in self.numeric.items():
-            value = F.coalesce(F.col(name).cast("double"), F.lit(mean))
+            value = F.coalesce(known(name), F.lit(mean))
             found.append((value - F.lit(mean)) / F.lit(deviation or 1.0))
         for name, levels in self.categorical.items():
             found += [F.coalesce((F.col(name).cast("string") == F.lit(v)).cast("double"), F.lit(0.0)) for v in levels[1:]]
@@ -127,9 +131,9 @@ def fit_features(
     model = FeatureModel(text_fields=list(text or []))
     if numeric:
         row = df.agg(
-            *[F.avg(f).alias(f"m_{f}") for f in numeric],
-            *[F.stddev_pop(f).alias(f"s_{f}") for f in numeric],
-            *[F.count(f).alias(f"n_{f}") for f in numeric],
+            *[F.avg(known(f)).alias(f"m_{f}") for f in numeric],
+            *[F.stddev_pop(known(f)).alias(f"s_{f}") for f in numeric],
+            *[F.count(known(f)).alias(f"n_{f}") for f in numeric],
             F.count("*").alias("n"),
         ).first()
         for f in numeric:

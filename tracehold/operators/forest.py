@@ -109,7 +109,11 @@ def grow_forest(df: DataFrame, fields: list[str], row_id: str, trees: int = TREE
     spark = df.sparkSession
     drawn = F.xxhash64(F.lit(seed), F.col(row_id))
     pool = df.select(*[F.col(f).cast("double").alias(f) for f in fields], drawn.alias("_draw"), F.col(row_id).alias("_id"))
-    pool = pool.orderBy("_draw", "_id").limit(trees * SAMPLE_ROWS).toPandas()[fields].to_numpy(dtype=float)
+    # Twice the wanted share of all hashes, so that a task sends its part of the pool and not a whole one.
+    wanted = trees * SAMPLE_ROWS
+    share = min(1.0, (2 * wanted + 1000) / max(1, df.count()))
+    pool = pool.where(F.pmod(F.xxhash64("_draw"), F.lit(1 << 30)) <= int(share * (1 << 30)))
+    pool = pool.orderBy("_draw", "_id").limit(wanted).toPandas()[fields].to_numpy(dtype=float)
     size = min(SAMPLE_ROWS, len(pool))
     shared = spark.sparkContext.broadcast(pool)
 

@@ -65,6 +65,7 @@ def train_anomaly_model(
             "text_fields": text or [],
             "contamination": contamination,
             "training_date": trained_at,
+            "training_rows": df.count(),
         },
     )
     names = [f"_x{i}" for i in range(len(features.names()))]
@@ -134,6 +135,7 @@ def train_classifier(
         "label_field": label,
         "classes": classes,
         "class_distribution": {r["c"]: r["n"] for r in counts},
+        "training_rows": sum(r["n"] for r in counts),
         "training_date": trained_at,
     }
     return Classifier(features, forest.fit(stage(rows, "training")), config)
@@ -216,4 +218,5 @@ def list_models(spark: SparkSession, path: str) -> DataFrame:
         "name",
         F.coalesce(F.get_json_object(config, "$.model_type"), F.lit("unknown")).alias("type"),
         F.coalesce(F.get_json_object(config, "$.training_date"), F.lit("unknown")).alias("training_date"),
+        F.get_json_object(config, "$.training_rows").cast("long").alias("training_rows"),
     )

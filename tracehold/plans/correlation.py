@@ -31,9 +31,6 @@ from tracehold.schema import LOG_FIELDS
 from tracehold.session import stage, staging_path
 from tracehold.sources.rules import bundled_rules
 
-PIPELINE_RULES = [r for r in bundled_rules() if r.rule_id in ("BF-SSH-001", "BF-SSH-003", "PE-SUDO-003", "UA-FILE-001", "DE-NET-001")]
-
-
 @query(
     "alert_pipeline",
     f"""WITH {LOGS_CTE}, raw AS (SELECT event_id, {SYSLOG_SQL} AS v FROM logs),
@@ -41,7 +38,7 @@ parsed AS (SELECT event_id, regexp_extract(v, '^[A-Za-z]+ [0-9]+ [0-9:]+ [^ ]+ [
   {', '.join(f"'' AS {c}" for c in LOG_FIELDS if c not in ('message', 'service'))},
   regexp_extract(v, '^[A-Za-z]+ [0-9]+ [0-9:]+ [^ ]+ ([^ \\[]+)', 1) AS service FROM raw),
 ips AS (SELECT * REPLACE (regexp_extract(message, '([0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}})', 1) AS ip_address) FROM parsed),
-{alerts_cte(PIPELINE_RULES, 'ips')}
+{alerts_cte(bundled_rules(), 'ips')}
 SELECT ip_address, count(*) AS event_count, {level_name_sql(f'max({level_sql()})')} AS severity FROM alerts
 WHERE ip_address <> '' GROUP BY ip_address HAVING count(*) > 1""",
 )
@@ -49,9 +46,10 @@ def pipeline(spark, folder):
     """Raw lines to alert groups: parse, detect, correlate by address."""
     lines = syslog_lines(logs(spark, folder))
     rows = parse_source(lines, SourceConfig("syslog"), DEFAULT_YEAR)
-    # Written out: later filters would otherwise be pushed below the parser and parse every line again.
-    rows = stage(rows, "normalized")
-    return correlate.correlate_by_ip(detect(rows, PIPELINE_RULES)).select("ip_address", "event_count", "severity")
+    found = detect(rows, bundled_rules())
+    # A test on the rule as well stays above the explode; one on the address alone would be pushed below the parser, which would run twice.
+    found = found.withColumn("ip_address", F.when(F.col("RULE_ID") != "", F.col("ip_address")))
+    return correlate.correlate_by_ip(found).select("ip_address", "event_count", "severity")
 
 
 _IP_GROUPS = f"""SELECT ip_address, count(*) AS event_count, {level_name_sql(f'max({level_sql()})')} AS severity,

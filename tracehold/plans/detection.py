@@ -54,6 +54,23 @@ def detect_negative(spark, folder):
     )
 
 
+# Escapes, classes and brackets of many kinds.
+ESCAPE_RULES = [
+    Rule("ES-HEX-001", "Traversal in hex", r"\x2fetc\x2f(passwd|shadow)", "HIGH", (9,)),
+    Rule("ES-CLASS-001", "Blank and digits", "port[[:blank:]][[:digit:]]+[[:space:]]ssh[[:alnum:]]", "LOW", (9,)),
+    Rule("ES-BRACKET-001", "Closing bracket", r"[^\]]assword", "LOW", (9,)),
+    Rule("ES-PUNCT-001", "Punctuation", r"user[0-9]+ from 10[[:punct:]]0\.[[:xdigit:]]", "MEDIUM", ()),
+    Rule("ES-REPEAT-001", "Counted and optional parts", r"(GET|POST) /(\.\./){2}etc|x{0}publicke?y", "HIGH", (9,)),
+    Rule("ES-GRAPH-001", "Printable classes", r"^[[:upper:]][[:lower:]]+ [[:graph:]]+ executed|curl[[:print:]]+\|", "LOW", (9,)),
+]
+
+
+@query("detect_escapes", f"WITH {LOGS_CTE}, {alerts_cte(ESCAPE_RULES)} SELECT {_ID} FROM alerts")
+def detect_escapes(spark, folder):
+    """C4: escapes, POSIX classes and quantifiers behind literal guards."""
+    return rules_ops.detect(logs(spark, folder), ESCAPE_RULES).select("RULE_ID", "SEVERITY", "DESCRIPTION", "event_id")
+
+
 _ANYCASE = [Rule(r.rule_id, r.description, "(?i)" + r.pattern, r.severity, r.fields, r.tags, r.negative_pattern, r.rule_file) for r in RULES]
 
 
@@ -74,9 +91,7 @@ def detect_ignore_case(spark, folder):
 )
 def detect_documents(spark, folder):
     """C6 over whole texts."""
-    from tracehold.session import spread
-
-    rows = spread(table(spark, folder, "documents")).withColumns(
+    rows = table(spark, folder, "documents").withColumns(
         {**{c: F.lit("") for c in LOG_FIELDS[:-1]}, "message": F.col("text")}
     )
     # A text's lines end where '$' may match in Java but not in the SQL engine, so '$' means the end of the text.

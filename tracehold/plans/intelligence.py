@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracehold.operators import intel, mapping
+from tracehold.operators.rule_tables import detect_table
 from tracehold.plans.registry import query
 from tracehold.plans.views import ALERTS_CTE, LOGS_CTE, alerts, as_text, logs, r6, sql_text, stamp_sql, table
 from tracehold.session import staging_path
 from tracehold.sources import feeds
 from tracehold.functions.regexes import DOMAIN, URL
 from tracehold.sources.rules import bundled_rule_lines, bundled_rules, parse_rules
+from tracehold.sources.rules import parse_rules
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -185,14 +187,15 @@ def enrich_alerts(spark, folder):
 def url_feed(spark, folder) -> DataFrame:
     """A downloaded csv feed made of the page table: comment, blank and value lines."""
     pages = table(spark, folder, "pages")
-    row = F.concat(F.lit('id,2024-01-01,'), F.col("url"), F.lit(",online"))
+    quoted = F.concat(F.lit('"'), F.regexp_replace("url", '"', '""'), F.lit('"'))
+    row = F.concat(F.lit('id,2024-01-01,'), quoted, F.lit(",online"))
     lines = pages.select(F.explode(F.array(row, F.concat(F.lit("# page "), F.col("page_id")), F.lit(""))).alias("value"))
     path = staging_path(spark, "feed")
     lines.write.text(path)
     return feeds.read_feed(spark, "urlhaus", path)
 
 
-@query("read_feed", "SELECT 'urlhaus' AS source, string_split(url, ',')[1] AS indicator FROM pages")
+@query("read_feed", "SELECT 'urlhaus' AS source, url AS indicator FROM pages")
 def read_feed(spark, folder):
     """A csv feed of URLs, comments and blanks skipped."""
     return url_feed(spark, folder)
@@ -200,18 +203,17 @@ def read_feed(spark, folder):
 
 @query(
     "read_json_feed",
-    f"WITH {LOGS_CTE} SELECT 'threatfox' AS source, ip_address AS indicator FROM logs WHERE event_type = 'error'",
+    f"WITH {LOGS_CTE} SELECT DISTINCT 'threatfox' AS source, ip_address AS indicator FROM logs",
 )
 def read_json_feed(spark, folder):
     """A nested JSON feed, one document per address network."""
-    rows = logs(spark, folder).where("event_type = 'error'")
+    network = F.substring_index("ip_address", ".", 3).alias("network")
+    addresses = logs(spark, folder).select(network, F.struct(F.col("ip_address").alias("ioc")).alias("i")).distinct()
+    # One document, so one file, for each of the eight networks.
+    body = addresses.groupBy("network").agg(F.struct(F.collect_list("i").alias("iocs")).alias("data"))
     path = staging_path(spark, "feed")
-    body = rows.select(F.struct(F.array(F.struct(F.col("ip_address").alias("ioc"))).alias("iocs")).alias("data"))
-    body.write.json(path)
-    # JSON lines here; a real feed is one document per file.
-    schema, values = feeds.JSON_FEEDS["threatfox"]
-    lines = spark.read.schema(schema).json(path)
-    return lines.select(F.lit("threatfox").alias("source"), F.explode(F.expr(values)).alias("indicator"))
+    body.repartition("network").write.partitionBy("network").json(path)
+    return feeds.read_feed(spark, "threatfox", path)
 
 
 @query(
@@ -249,6 +251,23 @@ def rules_from_indicators(spark, folder):
     return intel.rules_from_indicators(indicator_store(spark, folder))
 
 
+_INDICATOR_RULES = f"""b AS (SELECT DISTINCT type, indicator FROM store WHERE is_malicious AND type IN ('ip', 'domain')),
+r AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY indicator) AS n, replace(indicator, '.', '\\.') AS pattern FROM b),
+ti AS (SELECT CASE WHEN type = 'ip' THEN 'TI-IP-' ELSE 'TI-DOM-' END || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS RULE_ID, type, pattern FROM r)"""
+
+
+@query(
+    "detect_indicators",
+    f"""WITH {LOGS_CTE}, {_STORE}, {_INDICATOR_RULES} SELECT RULE_ID, 'HIGH' AS SEVERITY, event_id FROM logs, ti
+WHERE (message <> '' AND regexp_matches(message, pattern)) OR (type = 'ip' AND ip_address <> '' AND regexp_matches(ip_address, pattern))""",
+)
+def detect_indicators(spark, folder):
+    """Every line against the table of rules made from the indicators."""
+    rules = intel.rules_from_indicators(indicator_store(spark, folder))
+    table_of_rules = parse_rules(intel.rule_lines(rules).withColumn("rule_file", F.lit("indicators")))
+    return detect_table(logs(spark, folder), table_of_rules).select("RULE_ID", "SEVERITY", "event_id")
+
+
 @query(
     "feed_update_summary",
     f"""WITH {LOGS_CTE}, f AS (SELECT 'urlhaus' AS source, url AS indicator FROM pages UNION ALL SELECT 'phishtank', NULL),

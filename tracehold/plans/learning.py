@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracehold.operators import features, models
 from tracehold.plans.registry import query
 from tracehold.plans.views import LOGS_CTE, as_text, logs, r6, table
-from tracehold.session import spread, stage, staging_path
+from tracehold.session import stage, staging_path
 
 TRAINED_AT = "2024-02-01T00:00:00"
 
@@ -59,21 +59,29 @@ x AS (SELECT doc_id, term, n * idf AS w FROM c JOIN v USING (term)), y AS (SELEC
 @query("text_features", f"WITH {_TFIDF} SELECT doc_id, term, {r6('w / norm')} AS weight FROM x JOIN y USING (doc_id)")
 def text_features(spark, folder):
     """H4: TF-IDF of whole texts over the hundred most frequent terms, long form."""
-    return as_text(features.tfidf(spread(table(spark, folder, "documents")), ["text"], "doc_id"))
+    return as_text(features.tfidf(table(spark, folder, "documents"), ["text"], "doc_id"))
 
 
 def feature_rows(spark, folder):
     return logs(spark, folder).select("event_id", "value", "k", "service", "message", "event_type")
 
 
-@query("assemble_features")
+@query(
+    "assemble_features",
+    f"""WITH {LOGS_CTE}, s AS (SELECT avg(value) AS mv, stddev_pop(value) AS dv, avg(k) AS mk, stddev_pop(k) AS dk, count(DISTINCT service) AS n, min(service) AS low FROM logs),
+w AS (SELECT event_id, unnest(regexp_extract_all(lower(message), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS t FROM logs),
+top AS (SELECT t FROM w GROUP BY t ORDER BY count(*) DESC, t LIMIT 100), has AS (SELECT DISTINCT event_id, 1 AS h FROM w JOIN top USING (t))
+SELECT event_id, CAST(2 + n - 1 + (SELECT count(*) FROM top) AS BIGINT) AS size,
+  round(sqrt(((value - mv) / dv) ** 2 + ((k - mk) / dk) ** 2 + CASE WHEN service <> low THEN 1 ELSE 0 END + coalesce(h, 0)), 6) + 0.0 AS length
+FROM logs LEFT JOIN has USING (event_id), s""",
+)
 def assemble_features(spark, folder):
     """H5: numeric, one-hot and text features as one vector, described by size and length."""
     rows = feature_rows(spark, folder)
     model = features.fit_features(rows, ["value", "k"], ["service"], ["message"])
     vector = vector_to_array("features")
     length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
-    return model.transform(rows).select("event_id", F.size(vector).alias("size"), F.round(length, 6).alias("length"))
+    return as_text(model.transform(rows).select("event_id", F.size(vector).alias("size"), length.alias("length")))
 
 
 @query("anomaly_model")
@@ -118,13 +126,17 @@ def classify_events(spark, folder):
     return model.transform(rows).groupBy("event_type", "predicted_class").agg(F.count("*").alias("n"))
 
 
-@query("list_models")
+@query(
+    "list_models",
+    f"""SELECT 'iforest' AS name, 'isolation_forest' AS type, '{TRAINED_AT}' AS training_date, count(*) AS training_rows FROM events
+UNION ALL SELECT 'types', 'random_forest', '{TRAINED_AT}', count(*) FROM events WHERE event_type IS NOT NULL""",
+)
 def list_models(spark, folder):
     """Stored models with type and training date."""
     rows = feature_rows(spark, folder)
     path = staging_path(spark, "models")
     models.save_model(spark, models.train_anomaly_model(rows, "event_id", ["value"], trained_at=TRAINED_AT), path, "iforest")
-    models.save_model(spark, models.train_classifier(rows, "event_type", ["value"], trees=10, trained_at=TRAINED_AT), path, "types")
+    models.save_model(spark, models.train_classifier(rows, "event_type", ["value"], trained_at=TRAINED_AT), path, "types")
     return models.list_models(spark, path)
 
 

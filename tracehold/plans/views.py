@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tracehold.functions.regexes import to_java
 from tracehold.operators.detect import detect
 from tracehold.schema import LOG_FIELDS
-from tracehold.session import spread, stage
+from tracehold.session import stage
 from tracehold.sources.rules import Rule, bundled_rules
 
 DEFAULT_YEAR = 2024
@@ -62,7 +62,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spread(table(spark, folder, "events"))
+    rows = table(spark, folder, "events")
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -78,16 +78,15 @@ def logs(spark: SparkSession, folder: str) -> DataFrame:
     return security_rows(events(spark, folder))
 
 
-_alert_tables: dict[tuple[str, str], DataFrame] = {}
+def alerts(spark: SparkSession, folder: str) -> DataFrame:
+    """Alerts of all bundled rules over the log view."""
+    columns = ["ts", "event_id", *LOG_FIELDS]
+    return detect(logs(spark, folder), bundled_rules()).select("RULE_ID", "SEVERITY", "DESCRIPTION", *columns)
 
 
-def alerts(spark: SparkSession, folder: str) -> DataFrame:
-    """Alerts of all bundled rules over the log view, written once per application."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _alert_tables:
-        columns = ["ts", "event_id", *LOG_FIELDS]
-        _alert_tables[key] = stage(detect(logs(spark, folder), bundled_rules()).select("RULE_ID", "SEVERITY", "DESCRIPTION", *columns), "alerts")
-    return _alert_tables[key]
+def staged_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    """The alerts written once, for a query that reads them more than once."""
+    return stage(alerts(spark, folder), "alerts")
 
 
 def syslog_lines(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ loss of executors, keeps column pruning and gives later stages real sizes.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +22,6 @@ RUNTIME_SETTINGS = {
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
-_local_roots: dict[str, str] = {}
-
-
 def build_session(app_name: str = "tracehold", master: str | None = None, **settings) -> SparkSession:
     """A session with the package's runtime settings; extra keywords use ``_`` for ``.``."""
     builder = SparkSession.builder.appName(app_name)
@@ -44,16 +40,18 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def staging_root(spark: SparkSession) -> str:
-    """Folder for this application's staged tables."""
-    app = spark.sparkContext.applicationId
+    """Folder for this application's staged tables, below ``spark.checkpoint.dir``.
+
+    On a cluster that setting names a folder all executors share and is required.  A
+    local session without it gets one below its warehouse, set once for the session.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/tracehold/{app}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="tracehold-")
-    return _local_roots[app]
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/tracehold/{spark.sparkContext.applicationId}"
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
@@ -67,9 +65,3 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = staging_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a table held in fewer files than there are cores before CPU-heavy work."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 
 def evidence_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """SHA-256 of every file below ``path`` as (name, size, sha256)."""
+    """SHA-256 of every file below ``path`` as (name, size, sha256); the name is the path below it.
+
+    Spark reads a file as one value, so a file must fit a task and stay below 2 GB.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     return files.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("name"),
+        F.substring_index("path", f"{path.rstrip('/')}/", -1).alias("name"),
         F.col("length").alias("size"),
         F.sha2("content", 256).alias("sha256"),
     )

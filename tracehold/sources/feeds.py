@@ -50,7 +50,9 @@ def feed_lines(lines: DataFrame, feed: Feed, source: str) -> DataFrame:
     text = F.trim("value")
     kept = lines.where((text != "") & ~text.startswith(feed.comment))
     if feed.file_format == "csv":
-        parts = F.split(text, ",")
+        # Values may be quoted, with commas and doubled quotes inside.
+        raw = F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+        parts = F.transform(raw, lambda p: F.when(p.startswith('"'), F.regexp_replace(F.regexp_replace(p, '^"|"$', ""), '""', '"')).otherwise(p))
         wanted = F.when(F.size(parts) > feed.column, F.get(parts, F.lit(feed.column))).otherwise(F.get(parts, F.lit(0)))
         kept = kept.where(F.size(parts) > 1)
         return kept.select(F.lit(source).alias("source"), wanted.alias("indicator"))

@@ -14,7 +14,6 @@ from importlib import resources
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracehold.functions.regexes import to_java
 from tracehold.functions.severity import SEVERITY_LEVELS, severity_level
 
 # Header keys of a rule file and the columns they fill.
@@ -26,8 +25,6 @@ HEADER_KEYS = {
     "author": "Author",
 }
 
-MAX_COMPILED_RULES = 5_000
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -90,11 +87,11 @@ def rule_file_metadata(lines: DataFrame) -> DataFrame:
     return lines.groupBy("rule_file").agg(*found)
 
 
-def compile_rules(rules: DataFrame, limit: int = MAX_COMPILED_RULES) -> list[Rule]:
-    """Collect a rule table of checked size; larger sets belong in a lookup join."""
-    rows = rules.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} rules: match indicators with a lookup join instead")
+def compile_rules(rules: DataFrame, limit: int | None = 5_000) -> list[Rule]:
+    """Collect a rule pack; ``detect_table`` takes tables of any size."""
+    rows = (rules if limit is None else rules.limit(limit + 1)).collect()
+    if limit is not None and len(rows) > limit:
+        raise ValueError(f"more than {limit} rules: use rule_tables.detect_table")
     return [
         Rule(
             r.rule_id, r.description, r.pattern, r.severity, tuple(r.fields), tuple(r.tags), r.negative_pattern, r.rule_file
@@ -127,7 +124,3 @@ def rule_from_line(line: str, rule_file: str = "") -> Rule:
         parts[6],
         rule_file,
     )
-
-
-def java_pattern(rule: Rule) -> str:
-    return to_java(rule.pattern)

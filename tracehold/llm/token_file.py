@@ -7,8 +7,10 @@ bits in front of every 512 positions, so any token is read with one look per
 level and no block is decoded.
 
 A block holds whole documents in order of their ids.  Blocks are rows of a
-Parquet table (``part``, ``seq``, ``n_docs``, ``n_tokens``, ``block``), so
+Parquet table (``part``, ``seq``, ``inside``, ``n_docs``, ``n_tokens``, ``block``), so
 Spark's committer writes them to any store and lost tasks are run again.
+``inside`` counts the ids in front of a block that its task wrote; what earlier
+tasks wrote is one number for each task.
 
 Cases: null and empty texts hold the end id alone; rows with a null document
 id come first; repeated rows are stored one after the other; an empty table
@@ -33,7 +35,7 @@ RANK_STEP = 512
 MAGIC = b"DAC1"
 _HEAD = struct.Struct("<4sIQI")
 _POPCOUNT = np.array([bin(b).count("1") for b in range(256)], np.uint8)
-FILE_SCHEMA = "part int, seq int, n_docs long, n_tokens long, block binary"
+FILE_SCHEMA = "part int, seq int, inside long, n_docs long, n_tokens long, block binary"
 
 
 def write_block(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
@@ -109,16 +111,23 @@ def _encode(path: str, end_id: int, limit: int):
     end = np.array([end_id], ID).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, names, found, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, seq, inside, names, found, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def block() -> pa.RecordBatch:
-            nonlocal seq, names, found, size
+            nonlocal seq, inside, names, found, size
             lengths = [len(x) // ID.itemsize for x in found]
             raw = write_block(names, lengths, np.frombuffer(b"".join(found), ID))
             out = pa.RecordBatch.from_pydict(
-                {"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": [len(names)], "n_tokens": [size], "block": pa.array([raw], pa.binary())}
+                {
+                    "part": pa.array([part], pa.int32()),
+                    "seq": pa.array([seq], pa.int32()),
+                    "inside": [inside],
+                    "n_docs": [len(names)],
+                    "n_tokens": [size],
+                    "block": pa.array([raw], pa.binary()),
+                }
             )
-            seq, names, found, size = seq + 1, [], [], 0
+            seq, inside, names, found, size = seq + 1, inside + size, [], [], 0
             return out
 
         for batch in batches:
@@ -151,13 +160,10 @@ def write_tokens(
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """The blocks of a file with ``start``, the number of ids in front of each."""
     blocks = spark.read.schema(FILE_SCHEMA).parquet(path)
-    # Parts first: one row for each task that wrote, then blocks inside their part.
     parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    inside = Window.partitionBy("part").orderBy("seq")
-    places = blocks.select("part", "seq", (F.sum("n_tokens").over(inside) - F.col("n_tokens")).alias("inside"))
-    starts = places.join(before, "part").select("part", "seq", (F.col("before") + F.col("inside")).alias("start"))
-    return blocks.join(starts, ["part", "seq"])
+    # One row for each task that wrote; the blocks themselves are not moved.
+    return blocks.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("inside"))
 
 
 def _documents(with_ids: bool):

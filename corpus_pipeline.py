@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracehold.llm import stages
-from tracehold.session import stage, tune
+from tracehold.llm.plans import prepared
+from tracehold.session import stage
 
 #: (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame.
 STAGES = [
@@ -26,7 +27,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of all kept documents."""
-    tune(spark)
+    prepared(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, function) in enumerate(STAGES):
         docs = function(spark, docs, sf_dir)

@@ -10,8 +10,17 @@ QUERIES = {}
 ORACLES = {}
 
 
+#: Whole texts make long rows, so fewer of them go to a Python worker at once.
+BATCH_ROWS = "2000"
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return spark
+
+
 def query(function, sql: str | None = None):
-    QUERIES[function.__name__] = lambda spark, folder: function(tune(spark), folder)
+    QUERIES[function.__name__] = lambda spark, folder: function(prepared(spark), folder)
     if sql:
         ORACLES[function.__name__] = sql
     return function

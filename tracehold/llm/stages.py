@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tracehold.llm.plans import prepared
+
 #: Words of a shingle where no contract says otherwise.
 SHINGLE_WORDS = 5
 
@@ -16,6 +18,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     from tracehold.llm.quality import score_quality
 
+    prepared(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score_quality(docs, labels, keep=docs.columns)
     return scored.where("predicted = 1").select(*docs.columns)
@@ -25,6 +28,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Of each group of near duplicates the document with the smallest id."""
     from tracehold.llm.near_duplicates import near_duplicates
 
+    prepared(spark)
     groups = near_duplicates(docs, words_per_shingle=SHINGLE_WORDS)
     # A null id equals no component; such a row goes only where it has a near duplicate with an id.
     kept = groups.where("kept or (doc_id is null and component_id is null)").select("doc_id", "component_id").distinct()
@@ -35,6 +39,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without a window of the benchmark."""
     from tracehold.llm.decontaminate import decontaminate
 
+    prepared(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate(docs, benchmark, keep=docs.columns)
     return found.where("not contaminated").select(*docs.columns)
@@ -44,6 +49,7 @@ def sanitize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data and terms that reveal it generalised; ``n_chars`` follows the text."""
     from tracehold.llm.personal_data import sanitize_documents
 
+    prepared(spark)
     clean = sanitize_documents(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
@@ -52,4 +58,5 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents' pieces in packed sequences."""
     from tracehold.llm.packing import pack_documents
 
+    prepared(spark)
     return pack_documents(docs, "byte_bpe_50k.json", end_id=2)

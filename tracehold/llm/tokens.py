@@ -19,7 +19,7 @@ import pyarrow as pa
 from tracehold.llm.words import LOWER, Words, slices
 
 #: Different pieces one worker remembers, about 200 bytes each.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 400_000
 ID = np.dtype("<u4")
 DROPPED_SPACE = np.zeros(256, bool)
 DROPPED_SPACE[[0x20, 0x09, 0x0A, 0x0D]] = True
@@ -105,7 +105,7 @@ class PieceEncoder:
 
     def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
         """Ids of each text; different pieces of a slice are looked up once."""
-        for _, data, text in slices(texts, 1 << 22):
+        for _, data, text in slices(texts, 1 << 21):
             if self.drops_space:
                 # The normalizer lowers; a capital before a combining mark is left to it.
                 data = np.where(np.append(data[1:], 0) < 0x80, LOWER[data], data)

@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 #: An odd multiplier per use; byte values and mixing come from the generator below.
 BASE = 0x9E3779B97F4A7C15

@@ -122,9 +122,11 @@ def rule_id_parts(rule_id: Column) -> list[Column]:
     ]
 
 
-def rule_coverage(logs: DataFrame, rules: list[Rule], log_column: str) -> DataFrame:
+def rule_coverage(logs: DataFrame, rules: list[Rule], log_column: str, names: DataFrame | None = None) -> DataFrame:
     """Hits of every rule file on every log, zeros included.
 
+    ``names`` lists the logs, one column of that name; logs without a row count zero there.
+
     Counting happens per log inside the scan: one row per log leaves the
     partial aggregation, and its counters are then turned into rows.
     """
@@ -134,5 +136,7 @@ def rule_coverage(logs: DataFrame, rules: list[Rule], log_column: str) -> DataFr
         hits = [f"int(coalesce({condition_sql(logs.columns, r)}, false))" for r in rules if r.rule_file == name]
         counters.append(F.expr(f"sum({' + '.join(hits)})").alias(f"_n{i}"))
     per_log = logs.groupBy(log_column).agg(*counters)
+    if names is not None:
+        per_log = names.select(log_column).distinct().join(per_log, log_column, "left").fillna(0)
     cells = F.array(*[F.struct(F.lit(n).alias("rule_file"), F.col(f"_n{i}").alias("hits")) for i, n in enumerate(files)])
     return per_log.select(log_column, F.explode(cells).alias("cell")).select("cell.rule_file", log_column, "cell.hits")

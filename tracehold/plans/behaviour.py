@@ -79,20 +79,20 @@ UNION ALL SELECT 'user_total', username, '', count(*) FROM {source} GROUP BY 2)
 WHERE entity IN (SELECT username FROM {source} GROUP BY username HAVING count(*) >= 10)"""
 
 
-@query("profile_users", f"WITH {LOGS_CTE}, {_LEARN} {_user_counts_sql('l')}")
+@query("profile_users", f"WITH {LOGS_CTE} {_user_counts_sql('logs')}")
 def profile_users(spark, folder):
     """counts per user by hour, weekday and address."""
-    return baseline.user_profile_counts(training_logs(spark, folder))
+    return baseline.user_profile_counts(logs(spark, folder))
 
 
 @query(
     "profile_user_stats",
-    f"""WITH {LOGS_CTE}, {_LEARN}, c AS ({_user_counts_sql('l')}), s AS ({_stats_sql('c')})
+    f"""WITH {LOGS_CTE}, c AS ({_user_counts_sql('logs')}), s AS ({_stats_sql('c')})
 SELECT kind, entity, {r6('mean')} AS mean, {r6('std')} AS std, {r6('mean + 2 * std')} AS high FROM s""",
 )
 def profile_user_stats(spark, folder):
     """mean, deviation and upper limit per user."""
-    stats = baseline.profile_stats(baseline.user_profile_counts(training_logs(spark, folder)))
+    stats = baseline.profile_stats(baseline.user_profile_counts(logs(spark, folder)))
     return as_text(stats.select("kind", "entity", "mean", "std", "high"))
 
 

@@ -160,7 +160,9 @@ _FILES = sorted({r.rule_file for r in RULES})
 
 @query(
     "rule_coverage",
-    f"WITH {LOGS_CTE} "
+    f"WITH {LOGS_CTE} SELECT f.rule_file, r_name AS source_type, 0 AS hits FROM region, (VALUES "
+    + ", ".join(f"({sql_text(f)})" for f in _FILES)
+    + ") f(rule_file) UNION ALL "
     + " UNION ALL ".join(
         f"SELECT {sql_text(f)} AS rule_file, source_type, CAST(sum("
         + " + ".join(f"CASE WHEN {rule_sql(r)} THEN 1 ELSE 0 END" for r in RULES if r.rule_file == f)
@@ -170,7 +172,10 @@ _FILES = sorted({r.rule_file for r in RULES})
 )
 def rule_coverage(spark, folder):
     """Hits of every rule file on every log, zeros included."""
-    return rules_ops.rule_coverage(logs(spark, folder), RULES, "source_type")
+    rows = logs(spark, folder)
+    # The regions stand for logs in which nothing was written.
+    names = rows.select("source_type").union(table(spark, folder, "region").select("r_name"))
+    return rules_ops.rule_coverage(rows, RULES, "source_type", names)
 
 
 @query(
@@ -303,8 +308,9 @@ def rule_diff(spark, folder):
 
 @query(
     "rule_history",
-    """SELECT lower(n_name) AS rule_file, '1.1' AS version, count(s_suppkey) AS lines FROM nation
-JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal > 0 GROUP BY n_name""",
+    """SELECT lower(n_name) AS rule_file, CASE WHEN max(s_acctbal) > 0 THEN '1.1' ELSE '1.0' END AS version,
+  CASE WHEN max(s_acctbal) > 0 THEN count(*) FILTER (WHERE s_acctbal > 0) ELSE count(*) END AS lines
+FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name""",
 )
 def rule_history(spark, folder):
     """Two snapshots appended, the latest read back."""
@@ -315,7 +321,7 @@ def rule_history(spark, folder):
     newer = lines.where(~F.col("value").contains(";WRONG;"))
     rule_admin.commit_rules(lines, path, "1.0", "first version", "2024-01-01T000000")
     rule_admin.commit_rules(newer, path, "1.1", "checked severities", "2024-02-01T000000")
-    latest = rule_admin.latest_rules(spark.read.parquet(path)).where("version = '1.1'")
+    latest = rule_admin.latest_rules(spark.read.parquet(path))
     return latest.groupBy(F.col("rule_file").cast("string").alias("rule_file"), "version").agg(F.count("*").alias("lines"))
 
 

@@ -67,6 +67,40 @@ def stream_throttle(alerts: DataFrame, count: int = 5, window_seconds: int = 300
     )
 
 
+_THROTTLE_STATE = "passed long"
+
+
+def stream_throttle_alerts(
+    alerts: DataFrame, count: int = 5, window_seconds: int = 300, row_id: str = "event_id", delay: str = DELAY
+) -> DataFrame:
+    """The alerts that pass: the first ``count`` of each rule and window, in order of time inside a micro-batch.
+
+    A key's state is one number, dropped with its window.  Of a key's alerts in one
+    micro-batch no more than ``count`` are held at a time.
+    """
+    columns = alerts.columns
+    keyed = alerts.where(F.col("ts").isNotNull()).withWatermark("ts", delay).withColumn("_window", F.window("ts", f"{window_seconds} seconds")["end"])
+
+    def first(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        passed = state.get[0] if state.exists else 0
+        kept = None
+        for batch in batches:
+            both = batch[columns] if kept is None else pd.concat([kept, batch[columns]])
+            kept = both.sort_values(["ts", row_id]).head(max(count - passed, 0))
+        kept = kept if kept is not None else pd.DataFrame(columns=columns)
+        state.update((passed + len(kept),))
+        end = int(pd.Timestamp(key[1]).tz_localize("UTC").timestamp() * 1000)
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        yield kept
+
+    return keyed.groupBy("RULE_ID", "_window").applyInPandasWithState(
+        first, alerts.schema, _THROTTLE_STATE, "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def stream_correlate_ip(alerts: DataFrame, gap_seconds: int = 300, delay: str = DELAY) -> DataFrame:
     """Sessions of more than one alert per address."""
     sessions = (

@@ -10,7 +10,7 @@ import pytest
 from tracehold.llm.decontaminate import decontaminate
 from tracehold.llm.graph import components
 from tracehold.llm.metric_join import similar_vectors
-from tracehold.llm.near_duplicates import near_duplicates
+from tracehold.llm.near_duplicates import common_counts, near_duplicates
 from tracehold.llm.substrings import node_names, remove_repeats
 
 SCHEMA = "doc_id long, text string, node string, key string, d string, h string"
@@ -58,8 +58,9 @@ def shingles(text, size):
     return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
 
 
-@pytest.mark.parametrize("size", [2, 5])
-def test_near_duplicates(spark, size):
+@pytest.mark.parametrize("size,family,block", [(2, 20_000, 256), (5, 20_000, 256), (2, 20_000, 3), (2, 2, 3), (5, 0, 256)])
+def test_near_duplicates(spark, monkeypatch, size, family, block):
+    monkeypatch.setattr("tracehold.llm.near_duplicates.BLOCK", block)
     rows = corpus()
     sets = [shingles(t, size) for _, t in rows]
     linked = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
@@ -69,11 +70,18 @@ def test_near_duplicates(spark, size):
         ids = [rows[j][0] for j in range(len(rows)) if top[j] == top[i] and rows[j][0] is not None]
         component = min(ids) if ids else None
         want.append((doc, len(sets[i]), component, doc is not None and doc == component))
-    got = [tuple(r) for r in near_duplicates(table(spark, rows), words_per_shingle=size).collect()]
+    got = [tuple(r) for r in near_duplicates(table(spark, rows), words_per_shingle=size, family_size=family).collect()]
     key = lambda r: tuple(-1 if x is None else x for x in r)
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_intersections():
+    draw = np.random.default_rng(5)
+    sets = [np.unique(draw.integers(0, 300, n).astype(np.uint64)) for n in (0, 1, 5, 80, 200, 250)]
+    got = common_counts(sets[:3], sets)
+    assert got.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets[:3]]
+
+
 def test_near_duplicates_in_a_chain(spark):
     """Neighbours link, others do not: no hub links them all."""
     words = [f"v{i}" for i in range(400)]

@@ -4,13 +4,15 @@
 2. A sketch has ``BANDS * ROWS`` registers.  A shingle falls into one register; the
    register keeps its smallest value, as the number of leading zeros and ten
    mantissa bits behind the first one bit (16 bits in all).
-3. Each band of registers is a key.  In each group of nodes with one key the
-   smallest node is the hub; only (hub, member) pairs leave a group.
-4. The Jaccard index estimated from the registers, less the agreements that
-   chance explains, drops pairs that are further below the threshold than
-   ``SIGMAS`` standard errors; all others are confirmed on their full sets.
-5. Components are formed.  A group whose members lie in one component is done.  From
-   the others go the pairs across components, until nothing joins any more.
+3. Empty registers repeat the next one in use, then each band of registers is a key.
+   Nodes that share keys, directly or through others, are a family.
+4. Families are joined inside tasks, block by block of at most about ``BLOCK`` nodes, small
+   families many to a task.  The Jaccard index estimated from the registers, less the
+   agreements that chance explains, drops pairs further below the threshold than
+   ``SIGMAS`` standard errors; all others are confirmed on their full sets.  A task gives
+   a spanning forest of its links, never pairs.  A family of more than ``FAMILY`` nodes
+   is not joined as a whole but by each of its keys.
+5. The links' components are the result.
 
 A pair at similarity 0.8 shares no band with a probability below 1e-8; pairs that
 share one are lost only by an estimate ``SIGMAS`` errors off.  Nothing is capped.
@@ -23,7 +25,6 @@ others, a component without any id has a null one; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tracehold.llm.graph import components
+from tracehold.llm.metric_join import forest
 from tracehold.llm.words import SPACE, U64, mix, window_hashes, words
 from tracehold.session import stage
 
@@ -38,6 +40,12 @@ BANDS, ROWS = 48, 5
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 SIGMAS = 6
+#: Places of the bands' registers, one band after the other.
+SPREAD = np.random.default_rng(1).permutation(REGISTERS)
+#: Nodes of a block, and of the largest family that is joined as a whole.
+BLOCK, FAMILY = 256, 20_000
+#: Pairs estimated at once, columns of an incidence matrix, pairs that are few enough to be compared one by one.
+PAIRS, COLUMNS, FEW = 8192, 8192, 500
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -67,14 +75,25 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(registers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of each band with a register in use; one row of registers per node."""
-    bands = registers.reshape(len(registers), BANDS, ROWS).astype(U64)
+def filled(registers: np.ndarray) -> np.ndarray:
+    """Rows of registers whose empty ones repeat the next one in use, around the end; no row is all empty."""
+    n = registers.shape[1]
+    twice = np.concatenate([registers, registers], 1)
+    at = np.where(twice > 0, np.arange(2 * n), 2 * n)
+    at = np.minimum.accumulate(at[:, ::-1], 1)[:, ::-1][:, :n]
+    return np.take_along_axis(twice, at, 1)
+
+
+def band_keys(registers: np.ndarray) -> np.ndarray:
+    """The keys of the bands, a row per row of registers.
+
+    A band's registers lie far apart, so that in a small set they repeat different ones.
+    """
+    bands = filled(registers)[:, SPREAD].reshape(len(registers), BANDS, ROWS).astype(U64)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U64), bands.shape[:2])
     for r in range(ROWS):
         key = mix(key * U64(0x9E3779B97F4A7C15) + bands[:, :, r] + U64(1))
-    row, band = np.nonzero(bands.any(2))
-    return row, key[row, band]
+    return key
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,78 +130,107 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         registers = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
         node = batch.column("node").to_numpy()
-        row, key = band_keys(registers)
-        yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "node": node[row]})
-
-
-def _likely(percent: int):
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
-            n_a, n_b = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            jaccard, error = estimate(a, b, n_a.astype(float), n_b.astype(float))
-            # The smaller set must have at least that share of the larger one.
-            keep = (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)) & (jaccard >= percent / 100 - SIGMAS * error)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
-
-    return likely
+        yield pa.RecordBatch.from_pydict({"key": band_keys(registers).ravel().view(np.int64), "node": np.repeat(node, BANDS)})
 
 
-def _confirm(size: int, percent: int):
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: OrderedDict[int, np.ndarray] = OrderedDict()
-
-        def shingles(node: int, text: pa.Scalar) -> np.ndarray:
-            if node not in recent:
-                recent[node] = next(shingle_sets(pa.array([text.as_py()], pa.large_string()), size))
-                if len(recent) > 64:
-                    recent.popitem(last=False)
-            return recent[node]
+def _texts_of_nodes(size: int):
+    """Rows whose set is the node's: several rows may share an id."""
 
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("ta"), batch.column("tb")):
-                s, t = shingles(a, x), shingles(b, y)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return confirm
-
-
-class _Search:
-    """The nodes, the texts behind them and the pairs seen so far."""
-
-    def __init__(self, nodes: DataFrame, texts: DataFrame, size: int, percent: int):
-        self.nodes, self.texts, self.size, self.percent = nodes, texts, size, percent
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The confirmed ones of ``pairs`` (a, b), by estimate and then by full sets."""
-        n = self.nodes
-        known = pairs.join(n.select(F.col("node").alias("a"), F.col("registers").alias("ra"), F.col("n").alias("na")), "a")
-        known = known.join(n.select(F.col("node").alias("b"), F.col("registers").alias("rb"), F.col("n").alias("nb")), "b")
-        likely = stage(known.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(_likely(self.percent), "a long, b long"), "likely")
-        asked = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-        texts = self.texts_of(asked)
-        full = likely.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        full = full.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        return stage(full.select("a", "b", "ta", "tb").mapInArrow(_confirm(self.size, self.percent), "a long, b long"), "links")
-
-    def texts_of(self, asked: DataFrame) -> DataFrame:
-        """(node, text) of some nodes: the texts of their first rows."""
-        wanted = self.nodes.join(asked, "node").select("node", "doc_id", "print")
-        near = self.texts.join(wanted, self.texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "print", "text")
-        size = self.size
-
-        def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Rows may share an id: keep those whose set is the node's."""
-            for batch in batches:
-                prints = batch.column("print").to_pylist()
-                sets = shingle_sets(batch.column("text"), size)
-                keep = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == p for s, p in zip(sets, prints)]
-                yield batch.select(["node", "text"]).filter(pa.array(keep, pa.bool_()))
-
-        return stage(near.mapInArrow(right, "node long, text string").dropDuplicates(["node"]), "texts")
+            prints = batch.column("print").to_pylist()
+            sets = shingle_sets(batch.column("text"), size)
+            keep = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == p for s, p in zip(sets, prints)]
+            yield batch.select(["node", "registers", "text"]).filter(pa.array(keep, pa.bool_()))
+
+    return texts
+
+
+def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of sets of ``a`` with sets of ``b``, by products of incidence matrices."""
+    sizes = np.array([len(s) for s in [*a, *b]])
+    _, token, times = np.unique(np.concatenate([*a, *b]), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    wanted = np.flatnonzero(times > 1)
+    place = np.full(len(times), -1)
+    place[wanted] = np.arange(len(wanted))
+    token = place[token]
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for low in range(0, len(wanted), COLUMNS):
+        cut = slice(*np.searchsorted(token, [low, low + COLUMNS]))
+        part = np.zeros((len(sizes), min(COLUMNS, len(wanted) - low)), np.float32)
+        part[owner[cut], token[cut] - low] = 1
+        out += part[: len(a)] @ part[len(a) :].T
+    return out.astype(np.int64)
+
+
+def _links(a: list[np.ndarray], b: list[np.ndarray], ra: np.ndarray, rb: np.ndarray, possible: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the possible pairs link."""
+    na, nb = np.array([len(s) for s in a]), np.array([len(s) for s in b])
+    # The smaller set must have at least that share of the larger one.
+    possible = possible & (100 * np.minimum.outer(na, nb) >= percent * np.maximum.outer(na, nb))
+    x, y = np.nonzero(possible)
+    likely = np.zeros(possible.shape, bool)
+    for cut in range(0, len(x), PAIRS):
+        i, j = x[cut : cut + PAIRS], y[cut : cut + PAIRS]
+        jaccard, error = estimate(ra[i], rb[j], na[i].astype(float), nb[j].astype(float))
+        likely[i, j] = jaccard >= percent / 100 - SIGMAS * error
+    rows, columns = np.flatnonzero(likely.any(1)), np.flatnonzero(likely.any(0))
+    linked = np.zeros(possible.shape, bool)
+    if len(rows):
+        both = np.zeros(possible.shape, np.int64)
+        if likely.sum() < FEW:
+            for i, j in zip(*np.nonzero(likely)):
+                both[i, j] = len(np.intersect1d(a[i], b[j], assume_unique=True))
+        else:
+            both[np.ix_(rows, columns)] = common_counts([a[i] for i in rows], [b[j] for j in columns])
+        linked = likely & (100 * both >= percent * (np.add.outer(na, nb) - both))
+    return linked
+
+
+def _join(size: int, percent: int):
+    def join(task: pa.Table) -> pa.Table:
+        left = np.array(task["left"].to_pylist(), bool)
+        own = left.all() and task["i"][0].as_py() == task["j"][0].as_py()
+        rows_a, rows_b = np.flatnonzero(left), np.flatnonzero(left if own else ~left)
+        node, family = task["node"].to_numpy(), task["family"].to_numpy()
+        out = pa.table({"node": pa.array([], pa.int64()), "to": pa.array([], pa.int64())})
+        if len(rows_a) and len(rows_b):
+            sets = list(shingle_sets(task["text"], size))
+            registers = np.frombuffer(b"".join(task["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            possible = family[rows_a][:, None] == family[rows_b][None, :]
+            if own:
+                possible &= np.triu(np.ones(possible.shape, bool), 1)
+            linked = _links([sets[r] for r in rows_a], [sets[r] for r in rows_b], registers[rows_a], registers[rows_b], possible, percent)
+            to_a, to_b = forest(linked | linked.T if own else linked, node[rows_a], node[rows_b])
+            ends, to = np.concatenate([node[rows_a], node[rows_b]]), np.concatenate([to_a, to_b])
+            keep = ends != to
+            out = pa.table({"node": ends[keep], "to": to[keep]})
+        return out
+
+    return join
+
+
+def _family_links(groups: DataFrame, candidates: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (node, to) that span what links inside the groups (family, node)."""
+    sizes = groups.groupBy("family").agg(F.count("*").alias("size"))
+    counts = sizes.agg(F.coalesce(F.sum(F.when(F.col("size") <= BLOCK, F.col("size"))), F.lit(0))).first()
+    packs = max(1, -(-int(counts[0]) // BLOCK))
+    placed = groups.join(sizes, "family").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    placed = placed.withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # Small families share a task; a large one has a task for each two of its blocks.
+    small = F.col("blocks") == 1
+    task = F.when(small, F.pmod(F.xxhash64("family"), F.lit(packs))).otherwise(F.col("family")).alias("task")
+    fields = [task, small.alias("small"), "family", "node"]
+    at, last = F.col("at"), F.col("blocks") - 1
+    after = F.explode(F.when(at <= last, F.sequence(at, last)).otherwise(F.array().cast("array<int>")))
+    before = F.explode(F.when(at > 0, F.sequence(F.lit(0), at - 1)).otherwise(F.array().cast("array<int>")))
+    rows = placed.select(*fields, F.lit(True).alias("left"), at.alias("i"), after.alias("j"))
+    rows = rows.union(placed.select(*fields, F.lit(False).alias("left"), before.alias("i"), at.alias("j")))
+    rows = rows.join(candidates, "node")
+    return stage(rows.groupBy("small", "task", "i", "j").applyInArrow(_join(size, percent), "node long, to long"), "links")
 
 
 def near_duplicates(
@@ -191,6 +239,7 @@ def near_duplicates(
     percent: int = 80,
     doc_id: str = "doc_id",
     text: str = "text",
+    family_size: int = FAMILY,
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept``.
 
@@ -203,23 +252,19 @@ def near_duplicates(
     nodes = stage(
         nodes.select(F.monotonically_increasing_id().alias("node"), "print", "r.doc_id", F.col("r.n_shingles").alias("n"), "r.registers"), "nodes"
     )
-    search = _Search(nodes, texts, words_per_shingle, percent)
-
     keys = nodes.select("node", "registers").mapInArrow(_keys, "key long, node long")
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", "hub")
     shared = stage(keys.join(hubs, "key"), "bands")
-    tested = stage(shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = search.links(tested)
-
-    group = components(links)
-    # Groups that still hold several components: pairs across them that were not tested yet.
-    member = shared.select("key", "node").join(group.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    mixed = member.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    open_rows = stage(member.join(mixed, "key"), "mixed")
-    left, right = open_rows.select("key", F.col("node").alias("x"), F.col("c").alias("cx")), open_rows.select("key", F.col("node").alias("y"), F.col("c").alias("cy"))
-    across = left.join(right, "key").where("cx < cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = search.links(across.join(tested, ["a", "b"], "left_anti"))
-    group = components(links.union(more)) if more.take(1) else group
+    family = stage(components(shared.select("hub", "node")).toDF("node", "family"), "families")
+    wanted = nodes.join(family.select("node"), "node").select("node", F.col("doc_id").alias("d"), "print", "registers")
+    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "print", "registers", "text")
+    candidates = found.mapInArrow(_texts_of_nodes(words_per_shingle), "node long, registers binary, text string").dropDuplicates(["node"])
+    candidates = stage(candidates, "candidates")
+
+    huge = family.groupBy("family").agg(F.count("*").alias("size")).where(F.col("size") > family_size).select("family")
+    whole = family.join(huge, "family", "left_anti").select("family", "node")
+    split = shared.join(family.join(huge, "family").select("node"), "node").select(F.xxhash64("key", F.lit("key")).alias("family"), "node")
+    group = components(_family_links(stage(whole.union(split), "groups"), candidates, words_per_shingle, percent))
 
     whole = nodes.select("node", "print", "doc_id").join(group, "node", "left").withColumn("c", F.coalesce("component", "node"))
     least = whole.groupBy("c").agg(F.min("doc_id").alias("component_id"))

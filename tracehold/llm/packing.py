@@ -7,7 +7,8 @@ packed with almost no loss and small enough for one task.  A group places its
 pieces from long to short.  A piece goes where the sum of squared counts of
 open sequences per residual gap becomes smallest; of a gap's count only what
 exceeds the pieces of that very size still to come is counted, since those
-will close them.  Ties take the smallest gap.
+will close them.  ``OPEN_TOKENS`` tokens left open weigh as much as one square, which
+decides between places of almost the same sum; ties take the smallest gap.
 
 Cases: null and empty texts hold the end id alone; repeated rows and null ids
 are packed like others; an empty table gives no pieces.
@@ -27,6 +28,7 @@ from tracehold.llm.tokens import ID, encoder, tokenizer_file
 from tracehold.session import stage
 
 GROUP_DOCS = 32_768
+OPEN_TOKENS = 16
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -35,7 +37,7 @@ def pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
     count = np.zeros(capacity + 1, np.int64)
     coming = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
-    never = np.iinfo(np.int64).max
+    never, left = np.inf, np.arange(capacity + 1) / OPEN_TOKENS
     sequence, offset, used = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64), 0
     for k, size in enumerate(sizes.tolist()):
         coming[size] -= 1
@@ -44,7 +46,7 @@ def pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
         up = np.where(spare >= 0, 2 * spare + 1, 0)
         down = np.where(spare > 0, 1 - 2 * spare, 0)
         up[0] = down[capacity] = 0
-        cost = down[size:] + up[: capacity + 1 - size]
+        cost = down[size:] + up[: capacity + 1 - size] + left[: capacity + 1 - size]
         closed = count[size:] == 0
         closed[-1] = False
         cost[closed] = never

@@ -20,6 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracehold.operators.anomaly import known
 from tracehold.operators.ordered import numbered
 from tracehold.operators.skew import join_unique
 from tracehold.session import stage
@@ -32,9 +33,9 @@ CELL_SLICE = 100_000  # points of one cell handled by one task
 def scaled(df: DataFrame, fields: list[str], row_id: str, keep: tuple = ()) -> DataFrame:
     """Mean-filled fields divided by their population deviation, as x0, x1, ..."""
     stats = df.agg(
-        *[F.avg(f).alias(f"m{i}") for i, f in enumerate(fields)],
-        *[F.stddev_pop(F.coalesce(F.col(f).cast("double"), F.lit(None).cast("double"))).alias(f"d{i}") for i, f in enumerate(fields)],
-        *[F.count(f).alias(f"n{i}") for i, f in enumerate(fields)],
+        *[F.avg(known(f)).alias(f"m{i}") for i, f in enumerate(fields)],
+        *[F.stddev_pop(known(f)).alias(f"d{i}") for i, f in enumerate(fields)],
+        *[F.count(known(f)).alias(f"n{i}") for i, f in enumerate(fields)],
         F.count("*").alias("n"),
     )
     row = stats.select(F.struct(*stats.columns)).scalar()
@@ -42,7 +43,7 @@ def scaled(df: DataFrame, fields: list[str], row_id: str, keep: tuple = ()) -> D
     for i, f in enumerate(fields):
         # Filling by the mean leaves the sum of squares and adds rows.
         deviation = row[f"d{i}"] * F.sqrt(row[f"n{i}"] / row["n"])
-        value = F.coalesce(F.col(f).cast("double"), row[f"m{i}"]) - row[f"m{i}"]
+        value = F.coalesce(known(f), row[f"m{i}"]) - row[f"m{i}"]
         columns.append((value / F.when(deviation > 0, deviation).otherwise(1.0) + F.lit(0.0)).alias(f"x{i}"))
     return df.select(row_id, *keep, *columns)
 

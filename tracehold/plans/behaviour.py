@@ -254,6 +254,16 @@ def dbscan_anomalies(spark, folder):
     return density.dbscan_anomalies(logs(spark, folder), ["value", "k"], "event_id", 0.25, 10)
 
 
+@query(
+    "isolation_forest_summary",
+    "SELECT 'isolation_forest' AS method, CAST(floor(0.05 * (count(*) - 1)) + 1 AS BIGINT) AS anomalies FROM events",
+)
+def isolation_forest_summary(spark, folder):
+    """The share of rows the quantile cut lets through."""
+    found = forest.isolation_forest_anomalies(logs(spark, folder), ["value", "k"], "event_id")
+    return found.groupBy("method").agg(F.count("*").alias("anomalies"))
+
+
 @query("isolation_forest_anomalies")
 def isolation_forest_anomalies(spark, folder):
     """The five percent easiest to isolate."""

@@ -94,12 +94,19 @@ def anomaly_model(spark, folder):
     return models.load_model(spark, path, "iforest").transform(rows).select("event_id", "anomaly", "anomaly_score")
 
 
-@query("anomaly_model_summary")
+# Scores differ, so the interpolated 5 % quantile has that many rows below it.
+_BELOW = "CAST(floor(0.05 * (count(*) - 1)) + 1 AS BIGINT)"
+
+
+@query(
+    "anomaly_model_summary",
+    f"SELECT count(*) AS total_records, {_BELOW} AS anomaly_count, {r6(_BELOW + ' * 100.0 / count(*)')} AS anomaly_percentage FROM events",
+)
 def anomaly_model_summary(spark, folder):
     """H7: rows, anomalies and percentage."""
     rows = feature_rows(spark, folder)
     model = models.train_anomaly_model(rows, "event_id", ["value", "k"])
-    return models.score_summary(model.transform(rows))
+    return as_text(models.score_summary(model.transform(rows)))
 
 
 def _labelled(spark, folder):
@@ -126,6 +133,18 @@ def classify_events(spark, folder):
     return model.transform(rows).groupBy("event_type", "predicted_class").agg(F.count("*").alias("n"))
 
 
+@query(
+    "classify_known",
+    f"""WITH {LOGS_CTE} SELECT source_type, source_type AS predicted_class, count(*) AS n, TRUE AS sums_to_one FROM logs GROUP BY 1""",
+)
+def classify_known(spark, folder):
+    """H8, H9: a label that the service decides, so every prediction is known; probabilities sum to one."""
+    rows = logs(spark, folder).select("event_id", "value", "k", "service", "source_type")
+    scored = models.train_classifier(rows, "source_type", ["value", "k"], ["service"]).transform(rows)
+    total = sum(F.col(c) for c in scored.columns if c.startswith("prob_"))
+    return scored.groupBy("source_type", "predicted_class").agg(F.count("*").alias("n"), F.min(F.abs(total - 1) < 1e-9).alias("sums_to_one"))
+
+
 @query(
     "list_models",
     f"""SELECT 'iforest' AS name, 'isolation_forest' AS type, '{TRAINED_AT}' AS training_date, count(*) AS training_rows FROM events
@@ -165,13 +184,34 @@ k AS (SELECT g.event_id, g.x, c.cluster FROM g JOIN c USING (run)),
 e AS (SELECT n.event_id, n.service, n.x, k.cluster, last_value(k.x IGNORE NULLS) OVER w AS lx, last_value(k.cluster IGNORE NULLS) OVER w AS lc,
   first_value(k.x IGNORE NULLS) OVER v AS rx, first_value(k.cluster IGNORE NULLS) OVER v AS rc FROM n LEFT JOIN k USING (event_id)
   WINDOW w AS (ORDER BY n.x, n.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), v AS (ORDER BY n.x, n.event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-f AS (SELECT service, coalesce(cluster, least(CASE WHEN x - lx <= 0.1 THEN lc END, CASE WHEN rx - x <= 0.1 THEN rc END), -1) AS cluster FROM e)
-SELECT cluster, service AS value, count(*) AS n FROM f GROUP BY 1, 2"""
+f AS (SELECT event_id, service, coalesce(cluster, least(CASE WHEN x - lx <= 0.1 THEN lc END, CASE WHEN rx - x <= 0.1 THEN rc END), -1) AS cluster FROM e)
+{{}}"""
 
 
-@query("cluster_categories", _LINE)
+@query("cluster_categories", _LINE.format("SELECT cluster, service AS value, count(*) AS n FROM f GROUP BY 1, 2"))
 def cluster_categories(spark, folder):
     """Services per cluster."""
     rows = feature_rows(spark, folder)
     found = models.cluster_events(rows, "event_id", ["value"], eps=0.1, min_samples=5)
     return models.cluster_categories(rows, found, "event_id", "service")
+
+
+@query("cluster_line", _LINE.format("SELECT event_id, CAST(cluster AS BIGINT) AS cluster FROM f"))
+def cluster_line(spark, folder):
+    """The cluster of every event, numbered by first member, -1 for outliers."""
+    rows = feature_rows(spark, folder)
+    return models.cluster_events(rows, "event_id", ["value"], eps=0.1, min_samples=5)
+
+
+@query(
+    "cluster_line_stats",
+    _LINE.format(
+        f"""SELECT CAST(cluster AS BIGINT) AS cluster, count(*) AS size, {r6('avg(value)')} AS value_mean, {r6('stddev_samp(value)')} AS value_std, {r6('min(value)')} AS value_min,
+{r6('max(value)')} AS value_max, {r6('count(*) * 100.0 / (SELECT count(*) FROM logs)')} AS percentage FROM f JOIN logs USING (event_id) GROUP BY 1"""
+    ),
+)
+def cluster_line_stats(spark, folder):
+    """Size, share and statistics of clusters and outliers."""
+    rows = feature_rows(spark, folder)
+    found = stage(models.cluster_events(rows, "event_id", ["value"], eps=0.1, min_samples=5), "clusters")
+    return as_text(models.cluster_stats(rows, found, "event_id", ["value"]))

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracehold.operators.anomaly import known
+from tracehold.operators.graph import components
 from tracehold.operators.ordered import numbered
 from tracehold.operators.skew import join_unique
 from tracehold.session import stage
@@ -253,9 +254,9 @@ class DensityModel:
         edges = self._cell_edges().select(
             node.alias("a"), F.struct(F.col("to_grid").alias("grid"), F.col("to_group").alias("group")).alias("b")
         )
-        components = connected_components(nodes, edges)
+        parts = connected_components(nodes, edges)
         labelled = stage(
-            join_unique(core_spots.withColumn("node", node), components, ["node"], F.struct(*self.xs)).select(
+            join_unique(core_spots.withColumn("node", node), parts, ["node"], F.struct(*self.xs)).select(
                 *self.spot, "node", "component"
             ),
             "cores",
@@ -266,7 +267,7 @@ class DensityModel:
             numbered(firsts, [], ["first_row"], "rank").select("component", (F.col("rank") - 1).alias("cluster")),
             "clusters",
         )
-        cell_numbers = components.join(numbers, "component").select("node", "cluster")
+        cell_numbers = parts.join(numbers, "component").select("node", "cluster")
         touching = self.near.where("dense").select(
             *here, F.struct(F.col("to_grid").alias("grid"), F.col("to_group").alias("group")).alias("node")
         ).unionByName(
@@ -284,29 +285,10 @@ class DensityModel:
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``node, component``: the smallest node of each connected part.
-
-    Every round offers each node, and its parent, the smallest grandparent found
-    next to it, and takes over the parent's parent, so the rounds grow with the
-    logarithm of the longest path.  Rounds are written out; grouped minima keep
-    large components from gathering.
-    """
-    both = stage(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    state = nodes.select("node", F.col("node").alias("parent"))
-    while True:
-        parents = state.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        known = stage(join_unique(state, parents, ["parent"], F.col("node")), "grand")
-        near = both.join(known.select(F.col("node").alias("b"), F.col("grand").alias("offer")), "b")
-        offers = near.groupBy("a").agg(F.min("offer").alias("offer"))
-        offers = offers.join(known.select(F.col("node").alias("a"), "parent"), "a")
-        none = F.lit(None).cast(nodes.schema["node"].dataType)
-        proposals = offers.select(
-            F.explode(F.array("a", "parent")).alias("node"), "offer", none.alias("old")
-        ).unionByName(known.select("node", F.col("grand").alias("offer"), F.col("parent").alias("old")))
-        fresh = stage(proposals.groupBy("node").agg(F.min("offer").alias("parent"), F.min("old").alias("old")), "parents")
-        state = fresh.select("node", "parent")
-        if fresh.where(F.col("parent") != F.col("old")).isEmpty():
-            return state.select("node", F.col("parent").alias("component"))
+    """``node, component``: the smallest node of each connected part, for nodes without edges too."""
+    found = components(edges.select("a", "b"))
+    whole = nodes.join(found, "node", "left")
+    return stage(whole.select("node", F.coalesce("component", "node").alias("component")), "parts")
 
 
 def dbscan_anomalies(df: DataFrame, fields: list[str], row_id: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:

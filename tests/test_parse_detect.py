@@ -272,3 +272,24 @@ def test_rule_tables_equal_compiled_rules(spark):
     few = [r for r in compile_rules(rules, limit=None) if not r.rule_id.startswith("T-") or r.pattern.endswith((".7\\.3", ".255\\.2", ".255\\.22", ".9\\.1", ".0\\.1"))]
     assert got == sorted((r.RULE_ID, r.event_id) for r in detect(logs, few).collect()) and len(got) >= 10
     assert detect_table(logs, rules).columns == detect(logs, few).columns
+
+
+def test_configured_regexes(spark):
+    config = SourceConfig("j", "json", ip_regex=r"fe80::[[:xdigit:]:]+")
+    assert one(spark, '{"message": "from fe80::1:2a to 10.0.0.1"}', config).ip_address == "fe80::1:2a"
+    pairs = SourceConfig("p", "structlog", stamp_regex=r"^<([^>]+)>", pair_regex=r"(\w+):(?:'([^']*)'|([^ ]*))")
+    row = one(spark, "<2024/02/03 04:05:06> user:bob user:'al ice' ip:1.2.3.4 msg:''", pairs)
+    assert (row.timestamp, row.username, row.ip_address) == ("2024/02/03 04:05:06", "al ice", "1.2.3.4") and row.message.startswith("<2024")
+    assert str(row.ts) == "2024-02-03 04:05:06"
+    with pytest.raises(ValueError):
+        one(spark, "x", SourceConfig("p", "structlog", pair_regex=r"(\w+)=x"))
+
+
+def test_json_arrays(spark, tmp_path):
+    from tracehold.sources.logs import load_table
+
+    (tmp_path / "a.json").write_text('[{"RULE_ID": "A-B-1", "SEVERITY": "LOW"},\n {"RULE_ID": "A-B-2", "ip_address": "1.1.1.1"}]')
+    assert [r.RULE_ID for r in read_alerts(spark, str(tmp_path / "a.json"), "json_array").orderBy("RULE_ID").collect()] == ["A-B-1", "A-B-2"]
+    (tmp_path / "t.json").write_text('[{"timestamp": "2024-01-01T00:00:00.5+01:00", "n": 1}, {"timestamp": "never", "n": 2}]')
+    rows = load_table(spark, str(tmp_path / "t.json"), "json_array").orderBy("n").collect()
+    assert str(rows[0].timestamp) == "2023-12-31 23:00:00.500000" and rows[1].timestamp is None

@@ -7,6 +7,7 @@ here shuffles and nothing fails on a bad line.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -65,6 +66,9 @@ class SourceConfig:
         }
     )
     patterns: dict = field(default_factory=dict)
+    ip_regex: str = DOTTED_QUAD
+    stamp_regex: str = STRUCT_STAMP
+    pair_regex: str = KEY_VALUE
     transform: object = None
     extended_user: bool = False
 
@@ -139,8 +143,10 @@ def log_severity(text: Column) -> Column:
     return F.when(square != "", square).otherwise(F.regexp_extract(text, LEVEL_TOKEN, 2))
 
 
-def parse_json(df: DataFrame, source_type: str = "json", json_fields: dict | None = None) -> DataFrame:
-    """Configured (dotted) paths of a JSON line.
+def parse_json(
+    df: DataFrame, source_type: str = "json", json_fields: dict | None = None, ip_regex: str = DOTTED_QUAD
+) -> DataFrame:
+    """Configured (dotted) paths of a JSON line; the address is the first match of ``ip_regex``.
 
     Where a line is no valid JSON object, ``"column":"value"`` pairs named like
     the log columns are searched instead.
@@ -159,7 +165,7 @@ def parse_json(df: DataFrame, source_type: str = "json", json_fields: dict | Non
         if name == "source_type":
             continue
         if name == "ip_address":
-            inside = F.regexp_extract(line, f"({DOTTED_QUAD})", 1)
+            inside = F.regexp_extract(line, to_java(ip_regex), 0)
         elif name in paths:
             top, _, rest = paths[name].partition(".")
             value = F.col("_json")[top]
@@ -170,16 +176,21 @@ def parse_json(df: DataFrame, source_type: str = "json", json_fields: dict | Non
     return assemble(step, source_type, **found).drop("_line", "_json")
 
 
-def parse_structlog(df: DataFrame, source_type: str = "structlog") -> DataFrame:
+def parse_structlog(
+    df: DataFrame, source_type: str = "structlog", stamp_regex: str = STRUCT_STAMP, pair_regex: str = KEY_VALUE
+) -> DataFrame:
     """Leading stamp plus ``key=value`` pairs; the last of a column's aliases wins.
 
-    The message falls back to the line.
+    Group 1 of ``stamp_regex`` is the stamp; groups 1 and 2 (or 3) of ``pair_regex`` are a
+    key and its value.  The message falls back to the line.
     """
+    if pair_regex != KEY_VALUE:
+        return _parse_pairs(df, source_type, stamp_regex, to_java(pair_regex))
     step = df.withColumn("_line", sanitize(F.col("value")))
     # Last pair first, so that the first position found is the one that counts.
     step = step.withColumn("_pairs", F.reverse(F.regexp_extract_all("_line", F.lit(f"({KEY_VALUE})"), F.lit(1))))
     step = step.withColumn("_keys", F.transform("_pairs", lambda pair: F.substring_index(pair, "=", 1)))
-    found = {"timestamp": F.regexp_extract("_line", STRUCT_STAMP, 1)}
+    found = {"timestamp": F.regexp_extract("_line", to_java(stamp_regex), 1)}
     for name, keys in KEY_ALIASES.items():
         places = [F.nullif(F.array_position("_keys", key), F.lit(0)) for key in keys]
         pair = F.get("_pairs", (F.least(*places) if len(places) > 1 else places[0]) - 1)
@@ -191,6 +202,24 @@ def parse_structlog(df: DataFrame, source_type: str = "structlog") -> DataFrame:
     return assemble(step, source_type, **found).drop("_line", "_pairs", "_keys")
 
 
+def _parse_pairs(df: DataFrame, source_type: str, stamp_regex: str, pair_regex: str) -> DataFrame:
+    """Pairs of any configured form, by the groups of their regex."""
+    groups = min(re.compile(pair_regex).groups, 3)
+    if groups < 2:
+        raise ValueError("a pair regex needs a group for the key and one for the value")
+    step = df.withColumn("_line", sanitize(F.col("value")))
+    for g in range(1, groups + 1):
+        step = step.withColumn(f"_g{g}", F.reverse(F.regexp_extract_all("_line", F.lit(pair_regex), F.lit(g))))
+    found = {"timestamp": F.regexp_extract("_line", to_java(stamp_regex), 1)}
+    for name, keys in KEY_ALIASES.items():
+        places = [F.nullif(F.array_position("_g1", key), F.lit(0)) for key in keys]
+        at = (F.least(*places) if len(places) > 1 else places[0]) - 1
+        values = [F.nullif(F.get(f"_g{g}", at), F.lit("")) for g in range(2, groups + 1)]
+        found[name] = F.coalesce(*values, F.lit(""))
+    found["message"] = F.when(found["message"] == "", F.col("_line")).otherwise(found["message"])
+    return assemble(step, source_type, **found).drop("_line", "_g1", "_g2", "_g3")
+
+
 def parse_custom(df: DataFrame, source_type: str, patterns: dict[str, str]) -> DataFrame:
     """Group 1 of each configured regex; the message is the line."""
     line = sanitize(F.col("value"))
@@ -211,9 +240,9 @@ def parse_source(df: DataFrame, config: SourceConfig, default_year: int | None =
     if config.log_format == "syslog":
         rows = parse_syslog(lines, config.source_type, config.extended_user)
     elif config.log_format == "json":
-        rows = parse_json(lines, config.source_type, config.json_fields)
+        rows = parse_json(lines, config.source_type, config.json_fields, config.ip_regex)
     elif config.log_format == "structlog":
-        rows = parse_structlog(lines, config.source_type)
+        rows = parse_structlog(lines, config.source_type, config.stamp_regex, config.pair_regex)
     elif config.log_format == "custom":
         rows = parse_custom(lines, config.source_type, config.patterns)
     else:

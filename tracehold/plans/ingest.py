@@ -102,6 +102,34 @@ def normalized_roundtrip(spark, folder):
     return sources.read_normalized(spark, path).select(*LOG_FIELDS)
 
 
+@query(
+    "parse_configured",
+    f"""WITH {LOGS_CTE} SELECT event_id, strftime(ts, '%Y/%m/%d %H:%M:%S') AS timestamp, username, ip_address, service, hostname, message,
+  {stamp_sql("date_trunc('second', ts)")} AS ts FROM logs WHERE strpos(message, ';') = 0""",
+)
+def parse_configured(spark, folder):
+    """Pairs and stamps of a form that the source configures."""
+    rows = logs(spark, folder).where(~F.col("message").contains(";"))
+    pairs = [F.concat(F.lit(f"{k}:"), F.col(c)) for k, c in (("user", "username"), ("ip", "ip_address"), ("service", "service"), ("host", "hostname"), ("msg", "message"))]
+    line = F.concat_ws(";", F.date_format("ts", "yyyy/MM/dd HH:mm:ss"), *pairs)
+    config = SourceConfig("app", "structlog", stamp_regex=r"^([0-9/]+ [0-9:]+);", pair_regex=r"(?<=;)([a-z]+):([^;]*)")
+    found = parse.parse_source(rows.select("event_id", line.alias("value")), config, DEFAULT_YEAR)
+    return as_text(found.select("event_id", "timestamp", "username", "ip_address", "service", "hostname", "message", "ts"))
+
+
+@query(
+    "source_status",
+    "SELECT r_name AS source_type, CASE WHEN r_regionkey = 4 THEN 'disabled' WHEN r_regionkey % 2 = 0 THEN 'ok' ELSE 'failed' END AS status FROM region",
+)
+def source_status_query(spark, folder):
+    """A2: a source per region: with a file, without one, disabled."""
+    region = table(spark, folder, "region").collect()
+    path = staging_path(spark, "sources")
+    table(spark, folder, "nation").select("n_name").write.text(path)
+    paths = {r.r_name: path if r.r_regionkey % 2 == 0 else f"{path}-none" for r in region}
+    return sources.source_status(spark, [SourceConfig(r.r_name, paths=(paths[r.r_name],), enabled=r.r_regionkey != 4) for r in region])
+
+
 @query(
     "load_table",
     f"SELECT event_id, {stamp_sql('ts')} AS timestamp, round(value, 6) + 0.0 AS value FROM events "

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracehold.functions.times import parse_timestamp
 from tracehold.functions.regexes import to_java
 from tracehold.operators.parse import SourceConfig, parse_source
 from tracehold.schema import ALERT_SCHEMA, LOG_FIELDS, LOG_SCHEMA
@@ -113,15 +114,18 @@ def read_normalized(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_alerts(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """Alerts from .tsv, .csv or .json; empty addresses and users read as null."""
+    """Alerts from .tsv, .csv or .json; empty addresses and users read as null.
+
+    JSON is one object per line, or with the kind ``json_array`` one array per file.
+    """
     kind = kind or path.rstrip("/").rsplit(".", 1)[-1]
     reader = spark.read.schema(ALERT_SCHEMA)
     if kind == "tsv":
         return reader.csv(path, sep="\t", header=True, quote="")
     if kind == "csv":
         return reader.csv(path, header=True)
-    if kind == "json":
-        return reader.json(path)
+    if kind in ("json", "json_array"):
+        return reader.json(path, multiLine=kind == "json_array")
     raise ValueError(f"unsupported file format: {path}")
 
 
@@ -135,10 +139,13 @@ def write_alerts(alerts: DataFrame, path: str) -> None:
         alerts.write.mode("overwrite").csv(path, sep="\t", header=True, quote="", timestampFormat=TEXT_STAMP)
 
 
-def load_table(spark: SparkSession, path: str, kind: str = "csv", time_field: str = "timestamp", schema=None) -> DataFrame:
+def load_table(
+    spark: SparkSession, path: str, kind: str = "csv", time_field: str = "timestamp", schema=None, default_year: int = 1970
+) -> DataFrame:
     """A csv, tsv or json table; values of the time field that do not parse become null.
 
-    A schema spares the extra pass that inference costs.
+    ``json`` is one object per line, ``json_array`` one array per file.  A schema spares
+    the extra pass that inference costs.
     """
     reader = spark.read if schema is None else spark.read.schema(schema)
     infer = schema is None
@@ -146,12 +153,12 @@ def load_table(spark: SparkSession, path: str, kind: str = "csv", time_field: st
         df = reader.csv(path, header=True, inferSchema=infer)
     elif kind == "tsv":
         df = reader.csv(path, header=True, sep="\t", inferSchema=infer)
-    elif kind == "json":
-        df = reader.json(path)
+    elif kind in ("json", "json_array"):
+        df = reader.json(path, multiLine=kind == "json_array")
     else:
         raise ValueError(f"unsupported format: {kind}")
     if time_field in df.columns and df.schema[time_field].dataType.typeName() == "string":
-        df = df.withColumn(time_field, F.try_to_timestamp(F.col(time_field)))
+        df = df.withColumn(time_field, parse_timestamp(F.col(time_field), default_year))
     return df
 
 

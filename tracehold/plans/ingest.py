@@ -175,6 +175,14 @@ def parse_syslog(spark, folder):
     return as_text(rows.select("event_id", *LOG_FIELDS, "ts"))
 
 
+@query("parse_transformed", PARSED_SYSLOG)
+def parse_transformed(spark, folder):
+    """A source's own transform takes the priority off the lines before they are parsed."""
+    lines = syslog_lines(logs(spark, folder)).withColumn("value", F.concat(F.lit("<34>"), "value"))
+    own = SourceConfig("syslog", transform=lambda df: df.withColumn("value", F.regexp_replace("value", "^<[0-9]+>", "")))
+    return as_text(parse.parse_source(lines, own, DEFAULT_YEAR).select("event_id", *LOG_FIELDS, "ts"))
+
+
 def json_lines(rows: DataFrame) -> DataFrame:
     body = F.to_json(
         F.struct(

@@ -322,14 +322,14 @@ def read_attack_catalog(spark, folder):
 
 @query(
     "read_attack_tactics",
-    "SELECT 'TA' || n_nationkey AS tactic_id, n_name AS name, coalesce(n_comment, '') AS description FROM nation",
+    "SELECT 'TA' || n_nationkey AS tactic_id, n_name AS name, lower(n_name) AS description FROM nation",
 )
 def read_attack_tactics(spark, folder):
     """Tactics of bundles, one document and file per region."""
     nation = table(spark, folder, "nation")
     ref = F.array(F.struct(F.concat(F.lit("TA"), F.col("n_nationkey")).alias("external_id")))
     tactic = F.struct(
-        F.lit("x-mitre-tactic").alias("type"), F.col("n_name").alias("name"), F.col("n_comment").alias("description"), ref.alias("external_references")
+        F.lit("x-mitre-tactic").alias("type"), F.col("n_name").alias("name"), F.lower("n_name").alias("description"), ref.alias("external_references")
     )
     bundles = nation.groupBy("n_regionkey").agg(F.collect_list(tactic).alias("objects"))
     path = staging_path(spark, "bundles")

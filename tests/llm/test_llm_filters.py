@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracehold.llm.personal_data import base_spans, find_personal_data, sanitize_documents
 from tracehold.llm.quality import score_quality
-from tracehold.llm.revisits import canonical_url, resolve_revisits
+from tracehold.llm.revisits import canonical_url, read_records, resolve_revisits
 from tracehold.llm.url_rules import host_and_path, judge_urls, match_rules, mine_rules, url_tokens
 
 KEY = lambda r: tuple("" if x is None else str(x) for x in r)
@@ -243,6 +243,29 @@ def test_revisits_of_a_hot_url(spark):
             assert got[i] == (max(earlier)[1] if earlier else None)
 
 
+def test_revisits_of_archive_files(spark, tmp_path):
+    """Records read from plain and gzip files, and resolved."""
+    import gzip
+
+    def record(kind, number, date, http, body=""):
+        block = f"{http}\r\n\r\n{body}"
+        head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{number}>\r\nWARC-Date: {date}\r\nWARC-Target-URI: <http://a.org/x>\r\nContent-Length: {len(block)}"
+        return f"{head}\r\n\r\n{block}\r\n\r\n"
+
+    first = record("response", 1, "2024-01-01T00:00:00Z", 'HTTP/1.1 200 OK\r\nETag: "e"\r\nServer: s\r\nserver: t', "body one\r\n\r\nWARC is a format")
+    again = record("revisit", 2, "2024-01-02T00:00:00Z", 'HTTP/1.1 304 Not Modified\r\nETag: "e"\r\nDate: d')
+    odd = record("request", 3, "never", "GET /x HTTP/1.1\r\nHost: a.org")
+    (tmp_path / "a.warc").write_bytes((odd + again).encode())
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(first.encode()))
+    records = read_records(spark, str(tmp_path)).cache()
+    got = {r.record_id: r for r in records.collect()}
+    assert got["<urn:1>"].headers == {"etag": '"e"', "server": "t"} and got["<urn:1>"].body == "body one\r\n\r\nWARC is a format"
+    assert got["<urn:1>"].status == 200 and got["<urn:1>"].url == "http://a.org/x" and got["<urn:3>"].at is None and len(got) == 3
+    (row,) = resolve_revisits(records).collect()
+    assert (row.record_id, row.response_id, row.outcome) == ("<urn:2>", "<urn:1>", "resolved")
+    assert row.headers == {"etag": '"e"', "server": "t", "date": "d"}
+
+
 def test_canonical_url(spark):
     cases = {"HTTP://WWW2.Ex.org:443/A/b/?": "ex.org/A/b", "ex.org/?fbclid=1&z&a=2": "ex.org?a=2&z", "  https://ex.org#x?y  ": "ex.org", "": ""}
     rows = spark.createDataFrame([(k,) for k in cases], "url string").select("url", canonical_url("url").alias("c")).collect()

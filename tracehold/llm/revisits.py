@@ -16,7 +16,7 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tracehold.session import stage
 
@@ -48,12 +48,49 @@ def merged_headers(base: Column, update: Column) -> Column:
 
 def _plain(headers: Column) -> Column:
     """Lower-case names, the last of equal ones; null is no header."""
-    entries = F.coalesce(F.map_entries(headers), F.array().cast("array<struct<key:string,value:string>>"))
+    return _last_of_each(F.coalesce(F.map_entries(headers), F.array().cast("array<struct<key:string,value:string>>")))
+
+
+def _last_of_each(entries: Column) -> Column:
+    """A map of (key, value) structs in which the last of equal lower-case keys counts."""
     names = F.transform(entries, lambda e: F.lower(e["key"]))
-    last = F.filter(F.transform(entries, lambda e, i: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"), i.alias("i"))), lambda e: ~F.array_contains(F.slice(names, e["i"] + 2, F.greatest(F.size(names), F.lit(1))), e["key"]))
+    placed = F.transform(entries, lambda e, i: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"), i.alias("i")))
+    last = F.filter(placed, lambda e: ~F.array_contains(F.slice(names, e["i"] + 2, F.greatest(F.size(names), F.lit(1))), e["key"]))
     return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
 
 
+def _header_map(block: Column) -> Column:
+    """``name: value`` lines as a map; other lines are passed over."""
+    lines = F.filter(F.split(block, "\r?\n"), lambda x: x.rlike("^[^:\\s]+:"))
+    return _last_of_each(
+        F.transform(lines, lambda x: F.struct(F.substring_index(x, ":", 1).alias("key"), F.trim(x.substr(F.instr(x, ":") + 1, F.length(x))).alias("value")))
+    )
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of WARC files, plain or gzip, in the shape :func:`resolve_revisits` takes, with ``date`` and ``body``.
+
+    A file is cut at version lines behind an empty line, so plain files are split among tasks.  Bodies are
+    read as text.  Records without a type are passed over; ``at`` is null where the
+    date does not parse.
+    """
+    raw = spark.read.text(path, lineSep="\r\n\r\nWARC/1.").where(F.trim("value") != "")
+    # Behind the version's last digit: the record's headers, then the HTTP headers, then the body.
+    parts = F.split(F.regexp_replace("value", r"^(WARC/1\.)?[0-9]\r?\n", ""), "\r?\n\r?\n", 3)
+    rows = raw.select(_header_map(F.get(parts, F.lit(0))).alias("w"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("http"), F.get(parts, F.lit(2)).alias("body"))
+    return rows.where(F.col("w")["warc-type"].isNotNull()).select(
+        F.col("w")["warc-record-id"].alias("record_id"),
+        F.regexp_replace(F.col("w")["warc-target-uri"], "^<|>$", "").alias("url"),
+        F.unix_micros(F.col("w")["warc-date"].try_cast("timestamp")).alias("at"),
+        F.col("w")["warc-type"].alias("kind"),
+        F.regexp_extract("http", r"^HTTP/\S+ ([0-9]{3})", 1).try_cast("int").alias("status"),
+        F.col("w")["warc-payload-digest"].alias("digest"),
+        _header_map(F.col("http")).alias("headers"),
+        F.col("w")["warc-date"].alias("date"),
+        F.regexp_replace("body", r"(\r?\n){2}$", "").alias("body"),
+    )
+
+
 def _tag(headers: Column) -> Column:
     return F.regexp_replace(headers["etag"], "^W/", "")
 

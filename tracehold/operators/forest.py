@@ -65,30 +65,30 @@ class IsolationForest:
     sample_rows: int
     offset: float | None = None
 
-    def score(self, spark, columns: list[Column]) -> Column:
-        """Score of each row: the lower, the easier to isolate (-1 to 0)."""
+    def score(self, spark, values: Column) -> Column:
+        """Score of each row from an array of its values: the lower, the easier to isolate (-1 to 0)."""
         trees = []
         for _, part in self.nodes.sort_values(["tree", "node"]).groupby("tree"):
             trees.append(tuple(part[c].to_numpy() for c in ("feature", "cut", "child", "path")))
         shared = spark.sparkContext.broadcast((trees, float(average_path(self.sample_rows))))
 
         @F.pandas_udf("double")
-        def score(*series: pd.Series) -> pd.Series:
+        def score(rows: pd.Series) -> pd.Series:
             forest, normal = shared.value
-            x = np.column_stack([s.to_numpy(dtype=float) for s in series])
-            total, rows = np.zeros(len(x)), np.arange(len(x))
+            x = np.stack(rows.to_numpy()).astype(float) if len(rows) else np.zeros((0, 1))
+            total, each = np.zeros(len(x)), np.arange(len(x))
             for feature, cut, child, path in forest:
                 at = np.zeros(len(x), dtype=int)
                 while True:
                     inner = feature[at] >= 0
                     if not inner.any():
                         break
-                    right = x[rows, np.maximum(feature[at], 0)] > cut[at]
+                    right = x[each, np.maximum(feature[at], 0)] > cut[at]
                     at = np.where(inner, child[at] + right, at)
                 total += path[at]
             return pd.Series(-np.power(2.0, -total / len(forest) / max(normal, 1e-12)))
 
-        return score(*columns)
+        return score(values)
 
     def to_json(self) -> str:
         body = {"fields": self.fields, "sample_rows": self.sample_rows, "offset": self.offset}
@@ -100,20 +100,21 @@ class IsolationForest:
         return IsolationForest(body["fields"], pd.DataFrame(body["nodes"]), body["sample_rows"], body["offset"])
 
 
-def grow_forest(df: DataFrame, fields: list[str], row_id: str, trees: int = TREES, seed: int = SEED) -> IsolationForest:
+def grow_forest(df: DataFrame, values: Column, fields: list[str], row_id: str, trees: int = TREES, seed: int = SEED) -> IsolationForest:
     """Grow the trees in parallel, each from its own sample of a bounded pool of rows.
 
-    The pool is the ``trees * 256`` rows with the smallest hash of their id, a
+    ``values`` is the array of a row's numbers, named by ``fields``.  The pool is the ``trees * 256`` rows with the smallest hash of their id, a
     uniform sample however large the table is.
     """
     spark = df.sparkSession
     drawn = F.xxhash64(F.lit(seed), F.col(row_id))
-    pool = df.select(*[F.col(f).cast("double").alias(f) for f in fields], drawn.alias("_draw"), F.col(row_id).alias("_id"))
+    pool = df.select(values.cast("array<double>").alias("_x"), drawn.alias("_draw"), F.col(row_id).alias("_id"))
     # Twice the wanted share of all hashes, so that a task sends its part of the pool and not a whole one.
     wanted = trees * SAMPLE_ROWS
     share = min(1.0, (2 * wanted + 1000) / max(1, df.count()))
     pool = pool.where(F.pmod(F.xxhash64("_draw"), F.lit(1 << 30)) <= int(share * (1 << 30)))
-    pool = pool.orderBy("_draw", "_id").limit(wanted).toPandas()[fields].to_numpy(dtype=float)
+    pool = pool.orderBy("_draw", "_id").limit(wanted).toPandas()["_x"].to_numpy()
+    pool = np.stack(pool).astype(float) if len(pool) else np.zeros((0, len(fields)))
     size = min(SAMPLE_ROWS, len(pool))
     shared = spark.sparkContext.broadcast(pool)
 
@@ -142,8 +143,9 @@ def isolation_forest_anomalies(
     if not names:
         raise ValueError("no numeric fields")
     filled = fill_with_mean(df.select(row_id, *names), names)
-    forest = grow_forest(filled, names, row_id, trees, seed)
-    scores = filled.select(row_id, forest.score(df.sparkSession, [F.col(n) for n in names]).alias("score"))
+    values = F.array(*names)
+    forest = grow_forest(filled, values, names, row_id, trees, seed)
+    scores = filled.select(row_id, forest.score(df.sparkSession, values).alias("score"))
     scored = stage(scores, "scores")
     cut = exact_quantile(scored, "score", contamination)
     return scored.where(F.col("score") < F.lit(cut)).select(F.lit("isolation_forest").alias("method"), row_id, "score")

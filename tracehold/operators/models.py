@@ -28,20 +28,15 @@ class AnomalyModel:
     forest: IsolationForest
     config: dict
 
-    def _columns(self, df: DataFrame) -> DataFrame:
-        """Vector entries as columns the forest can score."""
-        vectors = self.features.transform(df, "_v").withColumn("_a", vector_to_array("_v"))
-        names = [f"_x{i}" for i in range(len(self.features.names()))]
-        return vectors.withColumns({n: F.col("_a")[i] for i, n in enumerate(names)}).drop("_v", "_a")
+    def values(self, df: DataFrame) -> DataFrame:
+        """Rows with their vector as the array ``_x``."""
+        return self.features.transform(df, "_v").withColumn("_x", vector_to_array("_v")).drop("_v")
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Rows with ``anomaly_score`` and ``anomaly`` (-1 anomaly, 1 normal)."""
-        names = [f"_x{i}" for i in range(len(self.features.names()))]
-        scored = self._columns(df).withColumn(
-            "anomaly_score", self.forest.score(df.sparkSession, [F.col(n) for n in names])
-        )
+        scored = self.values(df).withColumn("anomaly_score", self.forest.score(df.sparkSession, F.col("_x")))
         flag = F.when(F.col("anomaly_score") < F.lit(self.forest.offset), -1).otherwise(1)
-        return scored.withColumn("anomaly", flag).drop(*names)
+        return scored.withColumn("anomaly", flag).drop("_x")
 
 
 def train_anomaly_model(
@@ -68,10 +63,9 @@ def train_anomaly_model(
             "training_rows": df.count(),
         },
     )
-    names = [f"_x{i}" for i in range(len(features.names()))]
-    rows = stage(model._columns(df).select(row_id, *names), "features")
-    model.forest = grow_forest(rows, names, row_id)
-    scores = stage(rows.select(model.forest.score(df.sparkSession, [F.col(n) for n in names]).alias("s")), "scores")
+    rows = stage(model.values(df).select(row_id, "_x"), "features")
+    model.forest = grow_forest(rows, F.col("_x"), features.names(), row_id)
+    scores = stage(rows.select(model.forest.score(df.sparkSession, F.col("_x")).alias("s")), "scores")
     model.forest.offset = exact_quantile(scores, "s", contamination)
     return model
 

@@ -293,3 +293,14 @@ def test_json_arrays(spark, tmp_path):
     (tmp_path / "t.json").write_text('[{"timestamp": "2024-01-01T00:00:00.5+01:00", "n": 1}, {"timestamp": "never", "n": 2}]')
     rows = load_table(spark, str(tmp_path / "t.json"), "json_array").orderBy("n").collect()
     assert str(rows[0].timestamp) == "2023-12-31 23:00:00.500000" and rows[1].timestamp is None
+
+
+@pytest.mark.parametrize("chunk", [2_000, 2])
+def test_mapping_in_chunks(spark, chunk):
+    from tracehold.operators.mapping import map_rules_to_techniques
+
+    rules = spark.createDataFrame([("R-1", "Brute force login", "password|login failure"), ("R-2", "tiny", "x")], "rule_id string, description string, pattern string")
+    techniques = spark.createDataFrame([("T1", "Brute Force", "guess the password at login", ["a"]), ("T2", "login", None, ["b"]), ("T3", "other", "none", [])], "technique_id string, name string, description string, tactics array<string>")
+    got = [(r.rule_id, r.technique_id, r.score, r["rank"]) for r in map_rules_to_techniques(rules, techniques, chunk).collect()]
+    assert got == [("R-1", "T1", 4, 1)]
+    assert map_rules_to_techniques(rules.limit(0), techniques).count() == 0

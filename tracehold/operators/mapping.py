@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracehold.operators.detect import quoted
+from tracehold.session import stage
 
 TOP = 3
 SHORTEST_KEYWORD = 4
+#: Keywords tested by one plan.
+CHUNK_KEYWORDS = 2_000
 
 
 def rule_keywords(rules: DataFrame) -> DataFrame:
@@ -22,23 +27,25 @@ def rule_keywords(rules: DataFrame) -> DataFrame:
     )
 
 
-def map_rules_to_techniques(rules: DataFrame, techniques: DataFrame, max_keywords: int = 50_000) -> DataFrame:
+def map_rules_to_techniques(rules: DataFrame, techniques: DataFrame, chunk: int = CHUNK_KEYWORDS) -> DataFrame:
     """The best three techniques of a rule by keywords contained in their text, if more than one point.
 
-    Rules are configuration: their distinct keywords are collected (size
-    checked) and tested inside the scan of the techniques, so the containment
-    test needs no join of rules with techniques.
+    The distinct keywords are tested inside the scan of the techniques, ``chunk`` of them in
+    one plan, so the containment test needs no join of rules with techniques.
     """
     keywords = rule_keywords(rules)
-    distinct = [r[0] for r in keywords.select("keyword").distinct().limit(max_keywords + 1).collect()]
-    if len(distinct) > max_keywords:
-        raise ValueError(f"more than {max_keywords} distinct keywords")
+    distinct = stage(keywords.select("keyword").distinct(), "keywords")
+    chunks = max(1, -(-distinct.count() // chunk))
     text = F.lower(F.concat("name", F.lit(" "), F.coalesce("description", F.lit(""))))
-    tests = [f"case when contains(_text, {quoted(k)}) then {quoted(k)} end" for k in sorted(distinct)]
-    parts = [f"array_compact(array({', '.join(tests[i : i + 10])}))" for i in range(0, len(tests), 10)]
-    found = techniques.withColumn("_text", text).select(
-        "technique_id", "name", "tactics", F.expr(f"explode_outer(concat({', '.join(parts)}))").alias("keyword")
-    ).where("keyword is not null")
+    parts = []
+    for k in range(chunks):
+        own = distinct.where(F.pmod(F.xxhash64("keyword"), F.lit(chunks)) == k)
+        tests = [f"case when contains(_text, {quoted(r[0])}) then {quoted(r[0])} end" for r in own.orderBy("keyword").collect()]
+        arrays = [f"array_compact(array({', '.join(tests[i : i + 10])}))" for i in range(0, len(tests), 10)]
+        hits = f"explode_outer(concat({', '.join(arrays)}))" if arrays else "cast(null as string)"
+        found = techniques.withColumn("_text", text).select("technique_id", "name", "tactics", F.expr(hits).alias("keyword"))
+        parts.append(found.where("keyword is not null"))
+    found = reduce(DataFrame.unionByName, parts)
     scores = (
         found.join(keywords, "keyword")
         .groupBy("rule_id", "technique_id")

@@ -33,13 +33,17 @@ def throttle_alerts(
     Ranked twice: within slices of a rule's window first, so that a noisy rule is
     spread over tasks and each slice hands on at most ``count`` alerts.
     """
-    window = F.window("ts", f"{window_seconds} seconds")["start"]
-    slices = F.pmod(F.xxhash64(row_id), F.lit(THROTTLE_SLICES))
-    placed = alerts.where(F.col("ts").isNotNull()).withColumns({"_window": window, "_slice": slices})
-    for keys in (["RULE_ID", "_window", "_slice"], ["RULE_ID", "_window"]):
+    placed = alerts.withColumns(
+        {
+            "_window": F.window("ts", f"{window_seconds} seconds")["start"],
+            "_own": F.when(F.col("ts").isNull(), F.xxhash64(row_id)),  # without a time an alert shares its place with no other
+            "_slice": F.pmod(F.xxhash64(row_id), F.lit(THROTTLE_SLICES)),
+        }
+    )
+    for keys in (["RULE_ID", "_window", "_own", "_slice"], ["RULE_ID", "_window", "_own"]):
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy("ts", row_id))
         placed = placed.withColumn("_rank", rank).where(F.col("_rank") <= count).drop("_rank")
-    return placed.drop("_window", "_slice").unionByName(alerts.where(F.col("ts").isNull()))
+    return placed.drop("_window", "_own", "_slice")
 
 
 def response_candidates(

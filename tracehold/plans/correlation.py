@@ -23,6 +23,7 @@ from tracehold.plans.views import (
     level_sql,
     logs,
     r6,
+    staged_alerts,
     stamp_sql,
     syslog_lines,
     table,
@@ -68,7 +69,7 @@ def correlate_by_ip(spark, folder):
 )
 def ip_group_members(spark, folder):
     """The alerts of each address group."""
-    return correlate.ip_group_members(alerts(spark, folder)).select("ip_address", "event_id", "RULE_ID", "group_size")
+    return correlate.ip_group_members(staged_alerts(spark, folder)).select("ip_address", "event_id", "RULE_ID", "group_size")
 
 
 _RUN_ROWS = f"""SELECT {stamp_sql('s')} AS start_time, {stamp_sql('e')} AS end_time, n AS event_count, {level_name_sql('lv')} AS severity FROM runs WHERE n > 1"""
@@ -87,7 +88,7 @@ SELECT event_id, RULE_ID, {stamp_sql('s')} AS session_start FROM m WHERE n > 1""
 )
 def time_window_members(spark, folder):
     """The alerts of each run."""
-    members = correlate.time_window_members(alerts(spark, folder))
+    members = correlate.time_window_members(staged_alerts(spark, folder))
     return as_text(members.select("event_id", "RULE_ID", "session_start"))
 
 
@@ -125,7 +126,7 @@ def _chain_rows(found: DataFrame) -> DataFrame:
 @query("match_patterns", f"WITH {ALERTS_CTE} " + " UNION ALL ".join(_chain_sql(p) for p in chains.DEFAULT_CHAINS))
 def match_patterns(spark, folder):
     """The two built-in chains."""
-    return _chain_rows(chains.match_patterns(alerts(spark, folder)))
+    return _chain_rows(chains.match_patterns(staged_alerts(spark, folder)))
 
 
 THREE_STEPS = chains.AttackPattern(
@@ -155,7 +156,7 @@ FROM u0 WHERE m = 1 AND epoch_us(mid_ts) - epoch_us(ts) <= 43200000000""",
 )
 def match_patterns_ordered(spark, folder):
     """D3 with steps in time order: three steps, two conditions."""
-    return _chain_rows(chains.match_patterns(alerts(spark, folder), [THREE_STEPS], ordered=True))
+    return _chain_rows(chains.match_patterns(staged_alerts(spark, folder), [THREE_STEPS], ordered=True))
 
 
 def _staged_sql(pattern: correlate.StagedPattern, keys: list[str]) -> str:
@@ -181,7 +182,7 @@ WHERE {' AND '.join(where)}"""
 )
 def multi_stage_attacks(spark, folder):
     """The two built-in multi-stage patterns."""
-    found = correlate.multi_stage_attacks(alerts(spark, folder))
+    found = correlate.multi_stage_attacks(staged_alerts(spark, folder))
     return as_text(found.select("attack_pattern", "ip_address", "username", "event_count", "start_time", "end_time", "severity"))
 
 
@@ -196,7 +197,7 @@ SELECT category, event_count, {r6('m')} AS mean_interval, {r6('s')} AS std_inter
 @query("attack_velocity", _velocity_sql(2.0))
 def attack_velocity(spark, folder):
     """D6 with a loose ratio: the test events are random, so the default finds nothing."""
-    return as_text(correlate.attack_velocity(alerts(spark, folder), ratio=2.0))
+    return as_text(correlate.attack_velocity(staged_alerts(spark, folder), ratio=2.0))
 
 
 @query(
@@ -208,7 +209,7 @@ SELECT 'legacy' AS pattern_name, {stamp_sql('a')} AS start_time, {stamp_sql('c')
 )
 def first_step_chain(spark, folder):
     """The first alert of each prefix."""
-    return as_text(correlate.first_step_chain(alerts(spark, folder), "legacy", ["BF-", "PE-", "DE-"], 86_400))
+    return as_text(correlate.first_step_chain(staged_alerts(spark, folder), "legacy", ["BF-", "PE-", "DE-"], 86_400))
 
 
 @query(
@@ -222,7 +223,7 @@ UNION ALL SELECT 'multi_stage_attack', attack_pattern, event_count, start_time,
 )
 def correlate_all(spark, folder):
     """All correlation results in one shape."""
-    return as_text(correlation_set.correlate_all(alerts(spark, folder)))
+    return as_text(correlation_set.correlate_all(staged_alerts(spark, folder)))
 
 
 # ------------------------------------------------------------ time series
@@ -266,7 +267,7 @@ def activity_spikes(spark, folder):
 )
 def attack_sequences(spark, folder):
     """Sessions with several rule types."""
-    found = timeseries.attack_sequences(alerts(spark, folder))
+    found = timeseries.attack_sequences(staged_alerts(spark, folder))
     return as_text(found.withColumn("rule_types", F.array_join("rule_types", ",")))
 
 

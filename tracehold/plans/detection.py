@@ -20,6 +20,7 @@ from tracehold.plans.views import (
     logs,
     rule_sql,
     sql_text,
+    staged_alerts,
     stamp_sql,
     table,
 )
@@ -338,7 +339,7 @@ WHERE before IS NULL OR epoch_us(ts) - epoch_us(before) > 3600000000""",
 )
 def suppress_duplicates(spark, folder):
     """M1: repeats within an hour dropped."""
-    kept = manage.suppress_duplicates(alerts(spark, folder))
+    kept = manage.suppress_duplicates(staged_alerts(spark, folder))
     return as_text(kept.select("RULE_ID", "ip_address", "username", "event_id", "ts"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracehold.operators import intel, mapping
 from tracehold.operators.rule_tables import detect_table
 from tracehold.plans.registry import query
-from tracehold.plans.views import ALERTS_CTE, LOGS_CTE, alerts, as_text, logs, r6, sql_text, stamp_sql, table
+from tracehold.plans.views import ALERTS_CTE, LOGS_CTE, alerts, as_text, logs, r6, sql_text, stamp_sql, table, staged_alerts
 from tracehold.session import staging_path
 from tracehold.sources import feeds
 from tracehold.functions.regexes import DOMAIN, URL
@@ -177,7 +177,7 @@ FROM alerts a LEFT JOIN fresh i ON i.type = 'ip' AND i.indicator = a.ip_address
 )
 def enrich_alerts(spark, folder):
     """I4: alerts with the verdict on their address or the first malicious domain."""
-    found = intel.enrich_alerts(alerts(spark, folder), indicator_store(spark, folder), AS_OF)
+    found = intel.enrich_alerts(staged_alerts(spark, folder), indicator_store(spark, folder), AS_OF)
     return as_text(found.select("event_id", "RULE_ID", *[c for c in found.columns if c.startswith("threat_intel")]))
 
 

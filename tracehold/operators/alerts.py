@@ -35,7 +35,7 @@ def throttle_alerts(
     """
     placed = alerts.withColumns(
         {
-            "_window": F.window("ts", f"{window_seconds} seconds")["start"],
+            "_window": F.floor(F.unix_micros("ts") / F.lit(window_seconds * 1_000_000)),  # ``window`` would drop a missing time
             "_own": F.when(F.col("ts").isNull(), F.xxhash64(row_id)),  # without a time an alert shares its place with no other
             "_slice": F.pmod(F.xxhash64(row_id), F.lit(THROTTLE_SLICES)),
         }

@@ -48,7 +48,7 @@ def blobs(seed, n, dims, spread):
     return x
 
 
-@pytest.mark.parametrize("seed,dims,eps,minimum", [(1, 1, 0.05, 4), (2, 2, 0.3, 5), (3, 2, 0.15, 12), (4, 3, 0.5, 6), (5, 2, 0.05, 3)])
+@pytest.mark.parametrize("seed,dims,eps,minimum", [(1, 1, 0.05, 4), (2, 2, 0.3, 5), (3, 2, 0.15, 12), (4, 3, 0.5, 6), (5, 2, 0.05, 3), (6, 6, 1.0, 4)])
 def test_clusters_like_plain_dbscan(spark, seed, dims, eps, minimum):
     x = blobs(seed, 260, dims, 0.3)
     want = plain_dbscan(x, eps, minimum)

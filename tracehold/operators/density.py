@@ -26,7 +26,7 @@ from tracehold.operators.ordered import numbered
 from tracehold.operators.skew import join_unique
 from tracehold.session import stage
 
-MAX_DIMENSIONS = 4
+STEERED = 4  # axes along which neighbouring cells are looked up; the others are compared
 BOX_CUT = 4  # parts per axis a box is cut into
 CELL_SLICE = 100_000  # points of one cell handled by one task
 
@@ -57,8 +57,8 @@ class DensityModel:
     """
 
     def __init__(self, points: DataFrame, row_id: str, dims: int, eps: float, min_samples: int, cats: bool = False):
-        if not 1 <= dims <= MAX_DIMENSIONS:
-            raise ValueError(f"density clustering takes 1 to {MAX_DIMENSIONS} numeric fields")
+        if dims < 1:
+            raise ValueError("density clustering needs a numeric field")
         self.points, self.row_id, self.dims, self.eps, self.min_samples = points, row_id, dims, eps, min_samples
         self.xs = [f"x{i}" for i in range(dims)]
         self.spot = self.xs + (["cats"] if cats else [])
@@ -96,21 +96,26 @@ class DensityModel:
 
     def _neighbour_cells(self, cells: DataFrame) -> DataFrame:
         """Pairs of existing cells that can hold points within eps: (grid, group, to_grid, to_group, slices)."""
-        reach = math.ceil(math.sqrt(self.dims))
+        reach, steered = math.ceil(math.sqrt(self.dims)), min(self.dims, STEERED)
         steps = [
             o
-            for o in itertools.product(range(-reach, reach + 1), repeat=self.dims)
+            for o in itertools.product(range(-reach, reach + 1), repeat=steered)
             if sum((max(abs(v) - 1, 0) * self.side) ** 2 for v in o) <= self.eps**2
         ]
         offsets = F.array(*[F.array(*[F.lit(v).cast("long") for v in o]) for o in steps])
         moved = cells.select("grid", "group", F.explode(offsets).alias("o")).select(
-            "grid", "group", F.zip_with("grid", "o", lambda g, o: g + o).alias("to_grid")
+            "grid", "group", F.zip_with(F.slice("grid", 1, steered), "o", lambda g, o: g + o).alias("steer")
+        )
+        other = self.cells.select(
+            F.slice("grid", 1, steered).alias("steer"), F.col("grid").alias("to_grid"), F.col("group").alias("to_group"), "slices", "n"
         )
-        other = self.cells.select(F.col("grid").alias("to_grid"), F.col("group").alias("to_group"), "slices", "n")
         if self.eps < 1:  # a different category alone is already a distance of one
-            moved = moved.withColumn("to_group", F.col("group"))
-            return moved.join(other, ["to_grid", "to_group"])
-        return moved.join(other, "to_grid")
+            met = moved.withColumn("to_group", F.col("group")).join(other, ["steer", "to_group"])
+        else:
+            met = moved.join(other, "steer")
+        apart = F.zip_with("grid", "to_grid", lambda g, o: F.pow(F.greatest(F.abs(g - o) - 1, F.lit(0)) * self.side, F.lit(2.0)))
+        near = F.aggregate(apart, F.lit(0.0), lambda total, v: total + v) <= self.eps**2
+        return (met.where(near) if steered < self.dims else met).drop("steer")
 
     def _near(self) -> None:
         """Per sparse point and neighbouring cell: how many points are within eps."""

@@ -9,7 +9,7 @@ from tracehold.functions.regexes import DOMAIN, URL
 from tracehold.operators import intel, mapping
 from tracehold.operators.rule_tables import detect_table
 from tracehold.plans.registry import query
-from tracehold.plans.views import ALERTS_CTE, LOGS_CTE, alerts, as_text, logs, r6, sql_text, stamp_sql, table, staged_alerts
+from tracehold.plans.views import ALERTS_CTE, LOGS_CTE, as_text, logs, r6, sql_text, staged_alerts, stamp_sql, table
 from tracehold.session import staging_path
 from tracehold.sources import feeds
 from tracehold.sources.rules import bundled_rule_lines, bundled_rules, parse_rules

@@ -25,6 +25,8 @@ from tracehold.sources.rules import compile_rules
 #: Lengths of the substrings rules are filed under, longest first, and rules of one compiled plan.
 GRAMS = (10, 6, 3)
 CHUNK = 500
+#: Keys of a few dozen bytes each that are broadcast at most.
+BROADCAST_KEYS = 500_000
 
 
 def _filed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -39,29 +41,30 @@ def _filed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rules.assign(java=[to_java(p) for p in rules["pattern"]], java_negative=[to_java(p) for p in rules["negative_pattern"]], keys=keys)
 
 
-def _grams(line: Column) -> Column:
-    """The distinct substrings of a line of all lengths in use."""
-
-    def of(size: int) -> Column:
-        starts = F.when(F.length(line) >= size, F.sequence(F.lit(1), F.length(line) - size + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.substring(line, i, F.lit(size)))
-
-    return F.array_distinct(F.concat(*[of(g) for g in GRAMS]))
+def _grams(line: Column, sizes: list[int]) -> Column:
+    """The substrings of a line of the given lengths, by a search that looks ahead at every character."""
+    return F.concat(*[F.regexp_extract_all(line, F.lit(rf"(?=([\s\S]{{{n}}}))"), F.lit(1)) for n in sizes])
 
 
 def detect_table(logs: DataFrame, rules: DataFrame, row_id: str = "event_id", field_base: int = 0) -> DataFrame:
     """Alerts as :func:`detect` gives them, for ``rules`` as :func:`parse_rules` returns them.
 
-    Only ids, lines and rules meet in the join; a line that is found joins its row back by
-    ``row_id``, which must be unique.
+    Ids and substrings meet the rules first; a row with such a pair joins it back by
+    ``row_id``, which must be unique, and is tested.
     """
     schema = rules.schema.simpleString()[len("struct<") : -1] + ",java:string,java_negative:string,keys:array<string>"
     filed = stage(rules.mapInPandas(_filed, schema).withColumn("_n", F.monotonically_increasing_id()), "rules")
     names = F.array(*[F.coalesce(F.col(c), F.lit("")) if c in logs.columns else F.lit("") for c in LOG_FIELDS])
+    keyed = filed.select("_n", F.explode("keys").alias("_gram"))
+    by_size = keyed.groupBy(F.length("_gram").alias("size")).agg(F.count("*").alias("n")).collect()  # of GRAMS, so three rows at most
+    sizes = [r.size for r in by_size]
+    if sum(r.n for r in by_size) <= BROADCAST_KEYS:
+        keyed = F.broadcast(keyed)  # else both sides are shuffled by substring
+    grams = logs.select(F.col(row_id).alias("_id"), F.explode(_grams(whole_line(logs), sizes or [1])).alias("_gram"))
+    near = grams.join(keyed, "_gram").select("_id", "_n").distinct()
     lines = logs.select(F.col(row_id).alias("_id"), names.alias("_values"), whole_line(logs).alias("_line"))
-    grams = lines.select("_id", "_values", "_line", F.explode(_grams(F.col("_line"))).alias("_gram"))
-    keyed = filed.select("_n", "rule_id", "severity", "description", "fields", "java", "java_negative", F.explode("keys").alias("_gram"))
-    pairs = grams.join(keyed, "_gram")
+    tests = filed.select("_n", "rule_id", "severity", "description", "fields", "java", "java_negative")
+    pairs = near.join(tests, "_n").join(lines, "_id")
     line, java, negative = F.col("_line"), F.col("java"), F.col("java_negative")
 
     def holds(i: Column) -> Column:

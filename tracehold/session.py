@@ -43,14 +43,13 @@ def staging_root(spark: SparkSession) -> str:
     """Folder for this application's staged tables, below ``spark.checkpoint.dir``.
 
     On a cluster that setting names a folder all executors share and is required.  A
-    local session without it gets one below its warehouse, set once for the session.
+    local session without it uses one below its warehouse.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/tracehold/{spark.sparkContext.applicationId}"
 
 

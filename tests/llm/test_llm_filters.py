@@ -85,6 +85,18 @@ def test_revealing_terms(spark):
     assert all("term" not in found[200 + i] for i in range(9)) and all(not found[i] for i in range(80))
 
 
+def test_counts_are_of_all_documents(spark):
+    """Documents without any find count too, so a term may stand in some of them and one value in all others."""
+    rows = [(i, f"plain words number{i}") for i in range(10_000)]
+    rows += [(20_000 + i, f"a{i}x span b{i}x boss@firm.org c{i}x") for i in range(10)] + [(21_000 + i, f"span alone d{i}x") for i in range(8)]
+    some = rows + [(30_000 + i, f"e{i}x me{i}@host.org f{i}x") for i in range(390)]
+    for docs, n in ((some, 10_408), (rows, 10_018)):
+        assert len(docs) == n
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        terms = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("term")] for r in find_personal_data(df).where("terms is not null").collect()}
+        assert set(terms) == set(range(20_000, 20_010)) and all(t == ["term:4:8"] for t in terms.values())
+
+
 def graded(n=900, seed=2):
     draw = random.Random(seed)
     words = [f"w{draw.randint(0, 10**6)}" for _ in range(300)] + ["the", "of", "and"] * 40

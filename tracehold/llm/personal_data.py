@@ -170,7 +170,7 @@ def revealing_terms(texts: DataFrame, found: DataFrame, contexts: int, disclosur
     if hashed.count() <= BROADCAST_TERMS:
         wanted = texts.sparkSession.sparkContext.broadcast(np.sort(np.append(np.array([r.hash for r in hashed.select("hash").collect()], np.int64).view(U64), U64(0))))
     counts = texts.select("text").mapInArrow(_document_counts(wanted), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n_term"))
-    total = F.lit(float(found.count()))
+    total = F.lit(float(texts.count()))
     information = F.log(total / F.col("n_value"))
     shared = F.log(total * F.col("n_both") / (F.col("n_term") * F.col("n_value")))
     scored = pairs.join(hashed, "term").join(counts, "hash").join(values, "value")

@@ -75,6 +75,16 @@ def test_near_duplicates(spark, monkeypatch, size, family, block):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_near_duplicates_of_few_words(spark):
+    """Pairs that share 4 of 5 or 8 of 10 shingles, each pair by itself."""
+    rows = []
+    for k in range(2000):
+        words = [f"p{k}w{i}" for i in range(5 if k % 2 else 10)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: len(words) * 4 // 5]))]
+    got = {r.doc_id: r.component_id for r in near_duplicates(table(spark, rows), words_per_shingle=1).collect()}
+    assert [d for d, c in got.items() if c != d - d % 2] == []
+
+
 def test_intersections():
     draw = np.random.default_rng(5)
     sets = [np.unique(draw.integers(0, 300, n).astype(np.uint64)) for n in (0, 1, 5, 80, 200, 250)]

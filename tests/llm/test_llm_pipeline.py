@@ -71,6 +71,25 @@ def test_stages(spark, folder):
     assert sorted(map(key, result.collect())) == sorted(map(key, outs[5].collect()))
 
 
+def test_one_row_of_each_group(spark):
+    """Repeated rows, ids that texts share, null ids beside ids and alone: rows are counted, not ids."""
+    from tracehold.llm.stages import keep_one_of_each_group
+
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    rows = [(1, a), (1, a), (1, a + " end"), (None, a), (7, a)]
+    rows += [(None, b), (None, b), (None, b + " end"), (None, c), (2, d), (2, e), (3, e)]
+    rows += [(4, None), (4, None), (None, None), (5, ""), (1, ""), (None, " ")]
+    table = [(i, t, "en", s, 0) for s, (i, t) in zip("zyxwvutsrqponmlkji", rows)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars int")
+    got = [(r.doc_id, r.text, r.source) for r in keep_one_of_each_group(spark, docs, "").collect()]
+    texts = lambda x: [(i, s) for i, t, s in got if (t or "").startswith(x + "0")]
+    assert [i for i, _ in texts("a")] == [1] and [i for i, _ in texts("b")] == [None] and [i for i, _ in texts("c")] == [None]
+    assert [i for i, _ in texts("d")] == [2] and [i for i, _ in texts("e")] == [2]
+    assert texts("a")[0][1] in "yx" and texts("b")[0][1] in "ts"
+    empty = [(i, t) for i, t, _ in got if not (t or "").strip()]
+    assert sorted(map(str, empty)) == sorted(map(str, rows[-6:])) and len(got) == 11
+
+
 def test_empty_tables(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for name, function in corpus_pipeline.STAGES:

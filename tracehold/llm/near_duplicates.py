@@ -128,8 +128,8 @@ def _sketches(size: int):
                 prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 registers.append(sketch(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(registers, pa.binary())],
-                ["doc_id", "n_shingles", "print", "registers"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(registers, pa.binary())],
+                ["doc_id", "mark", "n_shingles", "print", "registers"],
             )
 
     return sketches
@@ -242,20 +242,11 @@ def _family_links(groups: DataFrame, candidates: DataFrame, size: int, percent:
     return stage(rows.groupBy("small", "task", "i", "j").applyInArrow(_join(size, percent), "node long, to long"), "links")
 
 
-def near_duplicates(
-    docs: DataFrame,
-    words_per_shingle: int = 5,
-    percent: int = 80,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    family_size: int = FAMILY,
-) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept``.
-
-    Texts link when 100 * intersection >= ``percent`` * union of their sets of word shingles.
-    """
+def _components(docs: DataFrame, size: int, percent: int, doc_id: str, text: str, family_size: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, mark, n_shingles, print) of ``docs``, ``mark`` the text's ``xxhash64``, and nodes (print, doc_id, c) with their component ``c``."""
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = texts.mapInArrow(_sketches(words_per_shingle), "doc_id long, n_shingles long, print binary, registers binary")
+    marked = texts.withColumn("mark", F.xxhash64("text"))
+    rows = marked.mapInArrow(_sketches(size), "doc_id long, mark long, n_shingles long, print binary, registers binary")
     rows = stage(rows, "sketches")
     nodes = rows.where("print is not null").groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "n_shingles", "registers")).alias("r"))
     nodes = stage(
@@ -267,15 +258,30 @@ def near_duplicates(
     family = stage(components(shared.select("hub", "node")).toDF("node", "family"), "families")
     wanted = nodes.join(family.select("node"), "node").select("node", F.col("doc_id").alias("d"), "print", "registers")
     found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "print", "registers", "text")
-    candidates = found.mapInArrow(_texts_of_nodes(words_per_shingle), "node long, registers binary, text string").dropDuplicates(["node"])
+    candidates = found.mapInArrow(_texts_of_nodes(size), "node long, registers binary, text string").dropDuplicates(["node"])
     candidates = stage(candidates, "candidates")
 
     huge = family.groupBy("family").agg(F.count("*").alias("size")).where(F.col("size") > family_size).select("family")
     whole = family.join(huge, "family", "left_anti").select("family", "node")
     split = shared.join(family.join(huge, "family").select("node"), "node").select(F.xxhash64("key", F.lit("key")).alias("family"), "node")
-    group = components(_family_links(stage(whole.union(split), "groups"), candidates, words_per_shingle, percent))
-
+    group = components(_family_links(stage(whole.union(split), "groups"), candidates, size, percent))
     whole = nodes.select("node", "print", "doc_id").join(group, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    return rows, whole.select("print", "doc_id", "c")
+
+
+def near_duplicates(
+    docs: DataFrame,
+    words_per_shingle: int = 5,
+    percent: int = 80,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    family_size: int = FAMILY,
+) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept``.
+
+    Texts link when 100 * intersection >= ``percent`` * union of their sets of word shingles.
+    """
+    rows, whole = _components(docs, words_per_shingle, percent, doc_id, text, family_size)
     least = whole.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     found = whole.join(least, "c").select(F.col("print").alias("p"), "component_id")
     out = rows.select("doc_id", "n_shingles", "print").join(found, F.col("print") == F.col("p"), "left")
@@ -283,3 +289,28 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     )
+
+
+def keep_one_row(
+    docs: DataFrame,
+    words_per_shingle: int = 5,
+    percent: int = 80,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    family_size: int = FAMILY,
+) -> DataFrame:
+    """Exactly one row of ``docs`` per component: least id (null last), then least ``xxhash64`` of the text, then least row.
+
+    Rows without shingles are their own component, so all of them stay.  Columns must have an order.
+    """
+    rows, whole = _components(docs, words_per_shingle, percent, doc_id, text, family_size)
+    nodes = whole.select(F.col("print").alias("p"), "c")
+    keys = rows.join(nodes, F.col("print") == F.col("p")).groupBy("c", "doc_id", "mark").agg(F.count("*").alias("copies"))
+    least = keys.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "mark", "copies")).alias("k"))
+    kept = least.select(F.col("k.doc_id").alias("__doc"), F.col("k.mark").alias("__mark"), F.col("k.copies").alias("__copies"))
+    none = rows.where("print is null").select("doc_id", "mark", F.lit(1).cast("long")).distinct()
+    same = docs[doc_id].cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(docs[text]) == F.col("__mark"))
+    found = stage(docs.join(stage(kept.union(none), "kept"), same), "survivors")
+    # Few rows repeat both id and text; only they are gathered.
+    again = found.where("__copies > 1").groupBy("__doc", "__mark").agg(F.min(F.struct(*docs.columns)).alias("r"))
+    return found.where("__copies = 1").select(*docs.columns).union(again.select("r.*"))

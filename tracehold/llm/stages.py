@@ -25,14 +25,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
-    from tracehold.llm.near_duplicates import near_duplicates
+    """Of each group of near duplicates one row: the smallest id, null ids last, ties by the text's hash."""
+    from tracehold.llm.near_duplicates import keep_one_row
 
     prepared(spark)
-    groups = near_duplicates(docs, words_per_shingle=SHINGLE_WORDS)
-    # A null id equals no component; such a row goes only where it has a near duplicate with an id.
-    kept = groups.where("kept or (doc_id is null and component_id is null)").select("doc_id", "component_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    return keep_one_row(docs, words_per_shingle=SHINGLE_WORDS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

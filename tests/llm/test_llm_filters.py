@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tracehold.llm.personal_data import base_spans, find_personal_data, sanitize_documents
@@ -97,6 +98,29 @@ def test_counts_are_of_all_documents(spark):
         assert set(terms) == set(range(20_000, 20_010)) and all(t == ["term:4:8"] for t in terms.values())
 
 
+@pytest.mark.parametrize("broadcast", [2_000_000, 0])
+def test_terms_far_from_the_value(spark, monkeypatch, broadcast):
+    """A name in the heading, the address in the footer; every occurrence goes, also past other finds."""
+    monkeypatch.setattr("tracehold.llm.personal_data.BROADCAST_TERMS", broadcast)
+    draw = random.Random(5)
+    prose = lambda: " ".join(draw.choices([f"word{i}" for i in range(30)], k=20))
+    rows = [(i, prose()) for i in range(80)]
+    rows += [(100 + i, f"É Zorblax heads {prose()} zorblax {prose()}, 4111 1111 1111 1111 boss@firm.org") for i in range(6)]
+    rows += [(200 + i, f"Copied {' '.join(f'c{k}' for k in range(30))} solo@firm.org") for i in range(9)]
+    found = {r.doc_id: r.spans for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        named = [t[int(a) : int(b)] for kind, a, b in (s.split(":") for s in found[i].split(",") if s) if kind == "term"]
+        assert named == (["É", "Zorblax", "heads", "zorblax"] if 100 <= i < 200 else [])
+
+
+def test_words_around_a_find():
+    from tracehold.llm.personal_data import surroundings
+
+    text = "a b c 4111 1111 1111 1111 x@y.org d e"
+    spans = base_spans(text)
+    assert [t for v, t, *_ in surroundings(text, spans, 3) if v.startswith("0")] == ["a", "b", "c", "d", "e"]
+
+
 def graded(n=900, seed=2):
     draw = random.Random(seed)
     words = [f"w{draw.randint(0, 10**6)}" for _ in range(300)] + ["the", "of", "and"] * 40

@@ -1,14 +1,16 @@
 """Personal data: four patterns, and the terms that give a protected value away.
 
-The patterns find addresses and numbers.  Of the words around each find the corpus
-tells how much they reveal: a term discloses a value ``e`` by
+The patterns find addresses and numbers.  Of the words of the documents with a find the
+corpus tells how much they reveal: a term discloses a value ``e`` by
 
     PMI(t, e) / IC(e) = log(N n(t, e) / (n(t) n(e))) / log(N / n(e))
 
 with n counting documents, all of them.  It is 1 for a term that never stands
 without the value.  Terms at ``DISCLOSURE`` or more, seen with the value in at least
-``CONTEXTS`` different surroundings (so not only in copies), are spans of kind ``term``
-wherever they surround that value; sanitizing generalises them like the values.
+``CONTEXTS`` documents of different words or, within ``AROUND`` words of it, different
+surroundings (so not only in copies), are spans of kind ``term`` wherever they stand in
+documents of that value; sanitizing generalises them like the values.  Documents that
+differ in one word are different, so near copies should go first, as in the pipeline.
 
 Cases: null and empty texts have no spans; rows sharing an id each have their own;
 repeated rows count like any documents, though copies are one surrounding; an empty
@@ -90,16 +92,26 @@ def value(text: str, span: tuple[int, int, int]) -> str:
     return f"{kind}:" + (text[a:b].lower() if kind < 2 else re.sub("[^0-9]", "", text[a:b]))
 
 
+def outside(start: np.ndarray, end: np.ndarray, taken: list[tuple[int, int]]) -> np.ndarray:
+    """Which words overlap none of the spans, which are in order."""
+    if not taken:
+        return np.ones(len(start), bool)
+    begins, ends = np.array(taken, np.int64).T
+    before = np.searchsorted(begins, end, "left")
+    return np.append(0, np.maximum.accumulate(ends))[before] <= start
+
+
 def surroundings(text: str, spans: list[tuple[int, int, int]], around: int) -> list[tuple[str, str, str, int, int]]:
-    """(value, term, digest of the surrounding, start, end) of the words next to each span, spans left out."""
+    """(value, term, digest of the surrounding, start, end) of the nearest words outside of all spans."""
     out = []
     free = [(m.start(), m.end()) for m in TERM.finditer(text.translate(LOWERED))]
-    starts = np.array([a for a, _ in free])
     taken = [(a, b) for a, _, b in spans]
+    at = np.array(free, np.int64).reshape(-1, 2)
+    free = [free[k] for k in np.flatnonzero(outside(at[:, 0], at[:, 1], taken)).tolist()]
+    starts = np.array([a for a, _ in free])
     for span in spans:
         i, j = np.searchsorted(starts, [span[0], span[2]]).tolist()
-        near = [free[k] for k in [*range(max(0, i - around), i), *range(j, min(len(free), j + around))]]
-        near = [(a, b) for a, b in near if not any(a < y and x < b for x, y in taken)]
+        near = [*free[max(0, i - around) : i], *free[j : j + around]]
         own = [text[a:b].translate(LOWERED) for a, b in near]
         digest = hashlib.blake2b("\0".join(own).encode(), digest_size=8).hexdigest()
         out += [(value(text, span), t, digest, a, b) for t, (a, b) in zip(own, near)]
@@ -110,27 +122,108 @@ def _find(around: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = pa.list_(pa.struct([("value", pa.string()), ("term", pa.string()), ("surrounding", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            spans, around_them = [], []
+            spans, around_them, values, prints, held = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = base_spans(text) if text else []
                 spans.append(found)
                 around_them.append([dict(zip(("value", "term", "surrounding", "start", "end"), x)) for x in surroundings(text, found, around)] if found else [])
+                values.append(sorted({value(text, x) for x in found}))
+                prints.append(_words_print(text, found) if found else None)
+                held.append(text if found else None)
             counts = [pa.array([sum(k == kind for _, k, _ in s) for s in spans], pa.int64()) for kind in range(4)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("print"), *counts, pa.array(map(spelled, spans), pa.string()), pa.array(around_them, near)],
-                ["doc_id", "print", "n_email", "n_ip", "n_card", "n_phone", "base", "near"],
+                [batch.column("doc_id"), batch.column("print"), *counts, pa.array(map(spelled, spans), pa.string()), pa.array(around_them, near), pa.array(values, pa.list_(pa.string())), pa.array(prints, pa.binary()), pa.array(held, pa.string())],
+                ["doc_id", "print", "n_email", "n_ip", "n_card", "n_phone", "base", "near", "values", "words", "text"],
             )
 
     return find
 
 
-_FOUND = "doc_id long, print long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<value:string,term:string,surrounding:string,start:int,end:int>>"
+_FOUND = "doc_id long, print long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<value:string,term:string,surrounding:string,start:int,end:int>>, values array<string>, words binary, text string"
+
+
+def _words_print(text: str, spans: list[tuple[int, int, int]]) -> bytes:
+    """Digest of a document's words outside of its finds."""
+    lowered = text.translate(LOWERED)
+    at = np.array([(m.start(), m.end()) for m in TERM.finditer(lowered)], np.int64).reshape(-1, 2)
+    at = at[outside(at[:, 0], at[:, 1], [(a, b) for a, _, b in spans])]
+    return hashlib.blake2b("\0".join(lowered[a:b] for a, b in at.tolist()).encode(), digest_size=16).digest()
+
+
+def free_words(texts: pa.Array, bases: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, hashes, starts, ends in code points) of each text's words outside of the finds in ``bases``."""
+    for w in words(texts, NOT_ALNUM, lower=True):
+        hashes, bound = w.hashes(), w.offset.tolist()
+        for i in range(w.n):
+            low, high = w.text[i], w.text[i + 1]
+            # Code points before each byte.
+            points = np.append(0, np.cumsum((w.data[low:high] & 0xC0) != 0x80))
+            own = slice(bound[i], bound[i + 1])
+            start, end = points[w.start[own] - low], points[w.end[own] - low]
+            taken = [tuple(map(int, x.split(":")[1:])) for x in bases[w.first + i].split(",") if x]
+            free = outside(start, end, taken)
+            yield w.first + i, hashes[own][free], start[free], end[free]
+
+
+#: Pairs of a value and a term that a task holds at once.
+PAIRS = 1 << 20
+
+
+def _free_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, n): documents of the batch that have the term."""
+    for batch in batches:
+        each = [np.unique(h) for _, h, _, _ in free_words(batch.column("text"), batch.column("base").to_pylist())]
+        found, n = np.unique(np.concatenate([np.zeros(0, U64), *each]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
+
+
+def _value_terms(known):
+    """(v, hash, new) of each value and term of a document; ``known`` has the terms' counts, if few enough, to leave out what the bound excludes."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = None if known is None else known.value
+        out, size = [], 0
+
+        def flush():
+            v, h, f = (np.concatenate(x) for x in zip(*out))
+            return pa.RecordBatch.from_arrays([pa.array(v), pa.array(h.view(np.int64)), pa.array(f)], ["v", "hash", "new"])
+
+        for batch in batches:
+            held = batch.column("held").to_pylist()
+            for i, hashes, _, _ in free_words(batch.column("text"), batch.column("base").to_pylist()):
+                hashes, n = np.unique(hashes), None
+                if table is not None:
+                    at = np.searchsorted(table[0], hashes).clip(0, max(0, len(table[0]) - 1))
+                    keep = table[0][at] == hashes if len(table[0]) else np.zeros(len(hashes), bool)
+                    hashes, n = hashes[keep], table[1][at[keep]] if len(table[0]) else None
+                for x in held[i]:
+                    own = hashes if n is None else hashes[n <= x["bound"]]
+                    out.append((np.full(len(own), x["v"], np.int64), own, np.full(len(own), x["new"], np.int64)))
+                    size += len(own)
+                    if size >= PAIRS or len(out) >= PAIRS >> 4:
+                        yield flush()
+                        out, size = [], 0
+        if out:
+            yield flush()
+
+    return pairs
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, terms): where the terms of ``hashes`` stand."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    for batch in batches:
+        wanted, terms = batch.column("hashes").to_pylist(), []
+        for i, hashes, start, end in free_words(batch.column("text"), batch.column("base").to_pylist()):
+            keep = np.isin(hashes.view(np.int64), np.array(wanted[i], np.int64))
+            terms.append([{"start": a, "end": b} for a, b in zip(start[keep].tolist(), end[keep].tolist())])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(terms, kind)], ["row", "terms"])
 
 
-def _term_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hashes = [w.hashes() for w in words(batch.column("term"), NOT_ALNUM)]
-        yield pa.RecordBatch.from_arrays([batch.column("term"), pa.array(np.concatenate([np.zeros(0, U64), *hashes]).view(np.int64))], ["term", "hash"])
+        yield pa.RecordBatch.from_arrays([batch.column("value"), pa.array(np.concatenate([np.zeros(0, U64), *hashes]).view(np.int64))], ["value", "hash"])
 
 
 def _document_counts(terms):
@@ -160,22 +253,46 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def revealing_terms(texts: DataFrame, found: DataFrame, contexts: int, disclosure: float) -> DataFrame:
-    """(value, term, disclosure) of the terms that reveal a value, by counts over all documents."""
-    near = found.select(F.monotonically_increasing_id().alias("row"), "near").select("row", F.inline("near"))
-    pairs = near.groupBy("value", "term").agg(F.countDistinct("row").alias("n_both"), F.countDistinct("surrounding").alias("contexts"))
-    pairs = stage(pairs.where(F.col("contexts") >= contexts), "pairs")
-    values = near.groupBy("value").agg(F.countDistinct("row").alias("n_value"))
-    hashed = stage(pairs.select("term").distinct().mapInArrow(_term_hash, "term string, hash long"), "terms")
+    """(value, hash, disclosure) of the terms that reveal a value, by counts over all documents."""
+    spark = texts.sparkSession
+    total = float(found.count())
+    held = found.select("row", "words", F.explode("values").alias("value"))
+    groups = held.groupBy("value", "words").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    values = groups.groupBy("value").agg(F.sum("n").alias("n_value"), F.count("*").alias("different"))
+    # Terms near a value in enough surroundings, in however few documents.
+    near = found.select(F.inline("near")).groupBy("value", "term").agg(F.countDistinct("surrounding").alias("contexts"))
+    near = near.where(F.col("contexts") >= contexts).select("value", "term").mapInArrow(_near_hash, "value string, hash long")
+    near = stage(near, "near")
+    # n_term <= n_both (N / n_value) ** (1 - disclosure), and n_both <= n_value.
+    bound = F.col("n_value") * F.pow(total / F.col("n_value"), F.lit(1 - disclosure)) * (1 + 1e-9)
+    values = values.where(F.col("n_value") < total).join(near.select("value").distinct().withColumn("near", F.lit(True)), "value", "left")
+    values = values.where((F.col("different") >= contexts) | F.col("near"))
+    values = stage(values.select(F.monotonically_increasing_id().alias("v"), "value", "n_value", bound.alias("bound")), "values")
+    asked = held.join(values, "value").join(groups.select("value", "words", "first"), ["value", "words"])
+    new = (F.col("row") == F.col("first")).cast("long").alias("new")
+    asked = asked.groupBy("row").agg(F.collect_list(F.struct("v", "bound", new)).alias("held"))
+    docs = stage(found.select("row", "base", "text").join(asked, "row"), "holders")
+    hashed = docs.select("base", "text").mapInArrow(_free_terms, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    hashed = stage(hashed.where(F.col("n") >= contexts).select("hash").union(near.select("hash")).distinct(), "terms")
+    few = hashed.count() <= BROADCAST_TERMS
     wanted = None
-    if hashed.count() <= BROADCAST_TERMS:
-        wanted = texts.sparkSession.sparkContext.broadcast(np.sort(np.append(np.array([r.hash for r in hashed.select("hash").collect()], np.int64).view(U64), U64(0))))
+    if few:
+        wanted = spark.sparkContext.broadcast(np.sort(np.append(np.array([r.hash for r in hashed.collect()], np.int64).view(U64), U64(0))))
     counts = texts.select("text").mapInArrow(_document_counts(wanted), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n_term"))
-    total = F.lit(float(texts.count()))
+    counts = stage(counts.join(hashed, "hash"), "counts")
+    known = None
+    if few:
+        rows = np.array([tuple(r) for r in counts.collect()], np.int64).reshape(-1, 2)
+        hashes = rows[:, 0].copy().view(U64)
+        order = np.argsort(hashes)
+        known = spark.sparkContext.broadcast((hashes[order], rows[order, 1]))
+    pairs = docs.mapInArrow(_value_terms(known), "v long, hash long, new long").groupBy("v", "hash").agg(F.count("*").alias("n_both"), F.sum("new").alias("different"))
+    pairs = pairs.join(values, "v").join(near.withColumn("near", F.lit(True)), ["value", "hash"], "left")
+    scored = pairs.where((F.col("different") >= contexts) | F.col("near")).join(counts, "hash")
     information = F.log(total / F.col("n_value"))
     shared = F.log(total * F.col("n_both") / (F.col("n_term") * F.col("n_value")))
-    scored = pairs.join(hashed, "term").join(counts, "hash").join(values, "value")
-    scored = scored.where(F.col("n_value") < total).withColumn("disclosure", shared / information)
-    return scored.where(F.col("disclosure") >= disclosure).select("value", "term", "disclosure")
+    scored = scored.withColumn("disclosure", shared / information)
+    return scored.where(F.col("disclosure") >= disclosure).select("value", "hash", "disclosure")
 
 
 def find_personal_data(
@@ -192,10 +309,10 @@ def find_personal_data(
     """
     texts = _texts(docs, doc_id, text)
     found = stage(texts.mapInArrow(_find(around), _FOUND).withColumn("row", F.monotonically_increasing_id()), "personal")
-    terms = revealing_terms(texts, found.where(F.size("near") > 0), contexts, disclosure)
-    near = found.where(F.size("near") > 0).select("row", F.inline("near"))
-    marked = near.join(terms, ["value", "term"]).groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    out = found.drop("near").join(marked, "row", "left")
+    terms = stage(revealing_terms(texts, found, contexts, disclosure), "revealing")
+    wanted = found.select("row", F.explode("values").alias("value")).join(terms, "value").groupBy("row").agg(F.collect_set("hash").alias("hashes"))
+    marked = found.select("row", "base", "text").join(wanted, "row").mapInArrow(_mark, "row long, terms array<struct<start:int,end:int>>")
+    out = found.drop("near", "values", "words", "text").join(marked.where(F.size("terms") > 0), "row", "left")
     listed = F.transform("terms", lambda t: F.concat_ws(":", F.lit("term"), t["start"], t["end"]))
     both = F.filter(F.concat(F.split("base", ","), F.coalesce(listed, F.array().cast("array<string>"))), lambda s: s != "")
     # Terms never begin where a find of the patterns does, so the start alone orders them.

@@ -8,7 +8,9 @@ pieces from long to short.  A piece goes where the sum of squared counts of
 open sequences per residual gap becomes smallest; of a gap's count only what
 exceeds the pieces of that very size still to come is counted, since those
 will close them.  ``OPEN_TOKENS`` tokens left open weigh as much as one square, which
-decides between places of almost the same sum; ties take the smallest gap.
+decides between places of almost the same sum; ties take the smallest gap.  Both
+departures from the plain sum of squares (``excess=False``) are there because the
+fewest sequences are asked for: see the README for what each rule needs.
 
 Cases: null and empty texts hold the end id alone; repeated rows and null ids
 are packed like others; an empty table gives no pieces.
@@ -32,15 +34,18 @@ OPEN_TOKENS = 16
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, offset) of each size, below ``capacity`` all, given from long to short."""
+def pack(sizes: np.ndarray, capacity: int, excess: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of each size, below ``capacity`` all, given from long to short.
+
+    Without ``excess`` the plain sum of squared counts of open sequences per gap decides.
+    """
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
     count = np.zeros(capacity + 1, np.int64)
-    coming = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
-    never, left = np.inf, np.arange(capacity + 1) / OPEN_TOKENS
+    coming = np.bincount(sizes, minlength=capacity + 1).astype(np.int64) * excess
+    never, left = np.inf, np.arange(capacity + 1) / OPEN_TOKENS * excess
     sequence, offset, used = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64), 0
     for k, size in enumerate(sizes.tolist()):
-        coming[size] -= 1
+        coming[size] -= excess
         spare = count - coming
         # Change of the squared excess where a gap's count goes up or down by one.
         up = np.where(spare >= 0, 2 * spare + 1, 0)
@@ -115,7 +120,8 @@ def pack_documents(
     cut = stage(cut, "pieces")  # both branches read the ids' lengths, the texts are encoded once
     rest = cut.where(F.col("length") < capacity)
     groups = max(1, ceil(rest.count() / group_docs))
-    slot = F.pmod(F.xxhash64("doc_id", "ids_crc32", "length"), F.lit(groups)).alias("slot")
+    # By the place in the staged table, so that copies are dealt out like any other rows.
+    slot = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).alias("slot")
     packed = rest.select("*", slot).groupBy("slot").applyInArrow(_place(capacity), schema + ", sequence_id long, offset long")
     full = cut.where(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(full)

@@ -13,8 +13,9 @@ Spark's committer writes them to any store and lost tasks are run again.
 tasks wrote is one number for each task.
 
 Cases: null and empty texts hold the end id alone; rows with a null document
-id come first; repeated rows are stored one after the other; an empty table
-gives an empty file.
+id come first; rows that share an id are in order of their texts' hashes, so
+repeated rows are stored one after the other; an empty table gives an empty
+file.
 """
 
 from __future__ import annotations
@@ -152,9 +153,14 @@ def write_tokens(
     text: str = "text",
     block_tokens: int = BLOCK_TOKENS,
 ) -> None:
-    """Write the ids of every whole text, each followed by ``end_id``, in order of ``doc_id``."""
-    ordered = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).repartitionByRange("d").sortWithinPartitions("d")
-    ordered.mapInArrow(_encode(tokenizer_file(tokenizer), end_id, block_tokens), FILE_SCHEMA).write.parquet(path)
+    """Write the ids of every whole text, each followed by ``end_id``, in order of ``doc_id``.
+
+    The text's hash and the row's place go behind the id, so that an id of many rows is
+    cut into ranges like any others; rows that tie in all but their place are equal.
+    """
+    keys = ["d", "h", "k"]
+    rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("k"))
+    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("d", "t").mapInArrow(_encode(tokenizer_file(tokenizer), end_id, block_tokens), FILE_SCHEMA).write.parquet(path)
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:

@@ -4,17 +4,21 @@ Encoding calls the ``tokenizers`` library.  Both vocabularies used here never
 merge across a gap between words, so a text is cut at gaps, every different
 piece is encoded once per worker and its ids are kept as packed bytes.  The
 memo is emptied when it is full, which bounds memory and changes no result.
+The strings of added tokens stand for those tokens, as the library has it by
+default: texts are cut at them first.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from tracehold.llm.words import LOWER, Words, slices
 
@@ -32,6 +36,8 @@ LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 #: Marks that never stand inside a pattern's match behind a letter; the apostrophe does.
 MARK = ASCII_VISIBLE & ~LETTER
 MARK[[0x27, *range(0x30, 0x3A)]] = False
+#: From here on the library and ``regex`` may know different letters.
+GREEK = "\u0370"
 #: Fixed value: the pre-tokenizing pattern of byte-level vocabularies.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -67,16 +73,26 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        step = json.loads(self.tokenizer.to_str())["pre_tokenizer"]
+        settings = json.loads(self.tokenizer.to_str())
+        step, added = settings["pre_tokenizer"], settings["added_tokens"]
+        if any(a[flag] for a in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens with conditions are not supported")
+        self.added = {a["content"]: np.array([a["id"]], ID).tobytes() for a in added}
+        strings = sorted(map(re.escape, self.added), key=len, reverse=True)
+        self.at_added = re.compile(f"({'|'.join(strings)})") if strings else None
         split = step["pretokenizers"][0] if step["type"] == "Sequence" else {}
         self.drops_space = bool(split)
         self.normalize = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else None
-        self.find = regex.compile(split["pattern"]["Regex"] if split else BYTE_LEVEL).findall
+        self.pattern = regex.compile(split["pattern"]["Regex"] if split else BYTE_LEVEL).findall
         self.tokenize = self.tokenizer.model.tokenize
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    def _find(self, piece: str) -> list[str]:
+        if piece.isascii() or max(piece) < GREEK:
+            return self.pattern(piece)
+        return [piece[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
+
     def _ids(self, word: str) -> bytes:
         raw = word if word.isalnum() and word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARACTERS)
         return array("I", [t.id for t in self.tokenize(raw)]).tobytes()
@@ -91,7 +107,7 @@ class PieceEncoder:
 
     def _piece(self, raw: bytes) -> bytes:
         get, piece = self.words.get, raw.decode()
-        words = self.find(piece if self.normalize is None or piece.isascii() and piece.islower() else self.normalize(piece))
+        words = self._find(piece if self.normalize is None or piece.isascii() and piece.islower() else self.normalize(piece))
         ids = b"".join([get(w) or self._word(w) for w in words]) if len(words) > 1 else self._ids(words[0]) if words else b""
         if len(raw) < 64:
             if len(self.pieces) >= MEMO_ENTRIES:
@@ -104,7 +120,18 @@ class PieceEncoder:
         return next(iter(self.encode_all(pa.array([text], pa.large_string()))))
 
     def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
-        """Ids of each text; different pieces of a slice are looked up once."""
+        """Ids of each text."""
+        found = [pc.any(pc.match_substring(texts, a)).as_py() for a in self.added]
+        if not any(found):
+            yield from self._plain(texts)
+            return
+        cut = [self.at_added.split(t or "") for t in texts.to_pylist()]
+        ids = self._plain(pa.array([part for parts in cut for part in parts[::2]], pa.large_string()))
+        for parts in cut:
+            yield b"".join([next(ids), *(x for a in parts[1::2] for x in (self.added[a], next(ids)))])
+
+    def _plain(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of texts without added tokens; different pieces of a slice are looked up once."""
         for _, data, text in slices(texts, 1 << 21):
             if self.drops_space:
                 # The normalizer lowers; a capital before a combining mark is left to it.

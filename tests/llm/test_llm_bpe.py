@@ -62,6 +62,8 @@ def test_texts_and_back(spark, library):
         ids = library.encode(t or "", add_special_tokens=False).ids
         want.append((i or -1, tuple(ids), library.decode(ids, skip_special_tokens=False)))
     assert got == sorted(want)
+    both = encode_texts(docs, NAME, decoded=True).collect()
+    assert sorted((r.doc_id or -1, tuple(r.ids), r.text) for r in both) == got
     assert encode_texts(docs.limit(0), NAME).count() == 0
 
 

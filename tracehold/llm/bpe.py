@@ -26,8 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tracehold.llm.tokens import BYTE_CHARACTERS, ID, MEMO_ENTRIES, PieceEncoder, tokenizer_file
+from tracehold.llm.tokens import BYTE_CHARACTERS, ID, PieceEncoder, tokenizer_file
 
+#: Pairs of tokens one worker remembers as fitting or not, about 100 bytes each.
+PAIR_ENTRIES = 200_000
 #: Above any rank.
 NEVER = 1 << 40
 _BYTE_OF = {c: b for b, c in BYTE_CHARACTERS.items()}
@@ -48,17 +50,17 @@ class Vocabulary:
             raise ValueError("no plain byte-level vocabulary")
         ids = model["vocab"]
         self.spelled = {i: _bytes(t) for t, i in ids.items()}
-        self.pair: dict[tuple[int, int], int] = {}  #: (left, right) -> rank of their merge
+        self.pair: dict[int, int] = {}  #: left << 32 | right -> rank of their merge
         self.made: dict[int, tuple[int, int, int]] = {}  #: token -> (rank, left, right)
         for rank, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             left, right, whole = ids[left], ids[right], ids[left + right]
-            self.pair[left, right] = rank
+            self.pair[left << 32 | right] = rank
             if whole in self.made:
                 raise ValueError("two merges make one token")
             self.made[whole] = (rank, left, right)
         self._build()
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
 
     def _build(self) -> None:
         """States are prefixes of tokens; state 0 is the empty one."""
@@ -105,7 +107,7 @@ class Vocabulary:
         """
         made, used_left, used_right = self.made, NEVER, NEVER
         while True:
-            rank = self.pair.get((left, right), NEVER)
+            rank = self.pair.get(left << 32 | right, NEVER)
             if rank < used_left and rank <= used_right and rank != NEVER:
                 return False
             a, b = made.get(left), made.get(right)
@@ -127,12 +129,12 @@ class Vocabulary:
             state = step[key]
             token = longest[state]
             while (before := end - length[token]) > 0:
-                pair = (last[before - 1], token)
+                pair = last[before - 1] << 32 | token
                 fit = known.get(pair)
                 if fit is None:
-                    if len(known) >= MEMO_ENTRIES:
+                    if len(known) >= PAIR_ENTRIES:
                         known.clear()
-                    fit = known[pair] = self.fits(*pair)
+                    fit = known[pair] = self.fits(last[before - 1], token)
                 if fit:
                     break
                 token = shorter[token]
@@ -194,16 +196,19 @@ def _decoder(path: str) -> Decoder:
 
 
 #: Ids of one list column handed on at once; a longer text is a batch of its own.
-BATCH_IDS = 1 << 21
+BATCH_IDS = 1 << 20
 
 
-def _encode(path: str):
+def _encode(path: str, decoded: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def listed(names, raws):
             ends = np.cumsum([0, *map(len, raws)]) // ID.itemsize
-            flat = np.frombuffer(b"".join(raws), ID).astype(np.int32)
-            ids = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(flat)).cast(pa.list_(pa.int32()))
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), ids], ["doc_id", "ids"])
+            flat = np.frombuffer(b"".join(raws), ID).view(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            columns = [pa.array(names, pa.int64()), ids]
+            if decoded:
+                columns.append(pa.array([_decoder(path).decode(np.frombuffer(r, ID)) for r in raws], pa.string()))
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "text"][: len(columns)])
 
         for batch in batches:
             names, raws, size = [], [], 0
@@ -220,10 +225,13 @@ def _encode(path: str):
     return encode
 
 
-def encode_texts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id`` and ``ids``, an array of all ids of the whole text."""
+def encode_texts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id`` and ``ids``, an array of all ids of the whole text.
+
+    ``decoded`` adds ``text``, decoded from the ids by the same workers as in ``decode_ids``.
+    """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_encode(tokenizer_file(tokenizer)), "doc_id long, ids array<int>")
+    return rows.mapInArrow(_encode(tokenizer_file(tokenizer), decoded), "doc_id long, ids array<int>" + ", text string" * decoded)
 
 
 def _decode(path: str):

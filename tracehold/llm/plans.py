@@ -217,10 +217,9 @@ query(op4_sum_of_squares_packing)
 
 
 def op11_bpe_prefixes(spark: SparkSession, folder: str) -> DataFrame:
-    from tracehold.llm.bpe import decode_ids, encode_texts
+    from tracehold.llm.bpe import encode_texts
 
-    name = "byte_bpe_50k.json"
-    both = decode_ids(encode_texts(table(spark, folder, "documents"), name), name)
+    both = encode_texts(table(spark, folder, "documents"), "byte_bpe_50k.json", decoded=True)
     listed = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), listed.alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 

@@ -132,7 +132,7 @@ class PieceEncoder:
 
     def _plain(self, texts: pa.Array) -> Iterator[bytes]:
         """Ids of texts without added tokens; different pieces of a slice are looked up once."""
-        for _, data, text in slices(texts, 1 << 21):
+        for _, data, text in slices(texts, 1 << 20):
             if self.drops_space:
                 # The normalizer lowers; a capital before a combining mark is left to it.
                 data = np.where(np.append(data[1:], 0) < 0x80, LOWER[data], data)

@@ -227,6 +227,36 @@ def op11_bpe_prefixes(spark: SparkSession, folder: str) -> DataFrame:
 query(op11_bpe_prefixes)
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    from tracehold.llm.collocations import collocations
+
+    return collocations(table(spark, folder, "documents"))
+
+
+query(
+    op12_collocations,
+    rf"""
+    with p as (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array({LOWERED}, '[.,;:!?\x0A-\x0D]')) p from documents),
+    w as (select lang, regexp_extract_all(p, '[^\x20\x09]+') w from p),
+    g as (select lang, k, array_to_string(w[i:i + k - 1], ' ') phrase
+          from (select lang, w, k, unnest(range(1, len(w) - k + 2)) i from w, (select unnest([1, 2, 3]) k) where len(w) >= k)),
+    f as (select lang, k, phrase, count(*) n from g group by all),
+    t as (select lang, sum(n) total from f where k = 1 group by 1),
+    c as (select lang, k, phrase, n a, string_split(phrase, ' ') w from f where k >= 2 and n >= 10),
+    u as (select *, array_to_string(w[1:j], ' ') x, array_to_string(w[j + 1:], ' ') y
+          from (select *, unnest(range(1, k)) j from c)),
+    s as (select u.lang, u.k, u.phrase, a, w, j, fx.n l, fy.n r,
+                 cast(a as hugeint) * a * 1000000 // (cast(fx.n as hugeint) * fy.n) score
+          from u join f fx on fx.lang = u.lang and fx.phrase = x join f fy on fy.lang = u.lang and fy.phrase = y),
+    b as (select * from s qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+    i as (select lang, phrase, max(a) longer
+          from (select lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) phrase from c where k = 3) group by 1, 2),
+    o as (select b.lang, b.phrase, a, l, r, score from b left join i using (lang, phrase) where longer is null or 100 * longer < 50 * a),
+    e as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from o)
+    select lang, rank, phrase, a, l, r, cast(total as bigint) n, cast(score as bigint) score from e join t using (lang) where rank <= 2000""",
+)
+
+
 def llm_queries() -> dict:
     return dict(QUERIES)
 

@@ -257,6 +257,39 @@ query(
 )
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from tracehold.llm.prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, folder, "conversations"))
+
+
+#: A table of checksums of single bytes, in SQL.
+CRC_TABLE = "list_transform(range(256), lambda b: list_reduce(list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384)))"
+
+query(
+    op13_prefix_trie,
+    f"""
+    with recursive crc as (select {CRC_TABLE} t),
+    o as (select conv_id c, row_number() over (partition by conv_id order by turn nulls first, digest) - 1 p, digest g, length(said) points
+          from (select *, md5(length(r) || ':' || r || said) digest from (select *, coalesce(role, '') r, coalesce(text, '') said from conversations where conv_id is not null) q) q),
+    h as (select c, c - c % 100 base, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(c as varchar), ''), lambda s: cast(ascii(s) as bigint))),
+              lambda x, b: xor(x >> 8, t[(xor(x, b) & 255) + 1])), 4294967295) % 6 h from (select distinct c from o) q, crc),
+    r as (select h.c, o.p, 0 own, g, points from h join o on o.c = h.base and o.p < h.h
+          union all select h.c, o.p, 1, g, points from h join o on o.c = h.c and o.p >= h.h),
+    s as (select c, row_number() over w d, string_agg(g, '') over w path, points from r window w as (partition by c order by own, p)),
+    m as (select c, d, path, points from s union all select c, 0, '', 0 from h),
+    e as (select c, max(d) deep from m group by 1),
+    n as (select d, path, min(c) c, count(*) n_convs, max(points) points from m group by 1, 2),
+    z as (select m.d, path, string_agg(cast(m.c as varchar), ',' order by m.c) ids from m join e on e.c = m.c and e.deep = m.d group by 1, 2),
+    k as (select d - 1 d, path[:-33] path, count(*) n_children from n where d > 0 group by 1, 2),
+    t as (select n.*, coalesce(n_children, 0) n_children, coalesce(ids, '') ids from n left join k using (d, path) left join z using (d, path)),
+    u as (select a.d, a.path, sum(cast(b.n_children = 0 as bigint)) n_leaves, sum((b.n_convs - 1) * b.points) saved
+          from t a join t b on b.d >= a.d and substr(b.path, 1, 32 * a.d) = a.path group by 1, 2)
+    select t.c conv_id, t.d depth, up.c parent_conv_id, t.n_convs, t.n_children, cast(n_leaves as bigint) n_leaves, cast(saved as bigint) saved_tokens, sha256(t.ids) ends_sha256
+    from t join u using (d, path) left join n up on up.d = t.d - 1 and up.path = t.path[:-33] and t.d > 0""",
+)
+
+
 def llm_queries() -> dict:
     return dict(QUERIES)
 

@@ -113,6 +113,66 @@ def test_terms_far_from_the_value(spark, monkeypatch, broadcast):
         assert named == (["É", "Zorblax", "heads", "zorblax"] if 100 <= i < 200 else [])
 
 
+def plain_terms(rows, around=5, contexts=3, disclosure=0.9):
+    """Term spans of each row by counting the formula over all documents."""
+    import math
+
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    held, docs = [], []
+    for text in rows:
+        text = text or ""
+        spans = naive_spans(text)
+        free = [(m.start(), m.end(), lower(m[0])) for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))]
+        terms = {w for _, _, w in free}
+        free = [x for x in free if not any(a < x[1] and x[0] < b for a, _, b in spans)]
+        values = {}
+        for a, k, b in spans:
+            v = (k, lower(text[a:b]) if k < 2 else re.sub("[^0-9]", "", text[a:b]))
+            near = [x[2] for x in [x for x in free if x[0] < a][-around:] + [x for x in free if x[0] >= b][:around]]
+            values.setdefault(v, []).append(near)
+        docs.append((free, values))
+        held.append(terms)
+    total, found = len(rows), [set() for _ in rows]
+    for v in {v for _, values in docs for v in values}:
+        own = [i for i, (_, values) in enumerate(docs) if v in values]
+        if len(own) == total:
+            continue
+        for t in {x[2] for i in own for x in docs[i][0]}:
+            both = [i for i in own if any(x[2] == t for x in docs[i][0])]
+            different = {tuple(x[2] for x in docs[i][0]) for i in both}
+            around_it = {tuple(near) for i in own for near in docs[i][1][v] if t in near}
+            if max(len(different), len(around_it)) < contexts:
+                continue
+            n_term = sum(t in h for h in held)
+            if math.log(total * len(both) / (n_term * len(own))) / math.log(total / len(own)) >= disclosure:
+                for i in both:
+                    found[i] |= {(a, b) for a, b, w in docs[i][0] if w == t}
+    return [sorted(x) for x in found]
+
+
+@pytest.mark.parametrize("seed,broadcast", [(1, 2_000_000), (2, 2_000_000), (3, 0), (4, 0)])
+def test_all_terms_against_plain_counts(spark, monkeypatch, seed, broadcast):
+    monkeypatch.setattr("tracehold.llm.personal_data.BROADCAST_TERMS", broadcast)
+    draw = random.Random(seed)
+    people = [("ann@x.org", ["Ann", "smith"]), ("1.2.3.4", ["gate"]), ("4111 1111 1111 1111", ["Bo", "É"]), ("+49 170 1234567", ["zed"])]
+    rows = []
+    for i in range(160):
+        words = draw.choices([f"w{k}" for k in range(25)] + ["Rare%d" % draw.randint(0, 9)], k=draw.randint(0, 25))
+        for value, names in draw.sample(people, draw.choice([0, 0, 0, 1, 1, 2])):
+            words.insert(draw.randint(0, len(words)), value)
+            for name in names:
+                if draw.random() < 0.85:
+                    words.insert(draw.randint(0, len(words)), name)
+        if draw.random() < 0.02:
+            words.append(draw.choice(["Ann", "gate", "zed"]))
+        rows.append(" ".join(words))
+    rows += rows[:12] + [None, "", "ann@x.org"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.doc_id: [(t.start, t.end) for t in r.terms or []] for r in find_personal_data(df).collect()}
+    want = plain_terms(rows)
+    assert [found[i] for i in range(len(rows))] == want and sum(map(len, want)) > 20
+
+
 def test_words_around_a_find():
     from tracehold.llm.personal_data import surroundings
 

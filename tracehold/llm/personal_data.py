@@ -227,23 +227,31 @@ def _near_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _document_counts(terms):
-    """(hash, documents that have the term): of the broadcast terms, or of all."""
+    """(hash, documents that have the term): of the broadcast terms, one row a task and term, or of all."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = None if terms is None else terms.value
+        total = None if wanted is None else np.zeros(len(wanted), np.int64)
         for batch in batches:
             for w in words(batch.column(0), NOT_ALNUM, lower=True):
                 hashes, owner = w.hashes(), w.owner()
                 if wanted is not None:
                     at = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
                     keep = wanted[at] == hashes
-                    hashes, owner = hashes[keep], owner[keep]
+                    # Places of the terms, each of a document once.
+                    once = np.unique(owner[keep].astype(np.int64) * len(wanted) + at[keep])
+                    found, n = np.unique(once % len(wanted), return_counts=True)
+                    total[found] += n
+                    continue
                 order = np.lexsort((owner, hashes))
                 hashes, owner = hashes[order], owner[order]
                 new = np.ones(len(hashes), bool)
                 new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
                 found, n = np.unique(hashes[new], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
+        if total is not None:
+            found = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(wanted[found].view(np.int64)), pa.array(total[found])], ["hash", "n"])
 
     return counts
 
@@ -272,23 +280,30 @@ def revealing_terms(texts: DataFrame, found: DataFrame, contexts: int, disclosur
     new = (F.col("row") == F.col("first")).cast("long").alias("new")
     asked = asked.groupBy("row").agg(F.collect_list(F.struct("v", "bound", new)).alias("held"))
     docs = stage(found.select("row", "base", "text").join(asked, "row"), "holders")
+    # A term stands in all documents at least as often as in those with a value, so that a
+    # count above every bound rules it out, and above a value's bound for that value.
+    most = values.agg(F.max("bound")).first()[0] or 0.0
     hashed = docs.select("base", "text").mapInArrow(_free_terms, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    hashed = stage(hashed.where(F.col("n") >= contexts).select("hash").union(near.select("hash")).distinct(), "terms")
-    few = hashed.count() <= BROADCAST_TERMS
-    wanted = None
-    if few:
-        wanted = spark.sparkContext.broadcast(np.sort(np.append(np.array([r.hash for r in hashed.collect()], np.int64).view(U64), U64(0))))
-    counts = texts.select("text").mapInArrow(_document_counts(wanted), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n_term"))
-    counts = stage(counts.join(hashed, "hash"), "counts")
+    hashed = hashed.where(F.col("n") <= most).join(near.select("hash").distinct().withColumn("near", F.lit(True)), "hash", "left")
+    hashed = stage(hashed.where((F.col("n") >= contexts) | F.col("near")).select("hash", "n"), "terms")
     known = None
-    if few:
-        rows = np.array([tuple(r) for r in counts.collect()], np.int64).reshape(-1, 2)
-        hashes = rows[:, 0].copy().view(U64)
+    if hashed.count() <= BROADCAST_TERMS:
+        rows = hashed.toArrow()
+        hashes = rows["hash"].to_numpy().view(U64)
         order = np.argsort(hashes)
-        known = spark.sparkContext.broadcast((hashes[order], rows[order, 1]))
+        known = spark.sparkContext.broadcast((hashes[order], rows["n"].to_numpy()[order]))
     pairs = docs.mapInArrow(_value_terms(known), "v long, hash long, new long").groupBy("v", "hash").agg(F.count("*").alias("n_both"), F.sum("new").alias("different"))
     pairs = pairs.join(values, "v").join(near.withColumn("near", F.lit(True)), ["value", "hash"], "left")
-    scored = pairs.where((F.col("different") >= contexts) | F.col("near")).join(counts, "hash")
+    pairs = pairs.where((F.col("different") >= contexts) | F.col("near"))
+    if known is None:
+        pairs = pairs.join(hashed, "hash").where("n <= bound").drop("n")
+    pairs = stage(pairs, "candidates")
+    asked = pairs.select("hash").distinct()
+    wanted = None
+    if asked.count() <= BROADCAST_TERMS:
+        wanted = spark.sparkContext.broadcast(np.sort(np.append(asked.toArrow()["hash"].to_numpy().view(U64), U64(0))))
+    counts = texts.select("text").mapInArrow(_document_counts(wanted), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n_term"))
+    scored = pairs.join(counts, "hash")
     information = F.log(total / F.col("n_value"))
     shared = F.log(total * F.col("n_both") / (F.col("n_term") * F.col("n_value")))
     scored = scored.withColumn("disclosure", shared / information)

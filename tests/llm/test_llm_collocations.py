@@ -73,6 +73,30 @@ def test_hot_phrase_long_text_and_nothing(spark):
     assert collocations(docs.limit(0)).count() == 0
 
 
+def test_stretches_of_words(spark, monkeypatch):
+    """Numbered a few words at a time, in tasks of this process."""
+    import pyarrow as pa
+
+    from tracehold.llm import collocations as module
+
+    rows = [r for r in random_rows(9) if r[1] is not None]
+    batch = pa.RecordBatch.from_pydict({"lang": [g for _, g in rows], "text": pa.array([t for t, _ in rows], pa.string())})
+    want = plain_counts(rows)
+
+    class Whole:
+        value = np.full(1 << 10, 255, np.uint8)
+
+    for size in (1, 2, 3, 7, 1 << 20):
+        monkeypatch.setattr(module, "WORDS", size)
+        got = Count()
+        for table in (None, Whole):
+            for out in module._count(table, 50, 20, 4)(iter([batch])):
+                for r in out.to_pylist():
+                    assert r["words"] == len(r["phrase"].split(" "))
+                    got[r["lang"], tuple(r["phrase"].split(" "))] += r["n"]
+        assert got == want
+
+
 def test_trie_counts_and_spills_in_order():
     draw = np.random.default_rng(1)
     trie, want, got = Trie(burst=5), Count(), Count()
@@ -81,7 +105,7 @@ def test_trie_counts_and_spills_in_order():
         keys, n = np.unique(keys, return_counts=True)
         trie.add(keys, n)
         want.update(dict(zip(keys.tolist(), n.tolist())))
-        assert trie.entries == len(dict(trie.items()))
+        assert trie.entries == len(trie.run()[0])
         if trie.entries > 300:
             for run, counts in trie.spill(150):
                 assert (np.diff(run) > 0).all()

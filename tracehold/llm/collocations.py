@@ -43,6 +43,8 @@ DEPTH, BITS = 3, 21
 MASK = (1 << BITS) - 1
 #: Entries of a container before it bursts, of a task's trie before it spills, words a task numbers.
 BURST, ENTRIES, NUMBERED = 8192, 1_000_000, 400_000
+#: Words that are numbered at once; with ``NUMBERED`` they stay below 2 to the power of ``BITS``.
+WORDS = 1 << 20
 #: Bits of the table of frequent pairs for each of them, and in all.
 PAIR_BITS, TABLE_BITS = 16, 1 << 29
 #: A segment of that table is made in one task.
@@ -116,9 +118,10 @@ class Trie:
             waiting.append((low, {x: n for x, n in part.items() if x < edge}))
             waiting.append((edge, {x: n for x, n in part.items() if x >= edge}))
 
-    def items(self) -> Iterator[tuple[int, int]]:
-        for part in self.parts:
-            yield from part.items()
+    def run(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys in order and their counts."""
+        both = [_run(part) for part in self.parts]
+        return np.concatenate([k for k, _ in both]), np.concatenate([n for _, n in both])
 
     def spill(self, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Sorted (keys, counts) of the largest subtrees, which leave, until ``keep`` entries are left."""
@@ -126,12 +129,19 @@ class Trie:
         for k in sorted(range(len(size)), key=size.__getitem__, reverse=True):
             if self.entries <= keep:
                 break
-            run = np.array(list(self.parts[k].items()), np.int64).reshape(-1, 2)
+            run = _run(self.parts[k])
             self.parts[k] = {}
             self.entries -= size[k]
-            if len(run):
-                run = run[np.argsort(run[:, 0])]
-                yield run[:, 0], run[:, 1]
+            if len(run[0]):
+                yield run
+
+
+def _run(part: Trie | dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    if isinstance(part, Trie):
+        return part.run()
+    keys = np.fromiter(part.keys(), np.int64, len(part))
+    order = np.argsort(keys)
+    return keys[order], np.fromiter(part.values(), np.int64, len(part))[order]
 
 
 class Counter:
@@ -228,22 +238,29 @@ def _count(pairs, entries: int, numbered: int, burst: int):
             for w in words(batch.column("text"), _SEPARATORS, lower=True):
                 owner, hashes = _word_hashes(w, by_text)
                 near = _adjacent(w)
-                if table is None:
-                    number = counter.numbers(w, lang_of, owner, hashes)
-                    counter.add(number << (2 * BITS))
-                    counter.add((number[:-1] << (2 * BITS) | number[1:] << BITS)[near])
-                else:
+                if table is not None:
                     near[near] = set_bits(table, pair_hash(hashes)[near])
-                    three = np.flatnonzero(near[:-1] & near[1:])
-                    inside = np.zeros(len(hashes), bool)
-                    for k in range(DEPTH):
-                        inside[three + k] = True
-                    kept = np.flatnonzero(inside)
-                    part = Words(w.first, w.data, w.text, w.start[kept], w.end[kept], w.offset)
-                    number = np.zeros(len(hashes), np.int64)
-                    number[kept] = counter.numbers(part, lang_of, owner[kept], hashes[kept])
-                    counter.add(number[three] << (2 * BITS) | number[three + 1] << BITS | number[three + 2])
-                yield from counter.runs()
+                # A stretch of words has no more different words than there are numbers left.
+                for at in range(0, len(hashes), WORDS):
+                    inside = slice(at, at + WORDS + DEPTH - 1)
+                    part = Words(w.first, w.data, w.text, w.start[inside], w.end[inside], w.offset)
+                    follows = near[at : at + WORDS + DEPTH - 2]
+                    if table is None:
+                        number = counter.numbers(part, lang_of, owner[inside], hashes[inside])
+                        counter.add(number[:WORDS] << (2 * BITS))
+                        first = np.flatnonzero(follows[:WORDS])
+                        counter.add(number[first] << (2 * BITS) | number[first + 1] << BITS)
+                    else:
+                        three = np.flatnonzero(follows[:-1] & follows[1:])
+                        used = np.zeros(len(part.start), bool)
+                        for k in range(DEPTH):
+                            used[three + k] = True
+                        kept = np.flatnonzero(used)
+                        number = np.zeros(len(used), np.int64)
+                        part = Words(w.first, w.data, w.text, part.start[kept], part.end[kept], w.offset)
+                        number[kept] = counter.numbers(part, lang_of, owner[inside][kept], hashes[inside][kept])
+                        counter.add(number[three] << (2 * BITS) | number[three + 1] << BITS | number[three + 2])
+                    yield from counter.runs()
         yield from counter.runs(last=True)
 
     return count
@@ -294,7 +311,7 @@ def pair_table(pairs: DataFrame) -> np.ndarray:
 
 def _merged(runs: DataFrame) -> DataFrame:
     """Counts of each phrase, added up per range of phrases."""
-    return runs.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("n").alias("n"))
+    return runs.select("lang", "phrase", "n").repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def count_phrases(
@@ -310,10 +327,11 @@ def count_phrases(
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(text).alias("text"))
     runs = stage(texts.mapInArrow(_count(None, entries, numbered, burst), RUN_SCHEMA), "runs")
     totals = runs.where("words = 1").groupBy("lang").agg(F.sum("n").alias("total"))
-    shorter = stage(_merged(runs).where(F.col("n") >= min_count), "pairs")
+    n_words = F.size(F.split("phrase", " ")).alias("words")
+    shorter = stage(_merged(runs).where(F.col("n") >= min_count).select("lang", "phrase", n_words, "n"), "pairs")
     table = docs.sparkSession.sparkContext.broadcast(pair_table(shorter.where("words = 2")))
     runs = stage(texts.mapInArrow(_count(table, entries, numbered, burst), RUN_SCHEMA), "runs")
-    longer = stage(_merged(runs).where(F.col("n") >= min_count), "triples")
+    longer = stage(_merged(runs).where(F.col("n") >= min_count).select("lang", "phrase", n_words, "n"), "triples")
     return shorter.unionByName(longer), totals
 
 

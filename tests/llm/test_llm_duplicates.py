@@ -244,3 +244,31 @@ def test_similar_vectors(spark, cell, block):
     got = [tuple(r) for r in similar_vectors(df, cell=cell, block=block).collect()]
     key = lambda r: tuple(-1 if x is None else x for x in r)
     assert sorted(got, key=key) == sorted(want, key=key)
+
+
+@pytest.mark.parametrize("ids", ["own", "null", "one"])
+def test_rows_without_ids_meet_only_themselves(spark, ids):
+    """3,000 rows in pairs of near copies: the texts joined to nodes are as many with null ids as with own ones."""
+    from tracehold.llm import near_duplicates as module
+
+    words = lambda i: " ".join(f"t{i}w{k}" for k in range(30))
+    rows = [({"own": i, "null": None, "one": 7}[ids], words(i // 2) + (" more" if i % 2 else ""), "x") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    handed_on, seen = module._texts_of_nodes, spark.sparkContext.accumulator(0)
+
+    def counted(size):
+        inner = handed_on(size)
+
+        def texts(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield from inner(iter([batch]))
+
+        return texts
+
+    module._texts_of_nodes = counted
+    try:
+        assert module.keep_one_row(docs).count() == 1500
+    finally:
+        module._texts_of_nodes = handed_on
+    assert seen.value == 3000

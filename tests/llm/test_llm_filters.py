@@ -173,6 +173,16 @@ def test_all_terms_against_plain_counts(spark, monkeypatch, seed, broadcast):
     assert [found[i] for i in range(len(rows))] == want and sum(map(len, want)) > 20
 
 
+def test_a_few_bad_rows_make_a_rule_in_a_large_table(spark):
+    """A host with 30 pages, all bad, among 60,000 others: a share of the rows would leave it out."""
+    others = spark.range(60_000).selectExpr("id AS page_id", "concat('http://h', id % 500, '.org/p') AS url")
+    few = spark.range(30).selectExpr("70000 + id AS page_id", "concat('http://bad.org/x', id) AS url")
+    pages = others.union(few)
+    labels = pages.selectExpr("page_id AS doc_id", "IF(page_id >= 70000, 0, 1) AS quality")
+    found = judge_urls(pages, labels, [], F.col("quality") == 0).where("verdict = 'block'").select("host").distinct().collect()
+    assert [r.host for r in found] == ["bad.org"]
+
+
 def test_words_around_a_find():
     from tracehold.llm.personal_data import surroundings
 

@@ -248,16 +248,17 @@ def _components(docs: DataFrame, size: int, percent: int, doc_id: str, text: str
     marked = texts.withColumn("mark", F.xxhash64("text"))
     rows = marked.mapInArrow(_sketches(size), "doc_id long, mark long, n_shingles long, print binary, registers binary")
     rows = stage(rows, "sketches")
-    nodes = rows.where("print is not null").groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "n_shingles", "registers")).alias("r"))
+    nodes = rows.where("print is not null").groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "mark", "n_shingles", "registers")).alias("r"))
     nodes = stage(
-        nodes.select(F.monotonically_increasing_id().alias("node"), "print", "r.doc_id", F.col("r.n_shingles").alias("n"), "r.registers"), "nodes"
+        nodes.select(F.monotonically_increasing_id().alias("node"), "print", "r.doc_id", "r.mark", F.col("r.n_shingles").alias("n"), "r.registers"), "nodes"
     )
     keys = nodes.select("node", "registers").mapInArrow(_keys, "key long, node long")
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", "hub")
     shared = stage(keys.join(hubs, "key"), "bands")
     family = stage(components(shared.select("hub", "node")).toDF("node", "family"), "families")
-    wanted = nodes.join(family.select("node"), "node").select("node", F.col("doc_id").alias("d"), "print", "registers")
-    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "print", "registers", "text")
+    wanted = nodes.join(family.select("node"), "node").select("node", F.col("doc_id").alias("d"), F.col("mark").alias("m"), "print", "registers")
+    # By the text's hash too, since many rows may share an id, or have none.
+    found = marked.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))).select("node", "print", "registers", "text")
     candidates = found.mapInArrow(_texts_of_nodes(size), "node long, registers binary, text string").dropDuplicates(["node"])
     candidates = stage(candidates, "candidates")
 

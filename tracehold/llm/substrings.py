@@ -70,8 +70,8 @@ def _scan(window: int, prefix: int):
                     prints.append(hashlib.sha256(_joined(w, a, b)).hexdigest())
                     heads.append(np.unique(head[cut[k] : cut[k + 1]]).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(prints, pa.string()), pa.array(heads, pa.list_(pa.int64()))],
-                ["d", "n_words", "print", "heads"],
+                [batch.column(0), batch.column(2), pa.array(n_words, pa.int64()), pa.array(prints, pa.string()), pa.array(heads, pa.list_(pa.int64()))],
+                ["d", "mark", "n_words", "print", "heads"],
             )
 
     return scan
@@ -223,19 +223,20 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     joined by one space.
     """
     order = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
-    texts = docs.select(order.alias("d"), F.col(text).alias("text"))
-    rows = stage(texts.mapInArrow(_scan(window, prefix), "d long, n_words long, print string, heads array<long>"), "scan")
+    # The text's hash tells rows of one id, or of none, apart.
+    texts = docs.select(order.alias("d"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
+    rows = stage(texts.mapInArrow(_scan(window, prefix), "d long, mark long, n_words long, print string, heads array<long>"), "scan")
     # Equal word sequences: the smallest id stands for all.
-    nodes = rows.where(F.size("heads") > 0).groupBy("print").agg(F.min(F.struct("d", "heads")).alias("r"))
-    nodes = stage(nodes.select(F.monotonically_increasing_id().alias("node"), "print", "r.d", "r.heads"), "nodes")
+    nodes = rows.where(F.size("heads") > 0).groupBy("print").agg(F.min(F.struct("d", "mark", "heads")).alias("r"))
+    nodes = stage(nodes.select(F.monotonically_increasing_id().alias("node"), "print", "r.d", "r.mark", "r.heads"), "nodes")
     heads = nodes.select("node", "d", F.explode("heads").alias("h"))
     counts = heads.groupBy("h").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("n")).where("low < high").select("h", "n")
     wanted = heads.join(counts, "h").groupBy("node").agg(
         F.collect_list(F.when(F.col("n") <= subtree, F.col("h"))).alias("heads"),
         F.collect_list(F.when(F.col("n") > subtree, F.col("h"))).alias("hot"),
     )
-    asked = nodes.select("node", "d", "print").join(wanted, "node")
-    found = texts.join(asked, "d").mapInArrow(_same_print, "node long, d long, print string, text string, heads array<long>, hot array<long>")
+    asked = nodes.select("node", "d", "mark", "print").join(wanted, "node")
+    found = texts.join(asked, ["d", "mark"]).mapInArrow(_same_print, "node long, d long, print string, text string, heads array<long>, hot array<long>")
     found = stage(found.dropDuplicates(["node"]), "texts")
 
     runs = found.where("size(heads) > 0").select("node", "d", "text", "heads").mapInArrow(
@@ -256,7 +257,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         _removal(window), "node long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>"
     )
     least = nodes.select(F.col("print").alias("p"), "node", F.col("d").alias("low")).join(done, "node", "left").drop("node")
-    out = rows.drop("heads").join(least, F.col("print") == F.col("p"), "left")
+    out = rows.drop("heads", "mark").join(least, F.col("print") == F.col("p"), "left")
     copy = F.col("low") < F.col("d")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
     return out.select(

@@ -1,7 +1,8 @@
 """URL filtering: fixed host rules first, then association rules mined from labels.
 
 ``FPGrowth`` finds the combinations of URL tokens that often go with a bad label; rules
-below the least support or confidence are pruned.  Different token sets are matched, not
+with fewer than ``ROWS`` bad rows, at every size of the table, or below the least confidence
+or lift are pruned.  Tokens of too few bad rows are in no such rule and go before.  Different token sets are matched, not
 rows: each rule is filed under its rarest token, a set looks up the rules of its tokens
 and a rule holds when the set has all of its tokens.  Tokens leave numbers out, so there
 are far fewer sets than rows.
@@ -18,10 +19,11 @@ from collections.abc import Sequence
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tracehold.operators.skew import join_unique
 from tracehold.session import stage
 
-#: Least share of the labelled rows and number of them, least confidence, least gain over the share of bad rows.
-SUPPORT, ROWS, CONFIDENCE, LIFT = 0.001, 20, 0.5, 1.5
+#: Least number of bad rows, least share of the labelled rows (none), least confidence, least gain over the share of bad rows.
+ROWS, SUPPORT, CONFIDENCE, LIFT = 20, 0.0, 0.5, 1.5
 BAD = "label=bad"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -69,8 +71,13 @@ def mine_rules(transactions: DataFrame, support: float, confidence: float, lift:
 
     ``transactions`` has ``tokens`` (array) and ``bad`` (boolean).
     """
-    items = F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens"))
-    rows = stage(transactions.select(items.alias("items")), "transactions")
+    marked = stage(transactions.select(F.monotonically_increasing_id().alias("row"), "tokens", "bad"), "labelled")
+    each = marked.select("row", "bad", F.explode("tokens").alias("token"))
+    often = each.where("bad").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= ROWS).select("token")
+    left = join_unique(each, often, ["token"], F.col("row")).groupBy("row").agg(F.collect_set("token").alias("left"))
+    tokens = F.coalesce("left", F.array().cast("array<string>"))
+    items = F.when(F.col("bad"), F.array_append(tokens, F.lit(BAD))).otherwise(tokens)
+    rows = stage(marked.select("row", "bad").join(left, "row", "left").select(items.alias("items")), "transactions")
     empty = rows.sparkSession.createDataFrame([], "rule long, tokens array<string>, key string, confidence double, support double")
     n = rows.count()
     if n < ROWS:

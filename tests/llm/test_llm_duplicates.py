@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracehold.llm.decontaminate import decontaminate
@@ -272,3 +273,23 @@ def test_rows_without_ids_meet_only_themselves(spark, ids):
     finally:
         module._texts_of_nodes = handed_on
     assert seen.value == 3000
+
+
+def test_window_index_is_small_and_whole():
+    from tracehold.llm.decontaminate import WindowIndex
+    from tracehold.llm.words import NOT_ALNUM, words
+
+    draw = random.Random(6)
+    texts = [" ".join("".join(draw.choices("abcdefgh", k=draw.randint(2, 9))) for _ in range(draw.choice([0, 1, 3, 10, 200]))) for _ in range(800)]
+    index = WindowIndex([f"i{k}" for k in range(len(texts))], pa.array([*texts[:-1], None]), 10)
+    assert index.nbytes() < 5 * sum(map(len, texts))
+    text = " x ".join(texts[:60]) + " " + texts[7] * 2
+    w = next(words(pa.array([text]), NOT_ALNUM))
+    spelled = [x.decode() for x in w.bytes(0, len(w.start))]
+    want = set()
+    for k, item in enumerate(texts[:-1]):
+        own = item.split()
+        n = min(10, len(own))
+        windows = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)} if n else set()
+        want |= {(i, n, f"i{k}") for i in range(len(spelled) - n + 1) if tuple(spelled[i : i + n]) in windows}
+    assert {(i, n, x) for i, n, items in index.search(w) for x in items} == want

@@ -8,7 +8,8 @@ hash alone never decides.  Nothing of the documents is shuffled.
 
 The items are broadcast in slices of at most ``SLICE_BYTES`` of text.  A
 benchmark of more slices is passed over the documents slice by slice, with the
-hits so far in a staged table; the result is the same.
+hits so far in a staged table; the result is the same.  A worker's index of a slice
+takes less than five times its text, besides 4 MB for each window size below ``size``.
 
 Cases: null and empty texts have no words and no hits; an empty benchmark hits
 nothing; repeated rows each get their own result; items that share an id count
@@ -39,26 +40,54 @@ _ITEMS = "__hit_items"
 
 
 class WindowIndex:
-    """The windows of some items: hash -> the words -> the items that have them."""
-
-    def __init__(self, rows: Sequence[tuple[str, str]], size: int):
-        self.found: dict[int, dict[int, dict[bytes, set[str]]]] = {}
-        for w in words(pa.array([t for _, t in rows], pa.large_string()), NOT_ALNUM, lower=True):
-            hashes, bound = w.hashes(), w.offset.tolist()
-            for k in range(w.n):
-                a, b = bound[k], bound[k + 1]
-                n = min(size, b - a)
-                if not n:
+    """The windows of some items as flat arrays.
+
+    The items' words stand one after the other in one buffer, each followed by a space; a window
+    is the number of its first word.  Per window size the hashes are in order, with the
+    first words beside them.
+    """
+
+    def __init__(self, ids: Sequence[str], texts: pa.Array | pa.ChunkedArray, size: int):
+        self.ids = list(ids)
+        spelled, begins, owners = [], [], []
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        n_words = n_bytes = 0
+        for w in words(texts, NOT_ALNUM, lower=True):
+            hashes, count = w.hashes(), w.lengths()
+            length = w.end - w.start + 1
+            ends = np.cumsum(length)
+            place = np.repeat(w.start - ends + length, length) + np.arange(int(ends[-1]) if len(ends) else 0)
+            part = np.append(w.data, np.uint8(0x20))[place]
+            part[ends - 1] = 0x20
+            spelled.append(part)
+            begins.append(n_bytes + ends - length)
+            owners.append((n_words + w.offset[:-1], w.first + np.arange(w.n)))
+            for n in np.unique(np.minimum(count, size)).tolist():
+                if n == size:
+                    first = np.flatnonzero(full_windows(w.offset, n, len(hashes)))
+                elif n:
+                    first = w.offset[:-1][count == n]
+                else:
                     continue
-                spelled, item = w.bytes(a, b), rows[w.first + k][0]
-                by_hash = self.found.setdefault(n, {})
-                for i, h in enumerate(window_hashes(hashes[a:b], n).tolist()):
-                    by_hash.setdefault(h, {}).setdefault(b" ".join(spelled[i : i + n]), set()).add(item)
-        self.tables = {}
-        for n, by_hash in self.found.items():
-            table = np.zeros(1 << TABLE_BITS, bool)
-            table[np.fromiter(by_hash, np.uint64, len(by_hash)) & np.uint64((1 << TABLE_BITS) - 1)] = True
-            self.tables[n] = table
+                found.setdefault(n, []).append((window_hashes(hashes, n)[first], n_words + first))
+            n_words, n_bytes = n_words + len(hashes), n_bytes + len(part)
+        small = np.uint32 if max(n_words, n_bytes) < 1 << 32 else np.uint64
+        self.spelled = np.concatenate([np.zeros(0, np.uint8), *spelled]).tobytes()
+        self.begin = np.concatenate([np.zeros(0, np.int64), *begins, [n_bytes]]).astype(small)
+        self.first = np.concatenate([np.zeros(0, np.int64), *(a for a, _ in owners)])
+        self.item = np.concatenate([np.zeros(0, np.int64), *(b for _, b in owners)])
+        self.found, self.tables = {}, {}
+        for n in sorted(found):
+            hashes, first = (np.concatenate(x) for x in zip(*found.pop(n)))
+            order = np.argsort(hashes)
+            self.found[n] = hashes[order], first[order].astype(small)
+            self.tables[n] = np.zeros(1 << TABLE_BITS, bool)
+            self.tables[n][hashes & np.uint64((1 << TABLE_BITS) - 1)] = True
+
+    def nbytes(self) -> int:
+        """Bytes of all that grows with the items."""
+        windows = sum(h.nbytes + f.nbytes for h, f in self.found.values())
+        return len(self.spelled) + self.begin.nbytes + self.first.nbytes + self.item.nbytes + windows
 
     def search(self, w: Words) -> Iterator[tuple[int, int, set[str]]]:
         """(first word, number of words, items) of each window of ``w`` that an item has."""
@@ -66,11 +95,16 @@ class WindowIndex:
         for n, table in self.tables.items():
             wide = window_hashes(hashes, n)
             maybe = np.flatnonzero(table[wide & np.uint64((1 << TABLE_BITS) - 1)] & full_windows(w.offset, n, len(hashes)))
-            by_hash = self.found[n]
-            for i, h in zip(maybe.tolist(), wide[maybe].tolist()):
-                spelled = by_hash.get(h)
-                if spelled and (items := spelled.get(b" ".join(w.bytes(i, i + n)))):
-                    yield i, n, items
+            known, first = self.found[n]
+            low, high = np.searchsorted(known, wide[maybe], "left"), np.searchsorted(known, wide[maybe], "right")
+            hit = np.flatnonzero(low < high)
+            for i, a, b in zip(maybe[hit].tolist(), low[hit].tolist(), high[hit].tolist()):
+                own = b" ".join(w.bytes(i, i + n))
+                same = [f for f in first[a:b].tolist() if self.spelled[self.begin[f] : int(self.begin[f + n]) - 1] == own]
+                if same:
+                    # Items without words share their place with the next one, so the last counts.
+                    at = np.searchsorted(self.first, same, "right") - 1
+                    yield i, n, {self.ids[k] for k in self.item[at].tolist()}
 
 
 _indexes: dict[str, WindowIndex] = {}
@@ -80,7 +114,7 @@ def _index(name: str, rows, size: int) -> WindowIndex:
     """The index of one broadcast, kept by the worker until another one comes."""
     if name not in _indexes:
         _indexes.clear()
-        _indexes[name] = WindowIndex(rows.value, size)
+        _indexes[name] = WindowIndex(rows.value["i"].to_pylist(), rows.value["t"], size)
     return _indexes[name]
 
 
@@ -173,7 +207,7 @@ def decontaminate(
     state = [T.StructField(_FOUND, T.BinaryType()), T.StructField(_ITEMS, T.ArrayType(T.StringType()))]
     for k in range(parts):
         part = items if parts == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k)
-        rows = spark.sparkContext.broadcast([(r.i, r.t) for r in part.collect()])
+        rows = spark.sparkContext.broadcast(part.toArrow())
         last = k == parts - 1
         more = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("clean_text", T.StringType())]
         out = T.StructType([*fields, *state, *more] if last else [*fields, T.StructField("__text", T.StringType()), *state])

@@ -41,10 +41,9 @@ def cell_number(ts: str, gap_seconds: float) -> Column:
     return F.floor(micros(ts) / F.lit(max(int(gap_seconds * 1_000_000), 1)))
 
 
-def _cells(df: DataFrame, keys: list[str], ts: str, gap_seconds: float, measures: dict[str, Measure]) -> DataFrame:
-    """Non-empty cells with the start of the session each belongs to."""
-    gap = int(gap_seconds * 1_000_000)
-    cells = (
+def cell_rows(df: DataFrame, keys: list[str], gap_seconds: float, measures: dict[str, Measure], ts: str = "ts") -> DataFrame:
+    """Non-empty cells; rows of one key and cell can be merged again."""
+    return (
         df.where(F.col(ts).isNotNull())
         .groupBy(*keys, cell_number(ts, gap_seconds).alias("_cell"))
         .agg(
@@ -53,8 +52,23 @@ def _cells(df: DataFrame, keys: list[str], ts: str, gap_seconds: float, measures
             F.count("*").alias("_events"),
             *[m.partial().alias(n) for n, m in measures.items()],
         )
-        .withColumn("_block", F.floor(F.col("_cell") / BLOCK_CELLS))
     )
+
+
+def merge_cells(cells: DataFrame, keys: list[str], measures: dict[str, Measure]) -> DataFrame:
+    """One row per key and cell of cells that were aggregated in parts."""
+    return cells.groupBy(*keys, "_cell").agg(
+        F.min("_first").alias("_first"),
+        F.max("_last").alias("_last"),
+        F.sum("_events").alias("_events"),
+        *[m.merge(n).alias(n) for n, m in measures.items()],
+    )
+
+
+def place_cells(cells: DataFrame, keys: list[str], gap_seconds: float) -> DataFrame:
+    """Cells with the start of the session each belongs to."""
+    gap = int(gap_seconds * 1_000_000)
+    cells = cells.withColumn("_block", F.floor(F.col("_cell") / BLOCK_CELLS))
     inside = Window.partitionBy(*keys, "_block").orderBy("_cell")
     across = Window.partitionBy(*keys).orderBy("_block")
     cells = cells.withColumn("_before", F.lag("_last").over(inside))
@@ -75,6 +89,15 @@ def _cells(df: DataFrame, keys: list[str], ts: str, gap_seconds: float, measures
     )
 
 
+def sessions_of(cells: DataFrame, keys: list[str], measures: dict[str, Measure]) -> DataFrame:
+    """One row per session of placed cells."""
+    return cells.groupBy(*keys, "session_start").agg(
+        F.max("_last").alias("session_end"),
+        F.sum("_events").alias("event_count"),
+        *[m.merge(n).alias(n) for n, m in measures.items()],
+    )
+
+
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
@@ -90,17 +113,12 @@ def sessionize(
     without a time are left out.
     """
     measures = measures or {}
-    cells = _cells(df, keys, ts, gap_seconds, measures)
-    return cells.groupBy(*keys, "session_start").agg(
-        F.max("_last").alias("session_end"),
-        F.sum("_events").alias("event_count"),
-        *[m.merge(n).alias(n) for n, m in measures.items()],
-    )
+    return sessions_of(place_cells(cell_rows(df, keys, gap_seconds, measures, ts), keys, gap_seconds), keys, measures)
 
 
 def session_members(df: DataFrame, keys: list[str], gap_seconds: float, row_id: str, ts: str = "ts") -> DataFrame:
     """The events with the ``session_start`` they belong to."""
-    starts = _cells(df, keys, ts, gap_seconds, {}).select(*keys, "_cell", "session_start")
+    starts = place_cells(cell_rows(df, keys, gap_seconds, {}, ts), keys, gap_seconds).select(*keys, "_cell", "session_start")
     rows = df.where(F.col(ts).isNotNull()).withColumn("_cell", cell_number(ts, gap_seconds))
     return join_unique(rows, starts, [*keys, "_cell"], F.col(row_id)).drop("_cell")
 

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracehold.functions.severity import severity_level, severity_name
+from tracehold.functions.times import micros
 from tracehold.operators.chains import AttackPattern, Step
 from tracehold.operators.detect import detect
 from tracehold.operators.parse import SourceConfig
+from tracehold.operators.sessions import Measure
 from tracehold.plans.detection import RULES
 from tracehold.plans.ingest import EXCLUDE, FILTER, PARSED_SYSLOG, staged_lines
 from tracehold.plans.registry import query
@@ -22,11 +25,12 @@ from tracehold.plans.views import (
     level_sql,
     security_rows,
     sql_text,
+    staged_alerts,
     stamp_sql,
     table,
 )
 from tracehold.session import staging_path
-from tracehold.streaming import jobs
+from tracehold.streaming import carried, jobs
 
 
 def event_stream(spark, folder) -> DataFrame:
@@ -47,6 +51,27 @@ def run_stream(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{path}/out")
 
 
+#: Runs of a stream that is stopped and started again, each with new files.
+SLICES = 3
+
+
+def run_in_slices(rows: DataFrame, path: str, start, slices: int = SLICES) -> None:
+    """Write ``rows`` in slices of time; after each one ``start`` a query on what is new, and wait for its end."""
+    spark = rows.sparkSession
+    low, high = rows.agg(F.min(micros("ts")), F.max(micros("ts"))).first()
+    at = F.floor((micros("ts") - F.lit(low or 0)) * slices / F.lit((high or 0) - (low or 0) + 1))
+    for k in range(slices):
+        rows.where(F.coalesce(at, F.lit(0)) == k).write.mode("append").parquet(path)
+        start(jobs.stream_table(spark, path, rows.schema, "*.parquet", files_per_trigger=1_000_000)).awaitTermination()
+
+
+def carried_alerts(spark, folder, step: carried.Step) -> str:
+    """Run a step over all alerts, in slices; gives the folder of its results."""
+    path = staging_path(spark, "carried")
+    run_in_slices(staged_alerts(spark, folder), f"{path}/in", lambda rows: carried.carry(rows, step, path))
+    return path
+
+
 @query(
     "stream_log_lines",
     f"WITH {LOGS_CTE}, l AS (SELECT {SYSLOG_SQL} AS value FROM logs) "
@@ -136,8 +161,10 @@ _SESSIONS = """y AS (SELECT *, sum(o) OVER (PARTITION BY %(key)s ORDER BY ts, ev
 FROM y GROUP BY run HAVING max(epoch_us(ts)) + 300000000 <= {_CLOSED.format('alerts')}""",
 )
 def stream_sessions(spark, folder):
-    """L3: closed gap sessions over all alerts."""
-    return as_text(run_stream(jobs.stream_sessions(alert_stream(spark, folder))))
+    """L3: closed gap sessions over all alerts, carried over runs on new files."""
+    path = carried_alerts(spark, folder, carried.Sessions([], 300))
+    found = carried.results(spark, path).withColumnsRenamed({"session_start": "start_time", "session_end": "end_time"})
+    return as_text(found.select("start_time", "end_time", "event_count"))
 
 
 @query(
@@ -155,27 +182,54 @@ STREAM_CHAIN = AttackPattern("failure_to_change", "Failure, then account change"
 
 @query(
     "stream_chain",
-    f"""WITH {ALERTS_CTE}, f AS (SELECT ip_address, ts, event_id, RULE_ID LIKE 'PE-%' AS second FROM (SELECT ip_address, ts, event_id, min(RULE_ID) AS RULE_ID FROM alerts
-  WHERE RULE_ID LIKE 'BF-%' OR RULE_ID LIKE 'PE-%' GROUP BY 1, 2, 3, RULE_ID LIKE 'PE-%') q),
-w AS (SELECT *, last(CASE WHEN NOT second THEN event_id END IGNORE NULLS) OVER o AS a, last(CASE WHEN NOT second THEN ts END IGNORE NULLS) OVER o AS a_ts FROM f
-  WINDOW o AS (PARTITION BY ip_address ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT 'failure_to_change' AS pattern_id, ip_address AS key, a AS first_row, event_id AS last_row, {stamp_sql('a_ts')} AS start_time, {stamp_sql('ts')} AS end_time, 'HIGH' AS severity
-FROM w WHERE second AND epoch_us(ts) - epoch_us(a_ts) <= 3600000000""",
+    f"""WITH {ALERTS_CTE}, p AS (SELECT a.event_id AS first_row, a.RULE_ID AS first_rule, a.ip_address, a.ts, b.event_id AS last_row, b.RULE_ID AS last_rule, b.ts AS last_ts,
+  row_number() OVER (PARTITION BY a.event_id, a.RULE_ID ORDER BY b.ts, b.event_id, b.RULE_ID) AS n
+  FROM alerts a JOIN alerts b ON a.ip_address = b.ip_address AND (b.ts, b.event_id, b.RULE_ID) > (a.ts, a.event_id, a.RULE_ID) AND epoch_us(b.ts) - epoch_us(a.ts) <= 3600000000
+  WHERE a.RULE_ID LIKE 'BF-%' AND b.RULE_ID LIKE 'PE-%')
+SELECT 'failure_to_change' AS pattern_id, ip_address, first_row, first_rule, last_row, last_rule, {stamp_sql('ts')} AS start_time, {stamp_sql('last_ts')} AS end_time, 'HIGH' AS severity
+FROM p WHERE n = 1 AND epoch_us(ts) + 3600000000 <= {_CLOSED.format('alerts')}""",
 )
 def stream_chain(spark, folder):
-    """Chains completed in event order, keyed state."""
-    found = run_stream(jobs.stream_chain(alert_stream(spark, folder), STREAM_CHAIN))
-    return as_text(found.dropDuplicates(["key", "first_row", "last_row"]))
+    """Chains in event order, decided when all that could follow has arrived."""
+    found = carried.results(spark, carried_alerts(spark, folder, carried.Chain(STREAM_CHAIN)))
+    ends = {"first": F.element_at("chain", 1), "last": F.element_at("chain", -1)}
+    rows = [e[f].alias(f"{n}_{t}") for n, e in ends.items() for f, t in (("row_id", "row"), ("rule_id", "rule"))]
+    return as_text(found.select("pattern_id", "ip_address", *rows, "start_time", "end_time", "severity"))
+
+
+@query(
+    "stream_suppress",
+    f"""WITH {ALERTS_CTE}, x AS (SELECT *, lag(ts) OVER (PARTITION BY RULE_ID, ip_address, username ORDER BY ts, event_id) AS before FROM alerts)
+SELECT RULE_ID, ip_address, username, event_id, {stamp_sql('ts')} AS ts FROM x
+WHERE (before IS NULL OR epoch_us(ts) - epoch_us(before) > 3600000000) AND epoch_us(ts) <= {_CLOSED.format('alerts')}""",
+)
+def stream_suppress(spark, folder):
+    """L2: repeats dropped, each of which renews the window."""
+    found = carried.results(spark, carried_alerts(spark, folder, carried.Suppress()))
+    return as_text(found.select("RULE_ID", "ip_address", "username", "event_id", "ts"))
+
+
+@query(
+    "resume_correlation",
+    f"""WITH {ALERTS_CTE} SELECT ip_address, count(*) AS event_count, {level_name_sql(f'max({level_sql()})')} AS severity, {stamp_sql('min(ts)')} AS start_time, {stamp_sql('max(ts)')} AS end_time
+FROM alerts WHERE ip_address <> '' GROUP BY 1 HAVING count(*) > 1""",
+)
+def resume_correlation(spark, folder):
+    """Address groups that stay open over restarts, each run with new files."""
+    measures = {"level": Measure("max", severity_level("SEVERITY")), "start_time": Measure("min", F.col("ts")), "end_time": Measure("max", F.col("ts"))}
+    path = carried_alerts(spark, folder, carried.Groups(["ip_address"], measures))
+    groups = carried.state_table(spark, path, "groups").where("event_count > 1")
+    return as_text(groups.select("ip_address", "event_count", severity_name("level").alias("severity"), "start_time", "end_time"))
 
 
 @query("stream_resume", "SELECT event_id, event_type FROM events")
 def stream_resume(spark, folder):
-    """A stopped stream resumes from its checkpoint; each batch goes through a callback once."""
+    """A stopped stream resumes from its checkpoint with the files that are new; each batch goes through a callback once."""
     path = staging_path(spark, "stream")
 
     def keep(batch, number):
         batch.select("event_id", "event_type").write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
-    for _ in range(2):  # the second run finds nothing new
-        jobs.for_each_change(event_stream(spark, folder), keep, f"{path}/checkpoint").awaitTermination()
+    events = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    run_in_slices(events, f"{path}/in", lambda rows: jobs.for_each_change(rows, keep, f"{path}/checkpoint"))
     return spark.read.parquet(f"{path}/out").select("event_id", "event_type")

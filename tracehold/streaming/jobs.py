@@ -2,7 +2,8 @@
 
 Parsing and rule matching are stateless and shared with the batch jobs.  The
 stateful parts carry a watermark: state older than the newest event minus the
-delay is dropped, and events later than that are ignored.
+delay is dropped, and events later than that are ignored.  Correlation that must equal
+the batch operators keeps its state in tables (``carried``).
 """
 
 from __future__ import annotations
@@ -16,8 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracehold.functions.severity import max_severity
-from tracehold.operators.chains import AttackPattern
-from tracehold.operators.correlate import anchored, key_columns, present
+from tracehold.operators.correlate import present
 from tracehold.operators.detect import detect
 from tracehold.operators.parse import SourceConfig, parse_source
 from tracehold.sources.logs import keep_lines
@@ -76,7 +76,8 @@ def stream_throttle_alerts(
     """The alerts that pass: the first ``count`` of each rule and window, in order of time inside a micro-batch.
 
     A key's state is one number, dropped with its window.  Of a key's alerts in one
-    micro-batch no more than ``count`` are held at a time.
+    micro-batch no more than ``count`` are held at a time.  Alerts without a time are in no
+    window and all pass.
     """
     columns = alerts.columns
     keyed = alerts.where(F.col("ts").isNotNull()).withWatermark("ts", delay).withColumn("_window", F.window("ts", f"{window_seconds} seconds")["end"])
@@ -96,9 +97,10 @@ def stream_throttle_alerts(
         state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
         yield kept
 
-    return keyed.groupBy("RULE_ID", "_window").applyInPandasWithState(
+    passed = keyed.groupBy("RULE_ID", "_window").applyInPandasWithState(
         first, alerts.schema, _THROTTLE_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
+    return passed.union(alerts.where(F.col("ts").isNull()))
 
 
 def stream_correlate_ip(alerts: DataFrame, gap_seconds: int = 300, delay: str = DELAY) -> DataFrame:
@@ -114,21 +116,6 @@ def stream_correlate_ip(alerts: DataFrame, gap_seconds: int = 300, delay: str =
     )
 
 
-def stream_sessions(alerts: DataFrame, gap_seconds: int = 300, delay: str = DELAY) -> DataFrame:
-    """Gap sessions over all alerts.
-
-    Every task merges its own sessions first (a session setting), so only
-    partial sessions, not alerts, meet in the one group.
-    """
-    sessions = (
-        alerts.where(F.col("ts").isNotNull())
-        .withWatermark("ts", delay)
-        .groupBy(F.session_window("ts", f"{gap_seconds} seconds"), (F.col("RULE_ID") == "").alias("_all"))
-        .agg(F.count("*").alias("event_count"), F.max("ts").alias("end_time"))
-    )
-    return sessions.select(F.col("session_window.start").alias("start_time"), "end_time", "event_count")
-
-
 def stream_frequency(events: DataFrame, size: str = "1 hour", slide: str | None = None, delay: str = DELAY) -> DataFrame:
     """Events per window; ``slide`` makes the windows overlap."""
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
@@ -136,65 +123,6 @@ def stream_frequency(events: DataFrame, size: str = "1 hour", slide: str | None
     return counts.select(F.col("window.start").alias("window_start"), "event_count")
 
 
-_CHAIN_OUT = "pattern_id string, key string, first_row long, last_row long, start_time timestamp, end_time timestamp, severity string"
-_CHAIN_STATE = "steps array<struct<step: int, ts: timestamp, row_id: long, first_row: long, first_ts: timestamp>>"
-
-
-def stream_chain(alerts: DataFrame, pattern: AttackPattern, row_id: str = "event_id", delay: str = DELAY) -> DataFrame:
-    """Chains in event order, per key, one row per completed chain.
-
-    The state of a key holds one entry per step: the latest alert that reached
-    it, with the chain's start.  It is dropped ``max_gap`` after its last alert.
-    """
-    keys = key_columns(pattern.conditions)
-    if not keys:
-        raise ValueError("a streaming chain needs a condition to be keyed by")
-    step = F.array_compact(
-        F.array(*[F.when(anchored(F.col("RULE_ID"), s.rule_pattern), F.lit(i)) for i, s in enumerate(pattern.sequence)])
-    )
-    rows = (
-        alerts.where(present(keys))
-        .withWatermark("ts", delay)
-        .select(F.concat_ws("|", *keys).alias("key"), "ts", F.col(row_id).alias("row_id"), step.alias("steps"))
-        .where(F.size("steps") > 0)
-    )
-    last, gap = len(pattern.sequence) - 1, pd.Timedelta(seconds=pattern.max_gap)
-    pattern_id, severity = pattern.pattern_id, pattern.severity
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        reached = {}
-        if state.exists:
-            reached = {s[0]: tuple(s) for s in state.get[0]}
-        done = []
-        # One key's rows of one micro-batch, which the source's rate limit bounds.
-        arrived = pd.concat(list(batches)).sort_values(["ts", "row_id"])
-        for row in arrived.itertuples(index=False):
-            ts, row_id = row.ts.to_pydatetime(), int(row.row_id)
-            for i in sorted((int(s) for s in row.steps), reverse=True):
-                before = reached.get(i - 1)
-                if i and (before is None or ts - before[1] > gap):
-                    continue
-                first_row, first_ts = (before[3], before[4]) if i else (row_id, ts)
-                if i == last:
-                    done.append((pattern_id, key[0], first_row, row_id, first_ts, ts, severity))
-                reached[i] = (i, ts, row_id, first_row, first_ts)
-        state.update(([reached[i] for i in sorted(reached)],))
-        if reached:
-            newest = max(s[1] for s in reached.values())
-            expiry = int((pd.Timestamp(newest, tz="UTC") + gap).timestamp() * 1000)
-            state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        if done:
-            columns = ["pattern_id", "key", "first_row", "last_row", "start_time", "end_time", "severity"]
-            yield pd.DataFrame(done, columns=columns)
-
-    return rows.groupBy("key").applyInPandasWithState(
-        advance, _CHAIN_OUT, _CHAIN_STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-
 def write_stream(df: DataFrame, path: str, checkpoint: str, seconds: int | None = None) -> StreamingQuery:
     """Append to parquet, exactly once; restarts resume from the checkpoint.
 

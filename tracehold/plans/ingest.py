@@ -346,22 +346,21 @@ def alerts_roundtrip(spark, folder):
 
 @query(
     "evidence_manifest",
-    """WITH f AS (SELECT n_nationkey, n_name AS name, sha256(n_name || chr(10) || n_regionkey || chr(10)) AS sha FROM nation)
-SELECT name, CASE WHEN n_nationkey % 4 = 0 THEN NULL WHEN n_nationkey % 4 = 1 THEN 'other' ELSE sha END AS expected, sha AS actual,
-  CASE n_nationkey % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'changed' ELSE 'ok' END AS status FROM f
+    """WITH f AS (SELECT o_orderkey // 1000 AS b, CAST(o_orderkey // 1000 AS VARCHAR) AS name, sha256(string_agg(o_orderkey || '|' || o_orderstatus || chr(10), '' ORDER BY o_orderkey)) AS sha FROM orders GROUP BY 1, 2)
+SELECT name, CASE WHEN b % 4 = 0 THEN NULL WHEN b % 4 = 1 THEN 'other' ELSE sha END AS expected, sha AS actual, CASE b % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'changed' ELSE 'ok' END AS status FROM f
 UNION ALL SELECT r_name, 'gone', NULL, 'missing' FROM region""",
 )
 def evidence_manifest(spark, folder):
-    """Checksums of one file per nation, below folders, against a stored manifest."""
+    """Checksums of files of up to a thousand orders each, below folders, against a stored manifest."""
     from tracehold.sources.evidence import evidence_manifest as manifest
     from tracehold.sources.evidence import verify_manifest
 
-    nation, files, stored = table(spark, folder, "nation"), staging_path(spark, "evidence"), staging_path(spark, "manifest")
-    lines = F.explode(F.array("n_name", F.col("n_regionkey").cast("string"))).alias("value")
-    nation.select("n_name", lines).repartition("n_name").write.partitionBy("n_name").text(files)
-    current = manifest(spark, files, "*.txt").withColumn("name", F.regexp_extract("name", "^n_name=([^/]+)/[^/]+$", 1))
-    key = F.col("n_nationkey") % 4
-    kept = current.join(nation, current["name"] == nation["n_name"]).where(key != 0)
-    old = kept.select("name", F.when(key == 1, "other").otherwise(F.col("sha256")).alias("sha256"))
+    files, stored = staging_path(spark, "evidence"), staging_path(spark, "manifest")
+    line = F.concat(F.col("o_orderkey").cast("string"), F.lit("|"), "o_orderstatus").alias("value")
+    lines = table(spark, folder, "orders").select(F.floor(F.col("o_orderkey") / 1000).alias("part"), "o_orderkey", line)
+    lines.repartition("part").sortWithinPartitions("part", "o_orderkey").select("part", "value").write.partitionBy("part").text(files)
+    current = manifest(spark, files, "*.txt").withColumn("name", F.regexp_extract("name", "^part=([^/]+)/[^/]+$", 1))
+    key = F.col("name").cast("long") % 4
+    old = current.where(key != 0).select("name", F.when(key == 1, "other").otherwise(F.col("sha256")).alias("sha256"))
     old.union(table(spark, folder, "region").select("r_name", F.lit("gone"))).write.parquet(stored)
     return verify_manifest(spark.read.parquet(stored), current)

@@ -12,6 +12,7 @@ from tracehold.plans.registry import query
 from tracehold.plans.views import ALERTS_CTE, LOGS_CTE, as_text, logs, r6, sql_text, staged_alerts, stamp_sql, table
 from tracehold.session import staging_path
 from tracehold.sources import feeds
+from tracehold.sources import indicator_store as indicator_store_folder
 from tracehold.sources.rules import bundled_rule_lines, bundled_rules, parse_rules
 
 AS_OF = "2024-02-01 00:00:00"
@@ -237,6 +238,24 @@ def upsert_indicators(spark, folder):
     return as_text(intel.upsert_indicators(indicator_store(spark, folder), new, F.lit(AS_OF).cast("timestamp")))
 
 
+@query(
+    "upsert_store",
+    f"""WITH {LOGS_CTE}, {_STORE}, n AS (SELECT DISTINCT 'domain' AS type, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS indicator, TRUE AS is_malicious, 'urlhaus feed' AS threat_type,
+  80.0 AS score, 'urlhaus' AS source, TIMESTAMP '{AS_OF}' AS last_updated FROM pages),
+u AS (SELECT type, indicator, is_malicious, threat_type, score, source, TIMESTAMP '2000-01-01 00:00:00' AS last_updated FROM store UNION ALL SELECT * FROM n),
+r AS (SELECT *, row_number() OVER (PARTITION BY type, indicator ORDER BY last_updated DESC, score DESC, is_malicious DESC, threat_type DESC NULLS LAST, source DESC NULLS LAST) AS k FROM u)
+SELECT type, indicator, is_malicious, threat_type, {r6('score')} AS score, source, {stamp_sql('last_updated')} AS last_updated FROM r WHERE k = 1""",
+)
+def upsert_store(spark, folder):
+    """A10: a store kept in a folder, a feed put into it in place, twice."""
+    path = staging_path(spark, "store")
+    indicator_store_folder.upsert_store(spark, path, indicator_store(spark, folder).drop("last_updated"), F.lit("2000-01-01").cast("timestamp"))
+    feed = intel.classify_feed(url_feed(spark, folder), "url")
+    for _ in range(2):  # the second time changes nothing
+        indicator_store_folder.upsert_store(spark, path, feed, F.lit(AS_OF).cast("timestamp"))
+    return as_text(indicator_store_folder.read_store(spark, path))
+
+
 @query(
     "rules_from_indicators",
     f"""WITH {LOGS_CTE}, {_STORE}, b AS (SELECT DISTINCT type, indicator FROM store WHERE is_malicious AND type IN ('ip', 'domain')),

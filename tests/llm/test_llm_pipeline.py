@@ -101,5 +101,5 @@ def test_numbers_are_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 14))
     assert "pipeline" in names and "alert_pipeline" in names

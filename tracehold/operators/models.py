@@ -12,13 +12,14 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracehold.operators.density import DensityModel
 from tracehold.operators.features import FeatureModel, fit_features
 from tracehold.operators.forest import SEED, IsolationForest, grow_forest
 from tracehold.operators.quantiles import exact_quantile
+from tracehold.operators.text_density import TextDensity, weigh_rarest_first
 from tracehold.session import stage
 
 
@@ -138,24 +139,59 @@ def train_classifier(
 def cluster_events(
     df: DataFrame,
     row_id: str,
-    numeric: list[str],
+    numeric: list[str] | None = None,
     categorical: list[str] | None = None,
+    text: list[str] | None = None,
     eps: float = 0.5,
     min_samples: int = 5,
 ) -> DataFrame:
-    """Rows with their ``cluster`` (-1 for outliers) over standardized and one-hot fields."""
-    categorical = list(categorical or [])
-    features = fit_features(df, numeric=numeric, categorical=categorical)
-    levels = []
-    for name in categorical:
-        known = features.categorical[name]
-        value = F.coalesce(F.col(name).cast("string"), F.lit(known[0] if known else ""))
-        # The dropped first level is all zeros, like a missing value.
-        levels.append(F.when(value == F.lit(known[0] if known else ""), "").otherwise(value))
-    xs = [c.alias(f"x{i}") for i, c in enumerate(features.columns()[: len(numeric)])]
-    cats = [F.array(*levels).alias("cats")] if levels else []
+    """Rows with their ``cluster`` (-1 for outliers) over standardized, one-hot and TF-IDF features.
+
+    Without text fields the grid of :class:`DensityModel` is used, with them the
+    inverted index of :class:`TextDensity`; both give the clusters of plain DBSCAN.
+    """
+    if text:
+        return text_density(df, row_id, numeric, categorical, text, eps, min_samples).clusters()
+    numeric, categorical = list(numeric or []), list(categorical or [])
+    features = fit_features(df, numeric=numeric)
+    xs = [c.alias(f"x{i}") for i, c in enumerate(features.columns())]
+    cats = [F.array(*[level_or_none(df, name) for name in categorical]).alias("cats")] if categorical else []
     points = stage(df.select(row_id, *xs, *cats), "points")
-    return DensityModel(points, row_id, len(numeric), eps, min_samples, bool(levels)).clusters()
+    return DensityModel(points, row_id, len(numeric), eps, min_samples, bool(categorical)).clusters()
+
+
+def level_or_none(df: DataFrame, name: str) -> Column:
+    """A row's level; the dropped first level is all zeros, like a missing value."""
+    value = F.col(name).cast("string")
+    first = df.agg(F.min(value).alias("v")).scalar()
+    return F.when(value.isNull() | (value == first), "").otherwise(value)
+
+
+def text_density(
+    df: DataFrame,
+    row_id: str,
+    numeric: list[str] | None,
+    categorical: list[str] | None,
+    text: list[str],
+    eps: float = 0.5,
+    min_samples: int = 5,
+) -> TextDensity:
+    """The clustering run behind :func:`cluster_events` with text fields; null texts have no terms."""
+    numbers = fit_features(df, numeric=numeric).columns() if numeric else []
+    terms = fit_features(df, text=text)
+    terms.terms = weigh_rarest_first(terms.terms)
+    rows = df.withColumns(
+        {
+            "_xs": F.array(*numbers).cast("array<double>"),
+            "_cats": F.array(*[level_or_none(df, name) for name in categorical or []]).cast("array<string>"),
+        }
+    )
+    if terms.terms:
+        rows = terms.transform(rows, "_v").withColumn("_text", vector_to_array("_v"))
+    else:
+        rows = rows.withColumn("_text", F.array().cast("array<double>"))
+    points = rows.select(row_id, F.col("_xs").alias("xs"), F.col("_cats").alias("cats"), F.col("_text").alias("text"))
+    return TextDensity(stage(points, "points"), row_id, eps, min_samples)
 
 
 def cluster_stats(df: DataFrame, clusters: DataFrame, row_id: str, numeric: list[str]) -> DataFrame:

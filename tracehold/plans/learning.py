@@ -215,3 +215,33 @@ def cluster_line_stats(spark, folder):
     rows = feature_rows(spark, folder)
     found = stage(models.cluster_events(rows, "event_id", ["value"], eps=0.1, min_samples=5), "clusters")
     return as_text(models.cluster_stats(rows, found, "event_id", ["value"]))
+
+
+def _text_run(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "n_chars")
+    return models.text_density(docs, "doc_id", ["n_chars"], ["lang"], ["text"], eps=0.4, min_samples=5)
+
+
+@query("cluster_text")
+def cluster_text(spark, folder):
+    """Clusters of whole texts by their terms, language and length."""
+    return _text_run(spark, folder).clusters()
+
+
+@query(
+    "cluster_text_noise",
+    f"""WITH {_TFIDF}, u AS (SELECT doc_id, term, w / norm AS w FROM x JOIN y USING (doc_id)),
+s AS (SELECT avg(n_chars) AS m, stddev_pop(n_chars) AS d, min(lang) AS low FROM documents),
+e AS (SELECT doc_id, (n_chars - m) / d AS z, CASE WHEN lang <> low THEN lang ELSE '' END AS kind, CASE WHEN norm > 0 THEN 1.0 ELSE 0.0 END AS own FROM documents LEFT JOIN y USING (doc_id), s),
+dots AS (SELECT a.doc_id AS i, b.doc_id AS j, sum(a.w * b.w) AS dot FROM u a JOIN u b USING (term) GROUP BY 1, 2),
+near AS (SELECT a.doc_id AS i, b.doc_id AS j FROM e a JOIN e b ON abs(a.z - b.z) <= 0.4 LEFT JOIN dots ON dots.i = a.doc_id AND dots.j = b.doc_id
+  WHERE a.doc_id = b.doc_id OR a.own + b.own - 2 * coalesce(dot, 0) + (a.z - b.z) ** 2
+    + CASE WHEN a.kind = b.kind THEN 0 WHEN a.kind = '' OR b.kind = '' THEN 1 ELSE 2 END <= 0.4 ** 2),
+n AS (SELECT i, count(*) AS close FROM near GROUP BY i)
+SELECT n.i AS doc_id, n.close, n.close < 5 AND NOT EXISTS (SELECT 1 FROM near JOIN n c ON c.i = near.j WHERE near.i = n.i AND c.close >= 5) AS noise FROM n""",
+)
+def cluster_text_noise(spark, folder):
+    """Neighbours of every document in that clustering, and which are outliers."""
+    run = _text_run(spark, folder)
+    noise = run.noise().withColumn("noise", F.lit(True))
+    return run.neighbours().join(noise, "doc_id", "left").select("doc_id", "close", F.coalesce("noise", F.lit(False)).alias("noise"))

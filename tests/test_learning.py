@@ -204,3 +204,75 @@ def test_manifest(spark, tmp_path):
     (tmp_path / "b.rules").unlink()
     got = {r.name: r.status for r in verify_manifest(stored, evidence_manifest(spark, str(tmp_path))).collect()}
     assert got == {"a.rules": "changed", "b.rules": "missing", "c.rules": "new"}
+
+
+@pytest.mark.parametrize("rows,batch", [(700, 10_000), (6_000, 50)])
+def test_forest_is_the_plain_forest_on_the_same_draws(spark, rows, batch):
+    from tracehold.operators.forest import SAMPLE_ROWS, SEED, average_path, draws, grow_forest, tree_of
+    from tracehold.session import stage
+
+    rng = np.random.default_rng(2)
+    # A third of the rows are equal; the third place holds codes.
+    data = [(i, [1.0, 1.0, 1.0] if i % 3 == 0 else [float(rng.normal()), float(rng.normal()), float(rng.integers(0, 40))]) for i in range(rows)]
+    table = stage(spark.createDataFrame(data, "id long, x array<double>").repartition(5, "id"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        forest = grow_forest(table, "x", ["a", "b", "c"], trees=12, coded=frozenset([2]))
+        got = {r.id: r.s for r in table.select("id", forest.score(spark, F.col("x")).alias("s")).collect()}
+        taken = draws(table, "x", 12).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == rows and taken["tree"].nunique() == 12
+    trees = []
+    for tree, part in taken.groupby("tree"):
+        order = part.assign(p=part["at"].map(tuple)).sort_values(["draw", "p"]).head(SAMPLE_ROWS)
+        assert len(order) == min(rows, SAMPLE_ROWS) == order["p"].nunique()
+        trees.append(tree_of(int(tree), np.stack(order["x"]), SEED, frozenset([2])))
+    # Trees draw rows of their own.
+    firsts = [frozenset(part.sort_values("draw")["at"].map(tuple).head(50)) for _, part in taken.groupby("tree")]
+    assert len(set(firsts)) == 12
+    for i, x in data[:300]:
+        path = 0.0
+        for nodes in trees:
+            at = 0
+            while nodes[at][0] >= 0:
+                feature, code, cut, child, _ = nodes[at]
+                value = x[feature] if code < 0 else float(x[feature] == code)
+                at = child + (value > cut)
+            path += nodes[at][4]
+        assert got[i] == pytest.approx(-(2 ** (-path / 12 / float(average_path(SAMPLE_ROWS)))))
+
+
+def test_any_number_of_levels_and_classes(spark, tmp_path):
+    """One level a row, hundreds of classes, a hot level, nulls and unknown levels."""
+    rows = [(i, f"name{i:05d}", None if i % 9 == 0 else "hot" if i % 3 else f"rare{i % 7}", f"class{i % 300:04d}", float(i % 300)) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "id long, name string, kind string, label string, v double")
+    features = fit_features(df, ["v"], ["name", "kind"])
+    assert features.categorical == {"name": 12_000, "kind": 8}
+    got = {r.id: r.x for r in features.coded(df, "x").select("id", "x").collect()}
+    assert [got[i][1] for i in (0, 1, 11_999)] == [0, 1, 11_999] and [got[i][2] for i in (0, 1, 3)] == [0, 0, 4]
+    vector = features.transform(df.where("id = 11999"), "f").first().f
+    assert vector.size == 1 + 11_999 + 7 and [i for i in vector.indices if i] == [11_999]
+    new = spark.createDataFrame([(1.0, "nobody", "rare6")], "v double, name string, kind string")
+    assert features.coded(new, "x").first().x[1:] == [0.0, 7.0]
+    assert features.names(spark, [0, 11_999, 12_006]) == {0: "v", 11_999: "name_name11999", 12_006: "kind_rare6"}
+    model = models.train_anomaly_model(df, "id", ["v"], ["name", "kind"])
+    models.save_model(spark, model, str(tmp_path), "names")
+    again = models.load_model(spark, str(tmp_path), "names")
+    models.save_model(spark, again, str(tmp_path), "names")
+    a, b = (sorted((r.id, r.anomaly_score) for r in m.transform(df).select("id", "anomaly_score").collect()) for m in (model, again))
+    assert [i for i, _ in a] == [i for i, _ in b] == list(range(12_000)) and [s for _, s in a] == pytest.approx([s for _, s in b])
+    clf = models.train_classifier(df, "label", ["v"], ["name"], trees=2)
+    # Fewer than two rows of 12,000 are below the share, so all names but the first share a column.
+    assert clf.features.categorical == {"name": 2} and len(clf.config["classes"]) == 300
+    scored = clf.transform(df.limit(50), columns=False).collect()
+    assert {len(r.probabilities) for r in scored} == {300} and all(r.predicted_class.startswith("class") for r in scored)
+
+
+def test_rare_levels_share_a_code(spark):
+    df = spark.createDataFrame([("a",)] + [("b",)] * 50 + [("c",), ("d",), (None,)] + [("e",)] * 46, "k string")
+    model = fit_features(df, categorical=["k"], level_share=0.02)
+    got = {(r.k, r._code0) for r in model.with_codes(df).collect()}
+    assert got == {("a", 0), ("b", 1), ("e", 2), ("c", 3), ("d", 3), (None, 0)} and model.categorical == {"k": 4}
+    empty = fit_features(df.limit(0), ["k"], ["k"])
+    assert empty.categorical == {"k": 0} and empty.coded(df, "x").count() == 100

@@ -5,19 +5,21 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracehold.operators.anomaly import known
+from tracehold.operators.ordered import numbered
+from tracehold.session import stage, staging_path
 
 # Size of the text vocabulary and what counts as a word.
 MAX_TERMS = 100
 WORD = r"[\p{L}\p{N}_]{2,}"
 
-MAX_LEVELS = 10_000
+LEVEL_SCHEMA = "field string, level string, n long, code long"
 
 
 def time_features(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -66,48 +68,130 @@ def tfidf(df: DataFrame, fields: list[str], row_id: str, size: int = MAX_TERMS)
     return weighted.select(row_id, F.inline(cells))
 
 
+def level_table(df: DataFrame, fields: list[str], share: float = 0.0) -> str:
+    """Path of the written dictionary (field, level, n, code) of the fields' levels; nulls are none.
+
+    Codes count the levels in order from 0, so there may be as many as rows: they
+    are numbered by a range sort and stay a table.  Levels held by less than
+    ``share`` of the rows have one common code behind the others, but for the first
+    level, which is always 0.
+    """
+    parts = [df.select(F.lit(f).alias("field"), F.col(f).cast("string").alias("level")) for f in fields]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.union(part)
+    found = stage(rows.where(F.col("level").isNotNull()).groupBy("field", "level").agg(F.count("*").alias("n")), "levels")
+    if share:
+        enough = share * df.count()
+        first = found.groupBy("field").agg(F.min("level").alias("first"))
+        found = found.join(first, "field").withColumn("own", (F.col("n") >= enough) | (F.col("level") == F.col("first"))).drop("first")
+    else:
+        found = found.withColumn("own", F.lit(True))
+    own = numbered(found.where("own").drop("own"), ["field"], ["level"], "code").withColumn("code", F.col("code") - 1)
+    own = stage(own.select("field", "level", "n", "code"), "codes")
+    behind = own.groupBy("field").agg(F.count("*").alias("code"))
+    rare = found.where(~F.col("own")).join(behind, "field").select("field", "level", "n", "code")
+    path = staging_path(df.sparkSession, "dictionary")
+    own.unionByName(rare).write.parquet(path)
+    return path
+
+
 @dataclass
 class FeatureModel:
-    """Fitted features; what is learnt is small: two numbers per numeric field, the
-    levels of a categorical field, at most a hundred terms.  New data goes through
-    the fitted values, never through a refit.
+    """Fitted features; what is kept here is small: two numbers per numeric field, the
+    number of codes of a categorical field, at most a hundred terms.  The levels are
+    a table at ``levels``.  New data goes through the fitted values, never through a refit.
     """
 
     numeric: dict[str, tuple[float, float]] = field(default_factory=dict)
-    categorical: dict[str, list[str]] = field(default_factory=dict)
+    categorical: dict[str, int] = field(default_factory=dict)
     text_fields: list[str] = field(default_factory=list)
     terms: dict[str, float] = field(default_factory=dict)
-
-    def names(self) -> list[str]:
-        dummies = [f"{f}_{level}" for f, levels in self.categorical.items() for level in levels[1:]]
-        return list(self.numeric) + dummies + [f"term_{t}" for t in self.terms]
+    levels: str = ""
+
+    def fields(self) -> list[str]:
+        """What the places of :meth:`coded` hold."""
+        return [*self.numeric, *self.categorical, *[f"term_{t}" for t in self.terms]]
+
+    def code_places(self) -> frozenset[int]:
+        return frozenset(range(len(self.numeric), len(self.numeric) + len(self.categorical)))
+
+    def names(self, spark: SparkSession, places: list[int]) -> dict[int, str]:
+        """Names of some places of the vector of :meth:`transform`, as many as are asked for."""
+        start, found, wanted = len(self.numeric), {}, set(places)
+        found.update({i: f for i, f in enumerate(self.numeric) if i in wanted})
+        for f, size in self.categorical.items():
+            codes = [p - start + 1 for p in wanted if start <= p < start + max(size - 1, 0)]
+            if codes:
+                # A code that rare levels share is named by the first of them.
+                asked = self._levels(spark).where((F.col("field") == f) & F.col("code").isin(codes))
+                for row in asked.groupBy("code").agg(F.min("level").alias("level"), F.count("*").alias("n")).collect():
+                    found[start + row["code"] - 1] = f"{f}_{row['level']}" + (" and others" if row["n"] > 1 else "")
+            start += max(size - 1, 0)
+        found.update({start + i: f"term_{t}" for i, t in enumerate(self.terms) if start + i in wanted})
+        return found
 
     def columns(self) -> list[Column]:
-        """Numeric and one-hot columns; text terms come from :meth:`transform`."""
+        """The numeric columns, filled and in deviations."""
         found = []
         for name, (mean, deviation) in self.numeric.items():
             value = F.coalesce(known(name), F.lit(mean))
             found.append((value - F.lit(mean)) / F.lit(deviation or 1.0))
-        for name, levels in self.categorical.items():
-            found += [F.coalesce((F.col(name).cast("string") == F.lit(v)).cast("double"), F.lit(0.0)) for v in levels[1:]]
         return found
 
+    def _levels(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(LEVEL_SCHEMA).parquet(self.levels)
+
+    def with_codes(self, df: DataFrame) -> DataFrame:
+        """Add ``_code0``, ... of the categorical fields; first, missing and unknown levels are 0.
+
+        Spark broadcasts a dictionary by its measured size and splits hot levels of a larger one.
+        """
+        for i, f in enumerate(self.categorical):
+            dictionary = self._levels(df.sparkSession).where(F.col("field") == f)
+            dictionary = dictionary.select(F.col("level").alias("_level"), F.col("code").alias(f"_code{i}"))
+            df = df.withColumn("_level", F.col(f).cast("string")).join(dictionary, "_level", "left").drop("_level")
+            df = df.withColumn(f"_code{i}", F.coalesce(f"_code{i}", F.lit(0)))
+        return df
+
+    def _with_text(self, df: DataFrame, output: str) -> DataFrame:
+        step = df.withColumn("_words", words(text_of(self.text_fields)))
+        stages = [
+            CountVectorizerModel.from_vocabulary(list(self.terms), inputCol="_words", outputCol="_counts"),
+            ElementwiseProduct(scalingVec=Vectors.dense(list(self.terms.values())), inputCol="_counts", outputCol="_weights"),
+            Normalizer(p=2.0, inputCol="_weights", outputCol=output),
+        ]
+        for stage_ in stages:
+            step = stage_.transform(step)
+        return step.drop("_words", "_counts", "_weights")
+
+    def coded(self, df: DataFrame, output: str) -> DataFrame:
+        """Add the array of numbers, codes of levels and term weights: one place a field, however many levels."""
+        base, step = df.columns, self.with_codes(df)
+        cells = [*self.columns(), *[F.col(f"_code{i}").cast("double") for i in range(len(self.categorical))]]
+        values = F.array(*cells).cast("array<double>")
+        if self.terms:
+            step = self._with_text(step, "_text")
+            values = F.concat(values, vector_to_array("_text"))
+        return step.select(*base, values.alias(output))
+
     def transform(self, df: DataFrame, output: str = "features") -> DataFrame:
-        """Add the feature vector; row-local, so it needs no shuffle."""
-        base = df.columns
+        """Add the sparse vector of numbers, one-hot levels (but the first) and term weights."""
+        base, step = df.columns, self.with_codes(df)
         plain = {f"_f{i}": c for i, c in enumerate(self.columns())}
-        step = df.withColumns(plain) if plain else df
-        inputs = list(plain)
+        step, inputs = step.withColumns(plain) if plain else step, list(plain)
+        hot = {i: size - 1 for i, size in enumerate(self.categorical.values()) if size > 1}
+        if hot:
+            # Code 0 becomes an invalid category, which is all zeros.
+            step = step.withColumns({f"_code{i}": (F.col(f"_code{i}") - 1).cast("double") for i in hot})
+            encoder = OneHotEncoder(
+                inputCols=[f"_code{i}" for i in hot], outputCols=[f"_hot{i}" for i in hot], handleInvalid="keep", dropLast=True
+            )
+            largest = df.sparkSession.range(1).select(*[F.lit(float(n - 1)).alias(f"_code{i}") for i, n in hot.items()])
+            step = encoder.fit(largest).transform(step)
+            inputs += [f"_hot{i}" for i in hot]
         if self.terms:
-            terms = list(self.terms)
-            step = step.withColumn("_words", words(text_of(self.text_fields)))
-            stages = [
-                CountVectorizerModel.from_vocabulary(terms, inputCol="_words", outputCol="_counts"),
-                ElementwiseProduct(scalingVec=Vectors.dense(list(self.terms.values())), inputCol="_counts", outputCol="_weights"),
-                Normalizer(p=2.0, inputCol="_weights", outputCol="_text"),
-            ]
-            for stage in stages:
-                step = stage.transform(step)
+            step = self._with_text(step, "_text")
             inputs.append("_text")
         assembled = VectorAssembler(inputCols=inputs, outputCol=output).transform(step)
         return assembled.select(*base, output)
@@ -123,9 +207,13 @@ class FeatureModel:
 
 
 def fit_features(
-    df: DataFrame, numeric: list[str] | None = None, categorical: list[str] | None = None, text: list[str] | None = None
+    df: DataFrame,
+    numeric: list[str] | None = None,
+    categorical: list[str] | None = None,
+    text: list[str] | None = None,
+    level_share: float = 0.0,
 ) -> FeatureModel:
-    """Learn means, population deviations, category levels and terms."""
+    """Learn means, population deviations, category levels (see :func:`level_table`) and terms."""
     if not (numeric or categorical or text):
         raise ValueError("no features given")
     model = FeatureModel(text_fields=list(text or []))
@@ -141,11 +229,10 @@ def fit_features(
             # Rows filled with the mean add no deviation but count in the divisor.
             shrink = (row[f"n_{f}"] / row["n"]) ** 0.5 if row["n"] else 0.0
             model.numeric[f] = (mean, (row[f"s_{f}"] or 0.0) * shrink)
-    for f in categorical or []:
-        levels = [r[0] for r in df.select(F.col(f).cast("string")).where(F.col(f).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()]
-        if len(levels) > MAX_LEVELS:
-            raise ValueError(f"{f} has more than {MAX_LEVELS} levels")
-        model.categorical[f] = sorted(levels)
+    if categorical:
+        model.levels = level_table(df, categorical, level_share)
+        sizes = model._levels(df.sparkSession).groupBy("field").agg((F.max("code") + 1).alias("n")).collect()
+        model.categorical = {f: {r["field"]: r["n"] for r in sizes}.get(f, 0) for f in categorical}
     if text:
         model.terms = {r["term"]: r["idf"] for r in vocabulary(df, text).orderBy("term").collect()}
     return model

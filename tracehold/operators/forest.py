@@ -2,7 +2,11 @@
 
 Sampling is part of the method (256 rows per tree), so the forest's size does
 not grow with the data: 100 trees of at most 511 nodes, broadcast to the tasks
-that score all rows.
+that score all rows.  Each tree draws its own rows in one pass over the table and
+is grown in the task where its sample ends up; no rows pass through the driver.
+
+A categorical field is one number per row, its level's code.  It stands for the
+one-hot columns of all levels but the first: a node on it asks for one code.
 """
 
 from __future__ import annotations
@@ -22,7 +26,9 @@ from tracehold.session import stage
 TREES = 100
 SAMPLE_ROWS = 256
 SEED = 42
-_NODE_SCHEMA = "tree int, node int, feature int, cut double, child int, path double"
+# Rows expected to pass a tree's threshold beyond the wanted ones; that fewer than those pass has a probability below e^-800.
+MARGIN = 1_256
+_NODE_SCHEMA = "tree int, node int, feature int, code double, cut double, child int, path double"
 
 
 def average_path(n) -> np.ndarray:
@@ -32,8 +38,21 @@ def average_path(n) -> np.ndarray:
     return np.where(n > 2, 2 * harmonic - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def grow_tree(rows: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple]:
-    """Random axis-parallel cuts; a node is (feature, cut, left child, path length).
+def cuttable(part: np.ndarray, coded: frozenset[int]) -> list[tuple[int, float]]:
+    """(column, code) of what differs among the rows; numbers have no code (-1), a level one column per code."""
+    found = []
+    for k in range(part.shape[1] if len(part) else 0):
+        if k not in coded:
+            if part[:, k].max() > part[:, k].min():
+                found.append((k, -1.0))
+            continue
+        codes, n = np.unique(part[:, k], return_counts=True)
+        found += [(k, float(c)) for c, m in zip(codes, n) if c > 0 and m < len(part)]
+    return found
+
+
+def grow_tree(rows: np.ndarray, rng: np.random.Generator, max_depth: int, coded: frozenset[int] = frozenset()) -> list[tuple]:
+    """Random axis-parallel cuts; a node is (feature, code, cut, left child, path length).
 
     The right child follows the left one; leaves have feature -1.
     """
@@ -41,17 +60,17 @@ def grow_tree(rows: np.ndarray, rng: np.random.Generator, max_depth: int) -> lis
     todo = [(0, rows, 0)]
     while todo:
         at, part, depth = todo.pop()
-        spread = part.max(axis=0) - part.min(axis=0) if len(part) else np.zeros(rows.shape[1])
-        usable = np.flatnonzero(spread > 0)
-        if depth >= max_depth or len(part) <= 1 or not len(usable):
-            nodes[at] = (-1, 0.0, -1, depth + float(average_path(len(part))))
+        usable = [] if depth >= max_depth or len(part) <= 1 else cuttable(part, coded)
+        if not usable:
+            nodes[at] = (-1, -1.0, 0.0, -1, depth + float(average_path(len(part))))
             continue
-        feature = int(rng.choice(usable))
-        cut = rng.uniform(part[:, feature].min(), part[:, feature].max())
-        left = part[:, feature] <= cut
+        feature, code = usable[int(rng.integers(len(usable)))]
+        values = part[:, feature] if code < 0 else (part[:, feature] == code).astype(float)
+        cut = rng.uniform(values.min(), values.max())
+        left = values <= cut
         child = len(nodes)
         nodes += [None, None]
-        nodes[at] = (feature, float(cut), child, 0.0)
+        nodes[at] = (feature, code, float(cut), child, 0.0)
         todo += [(child, part[left], depth + 1), (child + 1, part[~left], depth + 1)]
     return nodes
 
@@ -69,7 +88,7 @@ class IsolationForest:
         """Score of each row from an array of its values: the lower, the easier to isolate (-1 to 0)."""
         trees = []
         for _, part in self.nodes.sort_values(["tree", "node"]).groupby("tree"):
-            trees.append(tuple(part[c].to_numpy() for c in ("feature", "cut", "child", "path")))
+            trees.append(tuple(part[c].to_numpy() for c in ("feature", "code", "cut", "child", "path")))
         shared = spark.sparkContext.broadcast((trees, float(average_path(self.sample_rows))))
 
         @F.pandas_udf("double")
@@ -77,16 +96,17 @@ class IsolationForest:
             forest, normal = shared.value
             x = np.stack(rows.to_numpy()).astype(float) if len(rows) else np.zeros((0, 1))
             total, each = np.zeros(len(x)), np.arange(len(x))
-            for feature, cut, child, path in forest:
+            for feature, code, cut, child, path in forest:
                 at = np.zeros(len(x), dtype=int)
                 while True:
                     inner = feature[at] >= 0
                     if not inner.any():
                         break
-                    right = x[each, np.maximum(feature[at], 0)] > cut[at]
+                    value = x[each, np.maximum(feature[at], 0)]
+                    right = np.where(code[at] < 0, value, value == code[at]) > cut[at]
                     at = np.where(inner, child[at] + right, at)
                 total += path[at]
-            return pd.Series(-np.power(2.0, -total / len(forest) / max(normal, 1e-12)))
+            return pd.Series(-np.power(2.0, -total / max(len(forest), 1) / max(normal, 1e-12)))
 
         return score(values)
 
@@ -100,36 +120,64 @@ class IsolationForest:
         return IsolationForest(body["fields"], pd.DataFrame(body["nodes"]), body["sample_rows"], body["offset"])
 
 
-def grow_forest(df: DataFrame, values: Column, fields: list[str], row_id: str, trees: int = TREES, seed: int = SEED) -> IsolationForest:
-    """Grow the trees in parallel, each from its own sample of a bounded pool of rows.
+def draws(rows: DataFrame, values: str, trees: int = TREES, seed: int = SEED) -> DataFrame:
+    """(tree, draw, at, x): each tree's own uniform sample, the rows with its smallest hashes.
 
-    ``values`` is the array of a row's numbers, named by ``fields``.  The pool is the ``trees * 256`` rows with the smallest hash of their id, a
-    uniform sample however large the table is.
+    ``rows`` is a staged table.  A row is known by its place in it, so equal rows and
+    equal ids are drawn one by one.  Per tree the hashes pass a threshold that lets
+    some 1,500 through; a task keeps the smallest of its own.
     """
-    spark = df.sparkSession
-    drawn = F.xxhash64(F.lit(seed), F.col(row_id))
-    pool = df.select(values.cast("array<double>").alias("_x"), drawn.alias("_draw"), F.col(row_id).alias("_id"))
-    # Twice the wanted share of all hashes, so that a task sends its part of the pool and not a whole one.
-    wanted = trees * SAMPLE_ROWS
-    share = min(1.0, (2 * wanted + 1000) / max(1, df.count()))
-    pool = pool.where(F.pmod(F.xxhash64("_draw"), F.lit(1 << 30)) <= int(share * (1 << 30)))
-    pool = pool.orderBy("_draw", "_id").limit(wanted).toPandas()["_x"].to_numpy()
-    pool = np.stack(pool).astype(float) if len(pool) else np.zeros((0, len(fields)))
-    size = min(SAMPLE_ROWS, len(pool))
-    shared = spark.sparkContext.broadcast(pool)
-
-    def grow(batches):
-        depth = int(np.ceil(np.log2(max(size, 2))))
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")
+    at = F.struct(part.alias("part"), F.col("_metadata.row_index").alias("row"))
+    total = rows.count()
+    share = min(1.0, (SAMPLE_ROWS + MARGIN) / max(1, total))
+    limit = int(share * float(1 << 62))
+    placed = rows.select(F.col(values).cast("array<double>").alias("x"), at.alias("at"))
+    hashes = F.transform(
+        F.sequence(F.lit(0), F.lit(trees - 1)),
+        lambda t: F.struct(t.cast("int").alias("tree"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), t, "at.part", "at.row"), 2).alias("draw")),
+    )
+    drawn = placed.withColumn("d", F.explode(F.filter(hashes, lambda h: h["draw"] <= limit)))
+    drawn = drawn.select("d.tree", "d.draw", "at", "x")
+
+    def smallest(batches):
+        kept = None
         for batch in batches:
-            for tree in batch["id"]:
-                rng = np.random.default_rng([seed, int(tree)])
-                rows = shared.value[rng.choice(len(shared.value), size, replace=False)]
-                table = pd.DataFrame(grow_tree(rows, rng, depth), columns=["feature", "cut", "child", "path"])
-                yield table.assign(tree=int(tree), node=range(len(table)))[["tree", "node", "feature", "cut", "child", "path"]]
+            batch = batch if kept is None else pd.concat([kept, batch])
+            place = batch["at"].map(lambda p: (p["part"], p["row"]))
+            batch = batch.assign(place=place).sort_values(["tree", "draw", "place"]).drop(columns="place")
+            kept = batch.groupby("tree").head(SAMPLE_ROWS)
+        if kept is not None:
+            yield kept
+
+    return drawn.mapInPandas(smallest, "tree int, draw long, at struct<part:long,row:long>, x array<double>")
+
+
+def tree_of(tree: int, sample: np.ndarray, seed: int, coded: frozenset[int] = frozenset()) -> list[tuple]:
+    """The tree with this number over its sample, in the order of the draws."""
+    depth = int(np.ceil(np.log2(max(len(sample), 2))))
+    return grow_tree(sample, np.random.default_rng([seed, tree]), depth, coded)
+
+
+def grow_forest(
+    rows: DataFrame, values: str, fields: list[str], trees: int = TREES, seed: int = SEED, coded: frozenset[int] = frozenset()
+) -> IsolationForest:
+    """Grow each tree where its sample is.
+
+    ``rows`` is a staged table with the array ``values`` of a row's numbers, named
+    by ``fields``; the positions in ``coded`` hold codes of levels.  The same table
+    gives the same forest; where its rows lie decides which are drawn.
+    """
+
+    def grow(key: tuple, sample: pd.DataFrame) -> pd.DataFrame:
+        place = sample["at"].map(lambda p: (p["part"], p["row"]))
+        sample = sample.assign(place=place).sort_values(["draw", "place"]).head(SAMPLE_ROWS)
+        nodes = tree_of(int(key[0]), np.stack(sample["x"].to_numpy()).astype(float), seed, coded)
+        table = pd.DataFrame(nodes, columns=["feature", "code", "cut", "child", "path"])
+        return table.assign(tree=int(key[0]), node=range(len(table)))[["tree", "node", "feature", "code", "cut", "child", "path"]]
 
-    tasks = min(trees, spark.sparkContext.defaultParallelism)
-    grown = spark.range(0, trees, 1, tasks).mapInPandas(grow, _NODE_SCHEMA).toPandas()
-    return IsolationForest(list(fields), grown, size)
+    grown = draws(rows, values, trees, seed).groupBy("tree").applyInPandas(grow, _NODE_SCHEMA).toPandas()
+    return IsolationForest(list(fields), grown, min(SAMPLE_ROWS, rows.count()))
 
 
 def isolation_forest_anomalies(
@@ -143,9 +191,8 @@ def isolation_forest_anomalies(
     if not names:
         raise ValueError("no numeric fields")
     filled = fill_with_mean(df.select(row_id, *names), names)
-    values = F.array(*names)
-    forest = grow_forest(filled, values, names, row_id, trees, seed)
-    scores = filled.select(row_id, forest.score(df.sparkSession, values).alias("score"))
-    scored = stage(scores, "scores")
+    rows = stage(filled.select(row_id, F.array(*names).alias("_x")), "values")
+    forest = grow_forest(rows, "_x", names, trees, seed)
+    scored = stage(rows.select(row_id, forest.score(df.sparkSession, F.col("_x")).alias("score")), "scores")
     cut = exact_quantile(scored, "score", contamination)
     return scored.where(F.col("score") < F.lit(cut)).select(F.lit("isolation_forest").alias("method"), row_id, "score")

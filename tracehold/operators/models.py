@@ -1,13 +1,14 @@
 """Trained models: anomaly forest, classifier, clustering, and where they are kept.
 
-A stored model is a folder below a shared path: ``config`` (one JSON row),
-``features`` (one JSON row) and the model itself.
+A stored model is a folder below a shared path: ``config`` (one JSON row
+with the features and an anomaly forest), ``levels`` (the dictionary of categories)
+and a classifier's ``forest``.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracehold.operators.density import DensityModel
-from tracehold.operators.features import FeatureModel, fit_features
+from tracehold.operators.features import LEVEL_SCHEMA, FeatureModel, fit_features, level_table
 from tracehold.operators.forest import SEED, IsolationForest, grow_forest
 from tracehold.operators.quantiles import exact_quantile
 from tracehold.operators.text_density import TextDensity, weigh_rarest_first
@@ -30,8 +31,8 @@ class AnomalyModel:
     config: dict
 
     def values(self, df: DataFrame) -> DataFrame:
-        """Rows with their vector as the array ``_x``."""
-        return self.features.transform(df, "_v").withColumn("_x", vector_to_array("_v")).drop("_v")
+        """Rows with their numbers, codes and term weights as the array ``_x``."""
+        return self.features.coded(df, "_x")
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Rows with ``anomaly_score`` and ``anomaly`` (-1 anomaly, 1 normal)."""
@@ -65,7 +66,7 @@ def train_anomaly_model(
         },
     )
     rows = stage(model.values(df).select(row_id, "_x"), "features")
-    model.forest = grow_forest(rows, F.col("_x"), features.names(), row_id)
+    model.forest = grow_forest(rows, "_x", features.fields(), coded=features.code_places())
     scores = stage(rows.select(model.forest.score(df.sparkSession, F.col("_x")).alias("s")), "scores")
     model.forest.offset = exact_quantile(scores, "s", contamination)
     return model
@@ -87,20 +88,26 @@ class Classifier:
     model: RandomForestClassificationModel
     config: dict
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Rows with ``predicted_class`` and one ``prob_<class>`` column per class."""
+    def transform(self, df: DataFrame, columns: bool = True) -> DataFrame:
+        """Rows with ``predicted_class`` and one ``prob_<class>`` column per class.
+
+        ``columns=False`` gives the array ``probabilities`` in the order of the classes
+        instead, for labels with too many classes for columns.
+        """
         classes = self.config["classes"]
         scored = self.model.transform(self.features.transform(df, "_features"))
-        names = F.array(*[F.lit(c) for c in classes])
+        # One constant, not one expression a class.
+        names = F.from_json(F.lit(json.dumps(classes)), "array<string>")
         probability = vector_to_array("probability")
-        return scored.select(
-            *df.columns,
-            F.get(names, F.col("prediction").cast("int")).alias("predicted_class"),
-            *[probability[i].alias(f"prob_{c}") for i, c in enumerate(classes)],
-        )
+        each = [probability[i].alias(f"prob_{c}") for i, c in enumerate(classes)] if columns else [probability.alias("probabilities")]
+        return scored.select(*df.columns, F.get(names, F.col("prediction").cast("int")).alias("predicted_class"), *each)
 
     def importances(self) -> dict[str, float]:
-        return dict(zip(self.features.names(), [float(v) for v in self.model.featureImportances.toArray()]))
+        """Importance of the features that any tree cuts."""
+        found = self.model.featureImportances.toArray()
+        places = [int(i) for i in found.nonzero()[0]]
+        names = self.features.names(SparkSession.active(), places)
+        return {names[i]: float(found[i]) for i in places}
 
 
 def train_classifier(
@@ -110,30 +117,39 @@ def train_classifier(
     categorical: list[str] | None = None,
     text: list[str] | None = None,
     trees: int = 100,
-    max_classes: int = 1_000,
     trained_at: str = "",
+    level_share: float = 1e-4,
 ) -> Classifier:
-    """Random forest over the features; rows without a label are left out."""
+    """Random forest over the features; rows without a label are left out.
+
+    Any number of levels and classes: both are coded by joins with their
+    dictionaries.  The learner holds a number per row and column, so levels held by
+    less than ``level_share`` of the rows share one column (0: every level has its
+    own); below ``1 / level_share`` rows none does.
+    """
     labelled = df.where(F.col(label).isNotNull())
-    counts = labelled.groupBy(F.col(label).cast("string").alias("c")).agg(F.count("*").alias("n")).limit(max_classes + 1).collect()
-    if len(counts) > max_classes:
-        raise ValueError(f"more than {max_classes} classes")
-    classes = sorted(r["c"] for r in counts)
-    features = fit_features(labelled, numeric, categorical, text)
-    index = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label).cast("string")) - 1
-    rows = features.transform(labelled, "_features").select("_features", index.cast("double").alias("_label"))
+    features = fit_features(labelled, numeric, categorical, text, level_share)
+    dictionary = df.sparkSession.read.schema(LEVEL_SCHEMA).parquet(level_table(labelled, [label]))
+    # One name per class, as many as the leaves of the model hold numbers for.
+    counts = dictionary.orderBy("code").select("level", "n").toPandas()
+    coded = dictionary.select(F.col("level").alias("_name"), F.col("code").cast("double").alias("_label"))
+    named = features.transform(labelled.withColumn("_name", F.col(label).cast("string")), "_features")
+    rows = named.select("_features", "_name").join(coded, "_name").select("_features", "_label")
     forest = RandomForestClassifier(
         featuresCol="_features", labelCol="_label", numTrees=trees, seed=SEED, maxMemoryInMB=512
     )
     config = {
         "model_type": "random_forest",
         "label_field": label,
-        "classes": classes,
-        "class_distribution": {r["c"]: r["n"] for r in counts},
-        "training_rows": sum(r["n"] for r in counts),
+        "classes": list(counts["level"]),
+        "class_distribution": {c: int(n) for c, n in zip(counts["level"], counts["n"])},
+        "training_rows": int(counts["n"].sum()),
         "training_date": trained_at,
     }
-    return Classifier(features, forest.fit(stage(rows, "training")), config)
+    # Without the stated number of classes the learner stops at a hundred.
+    nominal = {"ml_attr": {"type": "nominal", "num_vals": max(len(counts), 2)}}
+    training = stage(rows, "training").select("_features", F.col("_label").alias("_label", metadata=nominal))
+    return Classifier(features, forest.fit(training), config)
 
 
 def cluster_events(
@@ -220,7 +236,13 @@ def cluster_categories(df: DataFrame, clusters: DataFrame, row_id: str, field: s
 def save_model(spark: SparkSession, model: AnomalyModel | Classifier, path: str, name: str) -> None:
     """Write a model's folder below ``path``, replacing one of the same name."""
     config = json.dumps({"name": name, **model.config})
-    body = [(name, config, model.features.to_json(), model.forest.to_json() if isinstance(model, AnomalyModel) else "")]
+    features = model.features
+    if features.levels:
+        # Staged first: the model may have been loaded from this very folder.
+        levels = stage(spark.read.schema(LEVEL_SCHEMA).parquet(features.levels), "levels")
+        levels.write.mode("overwrite").parquet(f"{path}/levels/{name}")
+        features = replace(features, levels=f"{path}/levels/{name}")
+    body = [(name, config, features.to_json(), model.forest.to_json() if isinstance(model, AnomalyModel) else "")]
     table = spark.createDataFrame(body, "name string, config string, features string, forest string")
     table.coalesce(1).write.mode("overwrite").json(f"{path}/config/name={name}")
     if isinstance(model, Classifier):
@@ -236,6 +258,8 @@ def load_model(spark: SparkSession, path: str, name: str) -> AnomalyModel | Clas
     if row is None:
         raise FileNotFoundError(f"no model {name!r} below {path}")
     config, features = json.loads(row["config"]), FeatureModel.from_json(row["features"])
+    if features.levels:
+        features.levels = f"{path}/levels/{name}"
     if config["model_type"] == "isolation_forest":
         return AnomalyModel(features, IsolationForest.from_json(row["forest"]), config)
     return Classifier(features, RandomForestClassificationModel.load(f"{path}/forest/{name}"), config)

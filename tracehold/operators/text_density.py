@@ -28,6 +28,7 @@ from tracehold.session import stage
 
 SLICE = 1_024  # points of one key that are compared as a block with those of another slice
 NO_TERM = -1
+KEY = ["term", "kind", "cell", "pair"]
 _COUNTS = "spot long, close long"
 _LINKS = "core long, other long, joins boolean"
 
@@ -83,6 +84,22 @@ def forest_of(near: np.ndarray, core: np.ndarray) -> np.ndarray:
     return part
 
 
+def blocks_of(batches):
+    """The blocks of a partition that is sorted by them; what one batch leaves open is carried to the next."""
+    held = None
+    for batch in batches:
+        batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if not len(batch):
+            continue
+        keys = batch[KEY]
+        starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
+        for a, b in zip(starts[:-1], starts[1:]):
+            yield batch.iloc[a:b]
+        held = batch.iloc[starts[-1] :]
+    if held is not None:
+        yield held
+
+
 class TextDensity:
     """One clustering run over points ``row_id, xs, cats, text``.
 
@@ -100,33 +117,38 @@ class TextDensity:
         self.blocks = stage(self._blocks(), "blocks")
         eps_, core_at = eps, min_samples
 
-        def count(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-            close = near_matrix(block, int(key[0]), eps_) @ block["w"].to_numpy()
-            return pd.DataFrame({"spot": block["spot"], "close": close.astype("int64")})
+        def count(batches):
+            for block in blocks_of(batches):
+                close = near_matrix(block, int(block["term"].iloc[0]), eps_) @ block["w"].to_numpy()
+                found = pd.DataFrame({"spot": block["spot"], "close": close.astype("int64")})
+                yield found[found["close"] > 0]
 
-        key = ["term", "kind", "cell", "pair"]
-        counted = self.blocks.groupBy(*key).applyInPandas(count, _COUNTS).where("close > 0")
+        # One task takes many blocks, so that small ones cost little; it holds one at a time.
+        counted = self.blocks.repartition(*KEY).sortWithinPartitions(*KEY).mapInPandas(count, _COUNTS)
         close = counted.groupBy("spot").agg(F.sum("close").alias("close"))
         judged = self.spots.select("spot", "w", "first_row").join(close, "spot", "left")
         total = F.col("w") + F.coalesce("close", F.lit(0))
         self.judged = stage(judged.select("spot", "first_row", total.alias("close"), (total >= core_at).alias("core")), "judged")
 
-        def link(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-            near, core, spot = near_matrix(block, int(key[0]), eps_), block["core"].to_numpy(), block["spot"].to_numpy()
-            part = forest_of(near, core)
-            inner = np.flatnonzero(core & (part != np.arange(len(part))))
-            edge, at = np.nonzero(near & ~core[:, None] & core[None, :])
-            touched = np.unique(np.stack([edge, part[at]]), axis=1).astype("int64")
-            return pd.DataFrame(
-                {
-                    "core": np.concatenate([spot[part[inner]], spot[touched[1]]]),
-                    "other": np.concatenate([spot[inner], spot[touched[0]]]),
-                    "joins": np.concatenate([np.ones(len(inner), bool), np.zeros(touched.shape[1], bool)]),
-                }
-            )
+        def link(batches):
+            for block in blocks_of(batches):
+                near = near_matrix(block, int(block["term"].iloc[0]), eps_)
+                core, spot = block["core"].to_numpy(), block["spot"].to_numpy()
+                part = forest_of(near, core)
+                inner = np.flatnonzero(core & (part != np.arange(len(part))))
+                edge, at = np.nonzero(near & ~core[:, None] & core[None, :])
+                touched = np.unique(np.stack([edge, part[at]]), axis=1).astype("int64")
+                yield pd.DataFrame(
+                    {
+                        "core": np.concatenate([spot[part[inner]], spot[touched[1]]]),
+                        "other": np.concatenate([spot[inner], spot[touched[0]]]),
+                        "joins": np.concatenate([np.ones(len(inner), bool), np.zeros(touched.shape[1], bool)]),
+                    }
+                )
 
         flagged = join_unique(self.blocks, self.judged.select("spot", "core"), ["spot"], F.col("pair"))
-        self.links = stage(flagged.groupBy(*key).applyInPandas(link, _LINKS), "links")
+        linked = flagged.repartition(*KEY).sortWithinPartitions(*KEY).mapInPandas(link, _LINKS)
+        self.links = stage(linked.distinct(), "links")
 
     def _blocks(self) -> DataFrame:
         """Points under each key and block: (term, kind, cell, pair, part, home, spot, xs, cats, text, w)."""

@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracehold.operators.density import DensityModel
-from tracehold.operators.features import LEVEL_SCHEMA, FeatureModel, fit_features, level_table
+from tracehold.operators.features import LEVEL_SCHEMA, FeatureModel, fit_features, level_table, text_of, words
 from tracehold.operators.forest import SEED, IsolationForest, grow_forest
 from tracehold.operators.quantiles import exact_quantile
-from tracehold.operators.text_density import TextDensity, weigh_rarest_first
+from tracehold.operators.text_density import TextDensity, heaviest_first
 from tracehold.session import stage
 
 
@@ -195,7 +195,9 @@ def text_density(
     """The clustering run behind :func:`cluster_events` with text fields; null texts have no terms."""
     numbers = fit_features(df, numeric=numeric).columns() if numeric else []
     terms = fit_features(df, text=text)
-    terms.terms = weigh_rarest_first(terms.terms)
+    if terms.terms:
+        weighed = terms.transform(df.select(*text), "_v")
+        terms.terms = heaviest_first(weighed.where(F.size(words(text_of(text))) > 0), "_v", terms.terms)
     rows = df.withColumns(
         {
             "_xs": F.array(*numbers).cast("array<double>"),

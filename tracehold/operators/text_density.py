@@ -1,7 +1,7 @@
 """Density clustering (DBSCAN) over numeric fields, categories and sparse TF-IDF vectors.
 
 Text vectors have length one, so two of them lie within ``eps`` only if their
-product reaches ``1 - eps**2 / 2``.  Terms are ordered from rare to frequent; the
+product reaches ``1 - eps**2 / 2``.  Terms stand in one order, the heaviest first; the
 prefix of a vector ends where the rest is too short for that product, so near
 vectors share a term of both prefixes.  Points meet under (prefix term,
 categories, cell of the first numeric field), and a pair counts only under the
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ _LINKS = "core long, other long, joins boolean"
 
 
 def prefixes(texts: np.ndarray, product: float) -> np.ndarray:
-    """Which terms of each row belong to its prefix; columns are ordered from rare to frequent."""
+    """Which terms of each row belong to its prefix; columns are in the common order of terms."""
     rest = np.cumsum((texts**2)[:, ::-1], axis=1)[:, ::-1]
     # A trifle longer than needed: rounding must not lose a pair.
     return (texts > 0) & (rest >= product**2 - 1e-9)
@@ -105,7 +106,7 @@ class TextDensity:
 
     ``xs`` is an array of numbers, ``cats`` of category levels (the dropped first
     one and null as the empty string), ``text`` of weights of length one or all
-    zero, from the rarest to the most frequent term.  All may be empty arrays.
+    zero, every place one term.  All may be empty arrays.
     Equal points are merged into one weighted point first.
     """
 
@@ -214,7 +215,12 @@ class TextDensity:
         return join_unique(self.points, spots, ["xs", "cats", "text"], F.col(self.row_id), how)
 
 
-def weigh_rarest_first(terms: dict[str, float]) -> dict[str, float]:
-    """Terms by falling inverse document frequency, the order that keeps prefixes selective."""
-    return dict(sorted(terms.items(), key=lambda t: (-t[1], t[0])))
+def heaviest_first(rows: DataFrame, vector: str, terms: dict[str, float]) -> dict[str, float]:
+    """Terms by falling mean square of their weight in the texts that hold them.
 
+    Any one order is right.  This one ends prefixes after few terms: rare terms lead
+    where texts are short, repeated ones where they are long.
+    """
+    found = rows.agg(Summarizer.metrics("normL2", "numNonZeros").summary(F.col(vector)).alias("s")).first()["s"]
+    mean = np.asarray(found["normL2"].toArray()) ** 2 / np.maximum(found["numNonZeros"].toArray(), 1)
+    return dict(sorted(terms.items(), key=lambda t, place={t: m for t, m in zip(terms, mean)}: (-place[t[0]], t[0])))

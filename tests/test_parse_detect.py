@@ -86,7 +86,7 @@ def test_two_rules_two_rows(spark):
     assert literal.count() == 1
 
 
-def test_guard_changes_nothing(spark):
+def test_guard_changes_nothing_on_bundled_rules(spark):
     df = logs(spark, *[m for r in bundled_rules() for m in (r.pattern, r.pattern.replace("\\", "").replace(".*", " "), r.description)])
     pair = [sorted((r.RULE_ID, r.event_id) for r in d.detect(df, bundled_rules(), guard=g).collect()) for g in (True, False)]
     assert pair[0] == pair[1] and pair[0]
@@ -258,8 +258,9 @@ def test_tabs_in_values(spark):
     assert row.message == "a\\tb"
 
 
-def test_rule_tables_equal_compiled_rules(spark):
-    """Thousands of rules of all kinds by the join give what the compiled plan gives."""
+@pytest.mark.parametrize("chars", [2_000_000, 0])
+def test_rule_tables_equal_compiled_rules(spark, chars):
+    """Thousands of rules of all kinds, by the automaton and by substrings, give what the compiled plan gives."""
     from tracehold.operators.detect import detect
     from tracehold.operators.rule_tables import detect_table
 
@@ -268,10 +269,10 @@ def test_rule_tables_equal_compiled_rules(spark):
     rules = parse_rules(spark.createDataFrame([("f", x) for x in lines], "rule_file string, value string"))
     texts = ["203.0.7.3 seen", "1203.0.255.22", "Failed password for root", "Failed password for joe 7", "xx foobazqux", "ab", "", "x-z", None]
     logs = spark.createDataFrame([(i, t, "203.0.9.1" if i % 2 else "") for i, t in enumerate(texts)], "event_id long, message string, ip_address string")
-    got = sorted((r.RULE_ID, r.event_id) for r in detect_table(logs, rules).collect())
+    got = sorted((r.RULE_ID, r.event_id) for r in detect_table(logs, rules, shard_chars=chars).collect())
     few = [r for r in compile_rules(rules, limit=None) if not r.rule_id.startswith("T-") or r.pattern.endswith((".7\\.3", ".255\\.2", ".255\\.22", ".9\\.1", ".0\\.1"))]
     assert got == sorted((r.RULE_ID, r.event_id) for r in detect(logs, few).collect()) and len(got) >= 10
-    assert detect_table(logs, rules).columns == detect(logs, few).columns
+    assert detect_table(logs, rules, shard_chars=chars).columns == detect(logs, few).columns
 
 
 def test_configured_regexes(spark):
@@ -295,12 +296,42 @@ def test_json_arrays(spark, tmp_path):
     assert str(rows[0].timestamp) == "2023-12-31 23:00:00.500000" and rows[1].timestamp is None
 
 
-@pytest.mark.parametrize("chunk", [2_000, 2])
-def test_mapping_in_chunks(spark, chunk):
+@pytest.mark.parametrize("chars", [2_000_000, 40])
+def test_mapping_in_shards(spark, chars):
     from tracehold.operators.mapping import map_rules_to_techniques
 
     rules = spark.createDataFrame([("R-1", "Brute force login", "password|login failure"), ("R-2", "tiny", "x")], "rule_id string, description string, pattern string")
     techniques = spark.createDataFrame([("T1", "Brute Force", "guess the password at login", ["a"]), ("T2", "login", None, ["b"]), ("T3", "other", "none", [])], "technique_id string, name string, description string, tactics array<string>")
-    got = [(r.rule_id, r.technique_id, r.score, r["rank"]) for r in map_rules_to_techniques(rules, techniques, chunk).collect()]
+    got = [(r.rule_id, r.technique_id, r.score, r["rank"]) for r in map_rules_to_techniques(rules, techniques, chars).collect()]
     assert got == [("R-1", "T1", 4, 1)]
     assert map_rules_to_techniques(rules.limit(0), techniques).count() == 0
+
+
+def test_literals_in_texts_equal_contains(spark):
+    import random
+
+    from tracehold.operators.automaton import characters, literals_in
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abé\U0001f600 ", k=rng.randrange(1, 5))) for _ in range(60)] + ["aa", "a", "", None, "a"]
+    texts = ["".join(rng.choices("abé\U0001f600 ", k=rng.randrange(0, 30))) for _ in range(200)] + ["", None, "a" * 100_000]
+    table = spark.createDataFrame([(w,) for w in words], "w string")
+    assert characters(table, "w") >= sum(len(w) for w in words if w)
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = {r.i: r.f for r in rows.withColumn("f", literals_in(F.col("t"), table, "w")).collect()}
+    assert got == {i: sorted({w for w in words if w and w in (t or "")}) for i, t in enumerate(texts)}
+    assert [r.f for r in rows.limit(3).withColumn("f", literals_in(F.col("t"), table.limit(0), "w")).collect()] == [[], [], []]
+
+
+def test_rule_tables_need_no_unique_ids(spark):
+    """Equal rows, rules with several literals in one line and columns of a user's own."""
+    from tracehold.operators.detect import detect
+    from tracehold.operators.rule_tables import detect_table
+
+    rules = parse_rules(spark.createDataFrame([("f", x) for x in ["R-1;a;foo|foobar|barfoo;LOW;9;", "R-2;b;foobar;LOW;;", "R-2;b;foobar;LOW;;"]], "rule_file string, value string"))
+    logs = spark.createDataFrame([(1, "foobarfoo", "x"), (1, "foobarfoo", "x"), (None, "barfoo", None), (2, "fo", "y")], "event_id long, message string, severity string")
+    key = lambda df: sorted(map(str, df.collect()))
+    got = detect_table(logs, rules)
+    want = detect(logs, compile_rules(rules))
+    assert key(got) == key(want) and got.columns == want.columns and got.count() == 7
+    assert detect_table(logs, rules.limit(0)).count() == 0 and detect_table(logs.limit(0), rules).count() == 0

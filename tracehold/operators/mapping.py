@@ -7,13 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracehold.operators.detect import quoted
+from tracehold.operators.automaton import SHARD_CHARS, characters, literals_in, shards
 from tracehold.session import stage
 
 TOP = 3
 SHORTEST_KEYWORD = 4
-#: Keywords tested by one plan.
-CHUNK_KEYWORDS = 2_000
 
 
 def rule_keywords(rules: DataFrame) -> DataFrame:
@@ -27,24 +25,19 @@ def rule_keywords(rules: DataFrame) -> DataFrame:
     )
 
 
-def map_rules_to_techniques(rules: DataFrame, techniques: DataFrame, chunk: int = CHUNK_KEYWORDS) -> DataFrame:
+def map_rules_to_techniques(rules: DataFrame, techniques: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """The best three techniques of a rule by keywords contained in their text, if more than one point.
 
-    The distinct keywords are tested inside the scan of the techniques, ``chunk`` of them in
-    one plan, so the containment test needs no join of rules with techniques.
+    The distinct keywords are looked for in one pass over each technique's text, or in one
+    pass per ``shard_chars`` characters of keywords, so containment needs no join of rules with techniques.
     """
     keywords = rule_keywords(rules)
     distinct = stage(keywords.select("keyword").distinct(), "keywords")
-    chunks = max(1, -(-distinct.count() // chunk))
     text = F.lower(F.concat("name", F.lit(" "), F.coalesce("description", F.lit(""))))
     parts = []
-    for k in range(chunks):
-        own = distinct.where(F.pmod(F.xxhash64("keyword"), F.lit(chunks)) == k)
-        tests = [f"case when contains(_text, {quoted(r[0])}) then {quoted(r[0])} end" for r in own.orderBy("keyword").collect()]
-        arrays = [f"array_compact(array({', '.join(tests[i : i + 10])}))" for i in range(0, len(tests), 10)]
-        hits = f"explode_outer(concat({', '.join(arrays)}))" if arrays else "cast(null as string)"
-        found = techniques.withColumn("_text", text).select("technique_id", "name", "tactics", F.expr(hits).alias("keyword"))
-        parts.append(found.where("keyword is not null"))
+    for own in shards(distinct, "keyword", characters(distinct, "keyword"), shard_chars):
+        found = techniques.withColumn("keyword", F.explode_outer(literals_in(text, own, "keyword")))
+        parts.append(found.where(F.col("keyword").isNotNull()).select("technique_id", "name", "tactics", "keyword"))
     found = reduce(DataFrame.unionByName, parts)
     scores = (
         found.join(keywords, "keyword")

@@ -206,6 +206,33 @@ def test_manifest(spark, tmp_path):
     assert got == {"a.rules": "changed", "b.rules": "missing", "c.rules": "new"}
 
 
+@pytest.mark.parametrize("large", [0, 10, 10**9])
+def test_manifest_reads_large_files_in_pieces(spark, tmp_path, monkeypatch, large):
+    """Files above a limit give the checksums of whole files, whatever their names."""
+    import gzip
+    import hashlib
+
+    monkeypatch.setattr("tracehold.sources.evidence.PIECE", 1 << 16)
+    contents = {"a b%20c.log": b"x" * 11, "empty": b"", "sub/\u00e9#1.bin": bytes(range(256)) * 3000, "ten": b"0123456789", "packed.gz": gzip.compress(b"0123456789" * 9)}
+    (tmp_path / "sub").mkdir()
+    for name, body in contents.items():
+        (tmp_path / name).write_bytes(body)
+    got = {r.name: (r["size"], r.sha256) for r in evidence_manifest(spark, str(tmp_path), large=large).collect()}
+    assert got == {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in contents.items()}
+
+
+def test_manifest_of_a_file_beyond_one_value(spark, tmp_path):
+    """A sparse file of more bytes than one value can hold."""
+    import hashlib
+
+    with open(tmp_path / "big", "wb") as file:
+        file.seek((2 << 30) + 5)
+        file.write(b"end")
+    with open(tmp_path / "big", "rb") as file:
+        want = hashlib.file_digest(file, "sha256").hexdigest()
+    assert [tuple(r) for r in evidence_manifest(spark, str(tmp_path)).collect()] == [("big", (2 << 30) + 8, want)]
+
+
 @pytest.mark.parametrize("rows,batch", [(700, 10_000), (6_000, 50)])
 def test_forest_is_the_plain_forest_on_the_same_draws(spark, rows, batch):
     from tracehold.operators.forest import SAMPLE_ROWS, SEED, average_path, draws, grow_forest, tree_of

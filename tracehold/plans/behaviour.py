@@ -270,7 +270,32 @@ def isolation_forest_anomalies(spark, folder):
     return forest.isolation_forest_anomalies(logs(spark, folder), ["value", "k"], "event_id")
 
 
-@query("anomaly_all")
+# The three methods without random draws, as (method, event_id, field, value, score).
+_FINDINGS = f"""z AS ({_z_sql("logs", "event_id", ["value", "k"])}),
+md AS ({_mad_sql("logs", "event_id", "value", 3.5)} UNION ALL {_mad_sql("logs", "event_id", "k", 3.5)}), db AS ({_dbscan_sql(0.5, 5)}),
+f AS (SELECT method, event_id, field, value, score FROM z UNION ALL SELECT method, event_id, field, value, score FROM md
+UNION ALL SELECT method, event_id, CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM db)"""
+
+
+@query("anomaly_findings", f"WITH {LOGS_CTE}, {_FINDINGS} SELECT * FROM f")
+def anomaly_findings(spark, folder):
+    """Findings of the methods without random draws, row by row."""
+    rows = stage(logs(spark, folder).select("event_id", "value", "k"), "rows")
+    fields = ["value", "k"]
+    found = [
+        anomaly.zscore_anomalies(rows, fields, "event_id"),
+        anomaly.mad_anomalies(rows, fields, "event_id"),
+        density.dbscan_anomalies(rows, fields, "event_id"),
+    ]
+    return as_text(anomaly.anomaly_all(found, "event_id"))
+
+
+@query(
+    "anomaly_all",
+    f"""WITH {LOGS_CTE}, {_FINDINGS}, c AS (SELECT method, count(*) AS anomalies FROM f GROUP BY method
+UNION ALL SELECT 'isolation_forest', CAST(floor(0.05 * (count(*) - 1)) + 1 AS BIGINT) FROM events)
+SELECT method, anomalies FROM c UNION ALL SELECT 'all', CAST(sum(anomalies) AS BIGINT) FROM c""",
+)
 def anomaly_all(spark, folder):
     """Findings of the four methods, counted."""
     rows = stage(logs(spark, folder).select("event_id", "value", "k"), "rows")

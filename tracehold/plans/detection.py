@@ -309,17 +309,17 @@ def rule_diff(spark, folder):
 
 @query(
     "rule_history",
-    """SELECT lower(n_name) AS rule_file, CASE WHEN max(s_acctbal) > 0 THEN '1.1' ELSE '1.0' END AS version,
-  CASE WHEN max(s_acctbal) > 0 THEN count(*) FILTER (WHERE s_acctbal > 0) ELSE count(*) END AS lines
-FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name""",
+    """SELECT lower(n_name) AS rule_file, CASE WHEN count(*) FILTER (WHERE s_acctbal <= 0) > 0 THEN '1.1' ELSE '1.0' END AS version,
+  6 + count(*) FILTER (WHERE s_acctbal > 0) AS lines FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name""",
 )
 def rule_history(spark, folder):
-    """Two snapshots appended, the latest read back."""
+    """Whole files in a first snapshot, those with mended lines in a second, the latest read back."""
     from tracehold.session import staging_path
 
     path = staging_path(spark, "history")
-    lines = nation_rule_lines(spark, folder).where(F.col("value").startswith("SP-"))
-    newer = lines.where(~F.col("value").contains(";WRONG;"))
+    lines = nation_rule_lines(spark, folder)
+    wrong = F.col("value").contains(";WRONG;")
+    newer = lines.where(~wrong).join(lines.where(wrong).select("rule_file").distinct(), "rule_file", "left_semi")
     rule_admin.commit_rules(lines, path, "1.0", "first version", "2024-01-01T000000")
     rule_admin.commit_rules(newer, path, "1.1", "checked severities", "2024-02-01T000000")
     latest = rule_admin.latest_rules(spark.read.parquet(path))

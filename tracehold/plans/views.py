@@ -6,6 +6,8 @@ alerts are the log view matched against the bundled rules.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,8 +71,11 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 def security_rows(rows: DataFrame) -> DataFrame:
     """The log view of an ``events``-shaped DataFrame, batch or streaming."""
     text = _LOGS.format(stamp="date_format(ts, 'yyyy-MM-dd HH:mm:ss')")
-    rows.createOrReplaceTempView("_event_rows")
-    return rows.sparkSession.sql(f"WITH base AS ({_BASE.format(events='_event_rows')}) {text}")
+    spark, name = rows.sparkSession, f"_event_rows_{uuid.uuid4().hex}"
+    rows.createOrReplaceTempView(name)
+    view = spark.sql(f"WITH base AS ({_BASE.format(events=name)}) {text}")
+    spark.catalog.dropTempView(name)  # the query is analyzed by now
+    return view
 
 
 def logs(spark: SparkSession, folder: str) -> DataFrame:

@@ -217,7 +217,12 @@ def test_manifest_reads_large_files_in_pieces(spark, tmp_path, monkeypatch, larg
     (tmp_path / "sub").mkdir()
     for name, body in contents.items():
         (tmp_path / name).write_bytes(body)
-    got = {r.name: (r["size"], r.sha256) for r in evidence_manifest(spark, str(tmp_path), large=large).collect()}
+    (tmp_path / "sub" / str(tmp_path)[1:]).mkdir(parents=True)  # the folder's own path once more, inside it
+    inner = f"sub{tmp_path}/in"
+    contents[inner] = b"inside"
+    (tmp_path / inner).write_bytes(b"inside")
+    form = {0: "file://{}", 10: "{}/", 10**9: "file:{}"}[large]
+    got = {r.name: (r["size"], r.sha256) for r in evidence_manifest(spark, form.format(tmp_path), large=large).collect()}
     assert got == {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in contents.items()}
 
 

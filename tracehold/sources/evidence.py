@@ -48,7 +48,9 @@ def evidence_manifest(spark: SparkSession, path: str, glob: str = "*", large: in
     files to Spark.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    name = F.substring_index("path", f"{path.rstrip('/')}/", -1).alias("name")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    top = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/") + "/"
+    name = F.when(F.startswith("path", F.lit(top)), F.substring("path", len(top) + 1, 1 << 30)).otherwise(F.col("path")).alias("name")
     listed = [(re.sub(r"^(\w+):///", r"\1:/", unquote(f)),) for f in files.inputFiles()]
     if all(f.split(":", 1)[0] not in STREAMED for (f,) in listed):
         large = 1 << 62

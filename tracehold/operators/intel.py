@@ -17,6 +17,9 @@ FEED_SCORE = 80.0
 ABUSE_LIMIT = 80
 PULSE_POINTS = 10
 HASH_LENGTHS = {"md5": 32, "sha1": 40, "sha256": 64}
+# What is said of items that are no such indicator, and the source of an unnamed verdict.
+INVALID = {"ip": "Invalid IP format", "domain": "Invalid domain format", "hash": "Invalid hash format"}
+UNNAMED_SOURCE = "multiple"
 
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IPV4 = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
@@ -90,8 +93,8 @@ def lookup(items: DataFrame, store: DataFrame, kind: str, as_of: str, column: st
         F.coalesce(ok & F.col("is_malicious"), F.lit(False)).alias("is_malicious"),
         F.when(ok, F.coalesce("threat_type", F.lit(""))).alias("threat_type"),
         F.when(ok, F.coalesce("score", F.lit(0.0))).alias("score"),
-        F.when(ok, F.coalesce("source", F.lit("multiple"))).alias("source"),
-        F.when(~ok, f"Invalid {'IP' if kind == 'ip' else kind} format").alias("error"),
+        F.when(ok, F.coalesce("source", F.lit(UNNAMED_SOURCE))).alias("source"),
+        F.when(~ok, INVALID[kind]).alias("error"),
     )
 
 

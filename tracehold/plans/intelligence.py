@@ -101,9 +101,9 @@ UNION ALL SELECT 'domain', regexp_extract(message, 'http://([^/]+)', 1), max(k)
 UNION ALL SELECT 'hash', md5(html), count(*) > 1, 'copied page', CAST(count(*) AS DOUBLE), 'pages', TIMESTAMP '2024-01-31 00:00:00' FROM pages GROUP BY 2)"""
 
 
-def _lookup_sql(items: str, kind: str, valid: str, error: str) -> str:
+def _lookup_sql(items: str, kind: str) -> str:
     return f"""SELECT indicator, coalesce(valid AND is_malicious, FALSE) AS is_malicious, CASE WHEN valid THEN coalesce(threat_type, '') END AS threat_type,
-  CASE WHEN valid THEN {r6('coalesce(score, 0)')} END AS score, CASE WHEN valid THEN coalesce(source, 'multiple') END AS source, CASE WHEN NOT valid THEN '{error}' END AS error
+  CASE WHEN valid THEN {r6('coalesce(score, 0)')} END AS score, CASE WHEN valid THEN coalesce(source, '{intel.UNNAMED_SOURCE}') END AS source, CASE WHEN NOT valid THEN '{intel.INVALID[kind]}' END AS error
 FROM (SELECT DISTINCT {items}) i LEFT JOIN (SELECT indicator AS si, is_malicious, threat_type, score, source FROM store
   WHERE type = '{kind}' AND last_updated >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY) s ON si = indicator"""
 
@@ -111,7 +111,7 @@ FROM (SELECT DISTINCT {items}) i LEFT JOIN (SELECT indicator AS si, is_malicious
 @query(
     "lookup_ips",
     f"""WITH {LOGS_CTE}, {_STORE}, items AS (SELECT ip_address AS indicator FROM logs UNION SELECT '10.0.0.' || (k + 200) FROM logs)
-{_lookup_sql(f"indicator, regexp_matches(indicator, {_V4}) AS valid FROM items", 'ip', '', 'Invalid IP format')}""",
+{_lookup_sql(f"indicator, regexp_matches(indicator, {_V4}) AS valid FROM items", 'ip')}""",
 )
 def lookup_ips(spark, folder):
     """Verdicts on addresses, invalid ones marked."""
@@ -124,7 +124,7 @@ def lookup_ips(spark, folder):
     "lookup_domains",
     f"""WITH {LOGS_CTE}, {_STORE}, items AS (SELECT regexp_extract(message, 'http://([^/]+)', 1) AS indicator FROM logs WHERE message LIKE '%curl%'
   UNION SELECT regexp_extract(url, '^https?://([^/]+)', 1) FROM pages UNION SELECT url FROM pages)
-{_lookup_sql(f"indicator, regexp_matches(indicator, {_DOMAIN}) AS valid FROM items", 'domain', '', 'Invalid domain format')}""",
+{_lookup_sql(f"indicator, regexp_matches(indicator, {_DOMAIN}) AS valid FROM items", 'domain')}""",
 )
 def lookup_domains(spark, folder):
     """Verdicts on domains."""
@@ -137,7 +137,7 @@ def lookup_domains(spark, folder):
 @query(
     "lookup_hashes",
     f"""WITH {LOGS_CTE}, {_STORE}, items AS (SELECT md5(html) AS indicator FROM pages UNION SELECT sha256(text) FROM documents UNION SELECT source FROM documents)
-{_lookup_sql("indicator, regexp_matches(indicator, '^([a-fA-F0-9]{32}|[a-fA-F0-9]{40}|[a-fA-F0-9]{64})$') AS valid FROM items", 'hash', '', 'Invalid hash format')}""",
+{_lookup_sql("indicator, regexp_matches(indicator, '^([a-fA-F0-9]{32}|[a-fA-F0-9]{40}|[a-fA-F0-9]{64})$') AS valid FROM items", 'hash')}""",
 )
 def lookup_hashes(spark, folder):
     """Verdicts on file hashes."""

@@ -6,11 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracehold.operators import intel, models
+from tracehold.operators import density, intel, models
 from tracehold.operators.density import DensityModel, connected_components, dbscan_anomalies
 from tracehold.operators.features import FeatureModel, fit_features
 from tracehold.operators.forest import IsolationForest, isolation_forest_anomalies
 from tracehold.plans.intelligence import AS_OF
+from tracehold.session import stage
 from tracehold.sources.evidence import evidence_manifest, verify_manifest
 from tracehold.sources.feeds import feed_lines, read_attack_catalog, read_feed, FEEDS
 
@@ -71,6 +72,29 @@ def test_clusters_with_categories(spark, eps):
     assert [r.cluster for r in got] == list(want)
 
 
+def salted_joins(df, capsys):
+    """The joins of a plan that run on salted copies."""
+    capsys.readouterr()
+    df.explain()
+    return [line for line in capsys.readouterr().out.splitlines() if "Join" in line and "_salt" in line]
+
+
+@pytest.mark.parametrize("cats", [True])
+def test_points_are_not_broadcast(spark, monkeypatch, capsys, cats):
+    """The driver must not hold salted copies of cells or points, which compress to small files."""
+    joins = []
+
+    def watched(df, label):
+        joins.extend(salted_joins(df, capsys))
+        return stage(df, label)
+
+    monkeypatch.setattr(density, "stage", watched)
+    points = spark.createDataFrame([(i, i % 9 / 10, i % 7 / 10, ["p"]) for i in range(90)], "id long, x0 double, x1 double, cats array<string>")
+    points = points if cats else points.drop("cats")
+    joins += salted_joins(DensityModel(points, "id", 2, 0.3, 5, cats).clusters(), capsys)
+    assert len(joins) > 2 and not any("Broadcast" in line for line in joins)
+
+
 def test_dense_cells_touching_at_a_corner(spark):
     """Two crowded cells whose only near pair sits at their corner: boxes must be refined."""
     rng = np.random.default_rng(3)

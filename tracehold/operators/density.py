@@ -87,7 +87,7 @@ class DensityModel:
         self.cells = stage(
             cells.select("grid", "group", "n", F.ceil(F.col("m") / CELL_SLICE).cast("int").alias("slices")), "cells"
         )
-        tagged = join_unique(spots, self.cells, ["grid", "group"], F.struct(*self.spot))
+        tagged = join_unique(spots, self.cells, ["grid", "group"], F.struct(*self.spot), grows=True)
         slice_no = F.pmod(F.xxhash64(*self.xs), F.col("slices")).cast("int")
         self.spots = stage(
             tagged.withColumn("slice", slice_no).withColumn("dense", F.col("n") >= self.min_samples), "spots"
@@ -163,7 +163,7 @@ class DensityModel:
 
     def noise(self) -> DataFrame:
         """Row ids of the noise points."""
-        return join_unique(self.points, self.noise_spots(), self.spot, F.col(self.row_id)).select(self.row_id)
+        return join_unique(self.points, self.noise_spots(), self.spot, F.col(self.row_id), grows=True).select(self.row_id)
 
     def _cell_edges(self) -> DataFrame:
         """Cell pairs whose core points touch."""
@@ -239,7 +239,7 @@ class DensityModel:
         cells = open_pairs.select("grid", "group").unionByName(
             open_pairs.select(F.col("to_grid").alias("grid"), F.col("to_group").alias("group"))
         ).distinct()
-        rows = join_unique(self.spots.where("dense"), cells, ["grid", "group"], F.struct(*self.xs))
+        rows = join_unique(self.spots.where("dense"), cells, ["grid", "group"], F.struct(*self.xs), grows=True)
         box = F.array(*[F.floor(F.col(x) / (self.side / BOX_CUT**level)) for x in self.xs])
         bounds = [b for x in self.xs for b in (F.min(x).alias(f"lo_{x}"), F.max(x).alias(f"hi_{x}"))]
         return rows.groupBy("grid", "group", box.alias("box")).agg(*bounds, F.min(F.struct(*self.xs)).alias("any"))
@@ -252,7 +252,7 @@ class DensityModel:
         here = [f"a_{c}" for c in self.spot]
         sparse_cores = self.sparse.where("core").select(*[F.col(f"a_{c}").alias(c) for c in self.spot])
         core_spots = self.spots.where("dense").select(*self.spot, "grid", "group").unionByName(
-            join_unique(self.spots, sparse_cores, self.spot, F.struct(*self.xs)).select(*self.spot, "grid", "group")
+            join_unique(self.spots, sparse_cores, self.spot, F.struct(*self.xs), grows=True).select(*self.spot, "grid", "group")
         )
         node = F.struct("grid", "group")
         nodes = core_spots.select(node.alias("node")).distinct()
@@ -261,12 +261,12 @@ class DensityModel:
         )
         parts = connected_components(nodes, edges)
         labelled = stage(
-            join_unique(core_spots.withColumn("node", node), parts, ["node"], F.struct(*self.xs)).select(
+            join_unique(core_spots.withColumn("node", node), parts, ["node"], F.struct(*self.xs), grows=True).select(
                 *self.spot, "node", "component"
             ),
             "cores",
         )
-        core_rows = join_unique(self.points, labelled, self.spot, F.col(self.row_id))
+        core_rows = join_unique(self.points, labelled, self.spot, F.col(self.row_id), grows=True)
         firsts = core_rows.groupBy("component").agg(F.min(self.row_id).alias("first_row"))
         numbers = stage(
             numbered(firsts, [], ["first_row"], "rank").select("component", (F.col("rank") - 1).alias("cluster")),
@@ -285,7 +285,7 @@ class DensityModel:
         spot_numbers = labelled.join(numbers, "component").select(*self.spot, "cluster").unionByName(
             border_numbers.select(*[F.col(f"a_{c}").alias(c) for c in self.spot], "cluster")
         )
-        rows = join_unique(self.points, spot_numbers, self.spot, F.col(self.row_id), "left")
+        rows = join_unique(self.points, spot_numbers, self.spot, F.col(self.row_id), "left", grows=True)
         return rows.select(self.row_id, F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"))
 
 

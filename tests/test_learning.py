@@ -79,7 +79,7 @@ def salted_joins(df, capsys):
     return [line for line in capsys.readouterr().out.splitlines() if "Join" in line and "_salt" in line]
 
 
-@pytest.mark.parametrize("cats", [True])
+@pytest.mark.parametrize("cats", [True, False])
 def test_points_are_not_broadcast(spark, monkeypatch, capsys, cats):
     """The driver must not hold salted copies of cells or points, which compress to small files."""
     joins = []

@@ -150,22 +150,23 @@ class Counter:
     def __init__(self, entries: int, numbered: int, burst: int):
         self.trie, self.burst = Trie(burst=burst), burst
         self.limit, self.numbered = entries, min(numbered, MASK)
-        self.number: dict[tuple[str, bytes], int] = {}
+        self.number: dict[str, dict[bytes, int]] = {}
         self.names: list[tuple[str, bytes]] = [("", b"")]
+        self.words = self.langs = pa.array([], pa.string())
 
     def numbers(self, w: Words, langs: list[str], owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The number of each word; a word of another language has another one."""
         _, first, same = np.unique(hashes, return_index=True, return_inverse=True)
-        raw, number, names = w.data.tobytes(), self.number, self.names
-        found = np.empty(len(first), np.int64)
-        for k, (a, b, o) in enumerate(zip(w.start[first].tolist(), w.end[first].tolist(), owner[first].tolist())):
-            name = (langs[o], raw[a:b])
-            i = number.get(name)
+        raw, names, found = w.data.tobytes(), self.names, []
+        number = [self.number.setdefault(lang, {}) for lang in langs]
+        for a, b, o in zip(w.start[first].tolist(), w.end[first].tolist(), owner[first].tolist()):
+            word = raw[a:b]
+            i = number[o].get(word)
             if i is None:
-                i = number[name] = len(names)
-                names.append(name)
-            found[k] = i
-        return found[same]
+                i = number[o][word] = len(names)
+                names.append((langs[o], word))
+            found.append(i)
+        return np.array(found, np.int64)[same]
 
     def add(self, keys: np.ndarray) -> None:
         if len(keys):
@@ -180,21 +181,27 @@ class Counter:
         if full:
             self.trie, self.number = Trie(burst=self.burst), {}
             del self.names[1:]
+            self.words, self.langs = self.words[:0], self.langs[:0]
+
+    def _spelled(self) -> tuple[pa.Array, pa.Array]:
+        """Words and languages by number, with those that came since the last call; the number 0 is null."""
+        new = self.names[len(self.words) :]
+        if new:
+            none = len(self.words) == 0
+            spelled = [None] * none + [name.decode() for _, name in new[none:]]
+            self.words = pa.concat_arrays([self.words, pa.array(spelled, pa.string())])
+            self.langs = pa.concat_arrays([self.langs, pa.array([lang for lang, _ in new], pa.string())])
+        return self.words, self.langs
 
     def _named(self, keys: np.ndarray, counts: np.ndarray, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+        spelled, langs = self._spelled()
         for at in range(0, len(keys), rows):
             part = keys[at : at + rows]
             ids = [part >> (2 * BITS), (part >> BITS) & MASK, part & MASK]
-            used, place = np.unique(np.concatenate(ids), return_inverse=True)
-            names = [self.names[i] for i in used.tolist()]
-            spelled = pa.array([name.decode() for _, name in names], pa.string())
-            langs = pa.array([lang for lang, _ in names], pa.string())
-            place = place.reshape(3, -1)
             size = sum((i > 0).astype(np.int32) for i in ids)
             # No word is null here, which a join of words leaves out.
-            parts = [pc.if_else(pa.array(i > 0), spelled.take(pa.array(p)), pa.scalar(None, pa.string())) for i, p in zip(ids, place)]
-            phrase = pc.binary_join_element_wise(*parts, " ", null_handling="skip")
-            yield pa.RecordBatch.from_arrays([langs.take(pa.array(place[0])), phrase, pa.array(size), pa.array(counts[at : at + rows])], ["lang", "phrase", "words", "n"])
+            phrase = pc.binary_join_element_wise(*[spelled.take(pa.array(i)) for i in ids], " ", null_handling="skip")
+            yield pa.RecordBatch.from_arrays([langs.take(pa.array(ids[0])), phrase, pa.array(size), pa.array(counts[at : at + rows])], ["lang", "phrase", "words", "n"])
 
 
 def lang_hash(langs: list[str]) -> np.ndarray:

@@ -95,6 +95,31 @@ def test_points_are_not_broadcast(spark, monkeypatch, capsys, cats):
     assert len(joins) > 2 and not any("Broadcast" in line for line in joins)
 
 
+def joins_of(df, capsys, keys):
+    """The joins of a plan with one of ``keys`` in their line."""
+    capsys.readouterr()
+    df.explain()
+    return [line for line in capsys.readouterr().out.splitlines() if "Join" in line and any(k in line for k in keys)]
+
+
+def test_rows_are_not_broadcast(spark, monkeypatch, capsys):
+    """Nor points, boxes and rows of the table where they are joined without copies."""
+    joins = []
+
+    def watched(df, label):
+        joins.extend(joins_of(df, capsys, ["slice#", "a_parent", "o_x0", "[a_x0"]))
+        return stage(df, label)
+
+    monkeypatch.setattr(density, "stage", watched)
+    rows = [(i, float(i % 40), float(i * i % 97)) for i in range(400)]
+    points = spark.createDataFrame(rows, "id long, x double, y double")
+    found = stage(models.cluster_events(points, "id", ["x", "y"], eps=0.3, min_samples=5), "clusters")
+    assert joins and not any("Broadcast" in line for line in joins)
+    for df in (models.cluster_stats(points, found, "id", ["x"]), models.cluster_categories(points, found, "id", "x")):
+        joins = joins_of(df, capsys, ["id#"])
+        assert joins and not any("Broadcast" in line for line in joins)
+
+
 def test_dense_cells_touching_at_a_corner(spark):
     """Two crowded cells whose only near pair sits at their corner: boxes must be refined."""
     rng = np.random.default_rng(3)

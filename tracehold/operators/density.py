@@ -54,6 +54,9 @@ class DensityModel:
 
     ``cats`` is an optional array of category levels (the dropped first level and
     null as the empty string) standing for one-hot columns.
+
+    Tables of points and boxes are asked to be shuffled where they are joined: their
+    files are many times smaller than what the driver of a broadcast would hold.
     """
 
     def __init__(self, points: DataFrame, row_id: str, dims: int, eps: float, min_samples: int, cats: bool = False):
@@ -122,7 +125,7 @@ class DensityModel:
         sparse_cells = self.cells.where(F.col("n") < self.min_samples)
         around = self._neighbour_cells(sparse_cells).select("grid", "group", "to_grid", "to_group", "slices")
         mine = self.spots.where(~F.col("dense")).select(*[F.col(c).alias(f"a_{c}") for c in self.spot], "grid", "group")
-        wanted = mine.join(around, ["grid", "group"]).withColumn(
+        wanted = mine.join(around.hint("merge"), ["grid", "group"]).withColumn(
             "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
         )
         other = self.spots.select(
@@ -133,7 +136,7 @@ class DensityModel:
             F.col("grid").alias("to_grid"),
             F.col("group").alias("to_group"),
         )
-        pairs = wanted.join(other, ["to_grid", "to_group", "slice"])
+        pairs = wanted.join(other.hint("merge"), ["to_grid", "to_group", "slice"])
         close = pairs.where(self._distance2("a_", "b_") <= self.eps**2)
         here = [f"a_{c}" for c in self.spot]
         there = F.when(~F.col("dense"), F.struct(*[F.col(f"b_{c}").alias(c) for c in self.spot]))
@@ -152,13 +155,13 @@ class DensityModel:
         links = links.select(
             *here, "grid", "group", "to_grid", "to_group", *[F.col(f"o.{c}").alias(f"o_{c}") for c in self.spot]
         )
-        self.core_links = links.join(cores, [f"o_{c}" for c in self.spot])
+        self.core_links = links.join(cores.hint("merge"), [f"o_{c}" for c in self.spot])
 
     def noise_spots(self) -> DataFrame:
         """Points that are no core points and have none within eps."""
         here = [f"a_{c}" for c in self.spot]
         lonely = self.sparse.where(~F.col("core") & ~F.col("touches_dense"))
-        lonely = lonely.join(self.core_links.select(*here), here, "left_anti")
+        lonely = lonely.join(self.core_links.select(*here).hint("merge"), here, "left_anti")
         return lonely.select(*[F.col(f"a_{c}").alias(c) for c in self.spot])
 
     def noise(self) -> DataFrame:
@@ -168,7 +171,7 @@ class DensityModel:
     def _cell_edges(self) -> DataFrame:
         """Cell pairs whose core points touch."""
         here = [f"a_{c}" for c in self.spot]
-        cores = self.sparse.where("core").select(*here)
+        cores = self.sparse.where("core").select(*here).hint("merge")
         to_dense = self.near.where("dense").join(cores, here, "left_semi")
         pair = ["grid", "group", "to_grid", "to_group"]
         sparse_links = self.core_links.join(cores, here, "left_semi")
@@ -189,6 +192,7 @@ class DensityModel:
                 *[F.col(c).alias(f"to_{c}" if c in ("grid", "group") else f"b_{c}") for c in boxes.columns]
             )
             keep = ["grid", "group", "to_grid", "to_group"]
+            here, there = here.hint("merge"), there.hint("merge")
             if level:
                 here = here.withColumn("a_parent", F.transform("a_box", lambda v: F.floor(v / BOX_CUT)))
                 there = there.withColumn("b_parent", F.transform("b_box", lambda v: F.floor(v / BOX_CUT)))
@@ -280,7 +284,7 @@ class DensityModel:
                 *here, F.struct(F.col("to_grid").alias("grid"), F.col("to_group").alias("group")).alias("node")
             )
         )
-        borders = touching.join(self.sparse.where(~F.col("core")).select(*here), here, "left_semi")
+        borders = touching.join(self.sparse.where(~F.col("core")).select(*here).hint("merge"), here, "left_semi")
         border_numbers = borders.join(cell_numbers, "node").groupBy(*here).agg(F.min("cluster").alias("cluster"))
         spot_numbers = labelled.join(numbers, "component").select(*self.spot, "cluster").unionByName(
             border_numbers.select(*[F.col(f"a_{c}").alias(c) for c in self.spot], "cluster")

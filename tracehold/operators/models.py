@@ -213,8 +213,11 @@ def text_density(
 
 
 def cluster_stats(df: DataFrame, clusters: DataFrame, row_id: str, numeric: list[str]) -> DataFrame:
-    """Size, share and numeric statistics per cluster; cluster -1 holds the outliers."""
-    rows = df.join(clusters, row_id)
+    """Size, share and numeric statistics per cluster; cluster -1 holds the outliers.
+
+    Both sides have a row for every row of the table, so neither is broadcast, however small its files.
+    """
+    rows = df.join(clusters.hint("merge"), row_id)
     total = clusters.agg(F.count("*").alias("n")).scalar()
     stats = [
         a
@@ -232,7 +235,7 @@ def cluster_stats(df: DataFrame, clusters: DataFrame, row_id: str, numeric: list
 
 def cluster_categories(df: DataFrame, clusters: DataFrame, row_id: str, field: str) -> DataFrame:
     """Value counts of a categorical field per cluster."""
-    return df.join(clusters, row_id).groupBy("cluster", F.col(field).alias("value")).agg(F.count("*").alias("n"))
+    return df.join(clusters.hint("merge"), row_id).groupBy("cluster", F.col(field).alias("value")).agg(F.count("*").alias("n"))
 
 
 def save_model(spark: SparkSession, model: AnomalyModel | Classifier, path: str, name: str) -> None:

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from test_learning import plain_dbscan
@@ -48,6 +49,7 @@ def standard(values):
 @pytest.mark.parametrize("slice_points,eps,minimum,fields", [(1024, 0.5, 4, ""), (7, 0.8, 3, "n"), (7, 0.9, 4, "nc"), (1024, 1.3, 6, "nc")])
 def test_clusters_with_text(spark, monkeypatch, slice_points, eps, minimum, fields):
     monkeypatch.setattr(module, "SLICE", slice_points)
+    monkeypatch.setattr(module, "HEAVY", 2)
     texts, values, kinds = made_up(5, 160)
     x = plain_features(texts)
     extra = np.zeros((len(texts), len(texts)))
@@ -74,3 +76,52 @@ def test_no_rows_and_no_words(spark):
     assert models.cluster_events(empty, "id", text=["t"]).collect() == []
     df = spark.createDataFrame([(i, None if i % 2 else "!", 1, 2) for i in range(6)], schema)
     assert {r.cluster for r in models.cluster_events(df, "id", text=["t"]).collect()} == {0}
+
+
+def block_table(rng, n, dims, second):
+    """Points of two slices in order, of kinds that follow each other; the rest of what a block holds."""
+    texts = rng.random((n, dims)) * (rng.random((n, dims)) < 0.5)
+    length = np.sqrt((texts**2).sum(axis=1, keepdims=True))
+    texts = texts / np.where(length > 0, length, 1)
+    xs, kinds = rng.normal(0, 0.3, (n, 1)), np.sort(rng.choice(["a", "b", "c"], n))
+    columns = {
+        "pair": pa.array(np.full(n, second)),
+        "spot": pa.array(np.arange(n)),
+        "w": pa.array(rng.integers(1, 4, n)),
+        "text": pa.array(list(texts)),
+        "xs": pa.array(list(xs)),
+        "cats": pa.array([[k] for k in kinds]),
+        "kind": pa.array(kinds),
+    }
+    apart = ((texts[:, None] - texts[None]) ** 2).sum(-1) + ((xs[:, None] - xs[None]) ** 2).sum(-1)
+    return pa.table(columns), np.where(kinds[:, None] != kinds[None], 9.0, apart)
+
+
+@pytest.mark.parametrize("second", [0, 1])
+def test_each_pair_of_points_meets_once(monkeypatch, second):
+    """Points share many terms and cells, but are compared in one place only; far tiles not at all."""
+    monkeypatch.setattr(module, "TILE", 8)
+    size = 100 if second else 200
+    table, apart = block_table(np.random.default_rng(3), 150, 6, second)
+    block = module.Block(table, 0.6, size)
+    tiles = len(block.tiles)
+    assert len(set(block.pairs)) == len(block.pairs) < (tiles * (tiles + 1) // 2 if not second else 13 * 7)
+    near = apart <= 0.36
+    np.fill_diagonal(near, False)
+    if second:
+        near[:100, :100] = near[100:, 100:] = False
+    assert list(block.close()) == list(near @ table["w"].to_numpy())
+    core = block.close() + table["w"].to_numpy() >= 4
+    part, edge, at = block.links(core, np.arange(150))
+    want = near & core[:, None] & core[None, :] | np.eye(150, dtype=bool)
+    for _ in range(8):
+        want = want @ want
+    assert [list(part == p) for p in part[core]] == [list(w & core) for w in want[core]]
+    touched = {(e, c) for e, c in zip(*np.nonzero(near)) if not core[e] and core[c]}
+    assert {(int(e), int(a)) for e, a in zip(edge, at)} == {(int(e), int(part[c])) for e, c in touched}
+
+
+def test_blocks_over_batches():
+    batch = pa.table({"pair": [1, 1, 2, 2, 2, 5]}).to_batches(max_chunksize=4) + pa.table({"pair": [5, 7]}).to_batches()
+    assert [t["pair"].to_pylist() for t in module.blocks_of(batch)] == [[1, 1], [2, 2, 2], [5, 5], [7]]
+    assert list(module.blocks_of([])) == []

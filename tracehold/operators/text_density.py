@@ -3,33 +3,38 @@
 Text vectors have length one, so two of them lie within ``eps`` only if their
 product reaches ``1 - eps**2 / 2``.  Terms stand in one order, the heaviest first; the
 prefix of a vector ends where the rest is too short for that product, so near
-vectors share a term of both prefixes.  Points meet under (prefix term,
-categories, cell of the first numeric field), and a pair counts only under the
-first term that both prefixes hold.
-
-A key with many points is cut into slices that are compared two by two, so no
-task holds more than two slices.  Tasks give neighbour counts per point, and
-then one forest of the core points they saw, never the pairs themselves.  The
-comparisons under one key still grow with the square of its distinct points:
-terms that stand in all texts cannot keep texts apart.
+vectors share a term of both prefixes.
+
+Points are sorted by categories, cell of the first numeric field and first term, and
+cut into slices.  Two slices meet only if categories, numbers and prefixes allow a
+near pair; a task compares them tile by tile, and leaves out pairs of tiles whose
+categories, prefixes or bounding boxes allow none.  A pair of points meets once.
+Tasks give neighbour counts per point, and then one forest of the core points they
+saw, never the pairs themselves: slices first, then what joins two slices.  Core
+points known to be connected are not compared again.  The comparisons of tiles that
+are alike still grow with the square of their distinct points: terms that stand in
+all texts cannot keep texts apart.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracehold.operators.graph import components
-from tracehold.operators.ordered import numbered
+from tracehold.operators.ordered import numbered, with_position
 from tracehold.operators.skew import join_unique
 from tracehold.session import stage
 
-SLICE = 1_024  # points of one key that are compared as a block with those of another slice
+SLICE = 16_384  # points that are compared as a block with those of another slice
+TILE = 512  # points that are compared at once
+HEAVY = 1_000  # rows of a merged point from which on they are spread over tasks
 NO_TERM = -1
-KEY = ["term", "kind", "cell", "pair"]
+PAIR_BITS = 31
 _COUNTS = "spot long, close long"
 _LINKS = "core long, other long, joins boolean"
 
@@ -41,64 +46,162 @@ def prefixes(texts: np.ndarray, product: float) -> np.ndarray:
     return (texts > 0) & (rest >= product**2 - 1e-9)
 
 
-def near_matrix(block: pd.DataFrame, term: int, eps: float) -> np.ndarray:
-    """Pairs of a block's points within ``eps`` that are to be counted under this key.
-
-    Not counted are pairs of two visitors from the cell below, pairs inside one
-    slice of a block of two, and pairs that share an earlier prefix term.
-    """
-    n = len(block)
-    home, part = block["home"].to_numpy(), block["part"].to_numpy()
-    apart = np.zeros((n, n))
-    texts = np.stack(block["text"].to_numpy()) if n else np.zeros((0, 0))
-    if texts.shape[1]:
-        own = (texts > 0).any(axis=1).astype(float)
-        apart += np.maximum(own[:, None] + own[None, :] - 2 * (texts @ texts.T), 0.0)
-    xs = np.stack(block["xs"].to_numpy())
-    for k in range(xs.shape[1]):
-        apart += (xs[:, k][:, None] - xs[:, k][None, :]) ** 2
-    for kinds in zip(*block["cats"]):
-        codes, names = pd.factorize(np.array(kinds, dtype=object))
-        none = np.array([names[c] == "" for c in codes])
-        differ = codes[:, None] != codes[None, :]
-        apart += np.where(differ, np.where(none[:, None] | none[None, :], 1.0, 2.0), 0.0)
-    near = (apart <= eps * eps) & (home[:, None] | home[None, :])
-    if part.min() != part.max():
-        near &= part[:, None] != part[None, :]
-    if term > 0:
-        earlier = prefixes(texts, 1 - eps * eps / 2)[:, :term].astype(np.float32)
-        near &= (earlier @ earlier.T) == 0
-    np.fill_diagonal(near, False)
-    return near
-
-
-def forest_of(near: np.ndarray, core: np.ndarray) -> np.ndarray:
-    """Per core point the first core point of its connected part, else -1."""
-    part = np.full(len(core), -1)
-    for start in np.flatnonzero(core):
+def forest_of(near: np.ndarray) -> np.ndarray:
+    """Per point the first point of its connected part."""
+    part = np.full(len(near), -1)
+    for start in range(len(near)):
         if part[start] >= 0:
             continue
         part[start], edge = start, np.array([start])
         while len(edge):
-            edge = np.flatnonzero(near[edge].any(axis=0) & core & (part < 0))
+            edge = np.flatnonzero(near[edge].any(axis=0) & (part < 0))
             part[edge] = start
     return part
 
 
 def blocks_of(batches):
-    """The blocks of a partition that is sorted by them; what one batch leaves open is carried to the next."""
-    held = None
+    """The tables of a partition that is sorted by ``pair``, one for each; what one batch leaves open is carried to the next."""
+    held, key = [], None
     for batch in batches:
-        batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        if not len(batch):
-            continue
-        keys = batch[KEY]
-        starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
-        for a, b in zip(starts[:-1], starts[1:]):
-            yield batch.iloc[a:b]
-        held = batch.iloc[starts[-1] :]
-    if held is not None:
-        yield held
+        pair = batch.column("pair").to_numpy()
+        edges = [0, *(np.flatnonzero(pair[1:] != pair[:-1]) + 1).tolist(), len(pair)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if a == b:
+                continue
+            if held and pair[a] != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            key = pair[a]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays([chunk.flatten() for chunk in column.chunks])
+
+
+def _codes(values: pa.Array) -> np.ndarray:
+    return values.dictionary_encode().indices.to_numpy()
+
+
+class Block:
+    """The points of one slice, or of two, in the order of their places, and the tiles to compare."""
+
+    def __init__(self, table: pa.Table, eps: float, size: int):
+        n, self.eps = table.num_rows, eps
+        self.spot, self.w = table["spot"].to_numpy(), table["w"].to_numpy()
+        texts = _flat(table["text"]).to_numpy(zero_copy_only=False).reshape(n, -1)
+        marks = prefixes(texts, 1 - eps * eps / 2)
+        self.texts = np.ascontiguousarray(texts[:, texts.any(axis=0)])
+        self.own = texts.any(axis=1).astype(float)
+        self.xs = _flat(table["xs"]).to_numpy(zero_copy_only=False).reshape(n, -1)
+        self.kinds = _codes(table["kind"].combine_chunks())
+        cats, self.cats = _flat(table["cats"]), []
+        # Equal kinds have equal categories where a different one is too far anyway.
+        places = len(cats) // n if eps >= 1 else 0
+        for k in range(places):
+            level = cats.take(pa.array(np.arange(n) * places + k))
+            self.cats.append((_codes(level), np.array([v == "" for v in level.to_pylist()])))
+        pair = table["pair"][0].as_py()
+        second = pair & ((1 << PAIR_BITS) - 1)
+        split = 0 if pair >> PAIR_BITS == second else int(np.searchsorted(self.spot, second * size))
+        starts = [*range(0, split, TILE), *range(split, n, TILE)]
+        self.tiles = [np.arange(a, b) for a, b in zip(starts, [*starts[1:], n])]
+        self.pairs = self._pairs(np.array(starts), split, marks)
+
+    def _pairs(self, starts: np.ndarray, split: int, marks: np.ndarray) -> list[tuple[int, int]]:
+        """Pairs of tiles that may hold a near pair, those of a tile with itself first."""
+        low, high = (f.reduceat(self.kinds, starts) for f in (np.minimum, np.maximum))
+        meet = (low[:, None] <= high[None, :]) & (low[None, :] <= high[:, None])
+        if self.eps < 1:
+            some = np.logical_or.reduceat(np.column_stack([marks, self.own == 0]), starts, axis=0).astype(float)
+            meet &= some @ some.T > 0
+        apart = np.zeros(meet.shape)
+        for values in (*self.texts.T, *self.xs.T):
+            low, high = (f.reduceat(values, starts) for f in (np.minimum, np.maximum))
+            apart += np.maximum(np.maximum(low[:, None] - high[None, :], low[None, :] - high[:, None]), 0.0) ** 2
+        # A trifle more than needed: rounding must not lose a pair.
+        meet &= apart <= self.eps**2 + 1e-9
+        first = starts < split
+        meet &= (first[:, None] & ~first[None, :]) if split else np.triu(np.ones(meet.shape, bool))
+        return sorted(zip(*(k.tolist() for k in np.nonzero(meet))), key=lambda p: (p[0] != p[1], p))
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which points of ``a`` are within ``eps`` of which of ``b``."""
+        apart = self.texts[a] @ self.texts[b].T
+        apart *= -2.0
+        apart += self.own[a][:, None]
+        apart += self.own[b]
+        np.maximum(apart, 0.0, out=apart)
+        for x in self.xs.T:
+            step = x[a][:, None] - x[b]
+            step *= step
+            apart += step
+        for codes, none in self.cats:
+            differ = codes[a][:, None] != codes[b]
+            apart += np.where(differ, np.where(none[a][:, None] | none[b], 1.0, 2.0), 0.0)
+        near = apart <= self.eps * self.eps
+        kinds = self.kinds[a], self.kinds[b]
+        if min(k.min() for k in kinds) != max(k.max() for k in kinds):
+            near &= kinds[0][:, None] == kinds[1]
+        return near
+
+    def close(self) -> np.ndarray:
+        """Rows within ``eps`` of each point, without those of the point itself."""
+        close, w = np.zeros(len(self.spot), np.int64), self.w.astype(float)
+        for i, j in self.pairs:
+            a, b = self.tiles[i], self.tiles[j]
+            near = self.near(a, b)
+            if i == j:
+                np.fill_diagonal(near, False)
+            near = near.astype(float)
+            close[a] += (near @ w[b]).astype(np.int64)
+            if i != j:
+                close[b] += (w[a] @ near).astype(np.int64)
+        return close
+
+    def links(self, core: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a place of each part, places of border points, places of core points they touch).
+
+        ``start`` holds for each point the place of a core point that it is known to be
+        connected with, or its own.
+        """
+        part, root = start.copy(), np.arange(len(start))
+        edge, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        def touch(border: np.ndarray, cores: np.ndarray) -> None:
+            near = self.near(border, cores)
+            for one in np.unique(part[cores]):
+                hit = border[near[:, part[cores] == one].any(axis=1)]
+                edge.append(hit)
+                at.append(np.full(len(hit), one))
+
+        for i, j in self.pairs:
+            a, b = self.tiles[i], self.tiles[j]
+            inner, outer = (a[core[a]], b[core[b]]), (a[~core[a]], b[~core[b]])
+            if all(len(k) for k in inner) and len(np.unique(np.concatenate([part[k] for k in inner]))) > 1:
+                near = self.near(*inner)
+                if i == j:
+                    part[a[core[a]]] = inner[0][forest_of(near)]
+                else:
+                    for one in np.unique(part[inner[0]]):
+                        met = near[part[inner[0]] == one].any(axis=0)
+                        for other in np.unique(part[inner[1][met]]).tolist():
+                            x, y = find(int(one)), find(other)
+                            root[max(x, y)] = min(x, y)
+                    while (root[part] != part).any():
+                        part = root[part]
+            if len(outer[0]) and len(inner[1]):
+                touch(outer[0], inner[1])
+            if i != j and len(outer[1]) and len(inner[0]):
+                touch(outer[1], inner[0])
+        return part, np.concatenate(edge), part[np.concatenate(at)]
 
 
 class TextDensity:
@@ -113,46 +216,48 @@ class TextDensity:
     def __init__(self, points: DataFrame, row_id: str, eps: float, min_samples: int):
         self.points, self.row_id, self.eps, self.min_samples = points, row_id, eps, min_samples
         merged = points.groupBy("xs", "cats", "text").agg(F.count("*").alias("w"), F.min(row_id).alias("first_row"))
-        # Numbers of the written table stay as they are, whoever reads it again.
-        self.spots = stage(merged.withColumn("spot", F.monotonically_increasing_id()), "spots")
-        self.blocks = stage(self._blocks(), "blocks")
-        eps_, core_at = eps, min_samples
+        self.spots = stage(self._placed(merged), "spots")
+        self.members = stage(self._members(), "members")
+        self.meetings = stage(self._meetings(), "meetings")
+        size = SLICE
 
         def count(batches):
-            for block in blocks_of(batches):
-                close = near_matrix(block, int(block["term"].iloc[0]), eps_) @ block["w"].to_numpy()
-                found = pd.DataFrame({"spot": block["spot"], "close": close.astype("int64")})
-                yield found[found["close"] > 0]
+            for table in blocks_of(batches):
+                block = Block(table, eps, size)
+                close = block.close()
+                found = close > 0
+                yield pa.RecordBatch.from_arrays([pa.array(block.spot[found]), pa.array(close[found])], ["spot", "close"])
 
+        plain = self.spots.drop("first_row", "terms")
         # One task takes many blocks, so that small ones cost little; it holds one at a time.
-        counted = self.blocks.repartition(*KEY).sortWithinPartitions(*KEY).mapInPandas(count, _COUNTS)
+        counted = self._blocks(plain, self.meetings).mapInArrow(count, _COUNTS)
         close = counted.groupBy("spot").agg(F.sum("close").alias("close"))
-        judged = self.spots.select("spot", "w", "first_row").join(close, "spot", "left")
+        judged = self.spots.select("spot", "w", "first_row").join(close.hint("merge"), "spot", "left")
         total = F.col("w") + F.coalesce("close", F.lit(0))
-        self.judged = stage(judged.select("spot", "first_row", total.alias("close"), (total >= core_at).alias("core")), "judged")
+        self.judged = stage(judged.select("spot", "first_row", total.alias("close"), (total >= min_samples).alias("core")), "judged")
 
         def link(batches):
-            for block in blocks_of(batches):
-                near = near_matrix(block, int(block["term"].iloc[0]), eps_)
-                core, spot = block["core"].to_numpy(), block["spot"].to_numpy()
-                part = forest_of(near, core)
-                inner = np.flatnonzero(core & (part != np.arange(len(part))))
-                edge, at = np.nonzero(near & ~core[:, None] & core[None, :])
-                touched = np.unique(np.stack([edge, part[at]]), axis=1).astype("int64")
-                yield pd.DataFrame(
-                    {
-                        "core": np.concatenate([spot[part[inner]], spot[touched[1]]]),
-                        "other": np.concatenate([spot[inner], spot[touched[0]]]),
-                        "joins": np.concatenate([np.ones(len(inner), bool), np.zeros(touched.shape[1], bool)]),
-                    }
-                )
-
-        flagged = join_unique(self.blocks, self.judged.select("spot", "core"), ["spot"], F.col("pair"))
-        linked = flagged.repartition(*KEY).sortWithinPartitions(*KEY).mapInPandas(link, _LINKS)
-        self.links = stage(linked.distinct(), "links")
-
-    def _blocks(self) -> DataFrame:
-        """Points under each key and block: (term, kind, cell, pair, part, home, spot, xs, cats, text, w)."""
+            for table in blocks_of(batches):
+                block, core = Block(table, eps, size), table["core"].to_numpy()
+                start = np.searchsorted(block.spot, table["start"].to_numpy())
+                part, edge, at = block.links(core, start)
+                # Each part of a slice is linked once, not each of its points.
+                inner = np.flatnonzero(core & (start == np.arange(len(start))) & (part != start))
+                touched = np.unique(np.stack([edge, at]), axis=1)
+                found = np.concatenate([part[inner], touched[1]]), np.concatenate([inner, touched[0]])
+                joins = np.arange(len(found[0])) < len(inner)
+                yield pa.RecordBatch.from_arrays([*[pa.array(block.spot[f]) for f in found], pa.array(joins)], ["core", "other", "joins"])
+
+        flagged = plain.join(self.judged.select("spot", "core").hint("merge"), "spot")
+        alone = self._blocks(flagged.withColumn("start", F.col("spot")), self.meetings.where("alone")).mapInArrow(link, _LINKS)
+        alone = stage(alone, "links")
+        starts = alone.where("joins").select(F.col("other").alias("spot"), F.col("core").alias("start"))
+        started = flagged.join(starts.hint("merge"), "spot", "left").withColumn("start", F.coalesce("start", "spot"))
+        both = self._blocks(started, self.meetings.where("not alone")).mapInArrow(link, _LINKS)
+        self.links = stage(alone.union(both).distinct(), "links")
+
+    def _placed(self, merged: DataFrame) -> DataFrame:
+        """Points with ``kind``, the terms of their prefixes and ``spot``, their place in the order that keeps like ones together."""
         eps, product = self.eps, 1 - self.eps**2 / 2
 
         def with_terms(batches):
@@ -163,24 +268,40 @@ class TextDensity:
                     marks = prefixes(np.stack(batch["text"].to_numpy()), product)
                     yield batch.assign(terms=[list(np.flatnonzero(m)) or [NO_TERM] for m in marks])
 
-        plain = self.spots.drop("first_row")
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema) + ", terms array<int>"
-        entries = plain.mapInPandas(with_terms, schema)
-        first = F.get("xs", F.lit(0))
-        cell = F.coalesce(F.floor(first / (self.eps * (1 + 1e-9))), F.lit(0))
-        # Without numbers there is one cell, and nobody visits.
-        cells = F.when(first.isNull(), F.array(cell)).otherwise(F.array(cell, cell + 1))
-        entries = entries.withColumn("own", cell).withColumn("cell", F.explode(cells)).withColumn("term", F.explode("terms"))
-        kind = F.to_json("cats") if self.eps < 1 else F.lit("")
-        entries = entries.withColumn("home", F.col("cell") == F.col("own")).withColumn("kind", kind).drop("own", "terms")
-        key = ["term", "kind", "cell"]
-        sizes = entries.groupBy(*key).agg(F.count("*").alias("n"), F.max("home").alias("lived"))
-        sizes = sizes.where("n > 1 and lived").select(*key, F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
-        met = join_unique(entries, stage(sizes, "sizes"), key, F.col("spot"))
-        met = met.withColumn("part", F.pmod(F.xxhash64("spot"), F.col("slices")).cast("int"))
-        met = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-        pair = F.least("part", "with").cast("long") * F.lit(1 << 31) + F.greatest("part", "with")
-        return met.withColumn("pair", pair).drop("with", "slices")
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in merged.schema) + ", terms array<int>"
+        marked = merged.mapInPandas(with_terms, schema).withColumn("kind", F.to_json("cats") if eps < 1 else F.lit(""))
+        cell = F.floor(F.get("xs", F.lit(0)) / eps)
+        placed = with_position(marked.withColumn("cell", cell), ["kind", "cell", "terms", "xs", "text", "cats"], "spot")
+        return placed.drop("cell")
+
+    def _meetings(self) -> DataFrame:
+        """(slice, pair, alone): the blocks that each slice takes part in."""
+        x = F.coalesce(F.get("xs", F.lit(0)), F.lit(0.0))
+        rows = self._sliced(self.spots).select("slice", "kind", "spot", x.alias("x"), F.explode("terms").alias("term"))
+        slices = rows.groupBy("slice").agg(
+            *[f(c).alias(f"{name}_{c}") for c in ("kind", "x", "spot") for name, f in (("low", F.min), ("high", F.max))],
+            F.collect_set("term").alias("terms"),
+        )
+        slices = stage(slices, "slices")
+        alone = slices.where("high_spot > low_spot").select(F.col("slice").alias("a"), F.col("slice").alias("b"))
+        a, b = slices.alias("a"), slices.alias("b")
+        # Slices follow each other by kind, so two of them share no other kind than this.
+        met = a.join(b, (F.col("a.high_kind") == F.col("b.low_kind")) & (F.col("a.slice") < F.col("b.slice")))
+        gap = F.greatest(F.col("a.low_x"), F.col("b.low_x")) - F.least(F.col("a.high_x"), F.col("b.high_x"))
+        met = met.where((gap <= self.eps * (1 + 1e-9)) & F.arrays_overlap("a.terms", "b.terms"))
+        pairs = alone.union(met.select(F.col("a.slice"), F.col("b.slice")))
+        pair = F.shiftleft("a", PAIR_BITS).bitwiseOR(F.col("b"))
+        ends = F.array_distinct(F.array("a", "b"))
+        return pairs.select(F.explode(ends).alias("slice"), pair.alias("pair"), (F.col("a") == F.col("b")).alias("alone"))
+
+    @staticmethod
+    def _sliced(spots: DataFrame) -> DataFrame:
+        return spots.withColumn("slice", F.floor(F.col("spot") / SLICE))
+
+    def _blocks(self, spots: DataFrame, meetings: DataFrame) -> DataFrame:
+        """Points of each pair of slices together, in the order of their places."""
+        met = self._sliced(spots).join(meetings.select("slice", "pair"), "slice").drop("slice")
+        return met.repartition("pair").sortWithinPartitions("pair", "spot")
 
     def noise(self) -> DataFrame:
         """Row ids of the points that are no core points and have none within ``eps``."""
@@ -209,10 +330,18 @@ class TextDensity:
         labels = self.spots.join(named.unionByName(border), "spot", "left")
         return self._rows(labels, "left").select(self.row_id, F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"))
 
+    def _members(self) -> DataFrame:
+        """(row id, spot); only the few heavy points are copied for a spread join."""
+        point = ["xs", "cats", "text"]
+        named = self.spots.select(*point, "spot", "w")
+        light = self.points.join(named.where(F.col("w") < HEAVY).hint("merge"), point)
+        heavy = join_unique(self.points, named.where(F.col("w") >= HEAVY), point, F.col(self.row_id), grows=True)
+        return light.select(self.row_id, "spot").union(heavy.select(self.row_id, "spot"))
+
     def _rows(self, spots: DataFrame, how: str) -> DataFrame:
         """Every row joined to the values of its merged point."""
-        spots = spots.drop("w", "first_row", "spot")
-        return join_unique(self.points, spots, ["xs", "cats", "text"], F.col(self.row_id), how)
+        spots = spots.drop("w", "first_row", "kind", "terms", "xs", "cats", "text")
+        return join_unique(self.members, spots, ["spot"], F.col(self.row_id), how, grows=True)
 
 
 def heaviest_first(rows: DataFrame, vector: str, terms: dict[str, float]) -> dict[str, float]:

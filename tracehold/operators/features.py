@@ -41,14 +41,14 @@ def words(text: Column) -> Column:
 def vocabulary(df: DataFrame, fields: list[str], size: int = MAX_TERMS) -> DataFrame:
     """The most frequent terms with their smoothed inverse document frequency.
 
-    Occurrences and texts are counted from two explodes of the same words, merged by term
-    before the shuffle.
+    Occurrences and texts are counted from the words of a text and from its different words,
+    which are found once and merged by term before the shuffle.
     """
     rows = df.count()
     found = df.select(words(text_of(fields)).alias("w"))
-    one = found.select(F.explode("w").alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d"))
-    once = found.select(F.explode(F.array_distinct("w")).alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d"))
-    terms = one.union(once).groupBy("term").agg(F.sum("n").alias("total"), F.sum("d").alias("df"))
+    both = found.select(F.posexplode(F.array("w", F.array_distinct("w"))).alias("once", "w"))
+    both = both.select(F.explode("w").alias("term"), "once")
+    terms = both.groupBy("term").agg(F.sum(1 - F.col("once")).alias("total"), F.sum("once").alias("df"))
     top = terms.orderBy(F.desc("total"), "term").limit(size)
     return top.select("term", "total", "df", (F.log((F.lit(1.0) + rows) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
 

@@ -23,6 +23,8 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,7 @@ MIN_COUNT, TOP, ABSORB = 10, 2000, 50
 DEPTH, BITS = 3, 21
 MASK = (1 << BITS) - 1
 #: Entries of a container before it bursts, of a task's trie before it spills, words a task numbers.
-BURST, ENTRIES, NUMBERED = 8192, 1_000_000, 400_000
+BURST, ENTRIES, NUMBERED = 8192, 2_000_000, 400_000
 #: Words that are numbered at once; with ``NUMBERED`` they stay below 2 to the power of ``BITS``.
 WORDS = 1 << 20
 #: Bits of the table of frequent pairs for each of them, and in all.
@@ -82,9 +84,9 @@ class Trie:
                 part.add(keys[a:b], counts[a:b])
                 self.entries += part.entries
                 continue
-            before, get = len(part), part.get
-            for key, n in zip(keys[a:b].tolist(), counts[a:b].tolist()):
-                part[key] = get(key, 0) + n
+            before, here = len(part), keys[a:b].tolist()
+            # Each key is looked up just before its new count is put there.
+            part.update(zip(here, map(add, map(part.get, here, repeat(0)), counts[a:b].tolist())))
             self.entries += len(part) - before
             if len(part) > self.burst:
                 self._burst(k)
@@ -105,7 +107,7 @@ class Trie:
             firsts = keys >> shift
             if firsts[0] == firsts[-1]:
                 node = Trie(self.depth + 1, low, self.burst)
-                node.add(keys, np.array([part[x] for x in keys.tolist()]))
+                node.add(keys, np.fromiter(map(part.__getitem__, keys.tolist()), np.int64, len(keys)))
                 place = bisect_right(self.low, low)
                 self.low.insert(place, low)
                 self.parts.insert(place, node)
@@ -157,16 +159,19 @@ class Counter:
     def numbers(self, w: Words, langs: list[str], owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The number of each word; a word of another language has another one."""
         _, first, same = np.unique(hashes, return_index=True, return_inverse=True)
-        raw, names, found = w.data.tobytes(), self.names, []
-        number = [self.number.setdefault(lang, {}) for lang in langs]
-        for a, b, o in zip(w.start[first].tolist(), w.end[first].tolist(), owner[first].tolist()):
-            word = raw[a:b]
-            i = number[o].get(word)
-            if i is None:
-                i = number[o][word] = len(names)
-                names.append((langs[o], word))
-            found.append(i)
-        return np.array(found, np.int64)[same]
+        raw, names, found = w.data.tobytes(), self.names, np.zeros(len(first), np.int64)
+        code = np.unique(langs, return_inverse=True)[1][owner[first]] if len(first) else found
+        for c in np.unique(code).tolist():
+            here = np.flatnonzero(code == c)
+            lang = langs[owner[first[here[0]]]]
+            number = self.number.setdefault(lang, {})
+            spelled = [raw[a:b] for a, b in zip(w.start[first[here]].tolist(), w.end[first[here]].tolist())]
+            for word in spelled:
+                if word not in number:
+                    number[word] = len(names)
+                    names.append((lang, word))
+            found[here] = np.fromiter(map(number.__getitem__, spelled), np.int64, len(spelled))
+        return found[same]
 
     def add(self, keys: np.ndarray) -> None:
         if len(keys):
@@ -318,7 +323,7 @@ def pair_table(pairs: DataFrame) -> np.ndarray:
 
 def _merged(runs: DataFrame) -> DataFrame:
     """Counts of each phrase, added up per range of phrases."""
-    return runs.select("lang", "phrase", "n").repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return runs.select("lang", "phrase", "n").repartitionByRange("phrase", "lang").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def count_phrases(

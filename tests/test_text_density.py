@@ -125,3 +125,59 @@ def test_blocks_over_batches():
     batch = pa.table({"pair": [1, 1, 2, 2, 2, 5]}).to_batches(max_chunksize=4) + pa.table({"pair": [5, 7]}).to_batches()
     assert [t["pair"].to_pylist() for t in module.blocks_of(batch)] == [[1, 1], [2, 2, 2], [5, 5], [7]]
     assert list(module.blocks_of([])) == []
+
+
+def test_outliers_without_links(spark, monkeypatch):
+    """Counts and outliers come from one pass over the pairs; texts are kept as packed counts, not as rows of weights."""
+    written, write = [], module.stage
+    monkeypatch.setattr(module, "stage", lambda df, label="stage": written.append(label) or write(df, label))
+    texts, values, _ = made_up(5, 120)
+    df = spark.createDataFrame(list(zip(range(len(texts)), texts, values)), "id long, t string, v double")
+    run = models.text_density(df, "id", ["v"], None, ["t"], 0.5, 4)
+    x = np.hstack([plain_features(texts), standard(values)[:, None]])
+    want = plain_dbscan(x, 0.5, 4, np.zeros((len(x), len(x))))
+    assert sorted(r.id for r in run.noise().collect()) == list(np.flatnonzero(want < 0))
+    assert len(run.neighbours().collect()) == len(texts)
+    assert "links" not in written and dict(run.spots.dtypes)["text"] == "binary"
+    assert [r.cluster for r in run.clusters().orderBy("id").collect()] == list(want) and "links" in written
+
+
+def test_few_neighbours_are_listed(monkeypatch):
+    """All others within eps of a point that they do not make a core point, and counts, as in double precision."""
+    monkeypatch.setattr(module, "TILE", 8)
+    table, apart = block_table(np.random.default_rng(7), 120, 6, 0)
+    w = table["w"].to_numpy()
+    near = apart <= 0.36
+    np.fill_diagonal(near, False)
+    found = module.Block(table, 0.6, 200, minimum=9).counted().to_pylist()
+    assert [(r["spot"], r["close"]) for r in found] == [(i, n) for i, n in enumerate((near @ w).tolist()) if n]
+    few = [r["spot"] for r in found if r["beside"]]
+    assert few == [i for i in range(120) if 0 < (near @ w)[i] < 9 - w[i]] and len(few) < len(found)
+    assert all(sorted(r["beside"]) == list(np.flatnonzero(near[r["spot"]])) for r in found if r["beside"])
+
+
+def test_pairs_at_the_very_distance():
+    """Single precision leaves pairs near the limit to double precision, also far from zero."""
+    xs = 1000 + np.arange(64) * 0.25
+    columns = {
+        "pair": pa.array(np.zeros(64, np.int64)),
+        "spot": pa.array(np.arange(64)),
+        "w": pa.array(np.full(64, 1 << 40)),
+        "text": pa.array([[1.0, 0.0] if i % 2 else [0.0, 0.0] for i in range(64)]),
+        "xs": pa.array([[x] for x in xs]),
+        "cats": pa.array([["a"]] * 64),
+        "kind": pa.array(["a"] * 64),
+    }
+    close = module.Block(pa.table(columns), 0.5, 64).close()
+    assert close.tolist() == [(1 << 40) * ((i > 1) + (i < 62)) for i in range(64)]
+    assert (module.Block(pa.table(columns), np.nextafter(0.5, 0), 64).close() == 0).all()
+
+
+def test_packed_counts():
+    rng = np.random.default_rng(1)
+    counts = rng.integers(0, 3, (40, 13)) * rng.integers(0, 2, (40, 1))
+    counts[3, 5], counts[4, 0], counts[5, 12] = 255, 256, 1 << 40
+    rows = pa.array(module.packed(counts), pa.binary())
+    assert (module.unpacked(rows, 13) == counts).all() and (module.unpacked(rows.slice(3, 9), 13) == counts[3:12]).all()
+    assert module.unpacked(pa.array(module.packed(np.zeros((2, 0), np.int64)), pa.binary()), 0).shape == (2, 0)
+    assert len(set(rows.to_pylist())) == len(np.unique(counts, axis=0)) and max(map(len, rows.to_pylist())) < 40 + 8 * 13

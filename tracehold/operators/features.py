@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from tracehold.operators.anomaly import known
 from tracehold.operators.ordered import numbered
+from tracehold.operators.word_counts import LEAST, LETTER, term_totals
 from tracehold.session import stage, staging_path
 
 # Size of the text vocabulary and what counts as a word.
 MAX_TERMS = 100
-WORD = r"[\p{L}\p{N}_]{2,}"
+WORD = f"{LETTER}{{{LEAST},}}"
 
 LEVEL_SCHEMA = "field string, level string, n long, code long"
 
@@ -41,14 +42,11 @@ def words(text: Column) -> Column:
 def vocabulary(df: DataFrame, fields: list[str], size: int = MAX_TERMS) -> DataFrame:
     """The most frequent terms with their smoothed inverse document frequency.
 
-    Occurrences and texts are counted from the words of a text and from its different words,
-    which are found once and merged by term before the shuffle.
+    Occurrences and texts are counted in bulk in the tasks, which read a text once.
     """
     rows = df.count()
-    found = df.select(words(text_of(fields)).alias("w"))
-    both = found.select(F.posexplode(F.array("w", F.array_distinct("w"))).alias("once", "w"))
-    both = both.select(F.explode("w").alias("term"), "once")
-    terms = both.groupBy("term").agg(F.sum(1 - F.col("once")).alias("total"), F.sum("once").alias("df"))
+    terms = term_totals(df.select(F.lower(text_of(fields)).alias("_text")))
+    terms = terms.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
     top = terms.orderBy(F.desc("total"), "term").limit(size)
     return top.select("term", "total", "df", (F.log((F.lit(1.0) + rows) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
 

@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracehold.operators.density import DensityModel
-from tracehold.operators.features import LEVEL_SCHEMA, FeatureModel, fit_features, level_table, text_of, words
+from tracehold.operators.features import LEVEL_SCHEMA, FeatureModel, fit_features, level_table, text_of
 from tracehold.operators.forest import SEED, IsolationForest, grow_forest
 from tracehold.operators.quantiles import exact_quantile
-from tracehold.operators.text_density import TextDensity, heaviest_first
+from tracehold.operators.text_density import TextDensity, counted_terms
 from tracehold.session import stage
 
 
@@ -194,22 +194,15 @@ def text_density(
 ) -> TextDensity:
     """The clustering run behind :func:`cluster_events` with text fields; null texts have no terms."""
     numbers = fit_features(df, numeric=numeric).columns() if numeric else []
-    terms = fit_features(df, text=text)
-    if terms.terms:
-        weighed = terms.transform(df.select(*text), "_v")
-        terms.terms = heaviest_first(weighed.where(F.size(words(text_of(text))) > 0), "_v", terms.terms)
-    rows = df.withColumns(
-        {
-            "_xs": F.array(*numbers).cast("array<double>"),
-            "_cats": F.array(*[level_or_none(df, name) for name in categorical or []]).cast("array<string>"),
-        }
+    terms = fit_features(df, text=text).terms
+    rows = df.select(
+        row_id,
+        F.array(*numbers).cast("array<double>").alias("xs"),
+        F.array(*[level_or_none(df, name) for name in categorical or []]).cast("array<string>").alias("cats"),
+        F.lower(text_of(text)).alias("_text"),
     )
-    if terms.terms:
-        rows = terms.transform(rows, "_v").withColumn("_text", vector_to_array("_v"))
-    else:
-        rows = rows.withColumn("_text", F.array().cast("array<double>"))
-    points = rows.select(row_id, F.col("_xs").alias("xs"), F.col("_cats").alias("cats"), F.col("_text").alias("text"))
-    return TextDensity(stage(points, "points"), row_id, eps, min_samples)
+    points = stage(counted_terms(rows, list(terms)), "points")
+    return TextDensity(points, row_id, eps, min_samples, list(terms.values()))
 
 
 def cluster_stats(df: DataFrame, clusters: DataFrame, row_id: str, numeric: list[str]) -> DataFrame:

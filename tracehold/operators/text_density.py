@@ -1,49 +1,85 @@
 """Density clustering (DBSCAN) over numeric fields, categories and sparse TF-IDF vectors.
 
-Text vectors have length one, so two of them lie within ``eps`` only if their
-product reaches ``1 - eps**2 / 2``.  Terms stand in one order, the heaviest first; the
-prefix of a vector ends where the rest is too short for that product, so near
-vectors share a term of both prefixes.
-
-Points are sorted by categories, cell of the first numeric field and first term, and
-cut into slices.  Two slices meet only if categories, numbers and prefixes allow a
-near pair; a task compares them tile by tile, and leaves out pairs of tiles whose
-categories, prefixes or bounding boxes allow none.  A pair of points meets once.
-Tasks give neighbour counts per point, and then one forest of the core points they
-saw, never the pairs themselves: slices first, then what joins two slices.  Core
-points known to be connected are not compared again.  The comparisons of tiles that
-are alike still grow with the square of their distinct points: terms that stand in
-all texts cannot keep texts apart.
+A text is kept as the counts of its terms, packed into some fifty bytes; its vector of
+length one is made from them in the tasks.
+
+Points are sorted by categories and numeric fields and cut into slices.  Two slices
+meet only if categories and the first number allow a near pair.  A task compares them tile
+by tile in single precision, and anew in double precision where rounding could
+decide; it leaves out pairs of tiles whose categories or bounding boxes allow no near
+pair.  A pair of points meets once.
+
+Tasks give neighbour counts per point, and the few neighbours of points that are no core
+points by what the task saw; outliers follow from these.  Clusters need a second pass, which
+gives one forest of the core points a task saw, never the pairs themselves: slices first, then
+what joins two slices.  Core points known to be connected are not compared again.  The
+comparisons still grow with the square of the points that are alike in categories and numbers.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracehold.operators.graph import components
 from tracehold.operators.ordered import numbered, with_position
 from tracehold.operators.skew import join_unique
+from tracehold.operators.word_counts import TermCounts, letter_runs
 from tracehold.session import stage
 
-SLICE = 16_384  # points that are compared as a block with those of another slice
+SLICE = 32_768  # points that are compared as a block with those of another slice, at most
+SLICES = 32  # slices a smaller table is cut into
 TILE = 512  # points that are compared at once
+RARE = 4  # points whose last terms differ less may share a tile
+TASK_PAIRS = 20_000_000  # pairs of points from which on a block has a task of its own
 HEAVY = 1_000  # rows of a merged point from which on they are spread over tasks
-NO_TERM = -1
 PAIR_BITS = 31
-_COUNTS = "spot long, close long"
+_COUNTS = "spot long, close long, beside array<long>"
 _LINKS = "core long, other long, joins boolean"
 
 
-def prefixes(texts: np.ndarray, product: float) -> np.ndarray:
-    """Which terms of each row belong to its prefix; columns are in the common order of terms."""
-    rest = np.cumsum((texts**2)[:, ::-1], axis=1)[:, ::-1]
-    # A trifle longer than needed: rounding must not lose a pair.
-    return (texts > 0) & (rest >= product**2 - 1e-9)
+def packed(counts: np.ndarray) -> list[bytes]:
+    """Each row of counts as bytes: the width of a count, one bit a place, the counts above 0."""
+    bits, most = np.packbits(counts > 0, axis=1), counts.max(axis=1, initial=0)
+    widths = np.where(most < 1 << 8, 1, np.where(most < 1 << 16, 2, 8)).tolist()
+    return [bytes([w]) + b.tobytes() + row[row > 0].astype(f"<u{w}").tobytes() for w, b, row in zip(widths, bits, counts)]
+
+
+def unpacked(rows: pa.BinaryArray, places: int) -> np.ndarray:
+    """The counts of :func:`packed` rows."""
+    counts = np.zeros((len(rows), places))
+    if not counts.size:
+        return counts
+    start = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1].astype(np.int64)
+    data, size = np.frombuffer(rows.buffers()[2], np.uint8), -(-places // 8)
+    held = np.unpackbits(data[start[:-1, None] + 1 + np.arange(size)], axis=1, count=places).astype(bool)
+    for width in (1, 2, 8):
+        mine = np.flatnonzero(data[start[:-1]] == width)
+        length = held[mine].sum(axis=1) * width
+        first = np.repeat(start[mine] + 1 + size - (np.cumsum(length) - length), length)
+        some = np.zeros((len(mine), places))
+        some[held[mine]] = data[first + np.arange(length.sum())].view(f"<u{width}")
+        counts[mine] = some
+    return counts
+
+
+def counted_terms(rows: DataFrame, terms: list[str]) -> DataFrame:
+    """``rows`` with the packed counts of the terms in ``_text`` as ``text`` in its stead."""
+    kept, runs = rows.drop("_text"), letter_runs(rows.sparkSession)
+    names = kept.columns
+
+    def count(batches):
+        counts = TermCounts(runs, terms)
+        for batch in batches:
+            text = pa.array(packed(counts(batch.column("_text"))), pa.binary())
+            yield pa.RecordBatch.from_arrays([*[batch.column(name) for name in names], text], [*names, "text"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return rows.mapInArrow(count, f"{schema}, text binary")
 
 
 def forest_of(near: np.ndarray) -> np.ndarray:
@@ -81,21 +117,42 @@ def _flat(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays([chunk.flatten() for chunk in column.chunks])
 
 
+def places_of(mask: np.ndarray) -> np.ndarray:
+    """Flat places of the few that hold."""
+    flat = mask.ravel()
+    if len(flat) % 8:
+        return np.flatnonzero(flat)
+    eights = np.flatnonzero(flat.view(np.uint64))
+    at = (eights[:, None] * 8 + np.arange(8)).ravel()
+    return at[flat[at]]
+
+
 def _codes(values: pa.Array) -> np.ndarray:
     return values.dictionary_encode().indices.to_numpy()
 
 
 class Block:
-    """The points of one slice, or of two, in the order of their places, and the tiles to compare."""
+    """The points of one slice, or of two, in the order of their places, and the tiles to compare.
 
-    def __init__(self, table: pa.Table, eps: float, size: int):
-        n, self.eps = table.num_rows, eps
+    ``scale`` are the weights of the terms where texts are packed counts; ``minimum`` is the number of
+    rows within ``eps`` that makes a core point.
+    """
+
+    def __init__(self, table: pa.Table, eps: float, size: int, scale: list[float] | None = None, minimum: int = 0):
+        n, self.eps, self.minimum = table.num_rows, eps, minimum
         self.spot, self.w = table["spot"].to_numpy(), table["w"].to_numpy()
-        texts = _flat(table["text"]).to_numpy(zero_copy_only=False).reshape(n, -1)
-        marks = prefixes(texts, 1 - eps * eps / 2)
-        self.texts = np.ascontiguousarray(texts[:, texts.any(axis=0)])
-        self.own = texts.any(axis=1).astype(float)
+        texts = self._vectors(table["text"], n, scale)
+        held = texts > 0
+        # Terms that most texts hold come first, so that a product ends at the last one that both sides hold.
+        terms = np.argsort(-held.sum(axis=0), kind="stable")
+        self.texts, held = texts[:, terms], held[:, terms]
+        self.own = held.any(axis=1).astype(float)
+        self.last = np.where(self.own > 0, len(terms) - held[:, ::-1].argmax(axis=1) if len(terms) else 0, 0)
         self.xs = _flat(table["xs"]).to_numpy(zero_copy_only=False).reshape(n, -1)
+        xs = self.xs - self.xs.mean(axis=0)
+        # A place more each for the factor 1 and the square, so that one product gives distances.
+        self.square = np.einsum("ij,ij->i", self.texts, self.texts) + np.einsum("ij,ij->i", xs, xs)
+        self.points = np.concatenate([xs, np.ones((n, 1)), self.square[:, None], self.texts], axis=1, dtype=np.float32, casting="same_kind")
         self.kinds = _codes(table["kind"].combine_chunks())
         cats, self.cats = _flat(table["cats"]), []
         # Equal kinds have equal categories where a different one is too far anyway.
@@ -106,29 +163,71 @@ class Block:
         pair = table["pair"][0].as_py()
         second = pair & ((1 << PAIR_BITS) - 1)
         split = 0 if pair >> PAIR_BITS == second else int(np.searchsorted(self.spot, second * size))
-        starts = [*range(0, split, TILE), *range(split, n, TILE)]
-        self.tiles = [np.arange(a, b) for a, b in zip(starts, [*starts[1:], n])]
-        self.pairs = self._pairs(np.array(starts), split, marks)
+        self.tiles = [*self._tiled(0, split), *self._tiled(split, n)]
+        self.pairs = self._pairs(-(-split // TILE))
+
+    def _tiled(self, a: int, b: int) -> list[np.ndarray]:
+        """The points from ``a`` to ``b`` in tiles; those that hold rare terms are by themselves."""
+        order = a + np.lexsort((self.last[a:b] // RARE, self.kinds[a:b]))
+        return [order[k : k + TILE] for k in range(0, b - a, TILE)]
 
-    def _pairs(self, starts: np.ndarray, split: int, marks: np.ndarray) -> list[tuple[int, int]]:
+    @staticmethod
+    def _vectors(column: pa.ChunkedArray, n: int, scale: list[float] | None) -> np.ndarray:
+        if scale is None:
+            return _flat(column).to_numpy(zero_copy_only=False).reshape(n, -1)
+        texts = unpacked(pa.concat_arrays(column.cast(pa.binary()).chunks), len(scale))
+        texts *= np.array(scale)
+        length = np.sqrt((texts**2).sum(axis=1, keepdims=True))
+        texts /= np.where(length > 0, length, 1)
+        return texts
+
+    def _pairs(self, split: int) -> list[tuple[int, int]]:
         """Pairs of tiles that may hold a near pair, those of a tile with itself first."""
-        low, high = (f.reduceat(self.kinds, starts) for f in (np.minimum, np.maximum))
+        order, starts = np.concatenate(self.tiles), np.cumsum([0, *map(len, self.tiles[:-1])])
+        low, high = (f.reduceat(self.kinds[order], starts) for f in (np.minimum, np.maximum))
         meet = (low[:, None] <= high[None, :]) & (low[None, :] <= high[:, None])
-        if self.eps < 1:
-            some = np.logical_or.reduceat(np.column_stack([marks, self.own == 0]), starts, axis=0).astype(float)
-            meet &= some @ some.T > 0
         apart = np.zeros(meet.shape)
         for values in (*self.texts.T, *self.xs.T):
-            low, high = (f.reduceat(values, starts) for f in (np.minimum, np.maximum))
+            low, high = (f.reduceat(values[order], starts) for f in (np.minimum, np.maximum))
             apart += np.maximum(np.maximum(low[:, None] - high[None, :], low[None, :] - high[:, None]), 0.0) ** 2
         # A trifle more than needed: rounding must not lose a pair.
         meet &= apart <= self.eps**2 + 1e-9
-        first = starts < split
+        first = np.arange(len(starts)) < split
         meet &= (first[:, None] & ~first[None, :]) if split else np.triu(np.ones(meet.shape, bool))
         return sorted(zip(*(k.tolist() for k in np.nonzero(meet))), key=lambda p: (p[0] != p[1], p))
 
     def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Which points of ``a`` are within ``eps`` of which of ``b``."""
+        if self.cats:
+            return self._near_of_all_kinds(a, b)
+        numbers, limit = self.xs.shape[1], self.eps * self.eps
+        places = numbers + 2 + int(min(self.last[a].max(), self.last[b].max()))
+        left, right = self.points[a, :places], self.points[b, :places]
+        left *= -2
+        left[:, numbers], left[:, numbers + 1] = self.square[a], 1
+        apart = left @ right.T
+        # How far off single precision may be, twice over.
+        slack = (places + 4) * 2.0**-22 * float(self.square[a].max() + self.square[b].max())
+        near, sure = apart <= limit + slack, apart < limit - slack
+        if np.count_nonzero(sure) < np.count_nonzero(near):
+            self._judge(near, a, b, places_of(near ^ sure))
+        kinds = self.kinds[a], self.kinds[b]
+        if min(k.min() for k in kinds) != max(k.max() for k in kinds):
+            near &= kinds[0][:, None] == kinds[1]
+        return near
+
+    def _judge(self, near: np.ndarray, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> None:
+        """Decide the pairs at the flat places ``at`` in double precision."""
+        for start in range(0, len(at), 8192):
+            some = at[start : start + 8192]
+            p, q = a[some // near.shape[1]], b[some % near.shape[1]]
+            apart = self.own[p] + self.own[q] - 2.0 * np.einsum("ij,ij->i", self.texts[p], self.texts[q])
+            np.maximum(apart, 0.0, out=apart)
+            for x in self.xs.T:
+                apart += (x[p] - x[q]) ** 2
+            near.flat[some] = apart <= self.eps * self.eps
+
+    def _near_of_all_kinds(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         apart = self.texts[a] @ self.texts[b].T
         apart *= -2.0
         apart += self.own[a][:, None]
@@ -141,26 +240,48 @@ class Block:
         for codes, none in self.cats:
             differ = codes[a][:, None] != codes[b]
             apart += np.where(differ, np.where(none[a][:, None] | none[b], 1.0, 2.0), 0.0)
-        near = apart <= self.eps * self.eps
-        kinds = self.kinds[a], self.kinds[b]
-        if min(k.min() for k in kinds) != max(k.max() for k in kinds):
-            near &= kinds[0][:, None] == kinds[1]
-        return near
+        return apart <= self.eps * self.eps
 
     def close(self) -> np.ndarray:
         """Rows within ``eps`` of each point, without those of the point itself."""
-        close, w = np.zeros(len(self.spot), np.int64), self.w.astype(float)
+        close = np.zeros(len(self.spot), np.int64)
+        # Sums stay exact: whole numbers below 2**24 in single precision.
+        real = np.float32 if self.w.max() * TILE < 1 << 24 else np.float64
+        w, self.beside = self.w.astype(real), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+        def gather(a: np.ndarray, b: np.ndarray, near: np.ndarray, rows: np.ndarray) -> None:
+            close[a] += rows.astype(np.int64)
+            few = np.flatnonzero((rows > 0) & (close[a] + self.w[a] < self.minimum))
+            if len(few):
+                p, q = np.nonzero(near[few])
+                self.beside.append((a[few[p]], b[q]))
+
         for i, j in self.pairs:
             a, b = self.tiles[i], self.tiles[j]
             near = self.near(a, b)
             if i == j:
                 np.fill_diagonal(near, False)
-            near = near.astype(float)
-            close[a] += (near @ w[b]).astype(np.int64)
-            if i != j:
-                close[b] += (w[a] @ near).astype(np.int64)
+            if near.any():
+                ones = near.astype(real)
+                gather(a, b, near, ones @ w[b])
+                if i != j:
+                    gather(b, a, near.T, w[a] @ ones)
         return close
 
+    def counted(self) -> pa.RecordBatch:
+        """(spot, close, beside) of the points with others within ``eps``.
+
+        ``beside`` are these others where they do not make a core point: fewer than ``minimum``.
+        """
+        close = self.close()
+        point, other = (np.concatenate(k) for k in zip(*self.beside))
+        few = close[point] + self.w[point] < self.minimum
+        point, other = point[few], other[few]
+        order, found = np.argsort(point, kind="stable"), np.flatnonzero(close)
+        starts = np.searchsorted(point[order], [*found, len(close)]).astype(np.int32)
+        beside = pa.ListArray.from_arrays(pa.array(starts), pa.array(self.spot[other[order]]))
+        return pa.RecordBatch.from_arrays([pa.array(self.spot[found]), pa.array(close[found]), beside], ["spot", "close", "beside"])
+
     def links(self, core: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(a place of each part, places of border points, places of core points they touch).
 
@@ -208,37 +329,38 @@ class TextDensity:
     """One clustering run over points ``row_id, xs, cats, text``.
 
     ``xs`` is an array of numbers, ``cats`` of category levels (the dropped first
-    one and null as the empty string), ``text`` of weights of length one or all
-    zero, every place one term.  All may be empty arrays.
+    one and null as the empty string), ``text`` the packed counts of the terms, whose
+    weights are ``scale``.  All may be empty.
     Equal points are merged into one weighted point first.
     """
 
-    def __init__(self, points: DataFrame, row_id: str, eps: float, min_samples: int):
-        self.points, self.row_id, self.eps, self.min_samples = points, row_id, eps, min_samples
+    def __init__(self, points: DataFrame, row_id: str, eps: float, min_samples: int, scale: list[float]):
+        self.points, self.row_id, self.eps, self.scale = points, row_id, eps, scale
         merged = points.groupBy("xs", "cats", "text").agg(F.count("*").alias("w"), F.min(row_id).alias("first_row"))
         self.spots = stage(self._placed(merged), "spots")
         self.members = stage(self._members(), "members")
-        self.meetings = stage(self._meetings(), "meetings")
-        size = SLICE
+        self.size = size = max(min(SLICE, max(4 * TILE, -(-self.spots.count() // SLICES))), 1)
+        self.meetings = self._meetings()
 
         def count(batches):
             for table in blocks_of(batches):
-                block = Block(table, eps, size)
-                close = block.close()
-                found = close > 0
-                yield pa.RecordBatch.from_arrays([pa.array(block.spot[found]), pa.array(close[found])], ["spot", "close"])
-
-        plain = self.spots.drop("first_row", "terms")
-        # One task takes many blocks, so that small ones cost little; it holds one at a time.
-        counted = self._blocks(plain, self.meetings).mapInArrow(count, _COUNTS)
-        close = counted.groupBy("spot").agg(F.sum("close").alias("close"))
+                yield Block(table, eps, size, scale, min_samples).counted()
+
+        counted = self._blocks(self.spots.drop("first_row"), self.meetings).mapInArrow(count, _COUNTS)
+        self.counted = stage(counted, "counted")
+        close = self.counted.groupBy("spot").agg(F.sum("close").alias("close"))
         judged = self.spots.select("spot", "w", "first_row").join(close.hint("merge"), "spot", "left")
         total = F.col("w") + F.coalesce("close", F.lit(0))
-        self.judged = stage(judged.select("spot", "first_row", total.alias("close"), (total >= min_samples).alias("core")), "judged")
+        self.judged = stage(judged.select("spot", "w", "first_row", total.alias("close"), (total >= min_samples).alias("core")), "judged")
+
+    @cached_property
+    def links(self) -> DataFrame:
+        """(core, other, joins): core points of one cluster, and border points with core points they touch."""
+        eps, size, scale = self.eps, self.size, self.scale
 
         def link(batches):
             for table in blocks_of(batches):
-                block, core = Block(table, eps, size), table["core"].to_numpy()
+                block, core = Block(table, eps, size, scale), table["core"].to_numpy()
                 start = np.searchsorted(block.spot, table["start"].to_numpy())
                 part, edge, at = block.links(core, start)
                 # Each part of a slice is linked once, not each of its points.
@@ -248,71 +370,66 @@ class TextDensity:
                 joins = np.arange(len(found[0])) < len(inner)
                 yield pa.RecordBatch.from_arrays([*[pa.array(block.spot[f]) for f in found], pa.array(joins)], ["core", "other", "joins"])
 
-        flagged = plain.join(self.judged.select("spot", "core").hint("merge"), "spot")
-        alone = self._blocks(flagged.withColumn("start", F.col("spot")), self.meetings.where("alone")).mapInArrow(link, _LINKS)
-        alone = stage(alone, "links")
+        flagged = self.spots.drop("first_row").join(self.judged.select("spot", "core").hint("merge"), "spot")
+        alone = [m for m in self.meetings if m[0] == m[1]]
+        alone = stage(self._blocks(flagged.withColumn("start", F.col("spot")), alone).mapInArrow(link, _LINKS), "links")
         starts = alone.where("joins").select(F.col("other").alias("spot"), F.col("core").alias("start"))
         started = flagged.join(starts.hint("merge"), "spot", "left").withColumn("start", F.coalesce("start", "spot"))
-        both = self._blocks(started, self.meetings.where("not alone")).mapInArrow(link, _LINKS)
-        self.links = stage(alone.union(both).distinct(), "links")
+        both = [m for m in self.meetings if m[0] != m[1]]
+        both = self._blocks(started, both).mapInArrow(link, _LINKS)
+        return stage(alone.union(both).distinct(), "links")
 
     def _placed(self, merged: DataFrame) -> DataFrame:
-        """Points with ``kind``, the terms of their prefixes and ``spot``, their place in the order that keeps like ones together."""
-        eps, product = self.eps, 1 - self.eps**2 / 2
-
-        def with_terms(batches):
-            for batch in batches:
-                if eps >= 1:  # texts without a common term may be near
-                    yield batch.assign(terms=[[NO_TERM]] * len(batch))
-                elif len(batch):
-                    marks = prefixes(np.stack(batch["text"].to_numpy()), product)
-                    yield batch.assign(terms=[list(np.flatnonzero(m)) or [NO_TERM] for m in marks])
-
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in merged.schema) + ", terms array<int>"
-        marked = merged.mapInPandas(with_terms, schema).withColumn("kind", F.to_json("cats") if eps < 1 else F.lit(""))
-        cell = F.floor(F.get("xs", F.lit(0)) / eps)
-        placed = with_position(marked.withColumn("cell", cell), ["kind", "cell", "terms", "xs", "text", "cats"], "spot")
-        return placed.drop("cell")
-
-    def _meetings(self) -> DataFrame:
-        """(slice, pair, alone): the blocks that each slice takes part in."""
-        x = F.coalesce(F.get("xs", F.lit(0)), F.lit(0.0))
-        rows = self._sliced(self.spots).select("slice", "kind", "spot", x.alias("x"), F.explode("terms").alias("term"))
-        slices = rows.groupBy("slice").agg(
-            *[f(c).alias(f"{name}_{c}") for c in ("kind", "x", "spot") for name, f in (("low", F.min), ("high", F.max))],
-            F.collect_set("term").alias("terms"),
-        )
-        slices = stage(slices, "slices")
-        alone = slices.where("high_spot > low_spot").select(F.col("slice").alias("a"), F.col("slice").alias("b"))
-        a, b = slices.alias("a"), slices.alias("b")
-        # Slices follow each other by kind, so two of them share no other kind than this.
-        met = a.join(b, (F.col("a.high_kind") == F.col("b.low_kind")) & (F.col("a.slice") < F.col("b.slice")))
-        gap = F.greatest(F.col("a.low_x"), F.col("b.low_x")) - F.least(F.col("a.high_x"), F.col("b.high_x"))
-        met = met.where((gap <= self.eps * (1 + 1e-9)) & F.arrays_overlap("a.terms", "b.terms"))
-        pairs = alone.union(met.select(F.col("a.slice"), F.col("b.slice")))
-        pair = F.shiftleft("a", PAIR_BITS).bitwiseOR(F.col("b"))
-        ends = F.array_distinct(F.array("a", "b"))
-        return pairs.select(F.explode(ends).alias("slice"), pair.alias("pair"), (F.col("a") == F.col("b")).alias("alone"))
+        """Points with ``kind`` and ``spot``, their place in the order that keeps like ones together."""
+        marked = merged.withColumn("kind", F.to_json("cats") if self.eps < 1 else F.lit(""))
+        return with_position(marked, ["kind", "xs", "text", "cats"], "spot")
 
-    @staticmethod
-    def _sliced(spots: DataFrame) -> DataFrame:
-        return spots.withColumn("slice", F.floor(F.col("spot") / SLICE))
-
-    def _blocks(self, spots: DataFrame, meetings: DataFrame) -> DataFrame:
-        """Points of each pair of slices together, in the order of their places."""
-        met = self._sliced(spots).join(meetings.select("slice", "pair"), "slice").drop("slice")
-        return met.repartition("pair").sortWithinPartitions("pair", "spot")
+    def _meetings(self) -> list[tuple[int, int, int]]:
+        """(slice, slice, pairs of points) of the blocks; the slices, one row each, are known to the driver."""
+        x = F.coalesce(F.get("xs", F.lit(0)), F.lit(0.0))
+        rows = self._sliced(self.spots).select("slice", "kind", x.alias("x"))
+        ends = [f(c).alias(f"{name}_{c}") for c in ("kind", "x") for name, f in (("low", F.min), ("high", F.max))]
+        slices = sorted(rows.groupBy("slice").agg(*ends, F.count("*").alias("n")).collect(), key=lambda s: s.slice)
+        found = []
+        for place, a in enumerate(slices):
+            if a.n > 1:
+                found.append((a.slice, a.slice, a.n * a.n // 2))
+            for b in slices[place + 1 :]:
+                # Slices follow each other by kind, so two of them share no other kind than this.
+                if b.low_kind != a.high_kind:
+                    break
+                if max(a.low_x, b.low_x) - min(a.high_x, b.high_x) <= self.eps * (1 + 1e-9):
+                    found.append((a.slice, b.slice, a.n * b.n))
+        return found
+
+    def _sliced(self, spots: DataFrame) -> DataFrame:
+        return spots.withColumn("slice", F.floor(F.col("spot") / self.size))
+
+    def _blocks(self, spots: DataFrame, meetings: list[tuple[int, int, int]]) -> DataFrame:
+        """Points of each pair of slices together, in the order of their places; a task takes many small blocks."""
+        parts = max(1, min(len(meetings), sum(pairs for *_, pairs in meetings) // TASK_PAIRS))
+        rows = []
+        for rank, (a, b, _) in enumerate(sorted(meetings, key=lambda m: -m[2])):
+            rows += [(end, a << PAIR_BITS | b, rank % parts) for end in sorted({a, b})]
+        # Bounded: a row for each slice of a block.
+        columns = zip(*rows) if rows else ((), (), ())
+        types = pa.schema([("slice", pa.int64()), ("pair", pa.int64()), ("part", pa.int32())])
+        table = F.broadcast(spots.sparkSession.createDataFrame(pa.table([pa.array(c, t.type) for c, t in zip(columns, types)], schema=types)))
+        met = self._sliced(spots).join(table, "slice").drop("slice")
+        return met.repartitionById(parts, F.col("part")).sortWithinPartitions("pair", "spot")
 
     def noise(self) -> DataFrame:
         """Row ids of the points that are no core points and have none within ``eps``."""
-        touched = self.links.where(~F.col("joins")).select(F.col("other").alias("spot"))
-        lonely = self.judged.where(~F.col("core")).join(touched, "spot", "left_anti").select("spot")
-        return self._rows(self.spots.join(lonely, "spot", "left_semi"), "inner").select(self.row_id)
+        # A point that is no core point has all its neighbours listed, since it was none in any block.
+        beside = self.counted.select("spot", F.explode("beside").alias("other"))
+        cores = self.judged.where("core").select(F.col("spot").alias("other"))
+        touched = beside.join(cores.hint("merge"), "other").select("spot")
+        lonely = self.judged.where(~F.col("core")).join(touched.hint("merge"), "spot", "left_anti").select("spot", "w")
+        return self._rows(lonely, "inner").select(self.row_id)
 
     def neighbours(self) -> DataFrame:
         """Rows within ``eps`` of each row, itself included: (row id, close)."""
-        counted = self.spots.join(self.judged.select("spot", "close"), "spot")
-        return self._rows(counted, "inner").select(self.row_id, "close")
+        return self._rows(self.judged.select("spot", "w", "close"), "inner").select(self.row_id, "close")
 
     def clusters(self) -> DataFrame:
         """All rows with ``cluster``: numbered from 0 by smallest row id of a core point, -1 for noise.
@@ -331,25 +448,17 @@ class TextDensity:
         return self._rows(labels, "left").select(self.row_id, F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"))
 
     def _members(self) -> DataFrame:
-        """(row id, spot); only the few heavy points are copied for a spread join."""
+        """(row id, spot, heavy); only the few heavy points are copied for a spread join."""
         point = ["xs", "cats", "text"]
         named = self.spots.select(*point, "spot", "w")
         light = self.points.join(named.where(F.col("w") < HEAVY).hint("merge"), point)
         heavy = join_unique(self.points, named.where(F.col("w") >= HEAVY), point, F.col(self.row_id), grows=True)
-        return light.select(self.row_id, "spot").union(heavy.select(self.row_id, "spot"))
+        return light.select(self.row_id, "spot", F.lit(False).alias("heavy")).union(heavy.select(self.row_id, "spot", F.lit(True)))
 
     def _rows(self, spots: DataFrame, how: str) -> DataFrame:
-        """Every row joined to the values of its merged point."""
-        spots = spots.drop("w", "first_row", "kind", "terms", "xs", "cats", "text")
-        return join_unique(self.members, spots, ["spot"], F.col(self.row_id), how, grows=True)
-
-
-def heaviest_first(rows: DataFrame, vector: str, terms: dict[str, float]) -> dict[str, float]:
-    """Terms by falling mean square of their weight in the texts that hold them.
-
-    Any one order is right.  This one ends prefixes after few terms: rare terms lead
-    where texts are short, repeated ones where they are long.
-    """
-    found = rows.agg(Summarizer.metrics("normL2", "numNonZeros").summary(F.col(vector)).alias("s")).first()["s"]
-    mean = np.asarray(found["normL2"].toArray()) ** 2 / np.maximum(found["numNonZeros"].toArray(), 1)
-    return dict(sorted(terms.items(), key=lambda t, place={t: m for t, m in zip(terms, mean)}: (-place[t[0]], t[0])))
+        """Every row joined to the values of its merged point, which has its weight ``w``."""
+        spots = spots.drop("first_row", "kind", "xs", "cats", "text")
+        light, heavy = (spots.where(c).drop("w") for c in (F.col("w") < HEAVY, F.col("w") >= HEAVY))
+        few = self.members.where(~F.col("heavy")).join(light.hint("merge"), "spot", how)
+        many = join_unique(self.members.where("heavy"), heavy, ["spot"], F.col(self.row_id), how, grows=True)
+        return few.unionByName(many)

@@ -145,14 +145,18 @@ class Block:
         held = texts > 0
         # Terms that most texts hold come first, so that a product ends at the last one that both sides hold.
         terms = np.argsort(-held.sum(axis=0), kind="stable")
-        self.texts, held = texts[:, terms], held[:, terms]
+        # Rows stay together in memory: they are looked up by the thousand.
+        self.texts, held = texts.take(terms, axis=1), held.take(terms, axis=1)
+        del texts
         self.own = held.any(axis=1).astype(float)
         self.last = np.where(self.own > 0, len(terms) - held[:, ::-1].argmax(axis=1) if len(terms) else 0, 0)
         self.xs = _flat(table["xs"]).to_numpy(zero_copy_only=False).reshape(n, -1)
         xs = self.xs - self.xs.mean(axis=0)
         # A place more each for the factor 1 and the square, so that one product gives distances.
         self.square = np.einsum("ij,ij->i", self.texts, self.texts) + np.einsum("ij,ij->i", xs, xs)
-        self.points = np.concatenate([xs, np.ones((n, 1)), self.square[:, None], self.texts], axis=1, dtype=np.float32, casting="same_kind")
+        self.points = np.empty((n, self.xs.shape[1] + 2 + len(terms)), np.float32)
+        for place, values in enumerate((*xs.T, 1, self.square, *self.texts.T)):
+            self.points[:, place] = values
         self.kinds = _codes(table["kind"].combine_chunks())
         cats, self.cats = _flat(table["cats"]), []
         # Equal kinds have equal categories where a different one is too far anyway.
@@ -177,7 +181,7 @@ class Block:
             return _flat(column).to_numpy(zero_copy_only=False).reshape(n, -1)
         texts = unpacked(pa.concat_arrays(column.cast(pa.binary()).chunks), len(scale))
         texts *= np.array(scale)
-        length = np.sqrt((texts**2).sum(axis=1, keepdims=True))
+        length = np.sqrt(np.einsum("ij,ij->i", texts, texts))[:, None]
         texts /= np.where(length > 0, length, 1)
         return texts
 
@@ -202,7 +206,7 @@ class Block:
             return self._near_of_all_kinds(a, b)
         numbers, limit = self.xs.shape[1], self.eps * self.eps
         places = numbers + 2 + int(min(self.last[a].max(), self.last[b].max()))
-        left, right = self.points[a, :places], self.points[b, :places]
+        left, right = (self.points.take(k, axis=0)[:, :places] for k in (a, b))
         left *= -2
         left[:, numbers], left[:, numbers + 1] = self.square[a], 1
         apart = left @ right.T
